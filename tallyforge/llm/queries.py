@@ -5,15 +5,17 @@ from __future__ import annotations
 from tallyforge.llm import chat_format as chat
 from tallyforge.llm import decontaminate as decon
 from tallyforge.llm import language_id as language
-from tallyforge.llm import quality
+from tallyforge.llm import minhash, quality
 
 QUERIES = {
     "op1_decontaminate": decon.op1_decontaminate,
     "op3_quality": quality.op3_quality,
     "op4_language_id": language.op4_language_id,
     "op9_chat_format": chat.op9_chat_format,
+    "op10_near_duplicates": minhash.op10_near_duplicates,
 }
 ORACLES = {
     "op1_decontaminate": decon.OP1_SQL,
     "op9_chat_format": chat.OP9_SQL,
+    "op10_near_duplicates": minhash.OP10_SQL,
 }
