@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyforge.llm import chat_format as chat
+from tallyforge.llm import class_lm
 from tallyforge.llm import decontaminate as decon
 from tallyforge.llm import embedding_dedup as vectors
 from tallyforge.llm import language_id as language
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_language_id": language.op4_language_id,
     "op7_near_vectors": vectors.op7_near_vectors,
+    "op8_class_lm": class_lm.op8_class_lm,
     "op9_chat_format": chat.op9_chat_format,
     "op10_near_duplicates": minhash.op10_near_duplicates,
 }
