@@ -7,10 +7,11 @@ from tallyforge.llm import class_lm
 from tallyforge.llm import decontaminate as decon
 from tallyforge.llm import embedding_dedup as vectors
 from tallyforge.llm import language_id as language
-from tallyforge.llm import minhash, quality
+from tallyforge.llm import minhash, pieces, quality
 
 QUERIES = {
     "op1_decontaminate": decon.op1_decontaminate,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_quality": quality.op3_quality,
     "op4_language_id": language.op4_language_id,
     "op7_near_vectors": vectors.op7_near_vectors,
