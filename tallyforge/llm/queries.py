@@ -7,13 +7,14 @@ from tallyforge.llm import class_lm
 from tallyforge.llm import decontaminate as decon
 from tallyforge.llm import embedding_dedup as vectors
 from tallyforge.llm import language_id as language
-from tallyforge.llm import minhash, pieces, quality
+from tallyforge.llm import minhash, pieces, quality, substring_dedup
 
 QUERIES = {
     "op1_decontaminate": decon.op1_decontaminate,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_quality": quality.op3_quality,
     "op4_language_id": language.op4_language_id,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_near_vectors": vectors.op7_near_vectors,
     "op8_class_lm": class_lm.op8_class_lm,
     "op9_chat_format": chat.op9_chat_format,
@@ -21,6 +22,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_decontaminate": decon.OP1_SQL,
+    "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op9_chat_format": chat.OP9_SQL,
     "op10_near_duplicates": minhash.OP10_SQL,
 }
