@@ -154,9 +154,11 @@ _HITS = "doc_id long, text string, hits array<long>, items array<string>"
 _OUT = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, hits array<long>"
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS, carry: dict[str, str] | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items (sorted), hits.
 
+    carry: columns of docs to take along, and the names they get.
+
     hits holds pairs of word positions [from, to), merged and in order. A null text has no words; a
     null or empty item, or one without an id, has no windows; an id given to several items joins
     their windows; equal rows each get a row; empty tables give no rows or no hits. Only the named
@@ -167,15 +169,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     blocks = max(1, -(-n // block_windows))
     number = F.pmod(F.xxhash64("window"), F.lit(blocks)) if blocks > 1 else F.lit(0)
     windows = windows.withColumn("block", number).persist() if blocks > 1 else windows.withColumn("block", number)
+    carry = carry or {}
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = rows.select("*", F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    out = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"),
+        *(F.col(f"`{c}`").alias(x) for c, x in carry.items()),
+    )
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in out.schema[4:])
     for b in range(blocks):
         pairs = [(r["item"], r["window"]) for r in windows.where(F.col("block") == b).toLocalIterator()]
         index = None
         if pairs:
             index = WindowIndex(pairs, shingle)
             index.choose(shingle_counts(rows, index.candidates(), "text"))
-        out = map_blocks(out, _OUT if b == blocks - 1 else _HITS, _pass(docs.sparkSession.sparkContext.broadcast(index), b == blocks - 1))
+        out = map_blocks(out, (_OUT if b == blocks - 1 else _HITS) + more, _pass(docs.sparkSession.sparkContext.broadcast(index), b == blocks - 1))
     if blocks > 1:
         windows.unpersist()
     return out
@@ -218,15 +225,22 @@ def _pass(sent, last: bool):
         items = [sorted(set(x)) for x in items]
         listed = pa.array(items, pa.list_(pa.string()))
         if not last:
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hits, listed], ["doc_id", "text", "hits", "items"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hits, listed, *batch.columns[4:]], ["doc_id", "text", "hits", "items", *batch.schema.names[4:]])
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(w.counts.astype(np.int64)), pa.array((total[w.first[1:]] - total[w.first[:-1]]).astype(np.int64)), pa.array([len(x) for x in items], pa.int64()), listed, hits],
-            ["doc_id", "n_words", "n_hit", "n_items", "items", "hits"],
+            [batch.column(0), pa.array(w.counts.astype(np.int64)), pa.array((total[w.first[1:]] - total[w.first[:-1]]).astype(np.int64)), pa.array([len(x) for x in items], pa.int64()), listed, hits, *batch.columns[4:]],
+            ["doc_id", "n_words", "n_hit", "n_items", "items", "hits", *batch.schema.names[4:]],
         )
 
     return each
 
 
+def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns, whose text holds no window; nothing is shuffled."""
+    carry = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    found = decontaminate(docs, items, doc_id, text, carry=carry, **options).where("n_hit = 0")
+    return found.select(*(F.col(x).alias(c) for c, x in carry.items()))
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(

@@ -7,6 +7,7 @@ from tallyforge.llm import class_lm
 from tallyforge.llm import decontaminate as decon
 from tallyforge.llm import embedding_dedup as vectors
 from tallyforge.llm import language_id as language
+from tallyforge.llm import licenses
 from tallyforge.llm import minhash, pieces, quality, substring_dedup
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_quality": quality.op3_quality,
     "op4_language_id": language.op4_language_id,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_near_vectors": vectors.op7_near_vectors,
     "op8_class_lm": class_lm.op8_class_lm,

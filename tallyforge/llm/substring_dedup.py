@@ -166,8 +166,8 @@ def locate(words: list[Words], phrases: list[tuple[int, int, int]], shard_words:
     return [np.cumsum(c[:-1]) > 0 for c in cover]
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The rows of docs (other columns as they are) with n_words, n_removed and kept.
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, shard_words: int = SHARD_WORDS, keep_text: bool = False) -> DataFrame:
+    """The rows of docs (other columns as they are) with n_words, n_removed and kept, and with `text` too if keep_text.
 
     kept: the words that are left, joined by single spaces. A null text has no words and an empty
     `kept`. Equal rows repeat each other. Rows with a null id are rows like others. Columns of docs
@@ -177,6 +177,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ship(spark)
     buckets = max(1, -(-text_bytes(docs, text) // bucket_bytes))
     others = [c for c in docs.columns if c not in (text, "n_words", "n_removed", "kept")]
+    text_out = [text] if keep_text else []
     named = {c: f"c{i}" for i, c in enumerate(others)}
     rows = docs.select(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(buckets)).alias("p"), F.col(text).alias("text"), *(F.col(f"`{c}`").alias(x) for c, x in named.items()))
     units = saved(unit_rows(rows, size, gram))
@@ -243,11 +244,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             data = out.tobytes()
             kept += [data[a : max(a, b - 1)].decode() for a, b in zip(ends[:-1], ends[1:])]
         none = np.zeros(0, np.int64)
-        return pa.table({**{x: texts.column(x) for x in named.values()}, "n_words": np.concatenate([none, *n_words]), "n_removed": np.concatenate([none, *n_removed]), "kept": pa.array(kept, pa.string())})
+        whole = {"text": pa.array([w.buf[a:b].tobytes().decode() for w in words for a, b in zip(w.off[:-1], w.off[1:])], pa.string())} if keep_text else {}
+        return pa.table({**{x: texts.column(x) for x in named.values()}, **whole, "n_words": np.concatenate([none, *n_words]), "n_removed": np.concatenate([none, *n_removed]), "kept": pa.array(kept, pa.string())})
 
-    schema = ", ".join([*(f"{x} {kinds[c]}" for c, x in named.items()), "n_words long", "n_removed long", "kept string"])
+    schema = ", ".join([*(f"{x} {kinds[c]}" for c, x in named.items()), *["text string"] * keep_text, "n_words long", "n_removed long", "kept string"])
     out = packed.groupBy("p").cogroup(confirmed.groupBy("p")).applyInArrow(strip, schema)
-    return out.select(*(F.col(x).alias(c) for c, x in named.items()), "n_words", "n_removed", "kept")
+    return out.select(*(F.col(x).alias(c) for c, x in named.items()), *(F.col("text").alias(c) for c in text_out), "n_words", "n_removed", "kept")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
