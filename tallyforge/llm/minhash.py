@@ -8,10 +8,10 @@ texts' registers agree with a chance of about their Jaccard similarity however s
 Links. Documents with equal shingle sets are one class. Classes that agree in a whole band of
 registers share a bucket; each class is first compared with the class it shares most buckets with
 among the smallest ids of its buckets, which joins nearly all groups of copies with one comparison a
-class. Then buckets that still hold several components are searched whole: pairs of different
+class. Then buckets that still hold several components are searched whole for pairs of different
 components whose estimated similarity, less what equal registers by chance add, is not clearly too
-low. Each pair is confirmed on full shingle sets. Large buckets are split into pairs of blocks, so
-no task holds more than 2 * BLOCK rows of a bucket, and no pair is left out.
+low. Each link is confirmed on full shingle sets. Large buckets are split into pairs of blocks, so
+a group handed to a function has about 2 * BLOCK rows at most, and no pair is left out.
 """
 
 from __future__ import annotations
@@ -143,55 +143,78 @@ def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(rep, hashes): the sorted shingle set of each document in ids(rep)."""
+    """(rep, hashes, small): the sorted shingle set of each document in ids(rep), and its distinct 32-bit hashes."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         h, first = shingle_sets(*text_buffer(batch.column(1)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[x:y].tobytes() for x, y in zip(first[:-1], first[1:])], pa.binary())], ["rep", "hashes"])
+        own = [h[x:y] for x, y in zip(first[:-1], first[1:])]
+        small = [np.unique((x >> U64(32)).astype(np.uint32)).tobytes() for x in own]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(small, pa.binary())], ["rep", "hashes", "small"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(ids, "rep")
-    return map_blocks(rows, "rep long, hashes binary", each)
+    return map_blocks(rows, "rep long, hashes binary, small binary", each)
 
 
-def close_pairs(shared: DataFrame, classes: DataFrame, label: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Pairs of one bucket, of different components, whose estimate is not clearly below the threshold; each pair once."""
+def close_pairs(shared: DataFrame, classes: DataFrame, sets: DataFrame, label: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Links that join components within a bucket, as many as it takes to join them; confirm() has the last word.
+
+    Of a bucket with several components, the rows outside its largest one are compared with all rows,
+    block by block; one large group of copies with a few strangers in its bucket costs a row each. A
+    pair is looked at if its estimate is not clearly below the threshold and its two components are
+    not joined yet, and counts if its sets of 32-bit shingle hashes are similar enough.
+    """
     rows = shared.join(label, "rep")
-    # Of each bucket that holds several components: its rows, dealt to pairs of blocks of it.
-    mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
-    rows = rows.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int"))
-    rows = rows.select("key", "rep", "component", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component").join(classes.select("rep", "n", "sketch"), "rep")
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top")).where("n > top.c")
+    mixed = mixed.select("key", F.col("top.component").alias("most"), F.ceil(F.col("n") / BLOCK).alias("pa"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).alias("po"))
+    rows = rows.join(mixed, "key").select("key", "rep", "component", (F.col("component") != F.col("most")).alias("other"), F.pmod(F.xxhash64("rep"), "pa").alias("a"), F.pmod(F.xxhash64("rep", F.lit(1)), "po").alias("o"), "pa", "po")
+    left = rows.select("key", "rep", "component", "other", F.lit(0).alias("side"), F.col("a").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("po") - 1)).alias("j"))
+    right = rows.where("other").select("key", "rep", "component", "other", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pa") - 1)).alias("i"), F.col("o").alias("j"))
+    rows = left.unionByName(right).join(classes.select("rep", "n", "sketch"), "rep").join(sets.select("rep", "small"), "rep")
     threshold = numerator / denominator
 
     def search(table: pa.Table) -> pa.Table:
-        key, i, j = table.column("key")[0].as_py(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        rep, comp, own, n = (table.column(c).to_numpy() for c in ("rep", "component", "own", "n"))
+        rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "component", "n"))
+        other, side = table.column("other").to_numpy().astype(bool), table.column("side").to_numpy()
         regs = _registers(table.column("sketch").combine_chunks())
-        keys = bands(regs)
-        hit = signed(keys) == key
-        band = hit.argmax(axis=1)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out_a, out_b = [], []
+        sets_of = [np.frombuffer(x, np.uint32) for x in table.column("small").to_pylist()]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found = []
         for x in left:
-            ys = right[rep[right] > rep[x]] if i == j else right
-            ys = ys[comp[ys] != comp[x]]
+            # Two rows that are both outside the largest component meet in either order; one counts.
+            ys = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) | ~other[x])]
             small, large = np.minimum(n[ys], n[x]), np.maximum(n[ys], n[x])
             ys = ys[denominator * small >= numerator * large]
             if not len(ys):
                 continue
-            same = regs[ys] == regs[x]
-            # A pair is found in each bucket it shares; it counts in that of the first band.
-            whole = (keys[ys] == keys[x]).argmax(axis=1) == band[x]
             p = by_chance(n[ys].astype(float), float(n[x]))
-            estimate = (same.mean(axis=1) - p) / (1 - p)
+            estimate = ((regs[ys] == regs[x]).mean(axis=1) - p) / (1 - p)
             slack = 5 * np.sqrt(threshold * (1 - threshold) / np.minimum(REGISTERS, np.maximum(n[ys], n[x])))
-            ys = ys[whole & (estimate >= threshold - slack)]
-            out_a.append(np.minimum(rep[ys], rep[x]))
-            out_b.append(np.maximum(rep[ys], rep[x]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(search, "a long, b long")
+            ok = estimate >= threshold - slack
+            found.append((np.stack([np.full(ok.sum(), x), ys[ok]]), estimate[ok]))
+        out: list[tuple[int, int]] = []
+        if found:
+            pairs = np.concatenate([f[0] for f in found], axis=1)
+            pairs = pairs[:, np.argsort(-np.concatenate([f[1] for f in found]), kind="stable")]
+            top = {int(c): int(c) for c in np.unique(comp)}
+
+            def root(c: int) -> int:
+                while top[c] != c:
+                    top[c] = c = top[top[c]]
+                return c
+
+            for x, y in pairs.T:
+                u, v = root(int(comp[x])), root(int(comp[y]))
+                if u == v:
+                    continue
+                p, q = sets_of[x], sets_of[y]
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                if denominator * common >= numerator * (len(p) + len(q) - common):
+                    top[max(u, v)] = min(u, v)
+                    out.append((int(min(rep[x], rep[y])), int(max(rep[x], rep[y]))))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(search, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -214,7 +237,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = saved(confirm(stars, sets, numerator, denominator))
     first = components(links)
     label = classes.select("rep").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
-    close = saved(close_pairs(shared.select("key", "rep"), classes, label, numerator, denominator))
+    close = saved(close_pairs(shared.select("key", "rep"), classes, sets, label, numerator, denominator))
     more = confirm(close, sets, numerator, denominator)
     final = components(first.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
     unsaved(shared, stars, sets, links, close)
