@@ -30,8 +30,8 @@ from tallyforge.llm.common import documents, map_blocks, saved, ship, text_bytes
 
 SIZE = 35
 GRAM = 8
-BUCKET_BYTES = 16 << 20
-SHARD_WORDS = 800_000
+BUCKET_BYTES = 8 << 20
+SHARD_WORDS = 400_000
 
 
 class Units:
@@ -133,7 +133,12 @@ def open_windows(packed: DataFrame, units: DataFrame, size: int, gram: int) -> D
     return packed.select("p", "packed", "bytes").groupBy("p").cogroup(units.groupBy("p")).applyInArrow(windows, "h long, p long, n long, lone boolean")
 
 
-def locate(words: list[Words], phrases: list[tuple[int, int, int]], shard_words: int) -> list[np.ndarray]:
+def _letters(code: np.ndarray) -> str:
+    """A string with one character for each number; surrogates are left out."""
+    return np.where(code >= 0xD800, code + 0x800, code).astype("<u4").tobytes().decode("utf-32-le")
+
+
+def locate(words: list[Words], phrases: list[tuple[int, int, int]], shard_words: int, size: int = SIZE) -> list[np.ndarray]:
     """For each block of words, which are covered by a phrase; phrases are (block, first word, words)."""
     cover = [np.zeros(len(w) + 1, np.int64) for w in words]
     at = 0
@@ -143,25 +148,27 @@ def locate(words: list[Words], phrases: list[tuple[int, int, int]], shard_words:
             total += phrases[to][2]
             to += 1
         shard = [words[b].hash[s : s + n] for b, s, n in phrases[at:to]]
-        alphabet = np.unique(np.concatenate(shard))
-
-        def letters(h: np.ndarray) -> str:
-            code = _member(alphabet, h) + 1  # 0: a word of no phrase
-            code[code >= 0xD800] += 0x800
-            return code.astype("<u4").tobytes().decode("utf-32-le")
-
+        whole = np.concatenate(shard)
+        alphabet = np.unique(whole)
+        line, ends = _letters(_member(alphabet, whole) + 1), np.cumsum([len(x) for x in shard])
         automaton = ahocorasick.Automaton()
-        for x in shard:
-            automaton.add_word(letters(x), len(x))
+        for x, end in zip(shard, ends.tolist()):
+            automaton.add_word(line[end - len(x) : end], len(x))
         automaton.make_automaton()
         for w, c in zip(words, cover):
-            line = letters(w.hash)
-            # Phrases hold no word of another text: a match must not reach across two texts.
-            found = np.array([(end, n) for end, n in automaton.iter(line)], np.int64).reshape(-1, 2)
-            stop, start = found[:, 0] + 1, found[:, 0] + 1 - found[:, 1]
-            inside = np.searchsorted(w.first, start, "right") == np.searchsorted(w.first, stop - 1, "right")
-            np.add.at(c, start[inside], 1)
-            np.add.at(c, stop[inside], -1)
+            code = _member(alphabet, w.hash) + 1  # 0: a word of no phrase
+            line = _letters(code)
+            # Only stretches of phrase words within one text can hold a phrase.
+            border = np.zeros(len(w) + 1, bool)
+            border[w.first] = True
+            inside = code > 0
+            begin = np.flatnonzero(inside & (border[:-1] | ~np.concatenate([[False], inside[:-1]])))
+            stop = np.flatnonzero(inside & (border[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
+            enough = stop - begin >= size
+            found = [(a + end, n) for a, b in zip(begin[enough].tolist(), stop[enough].tolist()) for end, n in automaton.iter(line[a:b])]
+            found = np.array(found, np.int64).reshape(-1, 2)
+            np.add.at(c, found[:, 0] + 1 - found[:, 1], 1)
+            np.add.at(c, found[:, 0] + 1, -1)
         at = to
     return [np.cumsum(c[:-1]) > 0 for c in cover]
 
@@ -230,7 +237,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             known = np.sort(np.concatenate([known, h[one]]))
             phrases += [(b, int(s), int(e - s)) for s, e in zip(start[one], stop[one])]
         n_words, n_removed, kept = [], [], []
-        for w, gone in zip(words, locate(words, phrases, shard_words)):
+        for w, gone in zip(words, locate(words, phrases, shard_words, size)):
             total = np.concatenate([[0], np.cumsum(gone)])
             n_words.append(w.counts)
             n_removed.append(total[w.first[1:]] - total[w.first[:-1]])
