@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
+from tallyforge.operators.graph import saved, unsaved
 
 
 def sync(old: DataFrame, new: DataFrame, keys: list[str] = ("uid", "char"), values: list[str] = ("name",)) -> DataFrame:
@@ -35,13 +36,17 @@ def folder_paths(folders: DataFrame, depth: int = 64) -> DataFrame:
     base = folders.select("folder_uid", F.coalesce("folder_name", F.lit("")).alias("name"), F.nullif(T.text("parent_uid"), F.lit("")).alias("parent"), F.col("priority").cast("int").alias("own"))
     up = base.select(F.col("folder_uid").alias("next"), F.col("name").alias("up_name"), F.col("parent").alias("up_parent"), F.col("own").alias("up_own"))
     walk = base.select("folder_uid", F.col("name").alias("path"), F.col("own").alias("priority"), F.col("parent").alias("next"), F.array("folder_uid").alias("seen"))
+    walk_table = None
     for _ in range(depth):
         more = walk.join(up, "next", "left")
         ok = F.col("up_name").isNotNull() & ~F.array_contains("seen", F.col("next"))
         walk = more.select(
             "folder_uid", F.when(ok & (F.col("up_name") != ""), F.concat_ws(" / ", "up_name", F.nullif(F.col("path"), F.lit("")))).otherwise(F.col("path")).alias("path"),
             F.coalesce("priority", F.when(ok, F.col("up_own"))).alias("priority"), F.when(ok, F.col("up_parent")).alias("next"), F.when(ok, F.array_append("seen", F.col("next"))).otherwise(F.col("seen")).alias("seen"),
-        ).checkpoint()
+        )
+        walk, before = saved(walk), walk_table
+        unsaved(before)
+        walk_table = walk
         if walk.where("next IS NOT NULL").isEmpty():
             break
     return walk.select("folder_uid", "path", "priority", F.size("seen").alias("level"))

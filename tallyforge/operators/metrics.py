@@ -78,8 +78,11 @@ def step_means(steps: DataFrame, keys: list[str], step: str | None = None, json:
 
 
 def correction_rate(runs: DataFrame, feedback: DataFrame) -> DataFrame:
-    f = feedback.join(runs.select(F.col("id").alias("pipeline_run_id")), "pipeline_run_id", "left_semi").agg(F.count("*").alias("total_feedbacks"), F.count_if(~F.col("is_correct")).alias("overrides"))
-    return f.crossJoin(runs.agg(F.coalesce(F.sum("auto_matches"), F.lit(0)).alias("auto"))).select("total_feedbacks", "overrides", ratio(F.col("overrides"), F.col("auto")).alias("correction_rate"))  # one row by one row
+    """Overrides per automatic match of the runs, in one row."""
+    own = feedback.join(runs.select(F.col("id").alias("pipeline_run_id")), "pipeline_run_id", "left_semi")
+    rows = own.select(F.lit(1).alias("f"), (~F.col("is_correct")).cast("int").alias("o"), F.lit(0).cast("long").alias("a")).unionByName(runs.select(F.lit(0).alias("f"), F.lit(0).alias("o"), F.col("auto_matches").cast("long").alias("a")))
+    s = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return rows.agg(s("f").alias("total_feedbacks"), s("o").alias("overrides"), ratio(s("o"), s("a")).alias("correction_rate"))
 
 
 def recognition(df: DataFrame) -> DataFrame:
