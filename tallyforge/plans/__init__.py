@@ -1,4 +1,7 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, with their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tallyforge.plans import matching, texts
+
+QUERIES = {**texts.QUERIES, **matching.QUERIES}
+ORACLES = {**texts.ORACLES, **matching.ORACLES}
+flagship = matching.exact_match_top1
