@@ -105,7 +105,7 @@ def meet(graph: DataFrame, vectors: DataFrame, kind: str, length: int, n: int) -
     back = back.withColumn("r", rank).where(F.col("r") <= length).select("w", "x", "fresh")
     around = graph.select(F.col("u").alias("w"), F.col("v").alias("x"), "fresh").unionByName(back).groupBy("w", "x").agg(F.max("fresh").alias("fresh"))
     worst = graph.groupBy("u").agg(F.count("*").alias("c"), F.min("s").alias("low")).select(F.col("u").alias("x"), F.when(F.col("c") < length, F.lit(-2.0)).otherwise(F.col("low")).alias("low"))
-    sent = vectors.select(F.col("rep").alias("x"), "vec").join(worst, "x", "left").select("x", "vec", F.coalesce("low", F.lit(-2.0)).alias("low"))
+    sent = vectors.select(F.col("rep").alias("x"), "dim", "vec").join(worst, "x", "left").select("x", "dim", "vec", F.coalesce("low", F.lit(-2.0)).alias("low"))
     groups = max(1, n // 100)
     rows = around.join(sent, "x").withColumn("g", F.pmod(F.xxhash64("w"), F.lit(groups)))
 
@@ -127,7 +127,7 @@ def meet(graph: DataFrame, vectors: DataFrame, kind: str, length: int, n: int) -
         none = np.zeros(0, np.int64)
         return pa.table({"u": np.concatenate([none, *out[0]]), "v": np.concatenate([none, *out[1]]), "s": np.concatenate([np.zeros(0), *out[2]])})
 
-    return rows.groupBy("g").applyInArrow(pairs, "u long, v long, s double")
+    return rows.groupBy("g", "dim").applyInArrow(pairs, "u long, v long, s double")
 
 
 def descend(vectors: DataFrame, graph: DataFrame, kind: str, length: int, n: int, rounds: int) -> DataFrame:
@@ -164,7 +164,7 @@ def count_links(members: DataFrame, kind: str, threshold: float) -> DataFrame:
                 out_rep.append(rep[right]), out_n.append(hit.T @ size[left])
         return pa.table({"rep": np.concatenate(out_rep), "links": np.concatenate(out_n).astype(np.int64)})
 
-    counted = rows.select("g", "i", "j", "component", "rep", "size", "own", "vec").groupBy("g", "i", "j").applyInArrow(count, "rep long, links long")
+    counted = rows.select("g", "i", "j", "dim", "component", "rep", "size", "own", "vec").groupBy("g", "i", "j", "dim").applyInArrow(count, "rep long, links long")
     return counted.groupBy("rep").agg(F.sum("links").alias("links"))
 
 

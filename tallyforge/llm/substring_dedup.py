@@ -30,8 +30,8 @@ from tallyforge.llm.common import documents, map_blocks, saved, ship, text_bytes
 
 SIZE = 35
 GRAM = 8
-BUCKET_BYTES = 8 << 20
-SHARD_WORDS = 400_000
+BUCKET_BYTES = 4 << 20
+SHARD_WORDS = 250_000
 
 
 class Units:
