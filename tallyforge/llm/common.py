@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -40,6 +41,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """While this lasts, Arrow batches hold at most so many rows; for actions on rows that carry whole sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), most) if int(before) > 0 else most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def map_blocks(df: DataFrame, schema: str, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text", limit: int = BLOCK_BYTES) -> DataFrame:
     """Apply `each` to record batches of bounded text size; no shuffle."""
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.bytetext import NON_SPACE, U64, Words, mix, ranges, signed, text_buffer
-from tallyforge.llm.common import components, documents, map_blocks, saved, ship, unsaved
+from tallyforge.llm.common import arrow_rows, components, documents, map_blocks, saved, ship, unsaved
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -234,13 +234,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     best = shared.where("rep <> lead").groupBy("rep", "lead").count().groupBy("rep").agg(F.max(F.struct("count", -F.col("lead"))).alias("x"))
     stars = saved(best.select(F.expr("-x.col2").alias("a"), F.col("rep").alias("b")))
     sets = saved(full_sets(docs, shared.select("rep").distinct(), doc_id, text).dropDuplicates(["rep"]))
-    links = saved(confirm(stars, sets, numerator, denominator))
+    with arrow_rows(docs.sparkSession, 500):
+        links = saved(confirm(stars, sets, numerator, denominator))
     first = components(links)
     label = classes.select("rep").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
     close = saved(close_pairs(shared.select("key", "rep"), classes, sets, label, numerator, denominator))
-    more = confirm(close, sets, numerator, denominator)
+    with arrow_rows(docs.sparkSession, 500):
+        more = saved(confirm(close, sets, numerator, denominator))
     final = components(first.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
-    unsaved(shared, stars, sets, links, close)
+    unsaved(shared, stars, sets, links, close, more)
     label = classes.select("n", "s1", "s2", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     joined = table.select("doc_id", "n", "s1", "s2").join(label, ["n", "s1", "s2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
