@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
 from tallyforge.operators import similarity as S
+from tallyforge.operators.graph import saved
 
 
 @dataclass(frozen=True)
@@ -210,8 +211,12 @@ def decide(rows: DataFrame, items: DataFrame, settings: Settings = Settings(), m
 
     Memory, then exact, then similarity. A similarity below min_display_score is none; auto needs
     auto_jaccard and a best pair that passes the filters; best_from says whether the best pair is that
-    of all pairs (raw) or of those that passed (filtered).
+    of all pairs (raw) or of those that passed (filtered). The features of both sides are written out
+    first, so that the stages read them and do not extract them again.
     """
+    own = ["row_id", "type_norm", "size_norm", "std_norm", "std_key", "strength", "coating"]
+    rows = saved(rows.select(*own, *[c for c in ("fingerprint", "tokens") if c in rows.columns]))
+    items = saved(items.select("item_id", "name", "is_active", "type_norm", "size_norm", "std_norm", "std_key", "strength", "coating", "canonical_key", "folder_priority", "folder_path", *[c for c in ("tokens",) if c in items.columns]))
     confirm = settings.always_confirm
     suggested = lambda auto: F.lit("SUGGESTED") if confirm else F.lit(auto)
     none = lambda kind: F.lit(None).cast(kind)

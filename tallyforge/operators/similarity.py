@@ -59,7 +59,7 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def band_keys(sig: Column, bands: int = BANDS, rows: int = BAND_ROWS) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice(sig, i * rows + 1, rows)))
+    return T.let(sig, lambda own: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice(own, i * rows + 1, rows))))
 
 
 def lsh_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, block: list[str] = (), tokens: str = "tokens", minimum: float = 0.0) -> DataFrame:

@@ -26,8 +26,7 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """Grid of a delimited file: UTF-8 with or without a mark, else cp1251; the delimiter is sniffed from its first line."""
     first = spark.read.text(path).limit(1).collect()
     broken = bool(first) and "�" in first[0][0]
-    encoding = "windows-1251" if broken else "UTF-8"
-    lines = spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "").csv(path, schema="line string") if broken else spark.read.text(path).toDF("line")
+    lines = _cyrillic_lines(spark, path) if broken else spark.read.text(path).toDF("line")
     sample = lines.limit(1).collect()
     sep = sniff_delimiter(sample[0][0] if sample else "")
     rows = lines.select(F.regexp_replace("line", "^﻿", "").alias("line"), F.monotonically_increasing_id().alias("n"))
@@ -35,6 +34,17 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("n").alias("row_index"), cells.alias("cells"))
 
 
+def _cyrillic_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of cp1251 files, which Spark's text readers do not decode."""
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            yield pd.DataFrame({"line": [line for data in f["content"] for line in bytes(data).decode("cp1251", "replace").splitlines()]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "line string")
+
+
 def client_rows(grid: DataFrame) -> DataFrame:
     """row_index, name, qty, unit: columns by words of the first row (a later one of a role wins; the name is column 0 by default); rows without a name go."""
     from tallyforge.sources.profile import head, norm_cell
