@@ -118,7 +118,7 @@ class LanguageModel:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, longest_sample: int = LONGEST_SAMPLE, profile: int = PROFILE, slot_bits: int = SLOT_BITS, probes: int = PROBES) -> LanguageModel:
     """A model of the languages that training rows are labelled with; rows of fold 0 are not read."""
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         names = np.array(batch.column(0).to_pylist(), object)
         out = []
         for name in sorted(set(names)):
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             grams = np.concatenate([h for h, _ in ngrams(*text_buffer(part.column(1)))])
             h, n = np.unique(grams, return_counts=True)
             out.append(pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(signed(h)), pa.array(n.astype(np.int64))], ["lang", "h", "n"]))
-        return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+        return next(iter(pa.Table.from_batches(out).combine_chunks().to_batches()), None)  # none if no text has an n-gram
 
     rows = sample(docs, doc_id, text, lang, per_language, longest_sample)
     counted = map_blocks(rows, "lang string, h long, n long", each).groupBy("lang", "h").agg(F.sum("n").alias("n")).where("n > 1")
