@@ -115,6 +115,21 @@ def lsh_candidates(spark, d):
     return matching.similar_candidates(r, i)
 
 
+@query()
+def minhash_signatures(spark, d):
+    """Signatures of 128 permutations of the catalogue's 4-grams."""
+    i = items(spark, d).withColumn("tokens", T.char_ngrams(T.similarity_text(F.concat_ws(" ", "name", "size"))))
+    return i.select("item_id", S.signature(F.col("tokens")).alias("signature"))
+
+
+@query(f"""WITH {ITEMS}, g AS (SELECT item_id, list_distinct(list_transform(generate_series(1, greatest(length(t) - 3, 1)), lambda i: substr(t, i, 4))) AS g FROM (SELECT item_id, replace(name, ' ', '_') AS t FROM items)),
+x AS (SELECT item_id, unnest(g) AS w FROM g), h AS (SELECT item_id, k, min(substr(sha1(k || ':' || w), 1, 8)) AS m FROM x, unnest(generate_series(0, 15)) AS s(k) GROUP BY ALL)
+SELECT item_id, string_agg(m, '' ORDER BY k) AS signature FROM h GROUP BY item_id""")
+def text_signatures(spark, d):
+    """Signatures by smallest digests, the same on any engine."""
+    return items(spark, d).select("item_id", S.digest_signature(T.char_ngrams(F.col("name")), 16).alias("signature"))
+
+
 _KEYED = f"""{ITEMS}, k AS (SELECT *, name AS name_key FROM items WHERE is_active),
 dup AS (SELECT a.item_id AS a, b.item_id AS b FROM k a JOIN k b ON a.item_type = b.item_type AND a.size_key = b.size_key AND a.name_key = b.name_key AND a.item_id < b.item_id AND (a.std_key = '' OR b.std_key = '' OR a.std_key = b.std_key)),
 ana AS (SELECT a.item_id AS a, b.item_id AS b, a.std_key AS s, b.std_key AS s2, a.item_type AS ty, a.size_key AS sz FROM k a JOIN eq ON eq.a = a.std_key JOIN k b ON b.std_key = eq.b AND a.item_type = b.item_type AND a.size_key = b.size_key AND a.item_id < b.item_id)"""
