@@ -289,6 +289,17 @@ def extractor(name: str, c, dictionary: Dictionary) -> Column:
     return plain[name](c) if name in plain else ruled[name](c, dictionary)
 
 
+SIZE_FIELDS = ("diameter", "length", "width", "thickness", "size")
+
+
+def with_fields(df: DataFrame, text: str, dictionary: Dictionary) -> DataFrame:
+    """df with all FIELDS; the five size fields come from one search of the text."""
+    out = df.withColumn("__sizes", sizes(text, dictionary))
+    plain = {f: extractor(f, text, dictionary) for f in FIELDS if f not in SIZE_FIELDS and f != "thread_type"}
+    thread = F.when(F.col("__sizes.diameter") != "", "метрическая").when(screw_diameter(text) != "", "саморез").otherwise("")
+    return out.withColumns({**{f: F.col(f"__sizes.{f}") for f in SIZE_FIELDS}, **plain, "thread_type": thread}).drop("__sizes")
+
+
 def confidence(fields: dict[str, Column]) -> Column:
     """0 to 5: diameter, length, strength, coating, and ГОСТ or DIN."""
     known = [fields[k] != "" for k in ("diameter", "length", "strength", "coating")] + [(fields["gost"] != "") | (fields["din"] != "")]
@@ -305,7 +316,7 @@ def transform(df: DataFrame, fields: list[str], dictionary: Dictionary, text: st
     A field takes what its own column says (strength_raw, standard_raw) only where the text says
     nothing, and the note last. Unknown field names are left out. Catalyst computes only what is read.
     """
-    base = df.withColumns({f: extractor(f, text, dictionary) for f in FIELDS})
+    base = with_fields(df, text, dictionary)
     have = set(df.columns)
     filled = {}
     for f in ("strength", "gost", "iso", "din"):
@@ -324,7 +335,7 @@ def transform(df: DataFrame, fields: list[str], dictionary: Dictionary, text: st
 
 def line_record(df: DataFrame, dictionary: Dictionary, text: str = "raw_text") -> DataFrame:
     """df with all fields of a line and its normal forms: type_norm, size_norm, std_norm, tokens_norm."""
-    out = df.withColumns({f: extractor(f, text, dictionary) for f in FIELDS})
+    out = with_fields(df, text, dictionary)
     return out.withColumns({
         "type_norm": T.clean("item_type"), "size_norm": T.normalize_size("size"),
         "std_norm": F.coalesce(T.canonical_standard(T.first(F.col("gost"), F.col("iso"), F.col("din"))), F.lit("")), "tokens_norm": T.similarity_text(text),
