@@ -239,9 +239,9 @@ def match_summary(spark, d):
     return metrics.match_summary(records(spark, d).select("item_type", F.get(modes, (F.col("row_id") % 4).cast("int")).alias("mode")))
 
 
-@query("SELECT split_part(trim(lower(text)), ' ', 1) AS word, count(*)::BIGINT AS n FROM documents WHERE regexp_matches(text, '^[A-Za-z]+ ') GROUP BY 1 ORDER BY n DESC, word LIMIT 15")
+@query(r"SELECT regexp_extract(trim(lower(coalesce(text, ''))), '^\S+') AS word, count(*)::BIGINT AS n FROM documents WHERE regexp_extract(trim(lower(coalesce(text, ''))), '^\S+') <> '' GROUP BY 1 ORDER BY n DESC, word LIMIT 15")
 def top_unknown_words(spark, d):
-    return metrics.top_unknown_words(table(spark, d, "documents").where(F.col("text").rlike("^[A-Za-z]+ ")).select(F.col("text").alias("name"), F.lit("").alias("item_type")))
+    return metrics.top_unknown_words(table(spark, d, "documents").select(F.col("text").alias("name"), F.lit("").alias("item_type")))
 
 
 @query("SELECT o_orderkey AS order_id, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey)::BIGINT AS n_lines, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1)::BIGINT AS n_items, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber > 4)::BIGINT AS n_quotes FROM orders")
@@ -295,11 +295,11 @@ def eval_field_stats(spark, d):
 
 
 def _grid(spark, d):
-    l = lines(spark, d).withColumn("row_index", F.row_number().over(Window.partitionBy(F.col("row_id") % 16).orderBy("row_id")).cast("int")).where("row_id % 16 = 3")
-    return l.select("row_index", F.array(F.col("row_index").cast("string"), "raw_text", (F.col("part_id") % 9).cast("string"), F.concat(F.lit("A-"), F.col("part_id").cast("string"))).alias("cells"))
+    """Every line as a row of a grid: a rising number, the text, a digit and a code."""
+    return lines(spark, d).select(F.col("row_id").alias("row_index"), F.array(F.col("row_id").cast("string"), "raw_text", (F.col("part_id") % 9).cast("string"), F.concat(F.lit("A-"), F.col("part_id").cast("string"))).alias("cells"))
 
 
-_GRID = LINES + ", g AS (SELECT row_number() OVER (ORDER BY row_id) AS i, raw_text, (part_id % 9)::VARCHAR AS q, 'A-' || part_id AS c FROM lines WHERE row_id % 16 = 3)"
+_GRID = LINES + ", g AS (SELECT row_id AS i, raw_text, (part_id % 9)::VARCHAR AS q, 'A-' || part_id AS c FROM lines)"
 
 
 @query(f"""WITH {_GRID}, v AS (SELECT 0 AS col, i::VARCHAR AS v FROM g UNION ALL SELECT 1, raw_text FROM g UNION ALL SELECT 2, q FROM g UNION ALL SELECT 3, c FROM g)

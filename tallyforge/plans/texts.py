@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import extract as X
 from tallyforge.functions import text as T
+from tallyforge.functions import vocab as V
 from tallyforge.operators import rules as R
 from tallyforge.operators import snapshot
 from tallyforge.plans.base import DICTIONARY, ITEMS, LINES, RECORDS, items, lines, records, table
@@ -159,11 +160,10 @@ def standards_enrich(spark, d):
     return R.enrich(records(spark, d), directory).select("row_id", "standard_type", F.col("standard_conflict").isNotNull().alias("conflict"))
 
 
-@query(f"WITH {RECORDS} SELECT row_id, CASE WHEN item_type = 'ring' THEN diameter WHEN item_type = 'bolt' THEN diameter || 'x' || length ELSE '' END AS size, CASE WHEN raw_text LIKE 'red%' THEN 'red ' || item_type END AS item_subtype FROM records WHERE item_type IN ('ring', 'bolt', 'rod')")
+@query(f"WITH {RECORDS} SELECT row_id, CASE WHEN item_type = 'ring' THEN diameter WHEN item_type = 'bolt' THEN diameter || 'x' || length ELSE '' END AS size, CASE WHEN raw_text LIKE 'red%' AND item_type IN ('ring', 'bolt', 'rod') THEN 'red ' || item_type END AS item_subtype FROM records")
 def inference_size(spark, d):
     own = [R.Inference("DIAMETER_AS_SIZE", ("ring",)), R.Inference("DIAMETER_X_LENGTH_AS_SIZE", ("bolt",))] + [R.Inference("KEYWORD_TO_ITEM_TYPE", (t,), "red", f"red {t}") for t in ("ring", "bolt", "rod")]
-    r = records(spark, d).where(F.col("item_type").isin("ring", "bolt", "rod")).withColumn("size", F.lit(""))
-    return R.infer(r, own).select("row_id", "size", "item_subtype")
+    return R.infer(records(spark, d).withColumn("size", F.lit("")), own).select("row_id", "size", "item_subtype")
 
 
 _CATEGORIES = [R.Category(1, "metric_fasteners", None, "bolt_screw_stud", ("standard", "strength_class")), R.Category(2, "metric_fasteners", None, "nut", ("standard", "coating")), R.Category(3, "metric_fasteners", None, "washer", ("size", "load_capacity"))]
@@ -185,13 +185,23 @@ def rule_ab_diff(spark, d):
     return snapshot.diff(before, after, "row_id", ["status", "item_type", "size"])
 
 
-@query(r"""WITH l AS (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM conversations),
-w AS (SELECT *, len(list_filter(regexp_split_to_array(trim(line), '\s+'), lambda x: x <> '')) AS words, regexp_matches(line, '(?i)(^|\s|/)(M\s*[0-9]+|[0-9]+([.,][0-9]+)?[xх×][0-9]+|[dдД]\s*[0-9]+|[0-9]+\s*мм)') AS size FROM l)
-SELECT CASE WHEN trim(line) = '' THEN 'garbage' WHEN size THEN 'item' WHEN words <= 2 THEN 'garbage' ELSE 'item' END AS line_class, count(*)::BIGINT AS n
-FROM w WHERE NOT regexp_matches(lower(line), 'итого|итог|всего|оплат|задолженность|баланс|инн|кпп|банк|р/с|корр|бик|адрес|тел|email|дог|основание|дата|сч|налог|ндс|nds|din|iso|en |washer|bolt|nut|screw|anchor|rivet|nail') GROUP BY 1""")
+def _any(words):
+    return "|".join(w.replace(".", "[.]") for w in words)
+
+
+_ITEM = "|".join(V.ITEM_WORDS)
+
+
+@query(rf"""WITH l AS (SELECT trim(unnest(string_split(coalesce(text, ''), chr(10)))) AS line FROM conversations),
+w AS (SELECT line, lower(line) AS low, len(list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '')) AS words,
+  regexp_matches(line, '(?i)(^|\s|/)(M\s*[0-9]+|[Мм][Мм]?\s*[0-9]+|[0-9]+([.,][0-9]+)?[xх×][0-9]+|[dдД]\s*[0-9]+|[0-9]+\s*мм)')
+  OR regexp_matches(line, '(?i)(^|[^\pL\pN_])(DIN|ГОСТ\s*Р?\s*(ИСО)?|GOST|ISO|EN\s*[0-9]|ТУ)\s*[-\s]?[0-9]') OR regexp_matches(line, '(?i)(^|[^\pL\pN_])({_ITEM})([^\pL\pN_]|$)') AS item FROM l)
+SELECT CASE WHEN line = '' THEN 'garbage' WHEN item THEN 'item' WHEN words <= 1 THEN 'garbage' WHEN regexp_matches(low, '{_any(V.TOTAL_WORDS)}') THEN 'total'
+    WHEN {' + '.join(f"contains(low, '{w}')::INT" for w in V.HEADER_WORDS)} >= 3 THEN 'header' WHEN regexp_matches(low, '{_any(V.REQUISITE_WORDS)}') THEN 'requisites'
+    WHEN regexp_matches(low, '{_any(V.DATE_WORDS)}') THEN 'requisites' WHEN regexp_matches(low, '{_any(V.TAX_WORDS)}') THEN 'total' WHEN words <= 2 THEN 'garbage' ELSE 'item' END AS line_class, count(*)::BIGINT AS n
+FROM w GROUP BY 1""")
 def line_classifier(spark, d):
-    skip = "итого|итог|всего|оплат|задолженность|баланс|инн|кпп|банк|р/с|корр|бик|адрес|тел|email|дог|основание|дата|сч|налог|ндс|nds|din|iso|en |washer|bolt|nut|screw|anchor|rivet|nail"
-    l = table(spark, d, "conversations").select(F.explode(F.split(T.text("text"), "\n")).alias("line")).where(~F.lower("line").rlike(skip))
+    l = table(spark, d, "conversations").select(F.explode(F.split(T.text("text"), "\n")).alias("line"))
     return l.groupBy(X.classify_line("line").alias("line_class")).agg(F.count("*").alias("n"))
 
 
