@@ -178,4 +178,4 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out_lang
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = identify(docs.select("doc_id", "text"), fit(docs))
-    return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")

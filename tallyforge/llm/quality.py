@@ -162,4 +162,4 @@ def classify(docs: DataFrame, net: ConvNet, doc_id: str = "doc_id", text: str =
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = classify(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", "predicted")
