@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 import pyarrow as pa
@@ -25,10 +26,18 @@ def fold(doc_id) -> F.Column:
 
 
 _shipped: set[str] = set()
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a record batch sent to Python, where the session keeps Spark's default of 10,000: whole texts may be long.
+TEXT_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver found it; Spark itself distributes the file."""
+    """Let Python workers import this package, wherever the driver found it; Spark itself distributes the file.
+
+    Also makes the session's Arrow batches TEXT_ROWS long, unless another length than the default is set.
+    """
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, TEXT_ROWS)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -44,13 +53,19 @@ def ship(spark: SparkSession) -> None:
 @contextmanager
 def arrow_rows(spark: SparkSession, most: int):
     """While this lasts, Arrow batches hold at most so many rows; for actions on rows that carry whole sets."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, min(int(before), most) if int(before) > 0 else most)
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, min(int(before), most) if int(before) > 0 else most)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(ARROW_ROWS, before)
+
+
+def give_back() -> None:
+    """Return memory that this process has freed to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def map_blocks(df: DataFrame, schema: str, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text", limit: int = BLOCK_BYTES) -> DataFrame:
@@ -61,6 +76,7 @@ def map_blocks(df: DataFrame, schema: str, each: Callable[[pa.RecordBatch], pa.R
             out = each(batch)
             if out is not None and out.num_rows:
                 yield out
+        give_back()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
