@@ -50,6 +50,11 @@ class Dictionary:
         return sorted((r for r in self.rules if r.kind == kind and r.active and _valid(r)), key=lambda r: (-r.priority, r.id))
 
 
+def vocabulary(dictionary: Dictionary) -> list[str]:
+    """All names and other words of the active product types, in lower case; what column profiles look for."""
+    return sorted({w.lower() for t in dictionary.types if t.active for w in (t.name, *t.aliases)})
+
+
 def rules_of(table: DataFrame) -> tuple[Rule, ...]:
     """Rules from a table with the columns of Rule; rule tables are configuration and small."""
     names = Rule.__dataclass_fields__
