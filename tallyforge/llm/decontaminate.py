@@ -14,14 +14,13 @@ over their texts in the same stage.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.bytetext import ALNUM, U64, Words, ranges, same_bytes, signed, text_buffer, unsigned
+from tallyforge.llm.bytetext import ALNUM, U64, Words, ranges, same_bytes, signed, text_buffer
 from tallyforge.llm.common import documents, map_blocks
 
 WINDOW = 10

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.bytetext import NON_SPACE, U64, Words, mix, ranges, signed, text_buffer
+from tallyforge.llm.bytetext import NON_SPACE, U64, Words, mix, signed, text_buffer
 from tallyforge.llm.common import arrow_rows, components, documents, map_blocks, saved, ship, unsaved
 
 SHINGLE = 5
