@@ -5,7 +5,7 @@ import sys
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
-from test_operators import plain_groups, plain_hits, plain_repeats, sentencepiece  # noqa: E402
+from test_training_operators import plain_groups, plain_hits, plain_repeats, sentencepiece  # noqa: E402
 
 import corpus_pipeline
 from tallyforge.llm import pieces
