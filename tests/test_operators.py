@@ -104,7 +104,7 @@ def test_fallback_adds_pairs_of_other_types(spark):
 
 def test_groups_parents_and_reasons(spark, equivalents):
     items = catalogue(spark, [
-        (1, "Болт М8х20", "B", None, "x", True), (2, "болт  М8Х20", "A", None, "x", True), (3, "Болт М8х20 DIN 933", "C", 2, "x", True), (4, "Болт М8х20 ГОСТ 7798-70", "D", 1, "_x", True), (5, "Болт М9х20", "E", 1, "x", True), (6, "Болт М8х20", "F", 1, "x", False),
+        (1, "Болт М8х20", "B", None, "x", True), (2, "болт М8Х20", "A", None, "x", True), (3, "Болт М8х20 DIN 933", "C", 2, "x", True), (4, "Болт М8х20 ГОСТ 7798-70", "D", 1, "_x", True), (5, "Болт М9х20", "E", 1, "x", True), (6, "Болт М8х20", "F", 1, "x", False),
         (7, "Болт", "H", 1, "x", True),
     ])
     links = cluster.duplicate_links(items).unionByName(cluster.analog_pairs(items, equivalents))
