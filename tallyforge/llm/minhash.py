@@ -249,6 +249,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without near-duplicates: of each group exactly one row, the one with the smallest id.
+
+    Rows are told apart by a number that is written out with them, so rows of one id are compared with
+    each other and rows with a null id like others; a null id counts as larger than any other.
+    """
+    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = near_duplicates(rows.select("__row", F.col(text).alias("text")), "__row", "text").select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "__row"))
+    chosen = rows.select("__row", doc_id).join(groups, "__row").groupBy("component_id").agg(first.alias("x")).select(F.col("x.__row").alias("__row"))
+    return rows.join(chosen, "__row", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 

@@ -40,3 +40,14 @@ def test_stages_keep_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DIR).collect() == []
     assert all(re.fullmatch(r"[\w -]+", name) for name, _ in corpus_pipeline.STAGES)
+
+
+def test_rows_delivered_twice_or_without_an_id_stay_once(spark):
+    clean = {name: " ".join(f"{name}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)) for name in ("again", "none", "shared", "other", "alone")}
+    rows = [(1, clean["again"]), (1, clean["again"]), (None, clean["none"]), (None, clean["none"]), (7, clean["shared"]), (None, clean["shared"]), (9, clean["other"]), (9, clean["alone"]), (5, clean["other"])]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = corpus_pipeline.saved(stage(spark, docs, DIR))
+        assert docs.columns == odd.columns, name
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in docs.collect()) == sorted([(1, clean["again"]), (0, clean["none"]), (7, clean["shared"]), (5, clean["other"]), (9, clean["alone"])]), name
