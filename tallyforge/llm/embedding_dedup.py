@@ -8,9 +8,12 @@ few entries change. Only pairs with a new entry meet.
 A list whose entries all reach the threshold is saturated: it may hide more links. Such lists are
 enlarged to all of their component: components of the threshold edges are searched whole, in pairs
 of blocks of at most BLOCK vectors, and what is kept is each vector's number of links, not the pairs.
-A component that is larger than a list is treated the same. An audit compares the links of AUDIT
-vectors with a search of all rows, and the descent goes on with lists twice as long while the recall
-is below RECALL.
+A component that is larger than a list is treated the same. Links between components that saturated
+lists had no room for are searched exactly: saturated vectors are gathered in balls around one of
+their neighbours, and two balls of different components whose centres and radii allow a link are
+compared vector by vector. An audit compares the links of AUDIT vectors with a search of all rows, and
+the descent goes on with lists twice as long while the recall, of links or per vector, is below
+RECALL. At LONGEST_LIST the balls take all vectors, which finds every link.
 """
 
 from __future__ import annotations
@@ -168,8 +171,70 @@ def count_links(members: DataFrame, kind: str, threshold: float) -> DataFrame:
     return counted.groupBy("rep").agg(F.sum("links").alias("links"))
 
 
+def cross_links(vectors: DataFrame, graph: DataFrame, label: DataFrame, kind: str, threshold: float, length: int, every: bool) -> DataFrame:
+    """(a, b): links that join all components between which saturated vectors have links; with `every`, between which any have.
+
+    A ball's centre is the smallest id among a vector and its linked neighbours; balls of more than
+    about BLOCK vectors are split.
+    """
+    lists = graph.where(F.col("s") >= threshold).groupBy(F.col("u").alias("rep")).agg(F.count("*").alias("c"), F.min(F.struct("v", "s")).alias("x"))
+    near = F.col("x.v") < F.col("rep")
+    own = vectors.join(lists, "rep", "left" if every else "inner").where("true" if every else f"c >= {length}").join(label, "rep", "left")
+    own = own.select("rep", "dim", "vec", F.coalesce("component", "rep").alias("component"), F.when(near, F.col("x.v")).otherwise(F.col("rep")).alias("lead"), F.when(near, F.col("x.s")).otherwise(1.0).alias("s"))
+    parts = own.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    own = saved(own.join(parts, "lead").withColumn("chunk", F.pmod(F.xxhash64("rep"), "parts")).drop("parts"))
+    balls = own.groupBy("lead", "chunk", "dim", "component").agg(F.min("s").alias("low")).join(vectors.select(F.col("rep").alias("lead"), "vec"), "lead")
+    blocks = max(1, -(-own.select("lead", "chunk").distinct().count() // BLOCK))
+    rows = balls.withColumn("own", F.pmod(F.xxhash64("lead", "chunk"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+    def allowed(table: pa.Table) -> pa.Table:
+        lead, chunk, comp, low, at, i, j = (table.column(c).to_numpy() for c in ("lead", "chunk", "component", "low", "own", "i", "j"))
+        vec, radius = unit(table.column("vec"), kind), np.arccos(np.clip(low, -1, 1))
+        left, right = np.flatnonzero(at == i[0]), np.flatnonzero(at == j[0])
+        s = vec[left] @ vec[right].T
+        ok = np.arccos(np.clip(s, -1, 1)) <= np.arccos(threshold) + radius[left][:, None] + radius[right][None, :] + 1e-6
+        ok &= comp[left][:, None] != comp[right][None, :]
+        if i[0] == j[0]:
+            ok = np.triu(ok)
+        p, q = np.nonzero(ok)
+        hit = s[p, q] >= threshold
+        p, q = left[p], right[q]
+        return pa.table({"la": lead[p], "ca": chunk[p], "a": comp[p], "lb": lead[q], "cb": chunk[q], "b": comp[q], "hit": pa.array(hit)})
+
+    shape = "la long, ca long, a long, lb long, cb long, b long, hit boolean"
+    pairs = saved(rows.select("i", "j", "own", "dim", "lead", "chunk", "component", "low", "vec").groupBy("i", "j", "dim").applyInArrow(allowed, shape))
+    # Centres are vectors too: what they join needs no search of its members.
+    joined = components(pairs.where("hit").select("a", "b").distinct())
+    of = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"t{c}"))
+    apart = pairs.where("NOT hit").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ta", "a") != F.coalesce("tb", "b"))
+    apart = saved(apart.select("la", "ca", "lb", "cb").withColumn("pair", F.monotonically_increasing_id()))
+    groups = max(1, apart.count() // 50)
+    side = lambda x, n: apart.select("pair", F.col(f"l{x}").alias("lead"), F.col(f"c{x}").alias("chunk"), F.lit(n).alias("side"))
+    members = side("a", 0).unionByName(side("b", 1)).join(own.select("lead", "chunk", "rep", "dim", "vec"), ["lead", "chunk"])
+
+    def meets(table: pa.Table) -> pa.Table:
+        pair, right, rep = (table.column(c).to_numpy() for c in ("pair", "side", "rep"))
+        vec, out = unit(table.column("vec"), kind), []
+        order = np.lexsort((right, pair))
+        cuts = np.flatnonzero(np.concatenate([[True], pair[order][1:] != pair[order][:-1], [True]]))
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            at = order[x:y]
+            p, q = at[right[at] == 0], at[right[at] == 1]
+            s = vec[p] @ vec[q].T
+            k, l = np.unravel_index(np.argmax(s), s.shape)
+            if s[k, l] >= threshold:
+                out.append((rep[p[k]], rep[q[l]]))
+        return pa.table({"a": pa.array([int(a) for a, _ in out], pa.int64()), "b": pa.array([int(b) for _, b in out], pa.int64())})
+
+    found = members.withColumn("g", F.pmod(F.xxhash64("pair"), F.lit(groups))).select("g", "dim", "pair", "side", "rep", "vec").groupBy("g", "dim").applyInArrow(meets, "a long, b long")
+    links = saved(pairs.where("hit").select(F.col("la").alias("a"), F.col("lb").alias("b")).unionByName(found).distinct())
+    unsaved(own, pairs, apart)
+    return links
+
+
 def audit(vectors: DataFrame, counted: DataFrame, kind: str, threshold: float, n: int, queries: int = AUDIT) -> float:
-    """Share of the links of about `queries` vectors, found by a search of all rows, that the graph has."""
+    """Share of the links of about `queries` vectors, found by a search of all rows, that the graph has; or the mean share per vector, if that is less."""
     scale = 1 << 30
     chosen = vectors.where(F.pmod(F.xxhash64("rep", F.lit("audit")), F.lit(scale)) < min(scale, scale * queries // max(1, n))).select("rep", "dim", "vec").toLocalIterator()
     asked: dict[int, list] = {}
@@ -192,8 +257,14 @@ def audit(vectors: DataFrame, counted: DataFrame, kind: str, threshold: float, n
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((hit @ size).astype(np.int64))], ["rep", "n"])
 
     true = vectors.select("rep", "dim", "vec", "size").mapInArrow(search, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
-    got = true.join(counted, "rep", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0))))).first()
-    return (got[1] or 0) / got[0] if got[0] else 1.0
+    both = true.where("n > 0").join(counted, "rep", "left").select("n", F.least("n", F.coalesce("links", F.lit(0))).alias("got"))
+    total, got, each = both.agg(F.sum("n"), F.sum("got"), F.avg(F.col("got") / F.col("n"))).first()
+    return min(got / total, each) if total else 1.0
+
+
+def labels(found: DataFrame) -> DataFrame:
+    """(rep, component) of all nodes of found(id, component), the smallest of each component too."""
+    return found.withColumnRenamed("id", "rep").unionByName(found.select(F.col("component").alias("rep"), "component").distinct())
 
 
 def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, length: int = LIST, seed: int = 5) -> DataFrame:
@@ -216,9 +287,11 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
         graph = descend(vectors, graph, kind, length, n, ROUNDS)
         edges = graph.where(F.col("s") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
         found = components(edges)
-        label = found.withColumnRenamed("id", "rep").unionByName(found.select(F.col("component").alias("rep"), "component").distinct())
+        every = length >= LONGEST_LIST
+        links = cross_links(vectors, graph, labels(found), kind, threshold, length, every)
+        label = labels(components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(links)))
         counted = saved(count_links(vectors.join(label, "rep"), kind, threshold))
-        if length >= LONGEST_LIST or audit(vectors, counted, kind, threshold, n) >= RECALL:
+        if every or audit(vectors, counted, kind, threshold, n) >= RECALL:
             break
         length *= 2
         graph = saved(graph.withColumn("fresh", F.lit(1)))

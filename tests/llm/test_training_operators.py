@@ -359,6 +359,21 @@ def test_links_are_counted_across_blocks(spark, monkeypatch):
 # 8 Language-model scoring
 
 
+def test_links_between_clusters_longer_than_a_list(spark):
+    rng = np.random.default_rng(4)
+    first, second = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    centres = [first, 0.965 * first + np.sqrt(1 - 0.965**2) * second]
+    x = np.concatenate([c + rng.normal(size=(200, 64)) * 0.1 / 8 for c in centres]).astype(np.float32)
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    across = s[:200, 200:]
+    assert min(s[:200, :200].min(), s[200:, 200:].min()) > across.max() and (across >= 0.95).sum() > 10_000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_vectors(df).collect()}
+    assert got == {i: (int(n) - 1, 0, i == 0) for i, n in enumerate((s >= 0.95).sum(axis=1))}
+
+
 def plain_base(docs):
     training = Counter()
     for d, t in docs:
