@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text as T
 from tallyforge.operators import catalog, cluster, matching, metrics, quotes
 from tallyforge.operators import similarity as S
+from tallyforge.operators.graph import saved
 from tallyforge.plans.base import EQUIVALENTS, ITEMS, LINES, RECORDS, equivalents, items, lines, records, table
 from tallyforge.sources import profile
 
@@ -86,6 +87,16 @@ def post_filter_ladder(spark, d):
     return matching.filter_ladder(matching.badges(pairs)).select("row_id", "item_id", F.col("filter_level").cast("long").alias("level"))
 
 
+@query()
+def post_filter_ladder_similar(spark, d):
+    """The ladder over each item's real similarity candidates."""
+    i = _with_tokens(items(spark, d))
+    found = matching.similar_candidates(i.withColumn("row_id", F.col("item_id")), i).where("row_id <> item_id")
+    side = lambda own, key: items(spark, d).select(F.col("item_id").alias(key), F.col("size_norm").alias(f"{own}_size"), F.col("std_key").alias(f"{own}_std"), F.col("type_norm").alias(f"{own}_type"))
+    pairs = found.join(side("row", "row_id"), "row_id").join(side("item", "item_id"), "item_id")
+    return matching.filter_ladder(matching.badges(pairs)).select("row_id", "item_id", F.col("filter_level").cast("long").alias("level"))
+
+
 @query(f"""WITH {RECORDS}, {ITEMS}, p AS (SELECT r.*, i.item_type AS it, i.size AS isz, i.std_key AS ik, i.strength AS ist, i.coating AS ico, i.folder_priority AS fp, regexp_extract_all(r.size, '[0-9]+') AS ra, regexp_extract_all(i.size, '[0-9]+') AS ia FROM records r JOIN items i ON r.part_id = i.item_id),
 f AS (SELECT *, CASE WHEN list_sort(list_transform(ra, lambda v: v::INT)) = list_sort(list_transform(ia, lambda v: v::INT)) THEN 1.0 WHEN len(list_filter(list_zip(list_sort(list_transform(ra, lambda v: v::INT)), list_sort(list_transform(ia, lambda v: v::INT))), lambda z: abs(z[1] - z[2]) > 0.02 * greatest(z[1], z[2]))) = 0 THEN 0.85 WHEN ia[1]::INT > 0 THEN 0.60 ELSE 0.0 END AS fs,
     CASE WHEN ik = std_key THEN 1.0 WHEN ik <> '' THEN 0.30 ELSE 0.0 END AS fd, CASE WHEN strength <> '' AND strength = ist THEN 0.15 ELSE 0.0 END + CASE WHEN coating <> '' AND coating = ico THEN 0.15 ELSE 0.0 END + 0.15 AS fx FROM p)
@@ -96,6 +107,10 @@ def weighted_score(spark, d):
     return matching.weighted_score(r.join(i, "item_id")).select("row_id", F.col("score").cast("long").alias("score"))
 
 
+def _with_tokens(df, standard="std_key"):
+    return df.withColumn("tokens", S.item_tokens("name", "type_norm", "size_norm", standard))
+
+
 _DECIDE = _EXACT + ", m AS (SELECT row_id, item_id FROM records JOIN items ON part_id = item_id WHERE is_active AND part_id % 4 = 0)"
 
 
@@ -108,6 +123,15 @@ def match_decision(spark, d):
     return matching.decide(own, items(spark, d), memory=memory, similar=similar).select("row_id", "mode", "item_id")
 
 
+@query()
+def match_decision_similar(spark, d):
+    """match_decision with the similarity stage: rows without a memory or exact hit are searched by their own tokens."""
+    own = _with_tokens(records(spark, d).withColumn("fingerprint", F.concat(F.lit("f"), F.col("part_id").cast("string"))))
+    catalogue = _with_tokens(items(spark, d))
+    memory = items(spark, d).where("item_id % 4 = 0").select(F.concat(F.lit("f"), F.col("item_id").cast("string")).alias("fingerprint"), "item_id", F.lit(1).alias("confirmed_at"))
+    return matching.decide(own, catalogue, memory=memory).select("row_id", "mode", "item_id", "source", "jaccard")
+
+
 @query()
 def lsh_candidates(spark, d):
     i = items(spark, d).withColumn("tokens", T.char_ngrams(T.similarity_text(F.concat_ws(" ", "name", "size"))))
@@ -179,7 +203,7 @@ def group_export(spark, d):
 def _order(spark, d):
     r = records(spark, d)
     order_items = r.where("row_id % 3 = 0").select("order_id", F.col("row_id").alias("item_id"), "type_norm", "size_norm", F.col("std_key").alias("std_norm"), F.col("raw_text").alias("name"))
-    ql = r.where("row_id % 3 <> 0").select("order_id", F.concat_ws("-", F.col("order_id").cast("string"), (F.col("supplier_id") % 2).cast("string")).alias("quote_id"), F.col("row_id").alias("line_id"), "type_norm", F.regexp_replace("size_norm", "X.*", "").alias("z"), F.col("std_key").alias("std_norm"), "price", F.lit(1.0).alias("qty"), F.lit("шт").alias("unit"), F.when(F.col("row_id") % 11 == 0, "total").otherwise("item").alias("line_class"), (F.col("supplier_id") % 2).alias("supplier_id"))
+    ql = r.where("row_id % 3 <> 0").select("order_id", F.concat_ws("-", F.col("order_id").cast("string"), (F.col("supplier_id") % 2).cast("string")).alias("quote_id"), F.col("row_id").alias("line_id"), "type_norm", F.regexp_replace("size_norm", "X.*", "").alias("z"), F.col("std_key").alias("std_norm"), "price", F.lit(1.0).alias("qty"), F.lit("шт").alias("unit"), F.when(F.col("row_id") % 11 == 0, "total").otherwise("item").alias("line_class"), (F.col("supplier_id") % 2).alias("supplier_id"), F.col("raw_text").alias("name"))
     return order_items.withColumn("size_norm", F.regexp_replace("size_norm", "X.*", "")), ql.withColumnRenamed("z", "size_norm")
 
 
@@ -218,6 +242,25 @@ def comparison_pivot(spark, d):
     return quotes.pivoted(quotes.comparison(m, ql, oi, q, s), ["S0", "S1"]).select("order_id", "item_id", "S0", "S1")
 
 
+def _matched(spark, d):
+    oi, ql = (saved(_with_tokens(x, "std_norm")) for x in _order(spark, d))
+    return oi, ql, quotes.match_quotes(ql, oi, equivalents(spark))
+
+
+@query()
+def quote_assignment_similar(spark, d):
+    """quote_assignment with the similarity stage: lines without an exact pair are searched by their own tokens."""
+    return _matched(spark, d)[2].select("line_id", "match_mode", "item_id", "best_item_id", "jaccard", "stage")
+
+
+@query()
+def comparison_pivot_similar(spark, d):
+    """comparison_pivot over the matches of both stages."""
+    oi, ql, m = _matched(spark, d)
+    s = spark.range(2).select(F.col("id").alias("supplier_id"), F.concat(F.lit("S"), F.col("id").cast("string")).alias("name"))
+    return quotes.pivoted(quotes.comparison(m, ql, oi, ql.select("quote_id", "supplier_id").distinct(), s), ["S0", "S1"]).select("order_id", "item_id", "S0", "S1")
+
+
 @query(f"WITH {_BENCH}, j AS (SELECT a, round(c / (ln + rn - c), 6) AS jaccard, b FROM p) SELECT a, round(jaccard - coalesce(lead(jaccard) OVER w, 0), 6) AS delta FROM j WINDOW w AS (PARTITION BY a ORDER BY jaccard DESC, b) QUALIFY row_number() OVER w = 1")
 def best_vs_second_delta(spark, d):
     j = S.token_join(_bench(spark, d, "a"), _bench(spark, d, "b"), "a", "b").where("a <> b").withColumn("jaccard", F.round("jaccard", 6))

@@ -200,3 +200,68 @@ def test_metrics(spark):
     assert [(r["field"], r["got"], r["expected"]) for r in metrics.errors(rows, ["t", "s"], "k").collect()] == [("t", "болт", "гайка")]
     out, step = metrics.timed("filter", lambda d: d.where("status = 'ok'"), df)
     assert out.count() == 2 and step["success_rate"] == 0.5
+
+
+def small_tables(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{d}/part.parquet").where("p_partkey <= 60").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey <= 100").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+def plain_jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
+def test_registered_decision_like_brute_force(spark, tmp_path):
+    from tallyforge.plans import QUERIES, base
+    from tallyforge.plans import matching as plans
+
+    d = small_tables(spark, tmp_path)
+    rows = {r["row_id"]: (set(r["tokens"]), r["type_norm"]) for r in plans._with_tokens(base.records(spark, d)).collect()}
+    catalogue = {r["item_id"]: (set(r["tokens"]), r["type_norm"]) for r in plans._with_tokens(base.items(spark, d)).where("is_active").collect()}
+    got = [r for r in QUERIES["match_decision_similar"](spark, d).collect() if r["source"] not in ("memory", "exact")]
+    assert any(r["source"] == "minhash" for r in got) and len({r["row_id"] for r in got}) == len(got)
+    for r in got:
+        tokens, kind = rows[r["row_id"]]
+        all_of = {i: round(plain_jaccard(tokens, t), 3) for i, (t, _) in catalogue.items()}
+        best, typed = max(all_of.values()), max([j for i, j in all_of.items() if catalogue[i][1] == kind], default=0)
+        if r["source"] == "minhash":
+            assert abs(r["jaccard"] - all_of[r["item_id"]]) < 0.0011
+        if typed >= 0.6:
+            assert typed - 0.0011 <= r["jaccard"] <= best + 0.0011
+
+
+def test_registered_quote_stage_like_brute_force(spark, tmp_path):
+    from tallyforge.plans import QUERIES
+    from tallyforge.plans import matching as plans
+
+    d = small_tables(spark, tmp_path)
+    oi, ql = (plans.saved(x) for x in plans._order(spark, d))
+    exact = {r["line_id"] for r in QUERIES["quote_match"](spark, d).collect()}
+    order = [r.asDict() | {"t": set(r["tokens"])} for r in plans._with_tokens(oi, "std_norm").collect()]
+    pairs_of, equal = {}, [{"DIN-931", "DIN-933"}]
+    for line in plans._with_tokens(ql, "std_norm").where("line_class = 'item'").collect():
+        if line["line_id"] in exact:
+            continue
+        tried = []
+        for o in order:
+            j = round(plain_jaccard(set(line["tokens"]), o["t"]), 4)
+            if o["order_id"] != line["order_id"] or not j:
+                continue
+            fit = ("" in (line["type_norm"], o["type_norm"]) or line["type_norm"] == o["type_norm"]) and (line["size_norm"] == "" or line["size_norm"] == o["size_norm"])
+            std = "" in (line["std_norm"], o["std_norm"]) or line["std_norm"] == o["std_norm"] or {line["std_norm"], o["std_norm"]} in equal
+            tried.append((j, -o["item_id"], fit and std))
+        if tried:
+            pairs_of[line["line_id"]] = max([x for x in tried if x[2]] or tried)[:2]
+    found = {r["line_id"]: (r["jaccard"], -r["best_item_id"]) for r in QUERIES["quote_assignment_similar"](spark, d).collect() if r["stage"] == "similar"}
+    assert found and found.keys() == pairs_of.keys()
+    assert all(abs(found[k][0] - j) < 0.00011 and found[k][1] == i for k, (j, i) in pairs_of.items())
+    assert QUERIES["comparison_pivot_similar"](spark, d).count() == oi.count()
+
+
+def test_registered_ladder_has_real_candidates(spark, tmp_path):
+    from tallyforge.plans import QUERIES
+
+    d = small_tables(spark, tmp_path)
+    assert QUERIES["post_filter_ladder_similar"](spark, d).where("row_id = item_id OR level IS NULL").count() == 0
