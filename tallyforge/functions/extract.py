@@ -55,10 +55,16 @@ def vocabulary(dictionary: Dictionary) -> list[str]:
     return sorted({w.lower() for t in dictionary.types if t.active for w in (t.name, *t.aliases)})
 
 
+MOST_RULES = 10_000
+
+
 def rules_of(table: DataFrame) -> tuple[Rule, ...]:
-    """Rules from a table with the columns of Rule; rule tables are configuration and small."""
+    """Rules from a table with the columns of Rule; rule tables are configuration and small, and one of more than MOST_RULES rows is an error."""
     names = Rule.__dataclass_fields__
-    return tuple(Rule(**{k: r[k] for k in names if k in r and r[k] is not None}) for r in (row.asDict() for row in table.limit(10_000).collect()))
+    rows = table.limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return tuple(Rule(**{k: r[k] for k in names if k in r and r[k] is not None}) for r in (row.asDict() for row in rows))
 
 
 def java(pattern: str) -> str:

@@ -128,3 +128,13 @@ def test_rules_from_a_table(spark):
     t = spark.createDataFrame([(1, "coating", "zn", "contains", "z", "цинк", 5, True)], "id int, kind string, pattern string, match string, code string, name string, priority int, active boolean")
     own = X.Dictionary(X.rules_of(t))
     assert spark.createDataFrame([("zn",)], "t string").select(X.coating("t", own)).first()[0] == "цинк"
+
+
+def test_too_many_rules_are_an_error(spark):
+    import pytest
+
+    from tallyforge.functions import extract
+
+    rules = spark.range(extract.MOST_RULES + 1).selectExpr("id", "'size' AS kind", "'x' AS pattern", "'contains' AS match", "'x' AS code", "'x' AS name")
+    with pytest.raises(ValueError, match="more than"):
+        extract.rules_of(rules)
