@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_BASES = {"bytes": 0x5851F42D4C957F2D, "words": 0xDA942042E4DD58B5}
+_BASES = {"bytes": 0x5851F42D4C957F2D, "words": 0xDA942042E4DD58B5, "check": 0x2545F4914F6CDD1D}
 _powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -89,6 +89,14 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+_CHECK = U64(0x452821E638D01377)
+
+
+def _strings(off: np.ndarray, data: np.ndarray) -> pa.Array:
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(off, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.large_string(), len(off) - 1, buffers).cast(pa.string())
+
+
 class Words:
     """The words of a block of texts: byte ranges, hashes and the range of words of each text."""
 
@@ -144,13 +152,40 @@ class Words:
         at = np.flatnonzero(np.arange(n) <= last)
         return at, self.gram_hash(at, size)
 
-    def gram_hash(self, at: np.ndarray, size) -> np.ndarray:
-        """Hash of the `size` words (a number, or one for each position) that begin at each position."""
-        up, down = _power("words", len(self) + 1)
+    def gram_hash(self, at: np.ndarray, size, check: bool = False) -> np.ndarray:
+        """Hash of the `size` words (a number, or one for each position) that begin at each position; with `check`, another one."""
+        up, down = _power("check" if check else "words", len(self) + 1)
         total = np.zeros(len(self) + 1, U64)
-        np.cumsum(self.hash * up[:-1], out=total[1:])
+        np.cumsum((mix(self.hash ^ _CHECK) if check else self.hash) * up[:-1], out=total[1:])
         return mix((total[at + size] - total[at]) * down[at] + np.asarray(size).astype(U64))
 
+    def part(self, a: int, b: int) -> "Words":
+        """Texts a .. b - 1 by themselves; they share the buffer."""
+        out = object.__new__(Words)
+        x, y = self.first[a], self.first[b]
+        out.buf, out.off, out.first = self.buf, self.off[a : b + 1], self.first[a : b + 1] - x
+        out.start, out.end, out._hash = self.start[x:y], self.end[x:y], self.hash[x:y]
+        return out
+
+    def texts(self) -> pa.Array:
+        """The texts, of one block whose buffer is theirs alone."""
+        return _strings(self.off, self.buf)
+
+    def joined(self, at: np.ndarray, count: np.ndarray) -> pa.Array:
+        """For each position the words at .. at + count - 1, joined by single spaces."""
+        return self.joined_words(ranges(at, count), count)
+
+    def joined_words(self, which: np.ndarray, count: np.ndarray) -> pa.Array:
+        """Strings of the words `which`, the first count[0] of them, the next count[1] and so on, joined by single spaces."""
+        size = self.end[which] - self.start[which]
+        step = size + 1
+        some = count > 0
+        step[np.cumsum(count)[some] - 1] -= 1
+        ends = np.concatenate([[0], np.cumsum(step)])
+        out = np.full(int(ends[-1]), 0x20, np.uint8)
+        out[ranges(ends[:-1], size)] = self.buf[ranges(self.start[which], size)]
+        return _strings(ends[np.concatenate([[0], np.cumsum(count)])], out)
+
     def word_bytes(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]].tobytes()
 

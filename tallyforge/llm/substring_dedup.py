@@ -1,16 +1,19 @@
 """Removal of repeated passages with sharded Aho-Corasick automata.
 
-A passage recurs if SIZE consecutive words of it also start somewhere else. Finding all such windows
-takes three steps, none of which lists every window of the corpus:
+A passage recurs if SIZE consecutive words of it also start somewhere else. Confirming and locating
+are separate, and none of it lists every window of the corpus:
 
-1. Anchors. A window's anchor is the smallest hash among its GRAM-word shingles (the leftmost of
+1. Units. A window's anchor is the smallest hash among its GRAM-word shingles (the leftmost of
    equals). Windows of a text that follow one another and share an anchor are a unit. Equal windows
-   have equal anchors, so only anchors that occur twice matter.
-2. Confirming units. A unit whose whole word sequence occurs twice recurs. For a unit that occurs
-   once though its anchor does not, the single windows of all units with that anchor are counted.
-3. Locating. Texts lie in buckets by id. For each bucket, the confirmed passages that occur in it are
-   compiled into automata of at most SHARD_WORDS words, one character standing for a word, and all
-   the bucket's texts stream through them. What a passage covers is removed.
+   have equal anchors, so only units whose anchor occurs twice matter.
+2. Confirming. A unit whose word sequence occurs twice recurs. Where a unit occurs once though its
+   anchor does not, the windows of all units with that anchor are counted, and the runs of windows
+   that occur twice recur. Sequences are told apart by 128-bit hashes here.
+3. The table of passages: the words of one occurrence of each confirmed unit or run.
+4. Locating. Texts lie in buckets. A bucket gets, from that table, the passages that may occur in it,
+   compiles them into automata of at most SHARD_WORDS words, one character standing for a word, and
+   all its texts stream through them. What an automaton finds is removed, and nothing else: words
+   are compared byte by byte, and the hashes only say which passages to look for where.
 
 Buckets hold about BUCKET_BYTES of text, so their number grows with the corpus; what is sent to a
 bucket is distinct, so a passage that very many texts share reaches it once.
@@ -25,17 +28,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.bytetext import BLOCK_BYTES, NON_SPACE, U64, Words, mix, ranges, signed, text_buffer, unsigned
-from tallyforge.llm.common import documents, map_blocks, saved, ship, text_bytes, unsaved
+from tallyforge.llm.bytetext import BLOCK_BYTES, NON_SPACE, U64, Words, mix, ranges, same_bytes, signed, text_buffer
+from tallyforge.llm.common import documents, give_back, map_blocks, saved, ship, text_bytes, unsaved
 
 SIZE = 35
 GRAM = 8
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 SHARD_WORDS = 250_000
 
 
 class Units:
-    """The units of a block of texts: ranges of window starts, anchors' hashes and word sequences' hashes."""
+    """The units of a block of texts: first and last window, anchor, and two hashes of the word sequence."""
 
     def __init__(self, w: Words, size: int, gram: int):
         self.w, self.size = w, size
@@ -43,8 +46,8 @@ class Units:
         last = np.repeat(w.first[1:], w.counts) - size
         at = np.flatnonzero(np.arange(len(w)) <= last)
         if not len(at):
-            self.at, self.unit_of, self.first, self.last = none, none, none, none
-            self.anchor, self.unit = np.zeros(0, U64), np.zeros(0, U64)
+            self.first, self.last = none, none
+            self.anchor, self.unit, self.check = np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, U64)
             return
         g = w.gram_hash(np.arange(len(w) - gram + 1), gram)
         # Place of the smallest shingle hash of each run of size - gram + 1 shingles, by doubling.
@@ -59,13 +62,14 @@ class Units:
         new = np.ones(len(at), bool)
         new[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
         begin = np.flatnonzero(new)
-        self.at, self.unit_of = at, np.cumsum(new) - 1
         self.first, self.last = at[begin], at[np.append(begin[1:], len(at)) - 1]
         self.anchor = g[place[begin]]
-        self.unit = w.gram_hash(self.first, self.last + size - self.first)
+        self.unit = w.gram_hash(self.first, self.words)
+        self.check = w.gram_hash(self.first, self.words, True)
 
-    def window_hash(self) -> np.ndarray:
-        return self.w.gram_hash(self.at, self.size)
+    @property
+    def words(self) -> np.ndarray:
+        return self.last + self.size - self.first
 
 
 def _member(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -77,26 +81,12 @@ def _member(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == h, at, -1)
 
 
-def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    _, at, n = np.unique(key, return_index=True, return_counts=True)
-    return at, n
+def _longs(*columns: np.ndarray) -> list[pa.Array]:
+    return [pa.array(signed(c) if c.dtype == U64 else c.astype(np.int64)) for c in columns]
 
 
-def unit_rows(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """(a, u, p, n): units by bucket, counted by block of texts; docs(p, text)."""
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        w = Words(*text_buffer(batch.column(1)), NON_SPACE)
-        x = Units(w, size, gram)
-        p = batch.column(0).to_numpy()[np.searchsorted(w.first, x.first, "right") - 1]
-        at, n = _counted(mix(x.unit ^ p.astype(U64)))
-        return pa.RecordBatch.from_arrays([pa.array(signed(x.anchor[at])), pa.array(signed(x.unit[at])), pa.array(p[at]), pa.array(n.astype(np.int64))], ["a", "u", "p", "n"])
-
-    return map_blocks(docs.select("p", "text"), "a long, u long, p long, n long", each)
-
-
-def _texts(table: pa.Table):
-    """Record batches of the table with their texts, of bounded size."""
+def _texts(table):
+    """(from, to, words) of the packed texts of a table or batch, in blocks of bounded size."""
     unpack = zstandard.ZstdDecompressor()
     packed, sizes = table.column("packed").to_pylist(), table.column("bytes").to_numpy()
     at = 0
@@ -110,27 +100,98 @@ def _texts(table: pa.Table):
         at = to
 
 
-def open_windows(packed: DataFrame, units: DataFrame, size: int, gram: int) -> DataFrame:
-    """(h, p, n, lone): windows of the units in units(p, u, lone), counted by bucket; lone if one of its units occurs once."""
+def packed_rows(rows: DataFrame, schema: str, others: list[str]) -> DataFrame:
+    """rows(p, text, others) with the text as packed bytes and its length."""
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        z = zstandard.ZstdCompressor(level=1)
+        raw, off = text_buffer(batch.column(1))
+        data = raw.tobytes()
+        packed = [z.compress(data[a:b]) for a, b in zip(off[:-1], off[1:])]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(np.diff(off)), *batch.columns[2:]], ["p", "packed", "bytes", *others])
+
+    return map_blocks(rows, schema, pack)
+
 
-    def windows(texts: pa.Table, wanted: pa.Table) -> pa.Table:
-        order = np.argsort(unsigned(wanted.column("u").to_numpy()))
-        keys, lone = unsigned(wanted.column("u").to_numpy())[order], wanted.column("lone").to_numpy()[order]
-        out = []
-        if len(keys):
-            for _, _, w in _texts(texts):
+def unit_rows(packed: DataFrame, size: int, gram: int) -> DataFrame:
+    """(a, u, v, p, n): anchor, both hashes and bucket of the units, counted by block of texts."""
+
+    def run(batches):
+        for batch in batches:
+            p = batch.column(0).to_numpy()
+            for at, _, w in _texts(batch):
                 x = Units(w, size, gram)
-                place = _member(keys, x.unit)[x.unit_of]
-                own = place >= 0
-                out.append((x.window_hash()[own], lone[place[own]]))
-        h = np.concatenate([np.zeros(0, U64), *(a for a, _ in out)])
-        flag = np.concatenate([np.zeros(0, np.int64), *(b for _, b in out)])
-        key, back, n = np.unique(h, return_inverse=True, return_counts=True)
-        some = np.bincount(back, flag, len(key)) > 0 if len(h) else np.zeros(0, bool)
-        p = texts.column("p")[0].as_py() if texts.num_rows else 0
-        return pa.table({"h": signed(key), "p": np.full(len(key), p), "n": n.astype(np.int64), "lone": some})
+                own = p[at + np.searchsorted(w.first, x.first, "right") - 1]
+                _, one, n = np.unique(mix(x.unit ^ own.astype(U64)) ^ x.check, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays(_longs(x.anchor[one], x.unit[one], x.check[one], own[one], n), ["a", "u", "v", "p", "n"])
+        give_back()
+
+    return packed.select("p", "packed", "bytes").mapInArrow(run, "a long, u long, v long, p long, n long")
+
+
+def unit_texts(packed: DataFrame, wanted: DataFrame, size: int, gram: int) -> DataFrame:
+    """(u, v, p, n, counted, text): the words of one occurrence of each unit in wanted(p, u, v, n, counted)."""
+
+    def cut(texts: pa.Table, units: pa.Table) -> pa.Table:
+        u, v, n = (units.column(c).to_numpy() for c in ("u", "v", "n"))
+        counted = units.column("counted").to_numpy().astype(bool)
+        order = np.lexsort((v, u))
+        u, v, n, counted = u[order], v[order], n[order], counted[order]
+        key = mix(u.view(U64)) ^ v.view(U64)
+        order = np.argsort(key)
+        left = np.ones(len(u), bool)
+        rows, words = [np.zeros(0, np.int64)], []
+        for _, _, w in _texts(texts) if len(u) else ():
+            x = Units(w, size, gram)
+            at = _member(key[order], mix(x.unit) ^ x.check)
+            have = np.flatnonzero(at >= 0)
+            row = order[at[have]]
+            row, one = np.unique(row, return_index=True)
+            have, row = have[one][left[row]], row[left[row]]
+            left[row] = False
+            rows.append(row), words.append(w.joined(x.first[have], x.words[have]))
+        row = np.concatenate(rows)
+        text = pa.chunked_array(words, pa.string()) if words else pa.array([], pa.string())
+        return pa.table({"u": u[row], "v": v[row], "p": np.full(len(row), units.column("p")[0].as_py() if len(u) else 0), "n": n[row], "counted": counted[row], "text": text})
+
+    return packed.select("p", "packed", "bytes").groupBy("p").cogroup(wanted.groupBy("p")).applyInArrow(cut, "u long, v long, p long, n long, counted boolean, text string")
+
+
+def _windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text and first word of each window, in order, of texts that are units."""
+    count = w.counts - size + 1
+    text = np.repeat(np.arange(len(count)), count)
+    at = ranges(w.first[:-1], count)
+    return text, at, at - w.first[text]
+
+
+def window_rows(units: DataFrame, size: int) -> DataFrame:
+    """(h, k, u, v, p, at, n) of the windows of units(u, v, p, n, text); `at` is the place in the unit."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        w = Words(*text_buffer(batch.column(4)), NON_SPACE)
+        text, at, place = _windows(w, size)
+        u, v, p, n = (batch.column(i).to_numpy()[text] for i in range(4))
+        return pa.RecordBatch.from_arrays(_longs(w.gram_hash(at, size), w.gram_hash(at, size, True), u, v, p, place, n), ["h", "k", "u", "v", "p", "at", "n"])
+
+    return map_blocks(units.select("u", "v", "p", "n", "text"), "h long, k long, u long, v long, p long, at long, n long", each)
+
+
+def run_rows(units: DataFrame, size: int) -> DataFrame:
+    """(p, u, v, text): the runs of consecutive places in units(p, places, text), as passages with hashes of their own."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        w = Words(*text_buffer(batch.column(2)), NON_SPACE)
+        places = batch.column(1)
+        text = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy())
+        at = places.flatten().to_numpy() + w.first[text]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])
+        begin = np.flatnonzero(new)
+        start, words = at[begin], at[np.append(begin[1:], len(at)) - 1] + size - at[begin]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[begin])), *_longs(w.gram_hash(start, words), w.gram_hash(start, words, True)), w.joined(start, words)], ["p", "u", "v", "text"])
 
-    return packed.select("p", "packed", "bytes").groupBy("p").cogroup(units.groupBy("p")).applyInArrow(windows, "h long, p long, n long, lone boolean")
+    return map_blocks(units.select("p", "places", "text"), "p long, u long, v long, text string", each)
 
 
 def _letters(code: np.ndarray) -> str:
@@ -138,27 +199,62 @@ def _letters(code: np.ndarray) -> str:
     return np.where(code >= 0xD800, code + 0x800, code).astype("<u4").tobytes().decode("utf-32-le")
 
 
-def locate(words: list[Words], phrases: list[tuple[int, int, int]], shard_words: int, size: int = SIZE) -> list[np.ndarray]:
-    """For each block of words, which are covered by a phrase; phrases are (block, first word, words)."""
-    cover = [np.zeros(len(w) + 1, np.int64) for w in words]
+class Alphabet:
+    """Numbers from 1 for the distinct words of some passages; words are the same if their bytes are."""
+
+    def __init__(self, w: Words):
+        self.w = w
+        self.keys, self.at, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        self.own = back + 1
+        self.by_bytes: dict[bytes, int] | None = None
+        one = self.at[back]
+        if not self._same(w, np.arange(len(w)), one).all():  # two words of one hash: number them by their bytes
+            self.by_bytes = {}
+            self.own = np.array([self.by_bytes.setdefault(w.word_bytes(i), len(self.by_bytes) + 1) for i in range(len(w))])
+
+    def _same(self, w: Words, of: np.ndarray, one: np.ndarray) -> np.ndarray:
+        size = w.end[of] - w.start[of]
+        out = size == self.w.end[one] - self.w.start[one]
+        out[out] = same_bytes(w.buf, w.start[of][out], self.w.buf, self.w.start[one][out], size[out])
+        return out
+
+    def codes(self, w: Words) -> np.ndarray:
+        """The number of each word, 0 for one that no passage has."""
+        place = _member(self.keys, w.hash)
+        have = np.flatnonzero(place >= 0)
+        out = np.zeros(len(w), np.int64)
+        if self.by_bytes is not None:
+            out[have] = [self.by_bytes.get(w.word_bytes(i), 0) for i in have]
+            return out
+        out[have] = np.where(self._same(w, have, self.at[place[have]]), place[have] + 1, 0)
+        return out
+
+
+def shards(passages: pa.Array, shard_words: int):
+    """(alphabet, automaton) of consecutive passages of at most about shard_words words."""
+    w = Words(*text_buffer(passages), NON_SPACE)
+    ends = w.first[1:]
     at = 0
-    while at < len(phrases):
-        to, total = at, 0
-        while to < len(phrases) and (to == at or total + phrases[to][2] <= shard_words):
-            total += phrases[to][2]
-            to += 1
-        shard = [words[b].hash[s : s + n] for b, s, n in phrases[at:to]]
-        whole = np.concatenate(shard)
-        alphabet = np.unique(whole)
-        line, ends = _letters(_member(alphabet, whole) + 1), np.cumsum([len(x) for x in shard])
-        automaton = ahocorasick.Automaton()
-        for x, end in zip(shard, ends.tolist()):
-            automaton.add_word(line[end - len(x) : end], len(x))
+    while at < len(passages):
+        to = max(at + 1, int(np.searchsorted(ends, w.first[at] + shard_words, "right")))
+        own = w.part(at, to)
+        alphabet = Alphabet(own)
+        line, automaton = _letters(alphabet.own), ahocorasick.Automaton()
+        for a, b in zip(own.first[:-1].tolist(), own.first[1:].tolist()):
+            automaton.add_word(line[a:b], b - a)
         automaton.make_automaton()
-        for w, c in zip(words, cover):
-            code = _member(alphabet, w.hash) + 1  # 0: a word of no phrase
+        yield alphabet, automaton
+        at = to
+
+
+def locate(texts: list[Words], passages: pa.Array, shard_words: int = SHARD_WORDS, size: int = SIZE) -> list[np.ndarray]:
+    """For each block of texts, which words an occurrence of a passage covers; passages have `size` words at least."""
+    cover = [np.zeros(len(w) + 1, np.int64) for w in texts]
+    for alphabet, automaton in shards(passages, shard_words):
+        for w, c in zip(texts, cover):
+            code = alphabet.codes(w)
             line = _letters(code)
-            # Only stretches of phrase words within one text can hold a phrase.
+            # Only stretches of passages' words within one text can hold a passage.
             border = np.zeros(len(w) + 1, bool)
             border[w.first] = True
             inside = code > 0
@@ -169,94 +265,66 @@ def locate(words: list[Words], phrases: list[tuple[int, int, int]], shard_words:
             found = np.array(found, np.int64).reshape(-1, 2)
             np.add.at(c, found[:, 0] + 1 - found[:, 1], 1)
             np.add.at(c, found[:, 0] + 1, -1)
-        at = to
     return [np.cumsum(c[:-1]) > 0 for c in cover]
 
 
+def confirmed_passages(packed: DataFrame, size: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """passages(u, v, text), one row for each confirmed passage, and places(p, u, v), the buckets it may occur in."""
+    units = saved(unit_rows(packed, size, gram))
+    twice = units.groupBy("a").agg(F.sum("n").alias("na")).where("na > 1").select("a")
+    shared = saved(units.join(twice, "a").groupBy("a", "u", "v", "p").agg(F.sum("n").alias("n")))
+    unsaved(units)
+    whole = shared.groupBy("u", "v").agg(F.sum("n").alias("n"), F.min("p").alias("giver"))
+    judged = saved(shared.drop("n").join(whole, ["u", "v"]))
+    # Units of which one occurrence is read: those that recur, and those that occur once.
+    given = judged.where("p = giver")
+    doubtful = judged.where("n = 1").select("a").distinct().withColumn("counted", F.lit(True))
+    again = given.where("n > 1").join(doubtful, "a", "left").select("p", "u", "v", "n", F.coalesce("counted", F.lit(False)).alias("counted"))
+    once = given.where("n = 1").select("p", "u", "v", "n", F.lit(True).alias("counted"))
+    texts = saved(unit_texts(packed, again.unionByName(once), size, gram))
+    counted = window_rows(texts.where("counted"), size).groupBy("h", "k").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where("n > 1 AND least = 1").select("h", "k")
+    lone = window_rows(texts.where("n = 1"), size).join(counted, ["h", "k"]).groupBy("u", "v").agg(F.sort_array(F.collect_list("at")).alias("places"))  # a unit has size - gram + 1 windows at most
+    runs = saved(run_rows(texts.where("n = 1").join(lone, ["u", "v"]), size))
+    passages = texts.where("n > 1").select("u", "v", "text").unionByName(runs.groupBy("u", "v").agg(F.first("text").alias("text")))
+    places = judged.where("n > 1").select("p", "u", "v").unionByName(runs.select("p", "u", "v").distinct())
+    unsaved(shared)
+    return passages, places
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, shard_words: int = SHARD_WORDS, keep_text: bool = False) -> DataFrame:
     """The rows of docs (other columns as they are) with n_words, n_removed and kept, and with `text` too if keep_text.
 
     kept: the words that are left, joined by single spaces. A null text has no words and an empty
-    `kept`. Equal rows repeat each other. Rows with a null id are rows like others. Columns of docs
-    named like the new ones are replaced. No rows give no rows.
+    `kept`. Equal rows repeat each other. Ids are not read: rows with a null, a repeated or a
+    non-numeric id are rows like others. Columns of docs named like the new ones are replaced. No rows
+    give no rows.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     buckets = max(1, -(-text_bytes(docs, text) // bucket_bytes))
     others = [c for c in docs.columns if c not in (text, "n_words", "n_removed", "kept")]
-    text_out = [text] if keep_text else []
     named = {c: f"c{i}" for i, c in enumerate(others)}
-    rows = docs.select(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(buckets)).alias("p"), F.col(text).alias("text"), *(F.col(f"`{c}`").alias(x) for c, x in named.items()))
-    units = saved(unit_rows(rows, size, gram))
-    twice = units.groupBy("a").agg(F.sum("n").alias("na")).where("na > 1").select("a")
-    shared = saved(units.join(twice, "a").groupBy("a", "u", "p").agg(F.sum("n").alias("n")))
-    whole = shared.groupBy("u").agg(F.sum("n").alias("nu"))
-    judged = saved(shared.join(whole, "u").select("a", "u", "p", (F.col("nu") > 1).alias("recurs")))
-    unsaved(units)
-    doubtful = judged.where("NOT recurs").select("a").distinct()
-    opened = judged.join(doubtful, "a").select("p", "u", F.when(F.col("recurs"), 0).otherwise(1).cast("long").alias("lone"))
-
-    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
-        z = zstandard.ZstdCompressor(level=1)
-        raw, off = text_buffer(batch.column(1))
-        data = raw.tobytes()
-        packed = [z.compress(data[a:b]) for a, b in zip(off[:-1], off[1:])]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(np.diff(off)), *batch.columns[2:]], ["p", "packed", "bytes", *named.values()])
-
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    packed = map_blocks(rows, "p long, packed binary, bytes long" + "".join(f", {x} {kinds[c]}" for c, x in named.items()), pack)
-    seen = saved(open_windows(packed, opened, size, gram))
-    again = seen.groupBy("h").agg(F.sum("n").alias("n"), F.max("lone").alias("lone")).where("n > 1 AND lone").select("h")
-    lone = seen.where("lone").join(again, "h").select("p", F.col("h").alias("key"), F.lit(False).alias("unit"))
-    confirmed = saved(judged.where("recurs").select("p", F.col("u").alias("key"), F.lit(True).alias("unit")).unionByName(lone))
-    unsaved(shared, judged, seen)
-
-    def strip(texts: pa.Table, keys: pa.Table) -> pa.Table:
-        key, unit = unsigned(keys.column("key").to_numpy()), keys.column("unit").to_numpy(zero_copy_only=False).astype(bool)
-        whole_keys, window_keys = np.sort(key[unit]), np.sort(key[~unit])
-        blocks = list(_texts(texts))
-        words = [w for _, _, w in blocks]
-        phrases, known = [], np.zeros(0, U64)
-        for b, w in enumerate(words):
-            x = Units(w, size, gram)
-            # One example of each confirmed passage: units, and runs of confirmed windows of lone units.
-            recurs = _member(whole_keys, x.unit) >= 0
-            start, stop = x.first[recurs], x.last[recurs] + size
-            if len(window_keys):
-                loose = ~recurs[x.unit_of]
-                at = x.at[loose][_member(window_keys, x.window_hash()[loose]) >= 0]
-                text_of = np.searchsorted(w.first, at, "right")
-                new = np.ones(len(at), bool)
-                new[1:] = (at[1:] != at[:-1] + 1) | (text_of[1:] != text_of[:-1])
-                begin = np.flatnonzero(new)
-                start = np.concatenate([start, at[begin]])
-                stop = np.concatenate([stop, at[np.append(begin[1:], len(at)) - 1] + size if len(at) else at])
-            h = w.gram_hash(start, stop - start)
-            _, one = np.unique(h, return_index=True)
-            one = one[_member(known, h[one]) < 0]
-            known = np.sort(np.concatenate([known, h[one]]))
-            phrases += [(b, int(s), int(e - s)) for s, e in zip(start[one], stop[one])]
-        n_words, n_removed, kept = [], [], []
-        for w, gone in zip(words, locate(words, phrases, shard_words, size)):
+    # Rows are dealt to buckets by number; what is written out fixes the dealing.
+    rows = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).alias("p"), F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`").alias(x) for c, x in named.items()))
+    packed = saved(packed_rows(rows, "p long, packed binary, bytes long" + "".join(f", {x} {kinds[c]}" for c, x in named.items()), list(named.values())))
+    passages, places = confirmed_passages(packed, size, gram)
+    sent = places.join(passages, ["u", "v"]).select("p", "text")
+
+    def strip(texts: pa.Table, passages: pa.Table) -> pa.Table:
+        words = [w for _, _, w in _texts(texts)]
+        none = np.zeros(0, np.int64)
+        n_words, n_removed, kept = [none], [none], []
+        for w, gone in zip(words, locate(words, passages.column("text").combine_chunks(), shard_words, size)):
             total = np.concatenate([[0], np.cumsum(gone)])
             n_words.append(w.counts)
             n_removed.append(total[w.first[1:]] - total[w.first[:-1]])
-            left = np.flatnonzero(~gone)
-            length = w.end[left] - w.start[left]
-            # Words and the spaces between them, text by text.
-            out = np.full(int(length.sum()) + len(left), 0x20, np.uint8)
-            to = np.cumsum(length + 1) - length - 1
-            out[ranges(to, length)] = w.buf[ranges(w.start[left], length)]
-            ends = np.append(to, len(out))[np.searchsorted(left, w.first)]
-            data = out.tobytes()
-            kept += [data[a : max(a, b - 1)].decode() for a, b in zip(ends[:-1], ends[1:])]
-        none = np.zeros(0, np.int64)
-        whole = {"text": pa.array([w.buf[a:b].tobytes().decode() for w in words for a, b in zip(w.off[:-1], w.off[1:])], pa.string())} if keep_text else {}
-        return pa.table({**{x: texts.column(x) for x in named.values()}, **whole, "n_words": np.concatenate([none, *n_words]), "n_removed": np.concatenate([none, *n_removed]), "kept": pa.array(kept, pa.string())})
+            kept.append(w.joined_words(np.flatnonzero(~gone), w.counts - n_removed[-1]))
+        whole = {"text": pa.chunked_array([w.texts() for w in words], pa.string())} if keep_text else {}
+        return pa.table({**{x: texts.column(x) for x in named.values()}, **whole, "n_words": np.concatenate(n_words), "n_removed": np.concatenate(n_removed), "kept": pa.chunked_array(kept, pa.string())})
 
     schema = ", ".join([*(f"{x} {kinds[c]}" for c, x in named.items()), *["text string"] * keep_text, "n_words long", "n_removed long", "kept string"])
-    out = packed.groupBy("p").cogroup(confirmed.groupBy("p")).applyInArrow(strip, schema)
-    return out.select(*(F.col(x).alias(c) for c, x in named.items()), *(F.col("text").alias(c) for c in text_out), "n_words", "n_removed", "kept")
+    out = packed.groupBy("p").cogroup(sent.groupBy("p")).applyInArrow(strip, schema)
+    return out.select(*(F.col(x).alias(c) for c, x in named.items()), *[F.col("text").alias(text)] * keep_text, "n_words", "n_removed", "kept")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

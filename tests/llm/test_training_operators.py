@@ -303,6 +303,43 @@ def test_repeats_of_nothing(spark):
     assert [tuple(r) for r in substring_dedup.remove_repeats(frame(spark, [(1, "one two")])).collect()] == [(1, 2, 0, "one two")]
 
 
+def block_of(texts):
+    return bytetext.Words(*bytetext.text_buffer(pa.array(texts, pa.string())))
+
+
+@pytest.mark.parametrize("shard", [9, 10**6])
+def test_automata_locate_like_plain_search(shard):
+    rng = random.Random(8)
+    v = vocabulary(rng, 12)
+    cut = [[rng.choice(v) for _ in range(rng.randint(0, 60))] for _ in range(30)]
+    passages = [[rng.choice(v) for _ in range(rng.randint(3, 4))] for _ in range(150)]
+    found = substring_dedup.locate([block_of([" ".join(w) for w in cut[:11]]), block_of([" ".join(w) for w in cut[11:]])], pa.array([" ".join(x) for x in passages]), shard, 3)
+    want = [any(w[s : s + len(x)] == x for x in passages for s in range(max(0, i - len(x) + 1), i + 1)) for w in cut for i in range(len(w))]
+    assert np.concatenate(found).tolist() == want
+
+
+def test_automata_compare_bytes_and_not_hashes(monkeypatch):
+    monkeypatch.setattr(bytetext.Words, "hash", property(lambda w: np.zeros(len(w), np.uint64)))
+    found = substring_dedup.locate([block_of(["x a b c x", "a b d", "ab c"])], pa.array(["a b c", "a b b d"]), 10**6, 3)
+    assert found[0].tolist() == [False, True, True, True, False] + [False] * 5
+
+
+def test_automata_alone_decide(spark, monkeypatch):
+    docs = frame(spark, [(i, "one two three four five six") for i in range(3)])
+    packed = substring_dedup.saved(substring_dedup.packed_rows(docs.select(F.lit(0).cast("long").alias("p"), "text"), "p long, packed binary, bytes long", []))
+    passages, places = substring_dedup.confirmed_passages(packed, 5, 2)
+    assert passages.count() == places.count() == len({r["text"] for r in passages.collect()}) > 0
+    monkeypatch.setattr(substring_dedup, "confirmed_passages", lambda *_: (passages, places.where("false")))
+    assert {r["n_removed"] for r in substring_dedup.remove_repeats(docs, size=5, gram=2).collect()} == {0}
+
+
+def test_repeats_of_rows_without_ids_and_a_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = frame(spark, [(None, "a b c d e f")] * 40 + [(7, "a b c d e f g")] * 3 + [(8, long), (8, long + " end")])
+    got = substring_dedup.remove_repeats(docs, size=5, gram=2, bucket_bytes=100)
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()) == [(0, 6, 6, "")] * 40 + [(7, 7, 7, "")] * 3 + [(8, 60_000, 60_000, ""), (8, 60_001, 60_000, "end")]
+
+
 # 7 Embedding near-dedup
 
 
