@@ -7,11 +7,12 @@ texts' registers agree with a chance of about their Jaccard similarity however s
 
 Links. Documents with equal shingle sets are one class. Classes that agree in a whole band of
 registers share a bucket; each class is first compared with the class it shares most buckets with
-among the smallest ids of its buckets, which joins nearly all groups of copies with one comparison a
-class. Then buckets that still hold several components are searched whole for pairs of different
-components whose estimated similarity, less what equal registers by chance add, is not clearly too
-low. Each link is confirmed on full shingle sets. Large buckets are split into pairs of blocks, so
-a group handed to a function has about 2 * BLOCK rows at most, and no pair is left out.
+among the smallest numbers of its buckets, which joins nearly all groups of copies with one
+comparison a class. Then buckets that still hold several components are searched whole for pairs of
+different components. Full shingle sets, of 64-bit hashes, decide on each pair whose estimated
+similarity, less what equal registers by chance add, is not clearly too low, and only links join
+components. Large buckets are split into pairs of blocks, so a group handed to a function has about
+2 * BLOCK rows at most, and no pair is left out.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 BLOCK = 1000
+#: Standard deviations by which a linked pair's estimate may be too low; beyond it a pair is not looked at (a chance of 1e-9).
+SLACK = 6
 _rng = np.random.default_rng(11)
 _RANK = _rng.random((REGISTERS, REGISTERS)).astype(np.float32)
 _BAND = mix(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -89,15 +92,21 @@ def by_chance(nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
     return (zeros(nx) * zeros(ny)).sum(axis=0) / (1 << MANTISSA)
 
 
+def set_sums(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two sums over each shingle set that tell sets apart."""
+    out = []
+    for salt in (0x13198A2E03707344, 0x4A4093822299F31D):
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h + U64(salt)), dtype=U64)])
+        out.append(total[first[1:]] - total[first[:-1]])
+    return out
+
+
 def sketch_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, n, s1, s2 (a 128-bit sum over the shingle set), sketch."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         h, first = shingle_sets(*text_buffer(batch.column(1)))
-        sums = []
-        for salt in (0x13198A2E03707344, 0x4A4093822299F31D):
-            total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h + U64(salt)), dtype=U64)])
-            sums.append(pa.array(signed(total[first[1:]] - total[first[:-1]])))
+        sums = [pa.array(signed(x)) for x in set_sums(h, first)]
         regs = sketches(h, first)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), *sums, pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "n", "s1", "s2", "sketch"])
 
@@ -122,46 +131,69 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "sketch").mapInArrow(run, "key long, rep long")
 
 
+def estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Similarities of sketches, row by row, less what equal registers by chance add."""
+    p = by_chance(na.astype(float), nb.astype(float))
+    return ((a == b).mean(axis=1) - p) / (1 - p)
+
+
+def slack(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
+    """How far below the threshold an estimate may fall: SLACK standard deviations of an estimate at the threshold."""
+    return SLACK * np.sqrt(threshold * (1 - threshold) / np.minimum(REGISTERS, np.maximum(na, nb)))
+
+
+def linked(p: np.ndarray, q: np.ndarray, numerator: int, denominator: int) -> bool:
+    """Whether two sorted shingle sets are similar enough."""
+    if len(q) < len(p):
+        p, q = q, p
+    if denominator * len(p) < numerator * len(q):
+        return False
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    common = int((q[at] == p).sum())
+    return denominator * common >= numerator * (len(p) + len(q) - common)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    both = pairs.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a")
+    """The pairs (a, b) whose sketches do not rule it out and whose full shingle sets are similar enough."""
+    side = lambda x: sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"h{x}"), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    threshold = numerator / denominator
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if len(q) < len(p):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                common = int((q[at] == p).sum())
-                keep.append(denominator * common >= numerator * (len(p) + len(q) - common))
+            if not batch.num_rows:
+                continue
+            p, q = ([np.frombuffer(x.as_buffer(), U64) for x in batch.column(i)] for i in (2, 3))
+            np_, nq = (np.array([len(x) for x in side]) for side in (p, q))
+            maybe = estimates(_registers(batch.column(4)), _registers(batch.column(5)), np_, nq) >= threshold - slack(np_, nq, threshold)
+            keep = [bool(m) and linked(x, y, numerator, denominator) for m, x, y in zip(maybe, p, q)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ha", "hb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(rep, hashes, small): the sorted shingle set of each document in ids(rep), and its distinct 32-bit hashes."""
+    """(rep, sketch, hashes): the sorted shingle set of a document of each class in ids(rep, low, n, s1, s2, sketch); more than once if rows are equal."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        h, first = shingle_sets(*text_buffer(batch.column(1)))
+        h, first = shingle_sets(*text_buffer(batch.column(5)))
         own = [h[x:y] for x, y in zip(first[:-1], first[1:])]
-        small = [np.unique((x >> U64(32)).astype(np.uint32)).tobytes() for x in own]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(small, pa.binary())], ["rep", "hashes", "small"])
+        # Rows of one id may have different texts; the class is that of its own sums.
+        good = np.stack([np.diff(first) == batch.column(1).to_numpy(), *(signed(x) == batch.column(i).to_numpy() for i, x in zip((2, 3), set_sums(h, first)))]).all(axis=0)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), pa.array([x.tobytes() for x in own], pa.binary())], ["rep", "sketch", "hashes"]).filter(pa.array(good))
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(ids, "rep")
-    return map_blocks(rows, "rep long, hashes binary, small binary", each)
+    rows = docs.select(F.col(doc_id).cast("long").alias("low"), F.col(text).alias("text")).join(ids, "low").select("rep", "n", "s1", "s2", "sketch", "text")
+    return map_blocks(rows, "rep long, sketch binary, hashes binary", each)
 
 
-def close_pairs(shared: DataFrame, classes: DataFrame, sets: DataFrame, label: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Links that join components within a bucket, as many as it takes to join them; confirm() has the last word.
+def close_pairs(shared: DataFrame, sets: DataFrame, label: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Links that join components within a bucket, as many as it takes to join them.
 
     Of a bucket with several components, the rows outside its largest one are compared with all rows,
     block by block; one large group of copies with a few strangers in its bucket costs a row each. A
-    pair is looked at if its estimate is not clearly below the threshold and its two components are
-    not joined yet, and counts if its sets of 32-bit shingle hashes are similar enough.
+    pair's full sets are compared if its estimate is not clearly below the threshold and its two
+    components are not joined yet; only links join components.
     """
     rows = shared.join(label, "rep")
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
@@ -170,14 +202,15 @@ def close_pairs(shared: DataFrame, classes: DataFrame, sets: DataFrame, label: D
     rows = rows.join(mixed, "key").select("key", "rep", "component", (F.col("component") != F.col("most")).alias("other"), F.pmod(F.xxhash64("rep"), "pa").alias("a"), F.pmod(F.xxhash64("rep", F.lit(1)), "po").alias("o"), "pa", "po")
     left = rows.select("key", "rep", "component", "other", F.lit(0).alias("side"), F.col("a").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("po") - 1)).alias("j"))
     right = rows.where("other").select("key", "rep", "component", "other", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pa") - 1)).alias("i"), F.col("o").alias("j"))
-    rows = left.unionByName(right).join(classes.select("rep", "n", "sketch"), "rep").join(sets.select("rep", "small"), "rep")
+    rows = left.unionByName(right).join(sets, "rep")
     threshold = numerator / denominator
 
     def search(table: pa.Table) -> pa.Table:
-        rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "component", "n"))
+        rep, comp = (table.column(c).to_numpy() for c in ("rep", "component"))
         other, side = table.column("other").to_numpy().astype(bool), table.column("side").to_numpy()
         regs = _registers(table.column("sketch").combine_chunks())
-        sets_of = [np.frombuffer(x, np.uint32) for x in table.column("small").to_pylist()]
+        sets_of = [np.frombuffer(x, U64) for x in table.column("hashes").to_pylist()]
+        n = np.array([len(x) for x in sets_of])
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         found = []
         for x in left:
@@ -187,10 +220,8 @@ def close_pairs(shared: DataFrame, classes: DataFrame, sets: DataFrame, label: D
             ys = ys[denominator * small >= numerator * large]
             if not len(ys):
                 continue
-            p = by_chance(n[ys].astype(float), float(n[x]))
-            estimate = ((regs[ys] == regs[x]).mean(axis=1) - p) / (1 - p)
-            slack = 5 * np.sqrt(threshold * (1 - threshold) / np.minimum(REGISTERS, np.maximum(n[ys], n[x])))
-            ok = estimate >= threshold - slack
+            estimate = estimates(regs[ys], regs[x][None, :], n[ys], n[[x]])
+            ok = estimate >= threshold - slack(n[ys], n[[x]], threshold)
             found.append((np.stack([np.full(ok.sum(), x), ys[ok]]), estimate[ok]))
         out: list[tuple[int, int]] = []
         if found:
@@ -205,11 +236,7 @@ def close_pairs(shared: DataFrame, classes: DataFrame, sets: DataFrame, label: D
 
             for x, y in pairs.T:
                 u, v = root(int(comp[x])), root(int(comp[y]))
-                if u == v:
-                    continue
-                p, q = sets_of[x], sets_of[y]
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                if denominator * common >= numerator * (len(p) + len(q) - common):
+                if u != v and linked(sets_of[x], sets_of[y], numerator, denominator):
                     top[max(u, v)] = min(u, v)
                     out.append((int(min(rep[x], rep[y])), int(max(rep[x], rep[y]))))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
@@ -221,29 +248,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if denominator * |A & B| >= numerator * |A | B| for their sets of five-word
-    shingles. A null text or one without words is linked with nothing. Rows of one doc_id count as
-    documents of that id. Only the two named columns are read. No rows give no rows.
+    shingles. A null text or one without words is linked with nothing, and so is a row with a null
+    id. Rows of one id are documents of their own, each with its text. Ids are integers or cast to
+    them. Only the two named columns are read. No rows give no rows.
     """
     ship(docs.sparkSession)
     table = saved(sketch_table(docs, doc_id, text))
     some = table.where("n > 0 AND doc_id IS NOT NULL")
-    classes = saved(some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
+    # Classes get numbers of their own, as two texts may have one id; writing them fixes the numbers.
+    classes = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("low"), F.first("sketch").alias("sketch"))
+    classes = saved(classes.withColumn("rep", F.monotonically_increasing_id()))
     buckets = bucket_rows(classes)
     repeated = buckets.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1")
     shared = saved(buckets.join(repeated.select("key", "lead"), "key"))
     best = shared.where("rep <> lead").groupBy("rep", "lead").count().groupBy("rep").agg(F.max(F.struct("count", -F.col("lead"))).alias("x"))
     stars = saved(best.select(F.expr("-x.col2").alias("a"), F.col("rep").alias("b")))
-    sets = saved(full_sets(docs, shared.select("rep").distinct(), doc_id, text).dropDuplicates(["rep"]))
+    sets = saved(full_sets(docs, classes.join(shared.select("rep").distinct(), "rep"), doc_id, text).dropDuplicates(["rep"]))
     with arrow_rows(docs.sparkSession, 500):
         links = saved(confirm(stars, sets, numerator, denominator))
     first = components(links)
     label = classes.select("rep").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
-    close = saved(close_pairs(shared.select("key", "rep"), classes, sets, label, numerator, denominator))
-    with arrow_rows(docs.sparkSession, 500):
-        more = saved(confirm(close, sets, numerator, denominator))
+    more = saved(close_pairs(shared.select("key", "rep"), sets, label, numerator, denominator))
     final = components(first.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
-    unsaved(shared, stars, sets, links, close, more)
-    label = classes.select("n", "s1", "s2", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
+    unsaved(shared, stars, sets, links, more)
+    label = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", "low", F.coalesce("component", "rep").alias("component"))
+    smallest = label.groupBy("component").agg(F.min("low").alias("component_id"))
+    label = label.join(smallest, "component").select("n", "s1", "s2", "component_id")
     joined = table.select("doc_id", "n", "s1", "s2").join(label, ["n", "s1", "s2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

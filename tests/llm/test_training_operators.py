@@ -548,7 +548,8 @@ def test_near_duplicates_like_all_pairs(spark, monkeypatch, block):
     docs += [line + " " + " ".join(rng.choice(v) for _ in range(25)) for _ in range(40)]
     docs += [None, "", "  ", docs[0], docs[0]]
     rng.shuffle(docs)
-    docs = list(enumerate(docs)) + [(3, "a text with an id of another"), (None, docs[0])]
+    long = [f"w{rng.randrange(9000)}" for _ in range(30_000)]
+    docs = list(enumerate(docs)) + [(3, "a text with an id of another"), (5, docs[7]), (6, docs[9] + " x"), (None, docs[0]), (900, " ".join(long)), (901, " ".join(long[:29_000]))]
     got = minhash.near_duplicates(odd_columns(frame(spark, docs))).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == plain_groups(docs)
     assert minhash.near_duplicates(frame(spark, [])).collect() == []
