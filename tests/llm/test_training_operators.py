@@ -420,17 +420,24 @@ def plain_base(docs):
     return [(d, len(k), sum(training[w] > 0 for w in k), n, sum(math.log10((training[w] + 0.5) / (n + 0.5 * (v + 1))) for w in k)) for d, t in docs for k in [[*words(t), ("end",)]]]
 
 
-@pytest.mark.parametrize("common,clustered", [(10**6, 50), (40, 20), (0, 0)])
-def test_language_model_counts(spark, common, clustered):
-    rng = random.Random(6)
+def some_texts(rng):
     v = vocabulary(rng, 150)
-    docs = [(d, " ".join(rng.choice(v[: 10 + d % 140]) for _ in range(rng.randint(0, 50)))) for d in range(80)] + [(80, None), (81, ""), (82, "Unseen WORDS only"), (5, "a b"), (None, "a b")]
-    df = frame(spark, docs)
+    docs = [(d, " ".join(rng.choice(v[: 10 + d % 140]) for _ in range(rng.randint(0, 50)))) for d in range(80)]
+    return docs + [(80, None), (81, ""), (82, "Unseen WORDS only"), (5, "a b"), (None, "a b"), (83, "longer " * 30_000 + "tail")]
+
+
+def fitted(spark, df, **bounds):
     class_lm.ship(spark)
     training = df.where(class_lm.fold("doc_id") != 1).select("text")
     counts = class_lm.saved(class_lm.word_counts(training))
-    m = class_lm.fit(training, counts, common=common, clustered=clustered)
-    got = class_lm.score_texts(odd_columns(df), counts, m).collect()
+    return counts, class_lm.fit(training, counts, **bounds)
+
+
+@pytest.mark.parametrize("common,core", [(10**6, 50), (40, 20), (0, 0)])
+def test_language_model_counts(spark, common, core):
+    docs = some_texts(random.Random(6))
+    df = frame(spark, docs)
+    got = class_lm.score_texts(odd_columns(df), *fitted(spark, df, common=common, core=core)).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1], round(r[4], 9))
     mine = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got), key=key)
     for a, b in zip(mine, sorted(plain_base(docs), key=key), strict=True):
@@ -438,17 +445,83 @@ def test_language_model_counts(spark, common, clustered):
     assert all(r["score"] < 0 for r in got)
 
 
-def test_class_probabilities_sum_to_one():
-    rng = np.random.default_rng(8)
-    clustered, side = 20, 20 + class_lm.SHAPES + 1
-    b = rng.integers(0, 9, (side, side)).astype(float)
-    label = class_lm.exchange(b, clustered, classes=4)
-    assert set(label[:clustered]) <= set(range(4)) and len(set(label[clustered:])) == class_lm.SHAPES + 1
-    h = np.arange(1, clustered + 1, dtype=np.uint64)
-    m = class_lm.ClassModel(class_lm.Vocabulary(h, np.arange(clustered, 0, -1), clustered), b, label, {}, 1, 1)
+def plain_classes(docs, model):
+    """Each training word's class, from the model; and the class of any other word's form."""
+    hashes = {}
+    for _, t in docs:
+        b = bytetext.Words(*bytetext.text_buffer(pa.array([(t or "")], pa.string())), lower=True)
+        hashes.update({b.word_bytes(i).decode(): (int(b.hash[i]), int(x)) for i, x in enumerate(class_lm.shape(b))})
+    of = dict(zip(model.v.hash.tolist(), model.v.group.tolist()))
+    return {w: (of.get(h, -1) if of.get(h, -1) >= 0 else class_lm.CLASSES + x) for w, (h, x) in hashes.items()}
+
+
+@pytest.mark.parametrize("common", [10**6, 60])
+def test_language_model_scores_like_a_plain_model(spark, common):
+    docs = some_texts(random.Random(7))
+    df = frame(spark, docs)
+    counts, m = fitted(spark, df, common=common, core=15)
+    group = plain_classes(docs, m)
+    end = class_lm.CLASSES + class_lm.SHAPES
+    training = [words(t) for d, t in docs if d is not None and zlib.crc32(str(d).encode()) % 5 != 1]
+    count = Counter(w for t in training for w in t)
+    assert {group[w] < class_lm.CLASSES for w in count if count[w] > 1} == ({True} if common > 1000 else {True, False})
+    assert all(group[w] >= class_lm.CLASSES for w in count if count[w] == 1)
+    line = lambda t: [group[w] for w in t] + [end]
+    after = Counter(pair for t in training for pair in zip([end, *line(t)], line(t)))
+    size, out = Counter(), Counter()
+    for (a, b), n in after.items():
+        out[a] += n
+        size[b] += n
+    prior = {k: size[k] + 0.5 for k in range(end + 1)}
+    types, tokens = Counter(group[w] for w in count), Counter()
+    for w, n in count.items():
+        tokens[group[w]] += n
+
+    def word(w):
+        k = group[w]
+        return count[w] / size[k] if k < class_lm.CLASSES else (count[w] + 0.5) / (tokens[k] + 0.5 * (types[k] + 1))
+
+    def score(t):
+        total = 0.0
+        for a, b, w in zip([end, *line(t)], line(t), [*t, None]):
+            total += math.log10((after[a, b] + class_lm.PULL * prior[b] / sum(prior.values())) / (out[a] + class_lm.PULL))
+            total += math.log10(word(w)) if w is not None else 0.0
+        return total
+
+    got = sorted((r["doc_id"] or -1, r["score"]) for r in class_lm.score_texts(df, counts, m).collect())
+    want = sorted((d or -1 if d != 0 else -1, score(words(t))) for d, t in docs)
+    assert [a for a, _ in got] == [a for a, _ in want]
+    np.testing.assert_allclose([b for _, b in got], [b for _, b in want], rtol=1e-9)
+
+
+def test_words_join_the_class_that_raises_the_likelihood_most():
+    rng = np.random.default_rng(3)
+    groups = class_lm.CLASSES + 5
+    table = rng.integers(0, 40, (groups, groups)).astype(float)
+    rows = [(p, int(c), int(rng.integers(1, 6))) for p in (3, 8, 9) for c in rng.choice(2 * groups, 6, replace=False)]
+    rows += [(p, groups - 1 if sum(n for q, c, n in rows if q == p and c < groups) else 0, 1) for p in (3,)]
+    place, cell, n = (np.array(x) for x in zip(*sorted(rows)))
+    got = dict(zip(*(x.tolist() for x in class_lm.best_classes(place, cell, n, table))))
+    g = lambda x: x * np.log(np.maximum(x, 1))
+    for p in (3, 8, 9):
+        own = np.zeros((2, groups))
+        for q, c, k in rows:
+            if q == p:
+                own[c // groups, c % groups] += k
+        gains = []
+        for k in range(class_lm.CLASSES):
+            gain = (g(table[:, k] + own[0]) - g(table[:, k])).sum() + (g(table[k] + own[1]) - g(table[k])).sum()
+            gains.append(gain - 2 * (g(table[k].sum() + own[0].sum()) - g(table[k].sum())))
+        assert got[p] == int(np.argmax(gains))
+
+
+def test_class_probabilities_sum_to_one(spark):
+    docs = [(d, t) for d, t in some_texts(random.Random(1)) if d != 83]
+    counts, m = fitted(spark, frame(spark, docs), core=15)
     np.testing.assert_allclose((10.0**m.step).sum(axis=1), 1)
-    for k in range(4):
-        assert math.isclose((10.0 ** m.emit[:clustered])[label[:clustered] == k].sum(), 1) or not (label[:clustered] == k).any()
+    inside = m.v.group >= 0
+    for k in set(m.v.group[inside].tolist()):
+        assert math.isclose((m.v.count[m.v.group == k] * 10.0 ** m.emit[k]).sum(), 1)
 
 
 def test_exchange_raises_the_likelihood():
