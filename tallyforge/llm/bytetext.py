@@ -159,14 +159,6 @@ class Words:
         np.cumsum((mix(self.hash ^ _CHECK) if check else self.hash) * up[:-1], out=total[1:])
         return mix((total[at + size] - total[at]) * down[at] + np.asarray(size).astype(U64))
 
-    def part(self, a: int, b: int) -> "Words":
-        """Texts a .. b - 1 by themselves; they share the buffer."""
-        out = object.__new__(Words)
-        x, y = self.first[a], self.first[b]
-        out.buf, out.off, out.first = self.buf, self.off[a : b + 1], self.first[a : b + 1] - x
-        out.start, out.end, out._hash = self.start[x:y], self.end[x:y], self.hash[x:y]
-        return out
-
     def texts(self) -> pa.Array:
         """The texts, of one block whose buffer is theirs alone."""
         return _strings(self.off, self.buf)

@@ -9,7 +9,8 @@ are separate, and none of it lists every window of the corpus:
 2. Confirming. A unit whose word sequence occurs twice recurs. Where a unit occurs once though its
    anchor does not, the windows of all units with that anchor are counted, and the runs of windows
    that occur twice recur. Sequences are told apart by 128-bit hashes here.
-3. The table of passages: the words of one occurrence of each confirmed unit or run.
+3. The table of passages: the words of one occurrence of each confirmed unit or run. Units that follow
+   one another in a text share most of their words, and are sent as one chain.
 4. Locating. Texts lie in buckets. A bucket gets, from that table, the passages that may occur in it,
    compiles them into automata of at most SHARD_WORDS words, one character standing for a word, and
    all its texts stream through them. What an automaton finds is removed, and nothing else: words
@@ -21,6 +22,8 @@ bucket is distinct, so a passage that very many texts share reaches it once.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -28,13 +31,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.bytetext import BLOCK_BYTES, NON_SPACE, U64, Words, mix, ranges, same_bytes, signed, text_buffer
+from tallyforge.llm.bytetext import BLOCK_BYTES, NON_SPACE, U64, Words, blocks, mix, ranges, same_bytes, signed, text_buffer
 from tallyforge.llm.common import documents, give_back, map_blocks, saved, ship, text_bytes, unsaved
 
 SIZE = 35
 GRAM = 8
 BUCKET_BYTES = 8 << 20
 SHARD_WORDS = 250_000
+#: Units sent as one text.
+CHAIN = 16
+#: Bytes of passages whose words are numbered together; so many hold fewer distinct words than there are letters.
+ALPHABET_BYTES = 4 << 20
 
 
 class Units:
@@ -129,32 +136,60 @@ def unit_rows(packed: DataFrame, size: int, gram: int) -> DataFrame:
     return packed.select("p", "packed", "bytes").mapInArrow(run, "a long, u long, v long, p long, n long")
 
 
+_GIVEN = "u long, v long, p long, n long, counted boolean, us array<long>, vs array<long>, at array<int>, words array<int>, text string"
+
+
+def _lists(values: np.ndarray, begin: np.ndarray, kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(begin, len(values)), pa.int32()), pa.array(values, kind))
+
+
 def unit_texts(packed: DataFrame, wanted: DataFrame, size: int, gram: int) -> DataFrame:
-    """(u, v, p, n, counted, text): the words of one occurrence of each unit in wanted(p, u, v, n, counted)."""
+    """The words of one occurrence of each unit in wanted(p, u, v, n, counted).
+
+    Units to be counted are rows of their own. Those that recur (n > 1) come in chains of CHAIN units
+    at most that follow one another in a text: a row with the hashes of the first, those of all, the
+    place and words of each in the chain, and the chain's words, so that what units share is sent once.
+    """
 
     def cut(texts: pa.Table, units: pa.Table) -> pa.Table:
         u, v, n = (units.column(c).to_numpy() for c in ("u", "v", "n"))
         counted = units.column("counted").to_numpy().astype(bool)
-        order = np.lexsort((v, u))
-        u, v, n, counted = u[order], v[order], n[order], counted[order]
         key = mix(u.view(U64)) ^ v.view(U64)
         order = np.argsort(key)
         left = np.ones(len(u), bool)
-        rows, words = [np.zeros(0, np.int64)], []
+        out = []
         for _, _, w in _texts(texts) if len(u) else ():
             x = Units(w, size, gram)
             at = _member(key[order], mix(x.unit) ^ x.check)
             have = np.flatnonzero(at >= 0)
-            row = order[at[have]]
-            row, one = np.unique(row, return_index=True)
+            row, one = np.unique(order[at[have]], return_index=True)
             have, row = have[one][left[row]], row[left[row]]
             left[row] = False
-            rows.append(row), words.append(w.joined(x.first[have], x.words[have]))
-        row = np.concatenate(rows)
-        text = pa.chunked_array(words, pa.string()) if words else pa.array([], pa.string())
-        return pa.table({"u": u[row], "v": v[row], "p": np.full(len(row), units.column("p")[0].as_py() if len(u) else 0), "n": n[row], "counted": counted[row], "text": text})
-
-    return packed.select("p", "packed", "bytes").groupBy("p").cogroup(wanted.groupBy("p")).applyInArrow(cut, "u long, v long, p long, n long, counted boolean, text string")
+            by_place = np.argsort(have)
+            have, row = have[by_place], row[by_place]
+            single, chained = have[counted[row]], have[n[row] > 1]
+            one, many = row[counted[row]], row[n[row] > 1]
+            text_of = np.searchsorted(w.first, x.first[chained], "right")
+            new = np.ones(len(chained), bool)
+            new[1:] = (chained[1:] != chained[:-1] + 1) | (text_of[1:] != text_of[:-1])
+            run = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            new |= (np.arange(len(new)) - run) % CHAIN == 0
+            begin = np.flatnonzero(new)
+            start = x.first[chained[begin]]
+            stop = x.last[chained[np.append(begin[1:], len(chained)) - 1]] + size if len(begin) else start
+            places = x.first[chained] - np.repeat(start, np.diff(np.append(begin, len(chained))))
+            none = _lists(np.zeros(0, np.int64), np.zeros(len(single), np.int64), pa.int64())
+            short = none.cast(pa.list_(pa.int32()))
+            head = lambda at, count, flag: [*_longs(u[at], v[at]), pa.array(np.full(len(at), p)), *_longs(count), pa.array(np.full(len(at), flag))]
+            p = units.column("p")[0].as_py()
+            out.append(pa.RecordBatch.from_arrays([*head(one, n[one], True), none, none, short, short, w.joined(x.first[single], x.words[single])], names))
+            out.append(pa.RecordBatch.from_arrays([*head(many[begin], n[many[begin]], False), _lists(u[many], begin, pa.int64()), _lists(v[many], begin, pa.int64()), _lists(places, begin, pa.int32()), _lists(x.words[chained], begin, pa.int32()), w.joined(start, stop - start)], names))
+        return pa.Table.from_batches(out, schema)
+
+    names = ["u", "v", "p", "n", "counted", "us", "vs", "at", "words", "text"]
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+    schema = pa.schema(list(zip(names, [pa.int64()] * 4 + [pa.bool_(), longs, longs, ints, ints, pa.string()])))
+    return packed.select("p", "packed", "bytes").groupBy("p").cogroup(wanted.groupBy("p")).applyInArrow(cut, _GIVEN)
 
 
 def _windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +213,7 @@ def window_rows(units: DataFrame, size: int) -> DataFrame:
 
 
 def run_rows(units: DataFrame, size: int) -> DataFrame:
-    """(p, u, v, text): the runs of consecutive places in units(p, places, text), as passages with hashes of their own."""
+    """(p, u, v, words, text): the runs of consecutive places in units(p, places, text), as passages with hashes of their own."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(*text_buffer(batch.column(2)), NON_SPACE)
@@ -189,9 +224,9 @@ def run_rows(units: DataFrame, size: int) -> DataFrame:
         new[1:] = (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])
         begin = np.flatnonzero(new)
         start, words = at[begin], at[np.append(begin[1:], len(at)) - 1] + size - at[begin]
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[begin])), *_longs(w.gram_hash(start, words), w.gram_hash(start, words, True)), w.joined(start, words)], ["p", "u", "v", "text"])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[begin])), *_longs(w.gram_hash(start, words), w.gram_hash(start, words, True), words), w.joined(start, words)], ["p", "u", "v", "words", "text"])
 
-    return map_blocks(units.select("p", "places", "text"), "p long, u long, v long, text string", each)
+    return map_blocks(units.select("p", "places", "text"), "p long, u long, v long, words long, text string", each)
 
 
 def _letters(code: np.ndarray) -> str:
@@ -230,46 +265,54 @@ class Alphabet:
         return out
 
 
-def shards(passages: pa.Array, shard_words: int):
-    """(alphabet, automaton) of consecutive passages of at most about shard_words words."""
-    w = Words(*text_buffer(passages), NON_SPACE)
-    ends = w.first[1:]
-    at = 0
-    while at < len(passages):
-        to = max(at + 1, int(np.searchsorted(ends, w.first[at] + shard_words, "right")))
-        own = w.part(at, to)
-        alphabet = Alphabet(own)
-        line, automaton = _letters(alphabet.own), ahocorasick.Automaton()
-        for a, b in zip(own.first[:-1].tolist(), own.first[1:].tolist()):
-            automaton.add_word(line[a:b], b - a)
-        automaton.make_automaton()
-        yield alphabet, automaton
+def _cuts(words: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of consecutive passages of at most `most` words together, or of one passage."""
+    total, out, at = np.concatenate([[0], np.cumsum(words)]), [], 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+        out.append((at, to))
         at = to
+    return out
+
+
+def _stretches(w: Words, code: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Runs of at least `size` words of passages within one text; nothing else can hold a passage."""
+    border = np.zeros(len(w) + 1, bool)
+    border[w.first] = True
+    inside = code > 0
+    begin = np.flatnonzero(inside & (border[:-1] | ~np.concatenate([[False], inside[:-1]])))
+    stop = np.flatnonzero(inside & (border[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
+    enough = stop - begin >= size
+    return list(zip(begin[enough].tolist(), stop[enough].tolist()))
 
 
-def locate(texts: list[Words], passages: pa.Array, shard_words: int = SHARD_WORDS, size: int = SIZE) -> list[np.ndarray]:
-    """For each block of texts, which words an occurrence of a passage covers; passages have `size` words at least."""
+def locate(texts: list[Words], chains: pa.Table, shard_words: int = SHARD_WORDS, size: int = SIZE) -> list[np.ndarray]:
+    """For each block of texts, which words an occurrence of a passage covers.
+
+    A chain's text holds passages of words[i] words, `size` at least, that begin at its word at[i].
+    """
     cover = [np.zeros(len(w) + 1, np.int64) for w in texts]
-    for alphabet, automaton in shards(passages, shard_words):
-        for w, c in zip(texts, cover):
-            code = alphabet.codes(w)
-            line = _letters(code)
-            # Only stretches of passages' words within one text can hold a passage.
-            border = np.zeros(len(w) + 1, bool)
-            border[w.first] = True
-            inside = code > 0
-            begin = np.flatnonzero(inside & (border[:-1] | ~np.concatenate([[False], inside[:-1]])))
-            stop = np.flatnonzero(inside & (border[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
-            enough = stop - begin >= size
-            found = [(a + end, n) for a, b in zip(begin[enough].tolist(), stop[enough].tolist()) for end, n in automaton.iter(line[a:b])]
-            found = np.array(found, np.int64).reshape(-1, 2)
-            np.add.at(c, found[:, 0] + 1 - found[:, 1], 1)
-            np.add.at(c, found[:, 0] + 1, -1)
+    for part in blocks(iter(chains.combine_chunks().to_batches()), limit=ALPHABET_BYTES):
+        own = Words(*text_buffer(part.column("text")), NON_SPACE)
+        alphabet = Alphabet(own)
+        streams = [(_letters(code), _stretches(w, code, size)) for w in texts for code in [alphabet.codes(w)]]
+        line = _letters(alphabet.own)
+        begin = part.column("at").flatten().to_numpy() + np.repeat(own.first[:-1], part.column("at").value_lengths().to_numpy())
+        words = part.column("words").flatten().to_numpy()
+        for x, y in _cuts(words, shard_words):
+            automaton = ahocorasick.Automaton()
+            for i, n in zip(begin[x:y].tolist(), words[x:y].tolist()):
+                automaton.add_word(line[i : i + n], n)
+            automaton.make_automaton()
+            for (stream, stretches), c in zip(streams, cover):
+                found = np.fromiter(chain.from_iterable(x for i, j in stretches for x in automaton.iter(stream, i, j)), np.int64).reshape(-1, 2)
+                np.add.at(c, found[:, 0] + 1 - found[:, 1], 1)
+                np.add.at(c, found[:, 0] + 1, -1)
     return [np.cumsum(c[:-1]) > 0 for c in cover]
 
 
 def confirmed_passages(packed: DataFrame, size: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """passages(u, v, text), one row for each confirmed passage, and places(p, u, v), the buckets it may occur in."""
+    """passages(u, v, at, words, text), chains of confirmed passages, each passage once; and places(p, u, v), the buckets that chains may occur in."""
     units = saved(unit_rows(packed, size, gram))
     twice = units.groupBy("a").agg(F.sum("n").alias("na")).where("na > 1").select("a")
     shared = saved(units.join(twice, "a").groupBy("a", "u", "v", "p").agg(F.sum("n").alias("n")))
@@ -282,13 +325,16 @@ def confirmed_passages(packed: DataFrame, size: int, gram: int) -> tuple[DataFra
     again = given.where("n > 1").join(doubtful, "a", "left").select("p", "u", "v", "n", F.coalesce("counted", F.lit(False)).alias("counted"))
     once = given.where("n = 1").select("p", "u", "v", "n", F.lit(True).alias("counted"))
     texts = saved(unit_texts(packed, again.unionByName(once), size, gram))
-    counted = window_rows(texts.where("counted"), size).groupBy("h", "k").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where("n > 1 AND least = 1").select("h", "k")
-    lone = window_rows(texts.where("n = 1"), size).join(counted, ["h", "k"]).groupBy("u", "v").agg(F.sort_array(F.collect_list("at")).alias("places"))  # a unit has size - gram + 1 windows at most
-    runs = saved(run_rows(texts.where("n = 1").join(lone, ["u", "v"]), size))
-    passages = texts.where("n > 1").select("u", "v", "text").unionByName(runs.groupBy("u", "v").agg(F.first("text").alias("text")))
-    places = judged.where("n > 1").select("p", "u", "v").unionByName(runs.select("p", "u", "v").distinct())
+    single, chains = texts.where("counted"), texts.where("NOT counted")
+    counted = window_rows(single, size).groupBy("h", "k").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where("n > 1 AND least = 1").select("h", "k")
+    lone = window_rows(single.where("n = 1"), size).join(counted, ["h", "k"]).groupBy("u", "v").agg(F.sort_array(F.collect_list("at")).alias("places"))  # a unit has size - gram + 1 windows at most
+    runs = saved(run_rows(single.where("n = 1").drop("at").join(lone, ["u", "v"]), size))
+    distinct = runs.groupBy("u", "v").agg(F.first("words").cast("int").alias("n"), F.first("text").alias("text"))
+    passages = chains.select("u", "v", "at", "words", "text").unionByName(distinct.select("u", "v", F.array(F.lit(0)).alias("at"), F.array("n").alias("words"), "text"))
+    members = chains.select(F.col("u").alias("cu"), F.col("v").alias("cv"), F.explode(F.arrays_zip("us", "vs")).alias("x")).select("cu", "cv", F.col("x.us").alias("u"), F.col("x.vs").alias("v"))
+    places = judged.where("n > 1").select("p", "u", "v").join(members, ["u", "v"]).select("p", F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
     unsaved(shared)
-    return passages, places
+    return passages, places.unionByName(runs.select("p", "u", "v").distinct())
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, shard_words: int = SHARD_WORDS, keep_text: bool = False) -> DataFrame:
@@ -308,13 +354,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).alias("p"), F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`").alias(x) for c, x in named.items()))
     packed = saved(packed_rows(rows, "p long, packed binary, bytes long" + "".join(f", {x} {kinds[c]}" for c, x in named.items()), list(named.values())))
     passages, places = confirmed_passages(packed, size, gram)
-    sent = places.join(passages, ["u", "v"]).select("p", "text")
+    sent = places.join(passages, ["u", "v"]).select("p", "at", "words", "text")
 
     def strip(texts: pa.Table, passages: pa.Table) -> pa.Table:
         words = [w for _, _, w in _texts(texts)]
         none = np.zeros(0, np.int64)
         n_words, n_removed, kept = [none], [none], []
-        for w, gone in zip(words, locate(words, passages.column("text").combine_chunks(), shard_words, size)):
+        for w, gone in zip(words, locate(words, passages, shard_words, size)):
             total = np.concatenate([[0], np.cumsum(gone)])
             n_words.append(w.counts)
             n_removed.append(total[w.first[1:]] - total[w.first[:-1]])
