@@ -11,15 +11,19 @@ of blocks of at most BLOCK vectors, and what is kept is each vector's number of
 A component that is larger than a list is treated the same. Links between components that saturated
 lists had no room for are searched exactly: saturated vectors are gathered in balls around one of
 their neighbours, and two balls of different components whose centres and radii allow a link are
-compared vector by vector. An audit compares the links of AUDIT vectors with a search of all rows, and
-the descent goes on with lists twice as long while the recall, of links or per vector, is below
-RECALL. At LONGEST_LIST the balls take all vectors, which finds every link.
+compared vector by vector. After each descent an audit compares the links of AUDIT vectors with a
+search of all rows and logs the recall, and the descent goes on with lists twice as long while it, of
+links or per vector, is below RECALL. Where none of these vectors has a link, lists grow to UNMEASURED
+times their first length. At LONGEST_LIST the balls take all vectors, which finds every link.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,30 +36,44 @@ BUCKET = 64
 ROUNDS = 8
 SETTLED = 0.002
 BLOCK = 1000
-AUDIT = 200
+AUDIT = 2000
 RECALL = 0.98
+#: Lists are lengthened by this factor where the audit finds no link at all and so measures nothing.
+UNMEASURED = 4
 LONGEST_LIST = 160
+log = logging.getLogger(__name__)
 
 
 def unit(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
     """Rows of unit length in double precision, from the bytes of vectors of one dimension."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    x = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    x = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]].view(kind).reshape(len(column), -1).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def usable_bytes(column: pa.Array, kind: str) -> pa.Array:
+    """The bytes of each vector; null for one that is null, empty or zero, or has a null or non-finite component."""
+    size = column.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    values = column.flatten()
+    x = pc.fill_null(values.cast(pa.float32() if kind == "<f4" else pa.float64()), float("nan")).to_numpy(zero_copy_only=False).astype(kind)
+    first = np.concatenate([[0], np.cumsum(size)])
+    sums = lambda flag: np.diff(np.concatenate([[0], np.cumsum(flag)])[first])
+    good = (size > 0) & (sums(~np.isfinite(x)) == 0) & (sums(x != 0) > 0)
+    data = x[np.repeat(good, size)]
+    off = np.concatenate([[0], np.cumsum(np.where(good, size, 0))]) * np.dtype(kind).itemsize
+    mask = pa.py_buffer(np.packbits(good, bitorder="little"))
+    return pa.Array.from_buffers(pa.large_binary(), len(good), [mask, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
 def classes_of(rows: DataFrame, kind: str) -> DataFrame:
-    """(vec, dim, rep, size) for each distinct usable vector."""
+    """(vec_id, vec): the bytes of each usable vector, null for others."""
 
     def run(batches):
         for b in batches:
-            out = []
-            for v in b.column(1).to_pylist():
-                x = None if v is None or None in v else np.asarray(v, kind)
-                out.append(x.tobytes() if x is not None and len(x) and np.isfinite(x).all() and x.any() else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["vec_id", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column(0), usable_bytes(b.column(1), kind)], ["vec_id", "vec"])
 
     return rows.mapInArrow(run, "vec_id long, vec binary")
 
@@ -145,13 +163,13 @@ def descend(vectors: DataFrame, graph: DataFrame, kind: str, length: int, n: int
     return graph
 
 
-def count_links(members: DataFrame, kind: str, threshold: float) -> DataFrame:
+def count_links(members: DataFrame, kind: str, threshold: float, n: int) -> DataFrame:
     """(rep, links): links of each vector to other vectors of its component, counting copies; members(component, rep, size, vec)."""
     parts = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     rows = members.join(parts, "component").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # Small components share a task's call: one group holds several of them.
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("g", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("component"), F.lit(1009))).otherwise(F.col("component")))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("g", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("component"), F.lit(max(1, n // BLOCK)))).otherwise(F.col("component")))
 
     def count(table: pa.Table) -> pa.Table:
         comp, rep, size, own, i, j = (table.column(c).to_numpy() for c in ("component", "rep", "size", "own", "i", "j"))
@@ -234,14 +252,17 @@ def cross_links(vectors: DataFrame, graph: DataFrame, label: DataFrame, kind: st
 
 
 def audit(vectors: DataFrame, counted: DataFrame, kind: str, threshold: float, n: int, queries: int = AUDIT) -> float:
-    """Share of the links of about `queries` vectors, found by a search of all rows, that the graph has; or the mean share per vector, if that is less."""
+    """Share of the links of about `queries` vectors, found by a search of all rows, that the graph has; or the mean share per vector, if that is less.
+
+    NaN if none of them has a link: then nothing was measured.
+    """
     scale = 1 << 30
     chosen = vectors.where(F.pmod(F.xxhash64("rep", F.lit("audit")), F.lit(scale)) < min(scale, scale * queries // max(1, n))).select("rep", "dim", "vec").toLocalIterator()
     asked: dict[int, list] = {}
     for r in chosen:
         asked.setdefault(r["dim"], []).append((r["rep"], bytes(r["vec"])))
     if not asked:
-        return 1.0
+        return float("nan")
     sent = vectors.sparkSession.sparkContext.broadcast({d: (np.array([x for x, _ in q]), unit(pa.array([v for _, v in q], pa.binary()), kind)) for d, q in asked.items()})
 
     def search(batches):
@@ -259,7 +280,7 @@ def audit(vectors: DataFrame, counted: DataFrame, kind: str, threshold: float, n
     true = vectors.select("rep", "dim", "vec", "size").mapInArrow(search, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
     both = true.where("n > 0").join(counted, "rep", "left").select("n", F.least("n", F.coalesce("links", F.lit(0))).alias("got"))
     total, got, each = both.agg(F.sum("n"), F.sum("got"), F.avg(F.col("got") / F.col("n"))).first()
-    return min(got / total, each) if total else 1.0
+    return min(got / total, each) if total else float("nan")
 
 
 def labels(found: DataFrame) -> DataFrame:
@@ -272,15 +293,18 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
 
     Links are pairs found with cosine >= threshold, in double precision. A vector that is null, empty
     or zero, or has null or non-finite components, and one with a null id, links with nothing; so do
-    vectors of different dimensions. Equal vectors link. Only the two named columns are read. No rows
-    give no rows.
+    vectors of different dimensions. Equal vectors link, and rows of one id are vectors of their own.
+    Ids are integers or cast to them. Components of other types than float are taken as doubles. Only
+    the two named columns are read. No rows give no rows.
     """
     ship(table.sparkSession)
-    kind = "<f8" if "double" in table.schema[embedding].dataType.simpleString() else "<f4"
+    kind = "<f4" if table.schema[embedding].dataType.simpleString() == "array<float>" else "<f8"
     rows = saved(classes_of(table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v")), kind))
     usable = rows.where("vec IS NOT NULL AND vec_id IS NOT NULL")
     width = np.dtype(kind).itemsize
-    vectors = saved(usable.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")).withColumn("dim", (F.octet_length("vec") / width).cast("int")))
+    classes = usable.groupBy("vec").agg(F.min("vec_id").alias("low"), F.count("*").alias("size")).withColumn("dim", (F.octet_length("vec") / width).cast("int"))
+    # Classes get numbers of their own, as two vectors may have one id; writing them fixes the numbers.
+    vectors = saved(classes.withColumn("rep", F.monotonically_increasing_id()))
     n = vectors.count()
     graph = saved(shortened(first_lists(vectors, kind, length, n, seed).withColumn("fresh", F.lit(1)), length))
     while True:
@@ -290,13 +314,17 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
         every = length >= LONGEST_LIST
         links = cross_links(vectors, graph, labels(found), kind, threshold, length, every)
         label = labels(components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(links)))
-        counted = saved(count_links(vectors.join(label, "rep"), kind, threshold))
-        if every or audit(vectors, counted, kind, threshold, n) >= RECALL:
+        counted = saved(count_links(vectors.join(label, "rep"), kind, threshold, n))
+        recall = audit(vectors, counted, kind, threshold, n)
+        log.info("lists of %d: recall %.4f%s", length, recall, ", exact search" if every else "")
+        if every or recall >= RECALL or np.isnan(recall) and length >= UNMEASURED * LIST:
             break
         length *= 2
         graph = saved(graph.withColumn("fresh", F.lit(1)))
     unsaved(graph)
-    known = vectors.select("vec", "rep", "size").join(label, "rep", "left").join(counted, "rep", "left").select("vec", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    known = vectors.select("vec", "rep", "low", "size").join(label, "rep", "left").join(counted, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    smallest = known.groupBy("component").agg(F.min("low").alias("component_id"))
+    known = known.join(smallest, "component").select("vec", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     out = rows.join(known, "vec", "left")
     component = F.coalesce(F.when(F.col("vec_id").isNotNull(), F.col("component_id")), F.col("vec_id"))
     return out.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
