@@ -252,9 +252,10 @@ def plain_dice(text, templates, threshold):
 
 def test_licenses_like_plain_dice(spark):
     rng = random.Random(4)
-    t = licenses.TEMPLATES
+    t = licenses.TEMPLATES | licenses.whole_texts()
+    assert {"Apache-2.0", "GPL-3.0", "MPL-2.0"} <= set(t)
     texts = [None, "", "MIT", "Released under the MIT license", "foo " * 50 + t["MIT"] + " bar" * 20, t["ISC"].upper().replace("ISC", "x"), t["Zlib"] + "\n" + t["MIT-line"], "the software is free of charge " * 40]
-    for name in t:
+    for name in licenses.TEMPLATES:
         w = t[name].split()
         for i in rng.sample(range(len(w)), len(w) // 12):
             w[i] = "changed"
@@ -264,6 +265,16 @@ def test_licenses_like_plain_dice(spark):
     assert licenses.scan(frame(spark, [])).collect() == []
 
 
+def test_licenses_long_texts_and_ties(spark):
+    t = licenses.TEMPLATES | licenses.whole_texts()
+    two = {"b": "one two three four", "a": "one two three four", "c": "one two three four five"}
+    docs = frame(spark, [(1, t["GPL-3.0"]), (2, "intro\n" + t["Apache-2.0"] + "\nend"), (3, "\n".join([t["MIT"]] * 300)), (4, "one two three four"), (4, "one two three four")])
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert [got[i]["best"] for i in (1, 2, 3)] == ["GPL-3.0", "Apache-2.0", "MIT"] and got[3]["matches"][0]["start"] == 0
+    assert [m["name"] for m in licenses.scan(docs, two).where("doc_id = 4").collect()[0]["matches"]] == ["a", "b", "c"]
+    assert {r["best"] for r in licenses.scan(docs, two).where("doc_id = 4").collect()} == {"a"}
+
+
 # 6 Substring dedup
 
 
@@ -307,20 +318,27 @@ def block_of(texts):
     return bytetext.Words(*bytetext.text_buffer(pa.array(texts, pa.string())))
 
 
+def chains_of(passages):
+    """Each two passages as one chain."""
+    two = [passages[i : i + 2] for i in range(0, len(passages), 2)]
+    kind = pa.list_(pa.int32())
+    return pa.table({"at": pa.array([[0, len(x[0])][: len(x)] for x in two], kind), "words": pa.array([list(map(len, x)) for x in two], kind), "text": [" ".join(" ".join(y) for y in x) for x in two]})
+
+
 @pytest.mark.parametrize("shard", [9, 10**6])
 def test_automata_locate_like_plain_search(shard):
     rng = random.Random(8)
     v = vocabulary(rng, 12)
     cut = [[rng.choice(v) for _ in range(rng.randint(0, 60))] for _ in range(30)]
     passages = [[rng.choice(v) for _ in range(rng.randint(3, 4))] for _ in range(150)]
-    found = substring_dedup.locate([block_of([" ".join(w) for w in cut[:11]]), block_of([" ".join(w) for w in cut[11:]])], pa.array([" ".join(x) for x in passages]), shard, 3)
+    found = substring_dedup.locate([block_of([" ".join(w) for w in cut[:11]]), block_of([" ".join(w) for w in cut[11:]])], chains_of(passages), shard, 3)
     want = [any(w[s : s + len(x)] == x for x in passages for s in range(max(0, i - len(x) + 1), i + 1)) for w in cut for i in range(len(w))]
     assert np.concatenate(found).tolist() == want
 
 
 def test_automata_compare_bytes_and_not_hashes(monkeypatch):
     monkeypatch.setattr(bytetext.Words, "hash", property(lambda w: np.zeros(len(w), np.uint64)))
-    found = substring_dedup.locate([block_of(["x a b c x", "a b d", "ab c"])], pa.array(["a b c", "a b b d"]), 10**6, 3)
+    found = substring_dedup.locate([block_of(["x a b c x", "a b d", "ab c"])], chains_of([["a", "b", "c"], ["a", "b", "b", "d"]]), 10**6, 3)
     assert found[0].tolist() == [False, True, True, True, False] + [False] * 5
 
 
@@ -328,7 +346,7 @@ def test_automata_alone_decide(spark, monkeypatch):
     docs = frame(spark, [(i, "one two three four five six") for i in range(3)])
     packed = substring_dedup.saved(substring_dedup.packed_rows(docs.select(F.lit(0).cast("long").alias("p"), "text"), "p long, packed binary, bytes long", []))
     passages, places = substring_dedup.confirmed_passages(packed, 5, 2)
-    assert passages.count() == places.count() == len({r["text"] for r in passages.collect()}) > 0
+    assert passages.count() == places.count() == 1 and passages.first()["text"] == "one two three four five six"
     monkeypatch.setattr(substring_dedup, "confirmed_passages", lambda *_: (passages, places.where("false")))
     assert {r["n_removed"] for r in substring_dedup.remove_repeats(docs, size=5, gram=2).collect()} == {0}
 
@@ -376,7 +394,7 @@ def test_vectors_like_brute_force(spark):
         rows += [[float(x) for x in np.array(rows[base]) + rng.normal(size=16) * noise] for _ in range(many)]
     rows += [rows[5]] * 30 + [[x * 7 for x in rows[5]]] + [None, [], [0.0] * 16, [1.0, None], [float("nan")] * 16, [float("inf")] * 16, [1.0, 0.0], [1.0, 0.01], [1e30] * 16, [1e-30] * 16]
     order = rng.permutation(len(rows))
-    rows = [(int(order[i]), v) for i, v in enumerate(rows)] + [(None, rows[5])]
+    rows = [(int(order[i]), v) for i, v in enumerate(rows)] + [(None, rows[5]), (11, rows[0]), (11, [1.0] * 5000), (12, [1.0] * 5000)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = embedding_dedup.near_vectors(odd_columns(df)).collect()
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=repr) == plain_links(rows, 0.95)
@@ -384,6 +402,22 @@ def test_vectors_like_brute_force(spark):
     assert embedding_dedup.near_vectors(df.where("false")).collect() == []
 
 
+def test_vectors_of_other_number_types(spark):
+    rows = [(1, [100_000_001, 1]), (2, [100_000_001, 1]), (3, [1, 100_000_001]), (4, None), (5, [0, 0])]
+    for kind in ("int", "long", "decimal(12,2)"):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<long>").withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(df).collect()}
+        assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5)}
+
+
+def test_audit_measures_what_is_missing(spark):
+    rows = [(i, [1.0, i / 1e4]) for i in range(20)] + [(20, [-1.0, 1.0])]
+    vectors = spark.createDataFrame([(i, 2, np.array(v).tobytes(), 1) for i, v in rows], "rep long, dim int, vec binary, size long")
+    found = lambda n: spark.createDataFrame([(i, n) for i in range(20)], "rep long, links long")
+    of = lambda v, n: embedding_dedup.audit(v, found(n), "<f8", 0.95, 21)
+    assert of(vectors, 19) == 1 and abs(of(vectors, 10) - 10 / 19) < 1e-9 and math.isnan(of(vectors.where("rep > 18"), 0))
+
+
 def test_links_are_counted_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 7)
     rng = np.random.default_rng(4)
