@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding by a batched numpy Viterbi search.
 
-Words (spaces as U+2581 and what follows them) of one length advance together. The hashes of all
+Words (spaces as U+2581 and what follows them, cut wherever two characters meet that no piece has
+side by side) of one length advance together. The hashes of all
 their substrings of up to the longest piece's length probe the sorted hashes of the pieces; then,
 place by place, the best piece that ends there is chosen for all words at once and its length kept as
 a backpointer.
@@ -39,6 +40,8 @@ NEVER = 1 << 40
 UNKNOWN_PENALTY = 10.0
 #: Cells (words times characters) searched at once, words remembered by a task, slots for pairs.
 CELLS = 1 << 18
+#: Places of a word whose pieces are looked up at once.
+WINDOW = 1 << 12
 REMEMBERED = 400_000
 PAIR_SLOTS = 1 << 21
 
@@ -85,6 +88,14 @@ def run_hash(total: np.ndarray, down: np.ndarray, start: np.ndarray, stop: np.nd
     return mix((total[stop] - total[start]) * down[start] + (stop - start).astype(U64))
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(U64) << U64(21)) | b.astype(U64)
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (mix(key) & U64((1 << 20) - 1)).astype(np.int64)
+
+
 class PieceModel:
     """A vocabulary as arrays; `kind` is UNIGRAM or MERGES."""
 
@@ -124,6 +135,23 @@ class PieceModel:
         self.keys, self.ids = keys[order], np.array(list(self.by_text.values()), np.int64)[order]
         self.slots = np.zeros(1 << 20, bool)
         self.slots[keys & U64((1 << 20) - 1)] = True
+        # Neighbours that some piece has; no piece reaches across any others.
+        inner = np.ones(len(codes), bool)
+        inner[stop - 1] = False
+        inner = np.flatnonzero(inner)
+        self.neighbours = np.unique(_pairs(codes[inner], codes[inner + 1]))
+        self.neighbour_slots = np.zeros(1 << 20, bool)
+        self.neighbour_slots[_slot(self.neighbours)] = True
+
+    def apart(self, codes: np.ndarray) -> np.ndarray:
+        """For each character after the first, whether no piece holds it and the one before it side by side."""
+        key = _pairs(codes[:-1], codes[1:])
+        out = ~self.neighbour_slots[_slot(key)]
+        ask = np.flatnonzero(~out)
+        at = np.searchsorted(self.neighbours, key[ask])
+        at[at == len(self.neighbours)] = 0
+        out[ask] = self.neighbours[at] != key[ask] if len(self.neighbours) else True
+        return out
 
     def _merges(self, usable: list[int]) -> None:
         """rank (-1 for one character), and the two parts of each piece's last merge; pieces that merging never makes are dropped."""
@@ -199,37 +227,54 @@ class Encoder:
             self.pair_key[to], self.pair_ok[to] = own[one], ok[one]
         return out
 
-    def search(self, codes: np.ndarray) -> list[np.ndarray]:
-        """Pieces of equally long words, the rows of `codes`; ids of size + c stand for a character c without a piece."""
+    def _window(self, codes: np.ndarray, total: np.ndarray, down: np.ndarray, a: int, b: int) -> np.ndarray:
+        """[w, i, k]: the piece of the k + 1 characters of word w that end before place a + i + 1, or -1, for places up to b."""
         m = self.m
         n, length = codes.shape
         width = min(m.longest, length)
-        total, down = code_hashes(codes.reshape(-1))
-        # piece[w, i, k]: the piece of the k + 1 characters that end before place i + 1, or -1.
-        piece = np.full((n, length, width), -1, np.int64)
+        piece = np.full((n, b - a, width), -1, np.int32)
         for k in range(width):
-            stop = (np.arange(n)[:, None] * length + np.arange(k + 1, length + 1)).reshape(-1)
+            first = max(a, k)
+            if first >= b:
+                break
+            stop = (np.arange(n)[:, None] * length + np.arange(first + 1, b + 1)).reshape(-1)
             h = run_hash(total, down, stop - k - 1, stop)
             maybe = np.flatnonzero(m.slots[h & U64((1 << 20) - 1)])
             at = np.searchsorted(m.keys, h[maybe])
             at[at == len(m.keys)] = 0
             good = m.keys[at] == h[maybe]
-            flat = np.full(len(h), -1, np.int64)
+            flat = np.full(len(h), -1, np.int32)
             flat[maybe[good]] = m.ids[at[good]]
-            piece[:, k:, k] = flat.reshape(n, length - k)
+            piece[:, first - a :, k] = flat.reshape(n, b - first)
         single = piece[:, :, 0]
-        single[single < 0] = m.size + codes[single < 0]
-        best = np.zeros((n, length + 1))
-        chosen = np.full((n, length + 1), -1, np.int64)
-        back = np.zeros((n, length + 1), np.int64)
+        own = codes[:, a:b]
+        single[single < 0] = m.size + own[single < 0].astype(np.int32)
+        return piece
+
+    def search(self, codes: np.ndarray) -> list[np.ndarray]:
+        """Pieces of equally long words, the rows of `codes`; ids of size + c stand for a character c without a piece.
+
+        Long words are searched in windows of WINDOW places; what the next window needs of the one
+        before are the survivors of its last places.
+        """
+        m = self.m
+        n, length = codes.shape
+        width = min(m.longest, length)
+        total, down = code_hashes(codes.reshape(-1))
+        best = np.zeros((n, width + 1))  # of place i in column i % (width + 1)
+        chosen = np.full((n, length + 1), -1, np.int32)
+        back = np.zeros((n, length + 1), np.int16)
         rows = np.arange(n)
         for i in range(1, length + 1):
-            some = piece[:, i - 1, : min(width, i)]
+            if (i - 1) % WINDOW == 0:
+                start = i - 1
+                piece = self._window(codes, total, down, start, min(start + WINDOW, length))
+            some = piece[:, i - 1 - start, : min(width, i)]
             w, k = np.nonzero(some >= 0)
-            p, before = some[w, k], chosen[w, i - 1 - k]
+            p, before = some[w, k].astype(np.int64), chosen[w, i - 1 - k].astype(np.int64)
             value = np.full(some.shape, -np.inf)
             if m.kind == UNIGRAM:
-                value[w, k] = best[w, i - 1 - k] + np.where(p < m.size, m.score[np.minimum(p, m.size - 1)], m.unknown)
+                value[w, k] = best[w, (i - 1 - k) % (width + 1)] + np.where(p < m.size, m.score[np.minimum(p, m.size - 1)], m.unknown)
             else:
                 free = (before < 0) | (before >= m.size) | (p >= m.size)
                 ok = free & (i - 1 - k == 0) | free & (before != -1)
@@ -238,8 +283,9 @@ class Encoder:
                 value[w[ok], k[ok]] = 0.0
             # Equal sums: the longest piece.
             back[:, i] = value.shape[1] - 1 - np.argmax(value[:, ::-1], axis=1)
-            best[:, i] = value[rows, back[:, i]]
-            chosen[:, i] = np.where(best[:, i] > -np.inf, some[rows, back[:, i]], -2)
+            top = value[rows, back[:, i]]
+            best[:, i % (width + 1)] = top
+            chosen[:, i] = np.where(top > -np.inf, some[rows, back[:, i]], -2)
         out_row, out_at, out_piece = [], [], []
         place = np.full(n, length)
         while len(rows):
@@ -248,7 +294,7 @@ class Encoder:
             rows, place = rows[place > 0], place[place > 0]
         row, at, got = np.concatenate(out_row), np.concatenate(out_at), np.concatenate(out_piece)
         order = np.lexsort((at, row))
-        return [got[order], np.searchsorted(row[order], np.arange(n + 1))]
+        return [got[order].astype(np.int64), np.searchsorted(row[order], np.arange(n + 1))]
 
     def learn(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray, keys: np.ndarray) -> None:
         """Encode distinct new words and remember them."""
@@ -292,6 +338,7 @@ class Encoder:
         begin = space.copy()
         begin[1:] &= ~space[:-1]
         begin[first[:-1][size > 0]] = True
+        begin[1:] |= self.m.apart(codes)  # nothing joins these, so what is between them is searched by itself
         start = np.flatnonzero(begin)
         stop = np.append(start[1:], len(codes))
         total, down = code_hashes(codes)
@@ -353,7 +400,11 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", out: str = "i
 
 
 def decode(rows: DataFrame, model: PieceModel, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """rows with the text of an array<int> of ids; null ids have an empty text. Bytes that are not UTF-8 become U+FFFD."""
+    """rows with the text of an array<int> of ids; null and empty ids have an empty text.
+
+    Bytes that are not UTF-8 become U+FFFD. A column named like `out` is replaced; all others stay. No
+    rows give no rows.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in rows.columns if c != out]
     rows = rows.select(keep)
@@ -378,7 +429,9 @@ def tokenized(docs: DataFrame, model: PieceModel, doc_id: str = "doc_id", text:
     """doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers), round_trip[, ids].
 
     round_trip: whether decoding gives the text again, byte for byte; false only for texts that hold
-    U+2581 themselves, which decoding turns into a space. Only the two named columns are read.
+    U+2581 themselves, which decoding turns into a space. A null or empty text has no ids and round
+    trips. Equal rows are encoded alike, each by itself; no rows give no rows. Ids of documents are
+    integers or cast to them. Only the two named columns are read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     state: dict = {}
