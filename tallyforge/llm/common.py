@@ -25,6 +25,12 @@ def fold(doc_id) -> F.Column:
     return (F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS).cast("int")
 
 
+def piece(text, doc_id, longest: int) -> F.Column:
+    """The text, or of a longer one `longest` characters from a place that a hash of the id gives."""
+    over = F.greatest(F.char_length(text) - longest, F.lit(0)) + 1
+    return F.substr(text, (F.pmod(F.xxhash64(doc_id, F.lit("piece")), over) + 1).cast("int"), F.lit(longest))
+
+
 _shipped: set[str] = set()
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of a record batch sent to Python, where the session keeps Spark's default of 10,000: whole texts may be long.

@@ -9,8 +9,10 @@ Prediction. Over the whole text, each language's hits are counted and corrected
 false positives: (hits - n * p) / (1 - p), where p is the share of slots with the language's bit to
 the power k. The largest corrected count decides.
 
-Bounds. Fitting reads a hash sample of about `per_language` labelled texts of at most
-`longest_sample` bytes for each language; the model has 2**slot_bits slots. Scoring has no bound.
+Bounds. Fitting reads a hash sample of about `per_language` labelled texts of each language, and of
+one that has more than `longest_sample` characters so many, from a place that a hash of the id gives;
+so a language whose texts are all long is learned too. The model has 2**slot_bits slots. Scoring has
+no bound.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.bytetext import ASCII_LOWER, U64, mix, signed, text_buffer, unsigned
-from tallyforge.llm.common import documents, fold, map_blocks
+from tallyforge.llm.common import documents, fold, map_blocks, piece
 
 SIZES = (3, 4, 5)
 PER_LANGUAGE = 400
@@ -61,9 +63,10 @@ def ngrams(raw: np.ndarray, off: np.ndarray):
 
 
 def sample(docs: DataFrame, doc_id: str, text: str, lang: str, per_language: int, longest: int) -> DataFrame:
-    """(lang, text) of about per_language labelled training texts of each language, chosen by a hash of the id."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(doc_id) != 0)).select(F.col(lang).alias("lang"), F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.octet_length("text") <= longest)
-    counts = docs.where(F.col(lang).isNotNull() & (fold(doc_id) != 0)).groupBy(F.col(lang).alias("lang")).count()
+    """(lang, text) of about per_language labelled training texts of each language, chosen by a hash of the id; pieces of those longer than `longest`."""
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(doc_id) != 0)).select(F.col(lang).alias("lang"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    known = known.withColumn("text", piece("text", "id", longest))
+    counts = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(doc_id) != 0)).groupBy(F.col(lang).alias("lang")).count()
     scale = 1 << 30
     rates = {r["lang"]: min(scale, scale * per_language // r["count"]) for r in counts.toLocalIterator()}
     if not rates:
@@ -153,7 +156,9 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out_lang
     """docs with a predicted language and its score, for whole texts and without a shuffle.
 
     A text that is null or has no letter is `und` with score 0, and so is every text if no language
-    was learned. Columns of docs named like the two new ones are replaced; all others stay.
+    was learned. Equal rows are judged alike, each by itself; no rows give no rows. Of languages with
+    equally many n-grams the one with more training texts wins, then the first by name. Columns of docs
+    named like the two new ones are replaced; all others stay.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in (out_lang, out_score)]

@@ -5,8 +5,9 @@ every byte of the text, in chunks of CHUNK positions that overlap by WIDTH - 1 b
 a document is left out. Each filter's largest response over the document (max pooling) goes through
 a hidden layer to one probability.
 
-Fitting runs on the driver, on a hash sample of about `per_class` labelled texts of each class and
-of at most `longest_sample` bytes; the output bias is then moved to the classes' true shares. Scoring
+Fitting runs on the driver, on a hash sample of about `per_class` labelled texts of each class. Of a
+sampled text that has more than `longest_sample` characters so many are taken, from a place that a
+hash of the id gives, so that texts of every length are learned from; the output bias is then moved to the classes' true shares. Scoring
 is one pass over whole texts with a model of a few dozen KB.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.bytetext import ranges, text_buffer
-from tallyforge.llm.common import documents, fold, map_blocks
+from tallyforge.llm.common import documents, fold, map_blocks, piece
 
 WIDTH = 5
 FILTERS = 16
@@ -128,13 +129,17 @@ class ConvNet:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS, longest_sample: int = LONGEST_SAMPLE, epochs: int = EPOCHS) -> ConvNet:
-    """A network fitted to labels 0 and 1; rows of fold 0, null labels and null texts are not used. Without both classes it scores 1/2, or the one class's share."""
+    """A network fitted to labels 0 and 1; rows of fold 0, null labels and null texts are not used.
+
+    Repeated rows are learned from as often as they occur. Without both classes, or from empty tables,
+    it scores 1/2 or the one class's share.
+    """
     known = labels.where(F.col(label).isin(0, 1) & (fold(doc_id) != 0)).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     scale = 1 << 30
     rate = F.when(F.col("y") == 1, min(scale, scale * per_class // max(1, counts.get(1, 0)))).otherwise(min(scale, scale * per_class // max(1, counts.get(0, 0))))
     chosen = known.where(F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(scale)) < rate)  # about 2 * per_class rows
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.octet_length("text") <= longest_sample).join(F.broadcast(chosen), "id")
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "id").select("id", "y", piece("text", "id", longest_sample).alias("text"))
     got = sorted((r["id"], r["y"], r["text"]) for r in rows.toLocalIterator())
     net = ConvNet()
     y = np.array([r[1] for r in got], float)
@@ -148,7 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def classify(docs: DataFrame, net: ConvNet, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score, predicted for every row. A null text is an empty one, and an empty one has a score; only the two named columns are read."""
+    """doc_id, score, predicted for every row.
+
+    A null text is an empty one, and an empty one has a score. Equal rows score alike, each by itself;
+    no rows give no rows. Ids are integers or cast to them. Only the two named columns are read.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
