@@ -77,7 +77,7 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
 
 
 def read_back(formatted: Column) -> Column:
-    """array<struct<role, text>> of the original rows of a formatted conversation."""
+    """array<struct<role, text>> of the original rows of a formatted conversation; null for null, and no rows for an empty text."""
     parts = F.filter(F.split(formatted, r"<\|end\|>\n"), lambda p: p != "")
     head = r"(?s)^<\|turn\|>((?:\\.|[^\\\n])*)\n(.*)$"
     return F.flatten(
@@ -88,15 +88,24 @@ def read_back(formatted: Column) -> Column:
     )
 
 
+def masked(formatted: Column, segments: Column) -> Column:
+    """What `formatted` says under the loss mask, unescaped and joined; '' if nothing is under it.
+
+    Of the segments only the marks are read. Control segments begin with `<|`, which no escaped text does.
+    """
+    marks = F.transform(F.filter(segments, lambda s: ~s["text"].startswith("<|")), lambda s: s["loss"])
+    texts = F.zip_with(read_back(formatted), marks, lambda t, loss: F.when(loss, t["text"]))
+    return F.array_join(F.filter(texts, lambda t: t.isNotNull()), "")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests read back from the formatted text of every conversation, and of conversation -1."""
     said = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own)
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     return (
         format_conversations(table)
-        .select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), loss.alias("loss"))
+        .select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("segments")).alias("loss"))
         .select(
             "conv_id",
             F.size("turns").cast("long").alias("n_turns"),

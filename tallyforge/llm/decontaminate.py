@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.bytetext import ALNUM, U64, Words, ranges, same_bytes, signed, text_buffer
-from tallyforge.llm.common import documents, map_blocks
+from tallyforge.llm.common import documents, map_blocks, saved, unsaved
 
 WINDOW = 10
 SHINGLE = 3
@@ -160,14 +160,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
     hits holds pairs of word positions [from, to), merged and in order. A null text has no words; a
     null or empty item, or one without an id, has no windows; an id given to several items joins
-    their windows; equal rows each get a row; empty tables give no rows or no hits. Only the named
-    columns are read, so others may bear any name.
+    their windows; equal rows each get a row; empty tables give no rows or no hits. Ids of documents
+    are integers or cast to them. Only the named columns are read, so others may bear any name.
     """
     windows = item_windows(items, item_id, item_text, window)
     n = windows.select("window").distinct().count()
     blocks = max(1, -(-n // block_windows))
     number = F.pmod(F.xxhash64("window"), F.lit(blocks)) if blocks > 1 else F.lit(0)
-    windows = windows.withColumn("block", number).persist() if blocks > 1 else windows.withColumn("block", number)
+    windows = windows.withColumn("block", number)
+    windows = saved(windows) if blocks > 1 else windows
     carry = carry or {}
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = docs.select(
@@ -183,7 +184,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
             index.choose(shingle_counts(rows, index.candidates(), "text"))
         out = map_blocks(out, (_OUT if b == blocks - 1 else _HITS) + more, _pass(docs.sparkSession.sparkContext.broadcast(index), b == blocks - 1))
     if blocks > 1:
-        windows.unpersist()
+        unsaved(windows)
     return out
 
 

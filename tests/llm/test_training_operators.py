@@ -139,6 +139,19 @@ def test_pieces_like_the_library(model):
     assert [raw[a:b].tobytes().decode() for a, b in zip(ends, ends[1:])] == [t or "" for t in texts]
 
 
+def test_long_words_like_the_library(model, monkeypatch):
+    monkeypatch.setattr(pieces, "WINDOW", 64)
+    rng = random.Random(6)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(1_000_000))
+    code = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(20_000))
+    texts = [cjk, code, "theing" * 700, "a" * 3000, "ba" * 1000 + "漢" * 1000]
+    ids, off = pieces.Encoder(model).encode(pa.array(texts))
+    want = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == want
+    raw, ends = pieces.Decoder(model).decode(ids, off)
+    assert [raw[a:b].tobytes().decode() for a, b in zip(ends, ends[1:])] == texts
+
+
 def test_forgetting_words_changes_nothing(model, monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBERED", 3)
     e = pieces.Encoder(model)
@@ -166,7 +179,7 @@ def test_tokenized_rows(spark, model):
     docs = frame(spark, [(1, "Hello  world"), (1, "Hello  world"), (2, None), (3, ""), (4, "a▁b"), (None, "x")])
     got = pieces.tokenized(odd_columns(docs), model, with_ids=True).collect()
     assert [r["round_trip"] for r in sorted(got, key=lambda r: r["doc_id"] or 9)] == [True, True, True, True, False, True]
-    back = pieces.decode(pieces.encode(docs, model), model)
+    back = pieces.decode(odd_columns(pieces.encode(odd_columns(docs), model)), model)
     assert all(r["decoded"] == (r["text"] or "").replace("▁", " ") for r in back.collect())
     assert pieces.tokenized(frame(spark, []), model).collect() == []
 
@@ -198,6 +211,32 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([p == y for p, y in held]) > 0.9
 
 
+def test_quality_scores_like_a_plain_network(spark):
+    net = quality.ConvNet(filters=3, hidden=2)
+    net.shift = 0.3
+    texts = ["", "plain words", "é" * 900, "x" * (quality.CHUNK + 50) + "tail"]
+    p = {k: v.astype(float) for k, v in net.p.items()}
+
+    def score(text):
+        b = list(text.encode()) + [0] * quality.WIDTH
+        pooled = [max(sum(p["conv"][k][b[i + k]][f] for k in range(quality.WIDTH)) for i in range(len(b) - quality.WIDTH + 1)) for f in range(3)]
+        x = [math.tanh(v + c) for v, c in zip(pooled, p["bias"])]
+        h = [math.tanh(sum(x[f] * p["w1"][f][j] for f in range(3)) + p["b1"][j]) for j in range(2)]
+        return 1 / (1 + math.exp(-(sum(h[j] * p["w2"][j] for j in range(2)) + p["b2"][0] + 0.3)))
+
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality.classify(frame(spark, list(enumerate(texts))), net).collect()}
+    for i, t in enumerate(texts):
+        want = score(t)
+        assert abs(got[i][0] - want) < 1e-4 and got[i][1] == (got[i][0] >= quality.THRESHOLD)
+
+
+def test_quality_learns_from_long_texts(spark):
+    rows = [(i, ("good " if i % 2 else "bad!! ") * 40_000) for i in range(120)]
+    docs = frame(spark, rows)
+    net = quality.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"), epochs=40)
+    assert [r["predicted"] for r in quality.classify(frame(spark, rows[:20]), net).orderBy("doc_id").collect()] == [0, 1] * 10
+
+
 def test_quality_edge_cases(spark):
     docs = odd_columns(frame(spark, [(1, None), (2, ""), (2, ""), (3, "é" * 40000), (None, "x")]))
     none = frame(spark, [], "doc_id long, quality int")
@@ -234,6 +273,40 @@ def test_language_many_languages_and_odd_texts(spark):
     assert all(r["lang_pred"] == "und" for r in language_id.identify(odd, language_id.fit(docs.where("false"))).collect())
 
 
+def plain_ngrams(text):
+    b = [c + 32 if 0x41 <= c < 0x5B else c for c in text.encode()]
+    b = [0x20, *[c if 0x61 <= c < 0x7B or c >= 0x80 else 0x20 for c in b], 0x20]
+    return [tuple(b[i : i + n]) for n in language_id.SIZES for i in range(len(b) - n + 1) if 0x20 not in b[i + 1 : i + n - 1]]
+
+
+def test_language_hits_like_plain_counts(spark):
+    rng = random.Random(3)
+    stems = {name: ["".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(15)] for name, letters in (("aa", "abcdefg"), ("bb", "defghijé"), ("cc", "漢字仮名ab"))}
+    rows = [(k * 100 + j, " ".join(rng.choice(w) for _ in range(15)), name) for k, (name, w) in enumerate(stems.items()) for j in range(20)]
+    rows += [(900 + j, "long " * 30_000, "ll") for j in range(12)] + [(950, None, "aa"), (951, "x", None), (None, "y y y", "nn")]
+    m = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=10**6, longest_sample=10**6, profile=10**6, slot_bits=20)
+    learned = [r for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 != 0 and r[1] is not None and r[2] is not None]
+    count = {l: Counter(g for _, t, k in learned if k == l for g in plain_ngrams(t)) for l in ("aa", "bb", "cc", "ll")}
+    assert m.languages == ["aa", "bb", "cc", "ll"] and m.prior.tolist() == [sum(k == l for _, _, k in learned) for l in m.languages]
+    texts = [" ".join(rng.choice(stems[rng.choice("abc") * 2]) for _ in range(12)) + "! 1 X" for _ in range(60)] + ["", "Long LONG 漢"]
+    n, hits = m.hits(*bytetext.text_buffer(pa.array(texts)))
+    assert n.tolist() == [len(plain_ngrams(t)) for t in texts]
+    plain = np.array([[sum(count[l][g] > 1 for g in plain_ngrams(t)) for l in m.languages] for t in texts], float)
+    assert (hits >= plain).all() and (hits != plain).mean() < 0.01
+    real = np.maximum(0, (hits - n[:, None] * m.false) / (1 - m.false))
+    best, score = m.predict(*bytetext.text_buffer(pa.array(texts)))
+    for t in range(len(texts)):
+        top = max(range(4), key=lambda i: (real[t, i], m.prior[i], -i))
+        assert best[t] == top and math.isclose(score[t], real[t, top] / real[t].sum() if real[t].sum() else 0.25)
+
+
+def test_language_of_long_texts_alone_is_learned(spark):
+    rows = [(i, ("mono lingo " if i % 2 else "andre sprog ") * 20_000, "ml" if i % 2 else "as") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(docs, language_id.fit(docs, longest_sample=1000)).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+
+
 # 5 Licence scans
 
 
