@@ -93,11 +93,11 @@ def rule_matches(rule: Rule, t: Column) -> Column:
 
 
 def detect(c, rules: list[Rule], value: str = "name") -> Column:
-    """Name (or code) of the first rule that matches; '' without one."""
+    """Name (or code, or id) of the first rule that matches; '' without one."""
     t = F.lower(T.text(c))
     out = F.lit("")
     for r in reversed(rules):
-        out = F.when(rule_matches(r, t), F.lit(getattr(r, value))).otherwise(out)
+        out = F.when(rule_matches(r, t), F.lit(str(getattr(r, value)))).otherwise(out)
     return out
 
 
@@ -154,6 +154,9 @@ def detect_size(c, rules: list[Rule]) -> Column:
 _TAILS = "|".join(V.STRENGTH_TAILS)
 
 
+# The patterns of standards, coatings, strengths and coded names in the extractors below.
+
+
 def strip_strength(c: Column) -> Column:
     """Without a strength code at the end: `M20x45.58` -> `M20x45`."""
     return F.regexp_replace(c, rf"\.({_TAILS})(?!\d)$", "")
@@ -288,6 +291,15 @@ def column_standard(c) -> Column:
     return F.struct(F.when(bare, F.concat(F.lit("ГОСТ "), t)).otherwise(g).alias("gost"), i.alias("iso"), d.alias("din"))
 
 
+def row_features(df: DataFrame, name: str = "name") -> DataFrame:
+    """df with `features`: item type, size as written and as numbers, the first ten keywords and the volume of each row."""
+    size = T.clean("size")
+    return df.withColumn("features", F.struct(
+        T.clean("item_type").alias("item_type"), size.alias("size_raw"), T.size_tokens(T.normalize_size(size)).alias("size_tokens"),
+        F.slice(T.keywords(name), 1, 10).alias("keywords"), T.volume_ml(name).alias("volume_ml"),
+    ))
+
+
 FIELDS = ("diameter", "length", "width", "thickness", "size", "strength", "coating", "gost", "iso", "din", "tail_code", "wrench_size", "screw_diameter", "thread_type", "item_type")
 
 
@@ -353,6 +365,9 @@ def line_record(df: DataFrame, dictionary: Dictionary, text: str = "raw_text") -
     })
 
 
+# The signs of an item in a quote's line.
+
+
 def classify_line(c) -> Column:
     """Class of a quote's line: item, header, total, requisites or garbage; a line with signs of an item is an item."""
     def judge(t):

@@ -35,6 +35,11 @@ def first(*options: Column) -> Column:
     return F.coalesce(*[F.nullif(o, F.lit("")) for o in options], F.lit(""))
 
 
+def joined_cells(*cells) -> Column:
+    """The cells that hold something, trimmed, with a space between them."""
+    return F.concat_ws(" ", *[F.nullif(F.trim(text(c)), F.lit("")) for c in cells])
+
+
 def number(s: Column) -> Column:
     return F.regexp_replace(s, ",", ".").try_cast("double")
 
@@ -229,8 +234,8 @@ def is_note(c) -> Column:
 
 
 def format_qty(c) -> Column:
-    """At most three decimals, without trailing zeros."""
-    return F.regexp_replace(F.format_string("%.3f", F.round(_c(c).cast("double"), 3)), r"\.?0+$", "")
+    """At most three decimals, without trailing zeros; '' for nothing."""
+    return F.when(_c(c).isNull() | F.isnan(_c(c).cast("double")), "").otherwise(F.regexp_replace(F.format_string("%.3f", F.round(_c(c).cast("double"), 3)), r"\.?0+$", ""))
 
 
 # Sizes, names and keys

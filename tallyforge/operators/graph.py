@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver found it; Spark itself distributes the file."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp()  # the driver serves the file from here as long as it runs
+    atexit.register(shutil.rmtree, folder, True)
+    to = Path(folder) / f"{root.name}_core.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(to))
+    _shipped.add(sc.applicationId)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows of df, written once as Parquet to the shared folder, so that a lost executor loses none of them."""
     spark = df.sparkSession

@@ -1,7 +1,8 @@
 """Registered queries over the driver's tables, with their DuckDB counterparts."""
 
-from tallyforge.plans import matching, texts
+from tallyforge.plans import matching, scalars, sourcing, texts
 
-QUERIES = {**texts.QUERIES, **matching.QUERIES}
-ORACLES = {**texts.ORACLES, **matching.ORACLES}
+MODULES = (texts, scalars, sourcing, matching)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 flagship = matching.exact_match_top1

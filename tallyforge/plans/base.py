@@ -13,6 +13,21 @@ TYPES = ("bolt", "ring", "rod", "plate", "gear", "gizmo", "widget", "anvil")
 DICTIONARY = X.Dictionary(seeds.default_dictionary().rules, tuple(X.ItemType(t) for t in TYPES))
 
 
+def register(queries: dict, oracles: dict):
+    """A decorator that registers a query under its name, with its SQL where there is some."""
+
+    def query(sql: str | None = None):
+        def put(f):
+            queries[f.__name__] = f
+            if sql:
+                oracles[f.__name__] = sql
+            return f
+
+        return put
+
+    return query
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

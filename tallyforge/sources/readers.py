@@ -7,11 +7,13 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
 from tallyforge.functions import vocab as V
+from tallyforge.operators.graph import ship
 
 GRID = "file string, sheet string, row_index int, cells array<string>"
 
@@ -23,26 +25,38 @@ def sniff_delimiter(sample: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """Grid of a delimited file: UTF-8 with or without a mark, else cp1251; the delimiter is sniffed from its first line."""
-    first = spark.read.text(path).limit(1).collect()
-    broken = bool(first) and "�" in first[0][0]
-    lines = _cyrillic_lines(spark, path) if broken else spark.read.text(path).toDF("line")
-    sample = lines.limit(1).collect()
-    sep = sniff_delimiter(sample[0][0] if sample else "")
-    rows = lines.select(F.regexp_replace("line", "^﻿", "").alias("line"), F.monotonically_increasing_id().alias("n"))
-    cells = F.transform(F.split("line", re.escape(sep)), lambda c: F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"))
-    return rows.select(F.col("n").alias("row_index"), cells.alias("cells"))
+    """Grid (file, row_index, cells) of delimited files: rows are numbered in each file, and quoted cells may hold delimiters and line breaks.
 
+    Each file's encoding (UTF-8, with or without a mark, else cp1251) and delimiter are found from the
+    file itself; what reaches the driver is a few lines of each. A file with quotes over several lines
+    cannot be split, so a file is read by one task.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("n"))
+    w = Window.partitionBy("file").orderBy("n")
+    first = lines.withColumn("r", F.row_number().over(w)).where("r <= 20").groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("sample"))
+    broken = lines.groupBy("file").agg(F.max(F.col("line").contains("\ufffd")).alias("broken"))
+    kinds: dict[tuple[bool, str], list[str]] = {}
+    for r in first.join(broken, "file").collect():
+        kinds.setdefault((r["broken"], sniff_delimiter(r["sample"])), []).append(r["file"])
+    grids = [_separated(spark, sorted(files), sep, "windows-1251" if old else "UTF-8") for (old, sep), files in sorted(kinds.items())]
+    if not grids:
+        return spark.createDataFrame([], "file string, row_index int, cells array<string>")
+    out = grids[0]
+    for g in grids[1:]:
+        out = out.unionByName(g)
+    return out
 
-def _cyrillic_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line) of cp1251 files, which Spark's text readers do not decode."""
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            yield pd.DataFrame({"line": [line for data in f["content"] for line in bytes(data).decode("cp1251", "replace").splitlines()]})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "line string")
+def _separated(spark: SparkSession, files: list[str], sep: str, encoding: str) -> DataFrame:
+    most = spark.read.text(files).agg(F.max(F.size(F.split("value", re.escape(sep))))).first()[0] or 1  # cells of a line at most
+    schema = ", ".join(f"c{i} string" for i in range(most))
+    read = spark.read.schema(schema).options(sep=sep, encoding=encoding, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).csv(files)
+    rows = read.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), F.array(*[F.trim(F.coalesce(f"c{i}", F.lit(""))) for i in range(most)]).alias("cells"))
+    # Cells after a row's last one that holds something are not kept.
+    width = F.array_max(F.transform("cells", lambda c, i: F.when(c != "", i + 1).otherwise(0)))
+    rows = rows.withColumn("cells", F.slice("cells", F.lit(1), width)).withColumn("row_index", F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1)
+    mark = F.transform("cells", lambda c, i: F.when(i == 0, F.regexp_replace(c, "^\ufeff\"?|\"$", "")).otherwise(c))
+    return rows.select("file", "row_index", F.when(F.col("row_index") == 0, mark).otherwise(F.col("cells")).alias("cells"))
 
 
 def client_rows(grid: DataFrame) -> DataFrame:
@@ -62,29 +76,36 @@ def client_rows(grid: DataFrame) -> DataFrame:
     return grid.where("row_index > 0").select("row_index", cell("name").alias("name"), T.number(cell("qty")).alias("qty"), F.nullif(cell("unit"), F.lit("")).alias("unit")).where("name <> ''")
 
 
-def _workbook(data: bytes) -> list[tuple[str, int, list[str | None]]]:
-    """(sheet, row, cells) of an .xlsx file; merged cells have the value of their first one."""
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+def _workbook(data: bytes, every: bool = False) -> list[tuple[str, int, list[str | None]]]:
+    """(sheet, row, cells) of an .xlsx file's active sheet, or of every one; merged cells have the value of their first one."""
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    link = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    place = lambda ref: (int(re.sub(r"\D", "", ref)) - 1, sum((ord(c) - 64) * 26**i for i, c in enumerate(reversed(re.sub(r"\d", "", ref)))) - 1)
     out = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)]
-        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", ns)]
-        place = lambda ref: (int(re.sub(r"\D", "", ref)) - 1, sum((ord(c) - 64) * 26**i for i, c in enumerate(reversed(re.sub(r"\d", "", ref)))) - 1)
-        for k, sheet in enumerate(sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))):
+            shared = ["".join(t.text or "" for t in si.iter(f"{main}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{main}si")]
+        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        target = {}
+        if "xl/_rels/workbook.xml.rels" in z.namelist():
+            target = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        sheets = [(s.get("name"), "xl/" + target.get(s.get(link), f"worksheets/sheet{k}.xml").removeprefix("/xl/")) for k, s in enumerate(book.find(f"{main}sheets"), 1)]
+        view = book.find(f"{main}bookViews/{main}workbookView")
+        active = int(view.get("activeTab", 0)) if view is not None else 0
+        for name, sheet in sheets if every else sheets[active : active + 1]:
             root = ElementTree.fromstring(z.read(sheet))
             values: dict[tuple[int, int], str] = {}
-            for c in root.iter(f"{{{ns['m']}}}c"):
-                v, kind = c.find("m:v", ns), c.get("t")
+            for c in root.iter(f"{main}c"):
+                v, kind = c.find(f"{main}v"), c.get("t")
                 if kind == "inlineStr":
-                    text = "".join(t.text or "" for t in c.iter(f"{{{ns['m']}}}t"))
+                    text = "".join(t.text or "" for t in c.iter(f"{main}t"))
                 elif v is None:
                     continue
                 else:
                     text = shared[int(v.text)] if kind == "s" else v.text
                 values[place(c.get("r"))] = text
-            for m in root.iter(f"{{{ns['m']}}}mergeCell"):
+            for m in root.iter(f"{main}mergeCell"):
                 (r0, c0), (r1, c1) = map(place, m.get("ref").split(":"))
                 if (r0, c0) in values:
                     for r in range(r0, r1 + 1):
@@ -92,20 +113,25 @@ def _workbook(data: bytes) -> list[tuple[str, int, list[str | None]]]:
                             values.setdefault((r, c), values[r0, c0])
             width = max((c for _, c in values), default=-1) + 1
             for r in range(max((r for r, _ in values), default=-1) + 1):
-                out.append((names[k] if k < len(names) else sheet, r, [values.get((r, c)) for c in range(width)]))
+                out.append((name, r, [values.get((r, c)) for c in range(width)]))
     return out
 
 
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """Grid rows of .xlsx files, one task for some files; a workbook is read whole in memory."""
-    def run(frames):
-        import pandas as pd
+def workbook_rows(files: DataFrame, every_sheet: bool = False) -> DataFrame:
+    """Grid rows of the .xlsx files in files(path, content): the active sheet's, or every sheet's; a workbook is read whole in memory."""
+    def run(batches):
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got = _workbook(data, every_sheet)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(got), pa.string()), pa.array([s for s, _, _ in got], pa.string()), pa.array([r for _, r, _ in got], pa.int32()), pa.array([c for _, _, c in got], pa.list_(pa.string()))], ["file", "sheet", "row_index", "cells"])
+
+    ship(files.sparkSession)
+    return files.select("path", "content").mapInArrow(run, GRID)
 
-        for f in frames:
-            rows = [(name, *r) for name, data in zip(f["path"], f["content"]) for r in _workbook(bytes(data))]
-            yield pd.DataFrame(rows, columns=["file", "sheet", "row_index", "cells"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, GRID)
+def read_workbooks(spark: SparkSession, path: str, every_sheet: bool = False) -> DataFrame:
+    """Grid rows of .xlsx files, one task for some files."""
+    return workbook_rows(spark.read.format("binaryFile").load(path), every_sheet)
 
 
 def text_rows(docs: DataFrame, doc: str = "doc_id", text: str = "text", phrases: list[str] | None = None) -> DataFrame:
@@ -193,7 +219,7 @@ def case_lines(df: DataFrame, column: str = "input_data") -> DataFrame:
     return df.withColumn("lines", F.coalesce(listed, plain))
 
 
-# Documents as recognition services return them.
+# Documents as recognition services return them. The names of their fields.
 
 _SEG = "struct<startIndex:string,endIndex:string>"
 _LAYOUT = f"struct<textAnchor:struct<textSegments:array<{_SEG}>>,confidence:double>"
@@ -232,7 +258,7 @@ def best_tables(tables: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def column_role(h: Column) -> Column:
-    """price_total, qty, unit, price_unit or name by a header's words; null for others."""
+    """price_total, qty, unit, price_unit or name by a header's words, which are fixed values; null for others."""
     has = lambda *words: F.lower(h).rlike("|".join(map(re.escape, words)))
     return (
         F.when(has("сумма", "стоимость", "total", "amount"), "price_total").when(has("кол-во", "количество", "qty", "кол."), "qty").when(has("ед", "unit"), "unit")
@@ -250,6 +276,7 @@ def structured_rows(tables: DataFrame, doc: str = "doc_id") -> DataFrame:
     return rows.select(doc, "row_no", F.trim(cell("name")).alias("name"), num("qty").alias("qty"), F.nullif(F.trim(cell("unit")), F.lit("")).alias("unit"), num("price_unit").alias("price_unit"), num("price_total").alias("price_total")).where("name <> ''")
 
 
+# Signs of goods in a recognised line.
 _PRODUCT = r"(?iuU)(?:[МмMm]\d+|DIN\s*\d+|ГОСТ\s*[\dР]|(?:болт|гайка|шайба|винт|саморез|шпилька|анкер|дюбель|заклепка|гвоздь|электрод|сверло|диск|круг|хомут|фланец|муфта|труба)\b)"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,19 @@ def download_key(key: str, fields: list[str]) -> str:
     return f"{key}_{hashlib.sha256(','.join(sorted(fields)).encode()).hexdigest()[:8]}"
 
 
+def file_key_of(content: Column) -> Column:
+    """file_key() of a binary column."""
+    return F.substring(F.sha2(content, 256), 1, 16)
+
+
+def text_key_of(text: Column) -> Column:
+    return F.concat(F.lit("txt_"), F.substring(F.sha2(text, 256), 1, 12))
+
+
+def download_key_of(key: Column, fields: list[str]) -> Column:
+    return F.concat(key, F.lit(f"_{hashlib.sha256(','.join(sorted(fields)).encode()).hexdigest()[:8]}"))
+
+
 def write_cached(df: DataFrame, path: str, meta: dict) -> None:
     """Parquet, and its meta data as one JSON row beside it, through Spark's own writers."""
     df.write.mode("overwrite").parquet(f"{path}/rows")
