@@ -27,17 +27,17 @@ def sync(old: DataFrame, new: DataFrame, keys: list[str] = ("uid", "char"), valu
     return both.select(*keys, action.alias("action"), *[F.coalesce(F.col(f"__new.{v}"), F.col(f"__old.{v}")).alias(v) for v in values], F.col("__in").isNotNull().alias("is_active"))
 
 
-def folder_paths(folders: DataFrame, depth: int = 64) -> DataFrame:
+def folder_paths(folders: DataFrame) -> DataFrame:
     """folder_uid, path (root to leaf, ' / '), priority (own, else of the nearest ancestor that has one), level.
 
     Walks up one level at a time, all folders at once; the walk ends when no folder has a parent
-    left, at a cycle, or after `depth` levels.
+    left, or at a cycle, however deep the folders are.
     """
     base = folders.select("folder_uid", F.coalesce("folder_name", F.lit("")).alias("name"), F.nullif(T.text("parent_uid"), F.lit("")).alias("parent"), F.col("priority").cast("int").alias("own"))
     up = base.select(F.col("folder_uid").alias("next"), F.col("name").alias("up_name"), F.col("parent").alias("up_parent"), F.col("own").alias("up_own"))
     walk = base.select("folder_uid", F.col("name").alias("path"), F.col("own").alias("priority"), F.col("parent").alias("next"), F.array("folder_uid").alias("seen"))
     walk_table = None
-    for _ in range(depth):
+    while True:
         more = walk.join(up, "next", "left")
         ok = F.col("up_name").isNotNull() & ~F.array_contains("seen", F.col("next"))
         walk = more.select(
@@ -93,5 +93,11 @@ def delta(before: DataFrame, after: DataFrame, key: str) -> tuple[DataFrame, Dat
     return a.join(b, [key, "__h"], "left_anti").drop("__h"), b.join(a.select(key, "__h"), [key, "__h"], "left_anti").select(key)
 
 
+def refreshed(index: DataFrame, before: DataFrame, after: DataFrame, key: str, build) -> DataFrame:
+    """An index (one row a key, made by build(rows)) of `before`, brought to `after`: only rows that are new or changed are built again."""
+    put, gone = delta(before, after, key)
+    return index.join(gone, key, "left_anti").unionByName(build(put))
+
+
 def latest(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__r = 1").drop("__r")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
-from tallyforge.operators.graph import components
+from tallyforge.operators.graph import components, saved
 from tallyforge.operators.matching import symmetric
 
 
@@ -51,6 +51,17 @@ def analog_pairs(items: DataFrame, equivalents: DataFrame) -> DataFrame:
     return pairs.select(F.col("item_id").alias("a"), "b", F.lit("analog").alias("reason"), detail.alias("detail")).dropDuplicates(["a", "b"])
 
 
+def analog_links(items: DataFrame, equivalents: DataFrame) -> DataFrame:
+    """(a, b, reason, detail) that connect what analog_pairs() connects, two rows an item and analogue: its first and last partner, which also say all details."""
+    k = keyed(items).where("type_norm <> '' AND size_key <> '' AND std <> ''").select("type_norm", "size_key", "std", "item_id")
+    ends = k.groupBy("type_norm", "size_key", F.col("std").alias("std2")).agg(F.array(F.min("item_id"), F.max("item_id")).alias("ends"))
+    near = k.join(symmetric(equivalents).select(F.col("a").alias("std"), F.col("b").alias("std2")), "std")
+    pairs = near.join(ends, ["type_norm", "size_key", "std2"]).withColumn("b", F.explode(F.array_distinct("ends"))).where("item_id <> b")
+    first = F.col("item_id") < F.col("b")
+    detail = F.concat(F.when(first, F.col("std")).otherwise(F.col("std2")), F.lit(" ↔ "), F.when(first, F.col("std2")).otherwise(F.col("std")), F.lit(" | "), F.col("type_norm"), F.lit(" | "), F.col("size_key"))
+    return pairs.select(F.least("item_id", "b").alias("a"), F.greatest("item_id", "b").alias("b"), F.lit("analog").alias("reason"), detail.alias("detail")).distinct()
+
+
 def groups(items: DataFrame, edges: DataFrame, edge_columns=("a", "b")) -> DataFrame:
     """(item_id, group_id, group_size) of items that have company; group_id is the smallest id."""
     found = components(edges.select(F.col(edge_columns[0]).alias("a"), F.col(edge_columns[1]).alias("b")))
@@ -82,6 +93,7 @@ def group_report(members: DataFrame, query: str = "", minimum: int = 2) -> DataF
     heads = kept.where("role = 'parent'").select("group_id", F.struct((-F.col("group_size")).alias("s"), F.col("__parent").alias("n"), F.col("group_id").alias("g")).alias("__order"))
     # Groups are numbered by a range-partitioned sort and the counts of earlier partitions, not by one global window.
     ranked = heads.repartitionByRange("__order").sortWithinPartitions("__order").withColumn("__p", F.spark_partition_id())
+    ranked = saved(ranked)  # the partitions are read twice, and have to be the same
     ranked = ranked.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy("__order")))
     before = ranked.groupBy("__p").agg(F.count("*").alias("c")).withColumn("__before", F.coalesce(F.sum("c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbers = ranked.join(before, "__p").select("group_id", (F.col("__before") + F.col("__i")).alias("group_num"))

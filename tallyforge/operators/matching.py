@@ -37,6 +37,7 @@ class Settings:
     candidates: int = 10
     min_display_score: int = 40
     memory: bool = True
+    similar: bool = True
     auto_apply: bool = True
     always_confirm: bool = False
     analogs: str = "off"  # off, with or only
@@ -88,6 +89,11 @@ def exact_candidates(rows: DataFrame, items: DataFrame, settings: Settings = Set
         "item_id", "type_norm", "size_norm", "name", F.coalesce("std_key", F.lit("")).alias("ik"), T.clean("strength").alias("is"), T.clean("coating").alias("ic"),
         F.coalesce("folder_priority", F.lit(0)).alias("fp"), F.coalesce("folder_path", F.lit("")).startswith("_").alias("side"), "canonical_key",
     )
+    # Of items that no row can tell apart but by their folder and name, the first is enough.
+    alike = ["type_norm", "size_norm", "__group", "ik", "is", "ic"]
+    right = right.withColumn("__group", F.when(F.col("canonical_key") != "", F.col("canonical_key")).otherwise(F.concat(F.lit("#"), F.col("item_id").cast("string"))))
+    first = F.min(F.struct((-F.col("fp")).alias("fp"), "side", F.length("name").alias("long"), "item_id"))
+    right = right.groupBy(*alike).agg(first.alias("x")).select(*alike, (-F.col("x.fp")).alias("fp"), "x.side", "x.long", "x.item_id")
     pairs = left.join(right, ["type_norm", "size_norm"])
     analog = F.lit(False)
     if settings.analogs != "off" and equivalents is not None:
@@ -101,22 +107,59 @@ def exact_candidates(rows: DataFrame, items: DataFrame, settings: Settings = Set
     score = exact_score(F.col("rk"), F.col("ik"), analog, F.col("rs"), F.col("is"), F.col("rc"), F.col("ic"))
     affinity = ((F.col("rs") != "") & (F.col("rs") == F.col("is"))).cast("int") + ((F.col("rc") != "") & (F.col("rc") == F.col("ic"))).cast("int")
     mode = F.when(has & (F.col("rk") == F.col("ik")), "exact").when(analog, "analog").otherwise("none")
-    scored = pairs.withColumns({"score": score, "affinity": affinity, "standard_mode": mode, "__group": F.when(F.col("canonical_key") != "", F.col("canonical_key")).otherwise(F.concat(F.lit("#"), F.col("item_id").cast("string")))})
-    best = Window.partitionBy("row_id", "__group").orderBy(F.desc("score"), F.desc("fp"), "side", F.desc("affinity"), F.length("name"), "item_id")
+    scored = pairs.withColumns({"score": score, "affinity": affinity, "standard_mode": mode})
+    best = Window.partitionBy("row_id", "__group").orderBy(F.desc("score"), F.desc("fp"), "side", F.desc("affinity"), "long", "item_id")
     kept = scored.withColumn("__r", F.row_number().over(best)).where("__r = 1")
     return S.top_k(kept, "row_id", [F.desc("score"), F.col("item_id")], settings.candidates).select("row_id", "item_id", "score", "standard_mode", "rank")
 
 
 def similar_candidates(rows: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(row_id, item_id, jaccard) by LSH within the type, else over all types; rows with equal tokens are searched once."""
-    distinct = rows.select(F.xxhash64(F.array_sort("tokens"), "type_norm").alias("__q"), "tokens", "type_norm")
-    asked = distinct.groupBy("__q").agg(F.first("tokens").alias("tokens"), F.first("type_norm").alias("type_norm"))
-    active = items.where("is_active")
-    typed = S.lsh_join(asked.where("type_norm <> ''"), active, "__q", "item_id", ["type_norm"])
-    wide = S.lsh_join(asked, active, "__q", "item_id")
+    query = F.xxhash64(F.array_sort("tokens"), "type_norm").alias("__q")
+    asked = rows.select(query, "tokens", "type_norm").groupBy("__q").agg(F.first("tokens").alias("tokens"), F.first("type_norm").alias("type_norm"))
+    # Both searches read one table of bands of each side.
+    left, right = (saved(S.banded(df, key, ["type_norm"])) for df, key in ((asked, "__q"), (items.where("is_active"), "item_id")))
+    typed = S.lsh_join(left.where("type_norm <> ''"), right, "__q", "item_id", ["type_norm"])
+    wide = S.lsh_join(left, right, "__q", "item_id")
     pairs = S.with_fallback(typed, wide, asked, "__q", settings.min_candidates).withColumn("jaccard", F.round("jaccard", 3))
     best = S.top_k(pairs, "__q", [F.desc("jaccard"), F.col("item_id")], settings.top_k).drop("rank")
-    return rows.select("row_id", F.xxhash64(F.array_sort("tokens"), "type_norm").alias("__q")).join(best, "__q").select("row_id", "item_id", "jaccard")
+    return rows.select("row_id", query).join(best, "__q").select("row_id", "item_id", "jaccard")
+
+
+def analog_queries(rows: DataFrame, equivalents: DataFrame, text: str = "raw_text") -> DataFrame:
+    """(row_id, via, text): for each standard in a row's text and each analogue of it, the text with the analogue in its place; a pair of standards once."""
+    found = rows.select("row_id", F.col(text).alias("text"), F.explode(F.array_distinct(T.standard_keys(F.col(text)))).alias("key"))
+    both = found.join(symmetric(equivalents).select(F.col("a").alias("key"), F.col("b").alias("via")), "key")
+    written = F.regexp_replace(T.display_standard("key"), r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+    pattern = F.concat(F.lit("(?iu)"), F.regexp_replace(written, " ", r"\\s*"))
+    return both.select("row_id", "via", F.regexp_replace(F.col("text"), pattern, T.display_standard("via")).alias("text")).dropDuplicates(["row_id", "via"])
+
+
+def augmented_candidates(rows: DataFrame, items: DataFrame, equivalents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(row_id, item_id, jaccard, via): similar items, also by texts with analogues of the row's standards; an item's best, direct before analogue.
+
+    A rewritten text is searched with the row's type and size and no standard of its own.
+    """
+    asked = analog_queries(rows, equivalents).join(rows.select("row_id", "type_norm", "size_norm"), "row_id")
+    asked = asked.withColumn("tokens", S.item_tokens("text", "type_norm", "size_norm")).withColumn("own", F.struct("row_id", "via"))
+    via = similar_candidates(asked.select(F.col("own").alias("row_id"), "tokens", "type_norm"), items, settings).select("row_id.row_id", "item_id", "jaccard", F.col("row_id.via").alias("via"))
+    direct = similar_candidates(rows, items, settings) if settings.analogs != "only" else via.drop("via").where("false")
+    return S.augment(direct, via, "row_id", "item_id")
+
+
+def candidate_list(pairs: DataFrame, rows: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """pairs(row_id, item_id, jaccard[, via]) as a row's list: the best item of each canonical key among the first 3 * candidates, at most `candidates`.
+
+    Adds rank, score (per cent) and standard_mode: exact for a standard of the row, else analog or none.
+    """
+    pairs = pairs if "via" in pairs.columns else pairs.withColumn("via", F.lit(None).cast("string"))
+    first = S.top_k(pairs, "row_id", [F.desc("jaccard"), F.col("item_id")], 3 * settings.candidates, "__r")
+    own = first.join(items.select("item_id", "canonical_key", F.col("std_key").alias("__ik")), "item_id").join(rows.select("row_id", F.col("std_key").alias("__rk")), "row_id")
+    key = F.when(T.text("canonical_key") != "", F.col("canonical_key")).otherwise(F.concat(F.lit("#"), F.col("item_id").cast("string")))
+    once = own.withColumn("__n", F.row_number().over(Window.partitionBy("row_id", key).orderBy("__r"))).where("__n = 1")
+    mode = F.when((T.text("__ik") != "") & (F.col("__ik") == F.col("__rk")), "exact").when(F.col("via").isNotNull(), "analog").otherwise("none")
+    listed = S.top_k(once, "row_id", [F.col("__r")], settings.candidates)
+    return listed.select("row_id", "item_id", "jaccard", "via", "rank", F.bround(F.col("jaccard") * 100).cast("int").alias("score"), mode.alias("standard_mode"))
 
 
 def badges(pairs: DataFrame, equivalents: DataFrame | None = None, use_analogs: bool = False) -> DataFrame:
@@ -172,22 +215,31 @@ def size_factor(r: Column, i: Column) -> Column:
     )
 
 
+def score_features(df: DataFrame, side: str) -> DataFrame:
+    """df with what weighted_score() computes of one side (r or i); apply it to rows and items before they are joined."""
+    text = f"{side}_text"
+    return df.withColumns({f"{side}_tokens": T.size_tokens(T.normalize_size(f"{side}_size")), f"{side}_words": T.keywords(text), f"{side}_volume": T.volume_ml(text), f"{side}_kit": T.is_kit(text)})
+
+
 def weighted_score(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """df with score 0..100 of row against item: weighted mean of type, size, standard and text factors, less penalties, plus the folder's bonus.
 
-    Reads r_type, r_size, r_key, r_strength, r_coating, r_text and the same with i_, and folder_priority.
+    Reads r_type, r_size, r_key, r_strength, r_coating, r_text and the same with i_, and folder_priority,
+    and what score_features() adds, if it was applied.
     """
+    added = [] if "r_tokens" in df.columns else [f"{p}_{c}" for p in "ri" for c in ("tokens", "words", "volume", "kit")]
+    df = df if not added else score_features(score_features(df, "r"), "i")
     rt, it, rk, ik = T.clean("r_type"), T.clean("i_type"), T.text("r_key"), T.text("i_key")
     type_on = (rt != "") | (it != "")
     f_type = F.when((rt != "") & (it != ""), F.when(rt == it, 1.0).when(rt.contains(it) | it.contains(rt), 0.5).otherwise(0.0)).otherwise(0.5)
-    r_tokens, i_tokens = T.size_tokens(T.normalize_size("r_size")), T.size_tokens(T.normalize_size("i_size"))
+    r_tokens, i_tokens = F.col("r_tokens"), F.col("i_tokens")
     f_size = size_factor(r_tokens, i_tokens)
     kind = lambda k: F.substring_index(k, "-", 1)
     std_on = rk != ""
     f_std = F.when(rk == ik, 1.0).when((ik != "") & (kind(rk) == kind(ik)), 0.30).when((ik != "") & (T.clean("i_text").contains(F.lower(rk))), 0.15).otherwise(0.0)
-    shared = F.size(F.array_except(F.array_intersect(T.keywords("r_text"), T.keywords("i_text")), F.array(rt, it)))
+    shared = F.size(F.array_except(F.array_intersect("r_words", "i_words"), F.array(rt, it)))
     rs, is_, rc, ic = T.clean("r_strength"), T.clean("i_strength"), T.clean("r_coating"), T.clean("i_coating")
-    volume = F.coalesce(F.abs(T.volume_ml("r_text") - T.volume_ml("i_text")) < 1, F.lit(False))
+    volume = F.coalesce(F.abs(F.col("r_volume") - F.col("i_volume")) < 1, F.lit(False))
     f_text = F.least(F.lit(1.0), F.when((rs != "") & (rs == is_), 0.15).otherwise(0.0) + F.when((rc != "") & (ic != "") & (rc.contains(ic) | ic.contains(rc)), 0.15).otherwise(0.0)
                      + F.when(volume, 0.20).otherwise(0.0) + F.least(F.lit(0.5), shared * 0.15))
     out = df.withColumns({"__ft": f_type, "__fs": f_size, "__fd": f_std, "__fx": f_text, "__first": F.get(r_tokens, F.lit(0)), "__ifirst": F.get(i_tokens, F.lit(0))})
@@ -198,24 +250,32 @@ def weighted_score(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
     raw = F.coalesce(F.bround(F.try_divide(top, total) * 100), F.lit(0.0))
     other_d = F.coalesce((F.abs(F.col("__first") - F.col("__ifirst")) / F.greatest(F.col("__ifirst"), F.lit(0.01)) >= 0.01) & (F.col("__ifirst") > 0), F.lit(False))
     penalty = (
-        F.when(T.is_kit("i_text") & ~T.is_kit("r_text"), settings.p_kit).otherwise(0) + F.when((rt != "") & (it != "") & (F.col("__ft") == 0), settings.p_type).otherwise(0)
+        F.when(F.col("i_kit") & ~F.col("r_kit"), settings.p_kit).otherwise(0) + F.when((rt != "") & (it != "") & (F.col("__ft") == 0), settings.p_type).otherwise(0)
         + F.when(F.col("__fs").isNotNull() & other_d, settings.p_diameter).otherwise(0) + F.when(std_on & (F.col("__fd") == 0) & (ik != ""), settings.p_standard).otherwise(0)
     )
     bonus = F.coalesce(T.lookup({"1": "8", "2": "4", "3": "2", "4": "1"}, F.col("folder_priority").cast("string")).cast("int"), F.lit(0))
     score = F.least(F.lit(100), F.greatest(F.lit(0), F.least(F.lit(100), raw - penalty)) + bonus)
-    return out.withColumn("score", score.cast("int")).drop("__ft", "__fs", "__fd", "__fx", "__first", "__ifirst")
+    return out.withColumn("score", score.cast("int")).drop("__ft", "__fs", "__fd", "__fx", "__first", "__ifirst", *added)
+
+
+def with_sides(pairs: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame:
+    """pairs with what badges() reads of both sides."""
+    left = rows.select("row_id", F.col("size_norm").alias("row_size"), F.col("std_norm").alias("row_std"), F.col("type_norm").alias("row_type"))
+    right = items.select("item_id", F.col("size_norm").alias("item_size"), F.col("std_norm").alias("item_std"), F.col("type_norm").alias("item_type"))
+    return pairs.join(left, "row_id").join(right, "item_id")
 
 
 def decide(rows: DataFrame, items: DataFrame, settings: Settings = Settings(), memory: DataFrame | None = None, equivalents: DataFrame | None = None, best_from: str = "raw", similar: DataFrame | None = None) -> DataFrame:
-    """One decision per row: row_id, mode, item_id, score, source, jaccard, filter_level, candidates.
+    """One decision per row: row_id, mode, item_id, score, source, jaccard, filter_level, candidates, via_analog.
 
     Memory, then exact, then similarity. A similarity below min_display_score is none; auto needs
     auto_jaccard and a best pair that passes the filters; best_from says whether the best pair is that
-    of all pairs (raw) or of those that passed (filtered). The features of both sides are written out
+    of all pairs (raw) or of those that passed (filtered). With analogues, texts with an analogue of
+    the row's standard are searched too, and an item found by one is AUTO_ANALOG or SUGGESTED_ANALOG. The features of both sides are written out
     first, so that the stages read them and do not extract them again.
     """
     own = ["row_id", "type_norm", "size_norm", "std_norm", "std_key", "strength", "coating"]
-    rows = saved(rows.select(*own, *[c for c in ("fingerprint", "tokens") if c in rows.columns]))
+    rows = saved(rows.select(*own, *[c for c in ("fingerprint", "tokens", "raw_text") if c in rows.columns]))
     items = saved(items.select("item_id", "name", "is_active", "type_norm", "size_norm", "std_norm", "std_key", "strength", "coating", "canonical_key", "folder_priority", "folder_path", *[c for c in ("tokens",) if c in items.columns]))
     confirm = settings.always_confirm
     suggested = lambda auto: F.lit("SUGGESTED") if confirm else F.lit(auto)
@@ -233,33 +293,137 @@ def decide(rows: DataFrame, items: DataFrame, settings: Settings = Settings(), m
     auto = (F.col("score") >= settings.auto_threshold) & F.lit(settings.auto_apply and not confirm)
     found.append(listed.select("row_id", F.when(auto, "AUTO_EXACT").otherwise("SUGGESTED").alias("mode"), "item_id", "score", F.lit("exact").alias("source"), none("double").alias("jaccard"), none("int").alias("filter_level"), "candidates"))
     left = left.join(exact.select("row_id").distinct(), "row_id", "left_anti")
-    pairs = similar_candidates(left, items, settings) if similar is None else similar.join(left.select("row_id"), "row_id", "left_semi")
-    pairs = pairs.join(left.select("row_id", F.col("size_norm").alias("row_size"), F.col("std_norm").alias("row_std"), F.col("type_norm").alias("row_type")), "row_id")
-    pairs = pairs.join(items.select("item_id", F.col("size_norm").alias("item_size"), F.col("std_norm").alias("item_std"), F.col("type_norm").alias("item_type")), "item_id")
-    kept = filter_ladder(badges(pairs, equivalents, settings.analogs != "off"), analogs_only=settings.analogs == "only")
-    raw = S.top_k(pairs, "row_id", [F.desc("jaccard"), F.col("item_id")], 1).select("row_id", F.col("item_id").alias("raw_item"), F.col("jaccard").alias("raw_j"))
-    display = F.bround(F.col("jaccard") * 100).cast("int")
+    if similar is not None:
+        pairs = similar.join(left.select("row_id"), "row_id", "left_semi")
+    elif not settings.similar:
+        pairs = left.select("row_id", F.lit(None).cast("long").alias("item_id"), none("double").alias("jaccard")).where("false")
+    elif settings.analogs != "off" and equivalents is not None:
+        pairs = augmented_candidates(left, items, equivalents, settings)
+    else:
+        pairs = similar_candidates(left, items, settings)
+    pairs = saved(pairs if "via" in pairs.columns else pairs.withColumn("via", none("string")))
+    kept = filter_ladder(badges(with_sides(candidate_list(pairs, left, items, settings), left, items), equivalents, settings.analogs != "off"), analogs_only=settings.analogs == "only")
+    raw = S.top_k(pairs, "row_id", [F.desc("jaccard"), F.col("item_id")], 1).select("row_id", F.col("item_id").alias("raw_item"), F.col("jaccard").alias("raw_j"), F.col("via").alias("raw_via"))
     passed = kept.groupBy("row_id").agg(
-        F.sort_array(F.collect_list(F.when(display >= settings.min_display_score, F.struct((-F.col("jaccard")).alias("j"), "item_id", display.alias("score"))))).alias("c"),
-        F.first("filter_level").alias("filter_level"), F.max(F.struct(F.col("jaccard"), -F.col("item_id"))).alias("top"), F.first("best_filtered_out").alias("best_filtered_out"),
+        F.sort_array(F.collect_list(F.when(F.col("score") >= settings.min_display_score, F.struct((-F.col("jaccard")).alias("j"), "item_id", "score", "via")))).alias("c"),  # `candidates` at most
+        F.first("filter_level").alias("filter_level"), F.first("best_filtered_out").alias("best_filtered_out"),
     )
-    joined = raw.join(passed, "row_id", "left")
+    joined = raw.join(passed, "row_id", "left").withColumn("shown", F.bround(F.col("raw_j") * 100).cast("int"))
     if best_from == "filtered":
-        joined = joined.withColumns({"raw_item": F.when(~F.col("best_filtered_out"), -F.col("top")["col2"]).otherwise(F.col("raw_item")), "raw_j": F.when(~F.col("best_filtered_out"), F.col("top")["jaccard"]).otherwise(F.col("raw_j"))})
-    shown = F.bround(F.col("raw_j") * 100).cast("int")
+        first, ok = F.get("c", F.lit(0)), ~F.col("best_filtered_out") & (F.size("c") > 0)
+        joined = joined.withColumns({"raw_item": F.when(ok, first["item_id"]).otherwise(F.col("raw_item")), "raw_via": F.when(ok, first["via"]).otherwise(F.col("raw_via")), "raw_j": F.when(ok, first["score"] / 100.0).otherwise(F.col("raw_j"))})
     out = F.coalesce(F.col("best_filtered_out"), F.lit(True))
-    mode = F.when(shown < settings.min_display_score, "NONE").when(F.lit(settings.auto_apply) & (F.col("raw_j") >= settings.auto_jaccard) & ~out, suggested("AUTO_MINHASH")).otherwise("SUGGESTED")
+    by_analog = F.col("raw_via").isNotNull()
+    maybe = F.when(by_analog, "SUGGESTED_ANALOG").otherwise("SUGGESTED")
+    sure = maybe if confirm else F.when(by_analog, "AUTO_ANALOG").otherwise("AUTO_MINHASH")
+    mode = F.when(F.col("shown") < settings.min_display_score, "NONE").when(F.lit(settings.auto_apply) & (F.col("raw_j") >= settings.auto_jaccard) & ~out, sure).otherwise(maybe)
     some = mode != "NONE"
-    candidates = F.coalesce(F.slice(F.transform("c", lambda x: F.struct(x["item_id"].alias("item_id"), x["score"].alias("score"))), 1, settings.candidates), F.array()).cast(shape)
-    found.append(joined.select("row_id", mode.alias("mode"), F.when(some, F.col("raw_item")).alias("item_id"), F.when(some, shown).otherwise(0).alias("score"), F.when(some, "minhash").otherwise("none").alias("source"), F.col("raw_j").alias("jaccard"), "filter_level", candidates.alias("candidates")))
+    candidates = F.coalesce(F.transform("c", lambda x: F.struct(x["item_id"].alias("item_id"), x["score"].alias("score"))), F.array()).cast(shape)
+    found.append(joined.select("row_id", mode.alias("mode"), F.when(some, F.col("raw_item")).alias("item_id"), F.when(some, F.bround(F.col("raw_j") * 100).cast("int")).otherwise(0).alias("score"), F.when(some, "minhash").otherwise("none").alias("source"), F.col("raw_j").alias("jaccard"), "filter_level", candidates.alias("candidates"), F.when(some, F.col("raw_via")).alias("via_analog")))
     done = found[0]
     for f in found[1:]:
-        done = done.unionByName(f)
+        done = done.unionByName(f, allowMissingColumns=True)
     rest = rows.select("row_id").join(done.select("row_id"), "row_id", "left_anti")
-    return done.unionByName(rest.select("row_id", F.lit("NONE").alias("mode"), none("long").alias("item_id"), F.lit(0).alias("score"), F.lit("none").alias("source"), none("double").alias("jaccard"), none("int").alias("filter_level"), F.array().cast(shape).alias("candidates")))
+    return done.unionByName(rest.select("row_id", F.lit("NONE").alias("mode"), none("long").alias("item_id"), F.lit(0).alias("score"), F.lit("none").alias("source"), none("double").alias("jaccard"), none("int").alias("filter_level"), F.array().cast(shape).alias("candidates")), allowMissingColumns=True)
 
 
 def with_master(decisions: DataFrame, items: DataFrame, members: DataFrame, masters: DataFrame) -> DataFrame:
     """decisions with the active master item that the chosen item belongs to."""
     own = members.join(masters.where("is_active").select("master_item_id", F.col("name").alias("master_item_name")), "master_item_id").select(F.col("onec_guid").alias("uid_1c"), "master_item_id", "master_item_name")
     return decisions.join(items.select("item_id", "uid_1c"), "item_id", "left").join(own, "uid_1c", "left").drop("uid_1c")
+
+
+def rematch(rows: DataFrame, items: DataFrame, use_analogs: bool = False, settings: Settings = Settings(), equivalents: DataFrame | None = None) -> DataFrame:
+    """Lists for rows that a user matches again, with analogues or without: row_id, rank, item_id, score, standard_mode, stage.
+
+    Exact candidates where there are some; else similar ones that pass the filters and the display
+    score, exact standards first, then analogues, then others, each by similarity.
+    """
+    settings = settings.with_(analogs=settings.analogs if settings.analogs == "only" else "with" if use_analogs else "off")
+    exact = exact_candidates(rows, items, settings, equivalents)
+    left = rows.join(exact.select("row_id").distinct(), "row_id", "left_anti")
+    pairs = augmented_candidates(left, items, equivalents, settings) if use_analogs and equivalents is not None else similar_candidates(left, items, settings)
+    kept = filter_ladder(badges(with_sides(candidate_list(saved(pairs), left, items, settings), left, items), equivalents, use_analogs)).where(F.col("score") >= settings.min_display_score)
+    order = F.when(F.col("standard_mode") == "exact", 0).when(F.col("standard_mode") == "analog", 1).otherwise(2)
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("row_id").orderBy(order, "rank")))
+    columns = ["row_id", "rank", "item_id", "score", "standard_mode"]
+    return exact.select(*columns, F.lit("exact").alias("stage")).unionByName(ranked.select(*columns, F.lit("minhash").alias("stage")))
+
+
+def top_items(decisions: DataFrame, items: DataFrame, limit: int = 3) -> DataFrame:
+    """(row_id, rank, uid_1c, name, score): the first candidates of each decision, with the items' own ids and names."""
+    listed = decisions.select("row_id", F.posexplode(F.slice("candidates", 1, limit)).alias("at", "c")).select("row_id", (F.col("at") + 1).alias("rank"), "c.item_id", "c.score")
+    return listed.join(items.select("item_id", "uid_1c", "name"), "item_id", "left").select("row_id", "rank", "uid_1c", "name", "score")
+
+
+AUTO_MODES = ("AUTO_MEMORY", "AUTO_EXACT", "AUTO_MINHASH", "AUTO_ANALOG", "AUTO_SCORE")
+
+
+def row_status(mode: Column, category_status: Column, missing: Column) -> Column:
+    """struct<status, reason>: the worse of the match (ok if automatic, else review) and the category's check, with its missing fields."""
+    match = F.when(mode.isin(*AUTO_MODES), 0).otherwise(1)
+    category = F.when(category_status == "manual_required", 2).when(category_status.isNull() | (category_status == "ok"), 0).otherwise(1)
+    worst = F.greatest(match, category)
+    reason = F.when(F.size(F.coalesce(missing, F.array().cast("array<string>"))) > 0, F.concat(F.lit("Проверка заявки: "), F.array_join(missing, ", "))).otherwise("")
+    return F.struct(F.when(worst == 2, "manual").when(worst == 1, "review").otherwise("ok").alias("status"), reason.alias("reason"))
+
+
+def effective_fields(items: DataFrame, dictionary) -> DataFrame:
+    """items with type, size and standard from their names where they have none of their own: effective_type, effective_size, effective_key."""
+    from tallyforge.functions import extract as X
+
+    text = F.trim(F.concat_ws(" ", *[T.text(c) for c in ("name", "name_full") if c in items.columns]))
+    out = items.withColumn("__text", text)
+    fields = {
+        "effective_type": T.first(T.clean("item_type"), F.lower(X.item_type("__text", dictionary))), "effective_size": T.first(F.trim(T.text("size")), X.sizes("__text", dictionary)["size"]),
+        "effective_key": F.coalesce(F.nullif(F.trim(T.text("standard_key")), F.lit("")), T.standard_key("__text")),
+    }
+    return out.withColumns(fields).drop("__text")
+
+
+def scored_matches(rows: DataFrame, items: DataFrame, settings: Settings = Settings(), threshold: int = 80) -> DataFrame:
+    """(row_id, rank, item_id, score, chosen): a row's best items by weighted score, the first of each canonical key, `candidates` at most; chosen from `threshold` on.
+
+    Only items that share a row's type, size or standard are scored, or a keyword if the row has none
+    of these: any other stays below the threshold (60.75 of 100 at most, and 8 for its folder). Rows
+    and items carry the columns of weighted_score() without prefix: type, size, key, strength,
+    coating, text.
+    """
+    own = ["type", "size", "key", "strength", "coating", "text"]
+    left = rows.select("row_id", *[T.text(c).alias(f"r_{c}") for c in own])
+    right = items.where("is_active").select("item_id", "canonical_key", "folder_priority", *[T.text(c).alias(f"i_{c}") for c in own])
+    size = lambda c: T.size_key(T.normalize_size(c))
+
+    def blocks(df, key, p):
+        marks = [(f"{m}:", v) for m, v in (("type", T.clean(f"{p}_type")), ("size", size(f"{p}_size")), ("key", T.clean(f"{p}_key")))]
+        fields = F.array_compact(F.array(*[F.when(v != "", F.concat(F.lit(m), v)) for m, v in marks]))
+        words = F.transform(T.keywords(f"{p}_text"), lambda w: F.concat(F.lit("word:"), w))
+        none = F.size(fields) == 0 if p == "r" else F.lit(True)
+        return df.select(key, F.explode(F.concat(fields, F.when(none, words).otherwise(F.array().cast("array<string>")))).alias("__b"))
+
+    pairs = blocks(left, "row_id", "r").join(blocks(right, "item_id", "i"), "__b").select("row_id", "item_id").distinct()
+    scored = weighted_score(pairs.join(score_features(left, "r"), "row_id").join(score_features(right, "i"), "item_id"), settings).where("score > 0")
+    key = F.when(T.text("canonical_key") != "", F.col("canonical_key")).otherwise(F.concat(F.lit("#"), F.col("item_id").cast("string")))
+    once = scored.withColumn("__n", F.row_number().over(Window.partitionBy("row_id", key).orderBy(F.desc("score"), "item_id"))).where("__n = 1")
+    return S.top_k(once, "row_id", [F.desc("score"), F.col("item_id")], settings.candidates).select("row_id", "rank", "item_id", "score", ((F.col("rank") == 1) & (F.col("score") >= threshold)).alias("chosen"))
+
+
+def analog_info(rows: DataFrame, equivalents: DataFrame, enabled: bool = False, text: str = "raw_text") -> DataFrame:
+    """(row_id, original_standard, original_canonical, analogs_found, queries_built, enabled): a row's first standard, of its fields gost, iso, din, else of its text, and its analogues."""
+    said = T.first(*[T.text(c) for c in ("gost", "iso", "din") if c in rows.columns])
+    key = F.coalesce(T.canonical_standard(said), T.standard_key(text))
+    own = rows.select("row_id", key.alias("original_canonical"), F.coalesce(F.nullif(said, F.lit("")), T.display_standard(key)).alias("written"))
+    near = analog_groups(equivalents).select(F.col("a").alias("original_canonical"), F.array_sort("group").alias("group"))
+    out = own.join(near, "original_canonical", "left").withColumn("analogs_found", F.transform(F.coalesce("group", F.array().cast("array<string>")), T.display_standard))
+    return out.select("row_id", F.when(F.col("original_canonical").isNotNull(), F.col("written")).alias("original_standard"), "original_canonical", "analogs_found", F.size("analogs_found").alias("queries_built"), F.lit(enabled).alias("enabled"))
+
+
+def diagnostics(rows: DataFrame, decisions: DataFrame, pairs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(row_id, applied_mode, threshold_used, best_jaccard, n_candidates, best_score, top, features): how each row's decision came about; `top` has its first five similar items."""
+    from tallyforge.functions import extract as X
+
+    five = S.top_k(pairs, "row_id", [F.desc("jaccard"), F.col("item_id")], 5).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("rank", "item_id", "jaccard"))).alias("top"))
+    applied = F.when(F.col("mode").startswith("AUTO"), "AUTO").when(F.col("mode").startswith("SUGGESTED"), "SUGGEST").otherwise("NONE")
+    own = X.row_features(rows, "raw_text").select("row_id", "features")
+    out = decisions.join(five, "row_id", "left").join(own, "row_id")
+    return out.select("row_id", applied.alias("applied_mode"), F.lit(settings.auto_jaccard).alias("threshold_used"), F.round(F.coalesce(F.get("top", F.lit(0))["jaccard"], F.lit(0.0)), 3).alias("best_jaccard"), F.size("candidates").alias("n_candidates"), F.col("score").alias("best_score"), "top", "features")

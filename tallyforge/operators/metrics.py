@@ -5,10 +5,11 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
+from tallyforge.operators.graph import saved
 
 AUTO_MODES = ("AUTO_MEMORY", "AUTO_MINHASH", "AUTO_ANALOG")
 SUGGESTED_MODES = ("SUGGESTED", "SUGGESTED_ANALOG")
@@ -121,9 +122,9 @@ def errors(rows: DataFrame, fields: list[str], key: str) -> DataFrame:
 
 
 def timed(name: str, step: Callable[[DataFrame], DataFrame], df: DataFrame) -> tuple[DataFrame, dict]:
-    """A step's result, and its name, rows in and out, success rate and seconds."""
+    """A step's result, and its name, rows in and out, success rate and seconds; the result is written out, so that the step runs once."""
     began = time.time()
-    n = df.count()
-    out = step(df)
-    m = out.count()
+    seen, made = Observation(), Observation()
+    out = saved(step(df.observe(seen, F.count(F.lit(1)).alias("n"))).observe(made, F.count(F.lit(1)).alias("n")))
+    n, m = seen.get["n"], made.get["n"]
     return out, {"step_name": name, "input_rows": n, "output_rows": m, "success_rate": round(m / n, 4) if n else 0.0, "seconds": time.time() - began}

@@ -67,15 +67,17 @@ def band_keys(sig: Column, bands: int = BANDS, rows: int = BAND_ROWS) -> Column:
     return T.let(sig, lambda own: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice(own, i * rows + 1, rows))))
 
 
-def lsh_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, block: list[str] = (), tokens: str = "tokens", minimum: float = 0.0) -> DataFrame:
-    """(left_id, right_id, jaccard) of pairs that share a band, with the exact Jaccard of their tokens."""
-    def banded(df, key):
-        return df.select(F.col(key), F.col(tokens), *block, F.explode(band_keys(signature(F.col(tokens)))).alias("__band"))
-
-    l, r = banded(left, left_id), banded(right, right_id).withColumnRenamed(tokens, "__rt")
-    pairs = l.select(left_id, *block, "__band").join(r.select(right_id, *block, "__band"), ["__band", *block]).select(left_id, right_id).distinct()
-    both = pairs.join(left.select(left_id, tokens), left_id).join(right.select(right_id, F.col(tokens).alias("__rt")), right_id)
-    return both.select(left_id, right_id, jaccard(F.col(tokens), F.col("__rt")).alias("jaccard")).where(F.col("jaccard") >= minimum)
+def banded(df: DataFrame, key: str, block: list[str] = (), tokens: str = "tokens") -> DataFrame:
+    """(key, tokens, block columns, bands): what lsh_join() reads; signatures are the costly part, so write it out where it is read twice."""
+    return df.select(key, F.col(tokens).alias("tokens"), *block, band_keys(signature(F.col(tokens))).alias("bands"))
+
+
+def lsh_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, block: list[str] = (), minimum: float = 0.0) -> DataFrame:
+    """(left_id, right_id, jaccard) of pairs of banded() tables that share a band, with the exact Jaccard of their tokens."""
+    l, r = (df.select(key, *block, F.explode("bands").alias("__band")) for df, key in ((left, left_id), (right, right_id)))
+    pairs = l.join(r, ["__band", *block]).select(left_id, right_id).distinct()
+    both = pairs.join(left.select(left_id, "tokens"), left_id).join(right.select(right_id, F.col("tokens").alias("__rt")), right_id)
+    return both.select(left_id, right_id, jaccard(F.col("tokens"), F.col("__rt")).alias("jaccard")).where(F.col("jaccard") >= minimum)
 
 
 def top_k(pairs: DataFrame, key: str, order: list[Column], k: int, rank: str = "rank") -> DataFrame:

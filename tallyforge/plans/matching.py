@@ -45,12 +45,17 @@ def exact_match_top10(spark, d):
     return matching.exact_candidates(records(spark, d), items(spark, d)).select("row_id", "item_id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {RECORDS}, {ITEMS} SELECT row_id, part_id AS item_id FROM records JOIN items ON part_id = item_id WHERE is_active AND part_id % 4 = 0")
+_PRINT = "substr(sha1('item_type=' || item_type || '|size=' || lower(size) || '|diameter=' || lower(diameter) || '|length=' || length || '|din=' || lower(din) || CASE WHEN strength <> '' THEN '|strength=' || strength ELSE '' END || CASE WHEN coating <> '' THEN '|coating=' || coating ELSE '' END), 1, 16)"
+
+
+@query(f"""WITH {RECORDS}, {ITEMS}, f AS (SELECT row_id, order_id, part_id, {_PRINT} AS fingerprint FROM records), m AS (SELECT fingerprint, arg_max(part_id, (order_id, part_id)) AS item_id FROM f WHERE row_id % 5 = 0 GROUP BY 1)
+SELECT row_id, item_id FROM f JOIN m USING (fingerprint) JOIN items USING (item_id) WHERE is_active""")
 def memory_match(spark, d):
-    own = records(spark, d).withColumn("fingerprint", F.concat(F.lit("f"), F.col("part_id").cast("string")))
-    memory = items(spark, d).where("item_id % 4 = 0").select(F.concat(F.lit("f"), F.col("item_id").cast("string")).alias("fingerprint"), "item_id", F.lit(1).alias("confirmed_at"))
-    older = items(spark, d).where("item_id % 4 = 0").select(F.concat(F.lit("f"), F.col("item_id").cast("string")).alias("fingerprint"), (F.col("item_id") + 1).alias("item_id"), F.lit(0).alias("confirmed_at"))
-    return matching.memory_match(own, memory.unionByName(older), items(spark, d))
+    """Lines whose fingerprint a fifth of the lines confirmed: the latest order's item, if it is active."""
+    fields = ("item_type", "size", "diameter", "length", "gost", "iso", "din", "strength", "coating")
+    own = records(spark, d).withColumn("fingerprint", T.fingerprint({f: F.col(f) for f in fields}))
+    memory = matching.remember(own.where("false").select("fingerprint", F.col("part_id").alias("item_id"), F.col("order_id").alias("confirmed_at")), own.where("row_id % 5 = 0").select("fingerprint", F.col("part_id").alias("item_id"), F.col("order_id").alias("confirmed_at")))
+    return matching.memory_match(own, memory, items(spark, d))
 
 
 _GRAMS = "list_distinct(list_transform(generate_series(1, greatest(length({t}) - 3, 1)), lambda i: substr({t}, i, 4)))"
@@ -69,9 +74,9 @@ def jaccard_topk(spark, d):
     return S.top_k(j, "a", [F.desc("jaccard"), F.col("b")], 3).select("a", "b", "jaccard", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {_BENCH} SELECT a, b, c::BIGINT AS shared FROM p WHERE c / (ln + rn - c) >= 0.25")
+@query(f"WITH {_BENCH} SELECT a, b, c::BIGINT AS shared FROM p WHERE c / (ln + rn - c) >= 0.12")
 def jaccard_pairs(spark, d):
-    return S.token_join(_bench(spark, d, "a"), _bench(spark, d, "b"), "a", "b").where("a <> b AND jaccard >= 0.25").select("a", "b", F.col("shared").cast("long").alias("shared"))
+    return S.token_join(_bench(spark, d, "a"), _bench(spark, d, "b"), "a", "b").where("a <> b AND jaccard >= 0.12").select("a", "b", F.col("shared").cast("long").alias("shared"))
 
 
 @query(f"""WITH {ITEMS}, q AS (SELECT i.item_id AS row_id, j.item_id, i.size_norm AS row_size, j.size_norm AS item_size, i.std_key AS row_std, j.std_key AS item_std, i.item_type AS row_type, j.item_type AS item_type, 1.0 / (1 + abs(i.item_id - j.item_id)) AS jaccard
@@ -87,16 +92,6 @@ def post_filter_ladder(spark, d):
     return matching.filter_ladder(matching.badges(pairs)).select("row_id", "item_id", F.col("filter_level").cast("long").alias("level"))
 
 
-@query()
-def post_filter_ladder_similar(spark, d):
-    """The ladder over each item's real similarity candidates."""
-    i = _with_tokens(items(spark, d))
-    found = matching.similar_candidates(i.withColumn("row_id", F.col("item_id")), i).where("row_id <> item_id")
-    side = lambda own, key: items(spark, d).select(F.col("item_id").alias(key), F.col("size_norm").alias(f"{own}_size"), F.col("std_key").alias(f"{own}_std"), F.col("type_norm").alias(f"{own}_type"))
-    pairs = found.join(side("row", "row_id"), "row_id").join(side("item", "item_id"), "item_id")
-    return matching.filter_ladder(matching.badges(pairs)).select("row_id", "item_id", F.col("filter_level").cast("long").alias("level"))
-
-
 @query(f"""WITH {RECORDS}, {ITEMS}, p AS (SELECT r.*, i.item_type AS it, i.size AS isz, i.std_key AS ik, i.strength AS ist, i.coating AS ico, i.folder_priority AS fp, regexp_extract_all(r.size, '[0-9]+') AS ra, regexp_extract_all(i.size, '[0-9]+') AS ia FROM records r JOIN items i ON r.part_id = i.item_id),
 f AS (SELECT *, CASE WHEN list_sort(list_transform(ra, lambda v: v::INT)) = list_sort(list_transform(ia, lambda v: v::INT)) THEN 1.0 WHEN len(list_filter(list_zip(list_sort(list_transform(ra, lambda v: v::INT)), list_sort(list_transform(ia, lambda v: v::INT))), lambda z: abs(z[1] - z[2]) > 0.02 * greatest(z[1], z[2]))) = 0 THEN 0.85 WHEN ia[1]::INT > 0 THEN 0.60 ELSE 0.0 END AS fs,
     CASE WHEN ik = std_key THEN 1.0 WHEN ik <> '' THEN 0.30 ELSE 0.0 END AS fd, CASE WHEN strength <> '' AND strength = ist THEN 0.15 ELSE 0.0 END + CASE WHEN coating <> '' AND coating = ico THEN 0.15 ELSE 0.0 END + 0.15 AS fx FROM p)
@@ -104,7 +99,7 @@ SELECT row_id, least(100, least(100, greatest(0, round_even((40 + 35 * fs + 20 *
 def weighted_score(spark, d):
     r = records(spark, d).select("row_id", F.col("part_id").alias("item_id"), F.col("item_type").alias("r_type"), F.col("size").alias("r_size"), F.col("std_key").alias("r_key"), F.col("strength").alias("r_strength"), F.col("coating").alias("r_coating"), F.col("raw_text").alias("r_text"))
     i = items(spark, d).select("item_id", F.col("item_type").alias("i_type"), F.col("size").alias("i_size"), F.col("std_key").alias("i_key"), F.col("strength").alias("i_strength"), F.col("coating").alias("i_coating"), F.col("name").alias("i_text"), "folder_priority")
-    return matching.weighted_score(r.join(i, "item_id")).select("row_id", F.col("score").cast("long").alias("score"))
+    return matching.weighted_score(matching.score_features(r, "r").join(matching.score_features(i, "i"), "item_id")).select("row_id", F.col("score").cast("long").alias("score"))
 
 
 def _with_tokens(df, standard="std_key"):
@@ -116,27 +111,11 @@ _DECIDE = _EXACT + ", m AS (SELECT row_id, item_id FROM records JOIN items ON pa
 
 @query(_DECIDE + """ SELECT r.row_id, CASE WHEN m.item_id IS NOT NULL THEN 'AUTO_MEMORY' WHEN t.score >= 90 THEN 'AUTO_EXACT' WHEN t.score IS NOT NULL THEN 'SUGGESTED' ELSE 'NONE' END AS mode,
   coalesce(m.item_id, t.item_id) AS item_id FROM records r LEFT JOIN m USING (row_id) LEFT JOIN (SELECT * FROM t WHERE rank = 1) t USING (row_id)""")
-def match_decision(spark, d):
+def match_without_similarity(spark, d):
+    """Decisions on all lines by memory and exact fields alone, with the similarity stage off."""
     own = records(spark, d).withColumn("fingerprint", F.concat(F.lit("f"), F.col("part_id").cast("string")))
     memory = items(spark, d).where("item_id % 4 = 0").select(F.concat(F.lit("f"), F.col("item_id").cast("string")).alias("fingerprint"), "item_id", F.lit(1).alias("confirmed_at"))
-    similar = spark.createDataFrame([], "row_id long, item_id long, jaccard double")
-    return matching.decide(own, items(spark, d), memory=memory, similar=similar).select("row_id", "mode", "item_id")
-
-
-@query()
-def match_decision_similar(spark, d):
-    """match_decision with the similarity stage: rows without a memory or exact hit are searched by their own tokens."""
-    own = _with_tokens(records(spark, d).withColumn("fingerprint", F.concat(F.lit("f"), F.col("part_id").cast("string"))))
-    catalogue = _with_tokens(items(spark, d))
-    memory = items(spark, d).where("item_id % 4 = 0").select(F.concat(F.lit("f"), F.col("item_id").cast("string")).alias("fingerprint"), "item_id", F.lit(1).alias("confirmed_at"))
-    return matching.decide(own, catalogue, memory=memory).select("row_id", "mode", "item_id", "source", "jaccard")
-
-
-@query()
-def lsh_candidates(spark, d):
-    i = items(spark, d).withColumn("tokens", T.char_ngrams(T.similarity_text(F.concat_ws(" ", "name", "size"))))
-    r = i.select(F.col("item_id").alias("row_id"), "tokens", "type_norm")
-    return matching.similar_candidates(r, i)
+    return matching.decide(own, items(spark, d), matching.Settings(similar=False), memory=memory).select("row_id", "mode", "item_id")
 
 
 @query()
@@ -174,7 +153,7 @@ def analog_pairs(spark, d):
 
 def _groups(spark, d):
     i = items(spark, d)
-    return i, cluster.groups(i, cluster.duplicate_links(i).unionByName(cluster.analog_pairs(i, equivalents(spark))))
+    return i, cluster.groups(i, cluster.duplicate_links(i).unionByName(cluster.analog_links(i, equivalents(spark))))
 
 
 @query(f"WITH RECURSIVE {EQUIVALENTS}, {_KEYED}{_COMPONENTS} SELECT item_id, group_id, group_size::BIGINT AS group_size FROM g WHERE group_size > 1")
@@ -224,43 +203,6 @@ _ASSIGNED = _QUOTES + """, claim AS (SELECT *, score >= 90 AS sure, row_number()
 done AS (SELECT *, CASE WHEN sure AND turn = 1 THEN 'auto' ELSE 'suggested' END AS match_mode FROM claim)"""
 
 
-@query(f"WITH {_ASSIGNED} SELECT ql.line_id, d.match_mode, CASE WHEN d.match_mode = 'auto' THEN d.item_id END AS item_id FROM ql LEFT JOIN done d USING (line_id)")
-def quote_assignment(spark, d):
-    oi, ql = _order(spark, d)
-    no_tokens = F.array().cast("array<string>")
-    return quotes.match_quotes(ql.withColumn("tokens", no_tokens), oi.withColumn("tokens", no_tokens), equivalents(spark)).select("line_id", "match_mode", "item_id")
-
-
-@query(f"""WITH {_ASSIGNED}, cells AS (SELECT item_id, 'S' || ql.supplier_id AS supplier, arg_max(price, (done.quote_id, line_id)) AS price FROM done JOIN ql USING (line_id) WHERE match_mode = 'auto' GROUP BY ALL)
-SELECT oi.order_id, oi.item_id, max(price) FILTER (WHERE supplier = 'S0') AS "S0", max(price) FILTER (WHERE supplier = 'S1') AS "S1" FROM oi LEFT JOIN cells USING (item_id) GROUP BY ALL""")
-def comparison_pivot(spark, d):
-    oi, ql = _order(spark, d)
-    no_tokens = F.array().cast("array<string>")
-    m = quotes.match_quotes(ql.withColumn("tokens", no_tokens), oi.withColumn("tokens", no_tokens), equivalents(spark))
-    q = ql.select("quote_id", "supplier_id").distinct()
-    s = spark.range(2).select(F.col("id").alias("supplier_id"), F.concat(F.lit("S"), F.col("id").cast("string")).alias("name"))
-    return quotes.pivoted(quotes.comparison(m, ql, oi, q, s), ["S0", "S1"]).select("order_id", "item_id", "S0", "S1")
-
-
-def _matched(spark, d):
-    oi, ql = (saved(_with_tokens(x, "std_norm")) for x in _order(spark, d))
-    return oi, ql, quotes.match_quotes(ql, oi, equivalents(spark))
-
-
-@query()
-def quote_assignment_similar(spark, d):
-    """quote_assignment with the similarity stage: lines without an exact pair are searched by their own tokens."""
-    return _matched(spark, d)[2].select("line_id", "match_mode", "item_id", "best_item_id", "jaccard", "stage")
-
-
-@query()
-def comparison_pivot_similar(spark, d):
-    """comparison_pivot over the matches of both stages."""
-    oi, ql, m = _matched(spark, d)
-    s = spark.range(2).select(F.col("id").alias("supplier_id"), F.concat(F.lit("S"), F.col("id").cast("string")).alias("name"))
-    return quotes.pivoted(quotes.comparison(m, ql, oi, ql.select("quote_id", "supplier_id").distinct(), s), ["S0", "S1"]).select("order_id", "item_id", "S0", "S1")
-
-
 @query(f"WITH {_BENCH}, j AS (SELECT a, round(c / (ln + rn - c), 6) AS jaccard, b FROM p) SELECT a, round(jaccard - coalesce(lead(jaccard) OVER w, 0), 6) AS delta FROM j WINDOW w AS (PARTITION BY a ORDER BY jaccard DESC, b) QUALIFY row_number() OVER w = 1")
 def best_vs_second_delta(spark, d):
     j = S.token_join(_bench(spark, d, "a"), _bench(spark, d, "b"), "a", "b").where("a <> b").withColumn("jaccard", F.round("jaccard", 6))
@@ -352,7 +294,9 @@ def column_profile(spark, d):
     return f.select(F.col("col").cast("long").alias("col"), "n", F.round("avg_len", 6).alias("avg_len"), F.round("alpha", 6).alias("alpha"), F.round("number", 6).alias("number"), "numbers")
 
 
-@query("SELECT col::BIGINT AS col, col = 0 AS is_index FROM (VALUES (0), (1), (2), (3)) AS t(col)")
+@query(f"""WITH {_GRID}, v AS (SELECT 0 AS col, i, i::VARCHAR AS v FROM g UNION ALL SELECT 1, i, raw_text FROM g UNION ALL SELECT 2, i, q FROM g UNION ALL SELECT 3, i, c FROM g),
+x AS (SELECT col, v, try_cast(v AS DOUBLE) AS x, lag(try_cast(v AS DOUBLE)) OVER (PARTITION BY col ORDER BY i) AS b FROM v)
+SELECT col::BIGINT AS col, NOT bool_or(regexp_matches(v, '[a-zA-Z]')) AND count(x) >= 2 AND count(x) >= 0.8 * count(*) AND count(*) FILTER (WHERE x <= b) <= 0.1 * (count(x) - 1) AS is_index FROM x GROUP BY 1""")
 def index_column(spark, d):
     return profile.index_columns(_grid(spark, d)).select(F.col("col").cast("long").alias("col"), "is_index")
 

@@ -249,3 +249,15 @@ def content_keys(spark, d):
     t = table(spark, d, "documents").select("doc_id", T.text("text").alias("t"))
     key = sinks.text_key_of(F.col("t"))
     return t.select("doc_id", key.alias("text_key"), sinks.file_key_of(F.encode("t", "UTF-8")).alias("file_key"), sinks.download_key_of(key, ["size", "diameter"]).alias("download_key"))
+
+
+_LINES = {
+    "'  '": "garbage", "'Всего к оплате ' || p_size": "total", "'Наименование Цена Сумма Код'": "header", "'ИНН ' || p_partkey || ' банк'": "requisites", "'Накладная от 5 мая'": "requisites", "'В т.ч. НДС 20 процентов'": "total", "p_name || ' M' || p_size": "item",
+    "'ok'": "garbage", "'two words'": "garbage", "'three plain words'": "item", "'Итого DIN 933'": "item", "'Оплата: шайба'": "item", "'Артикул код номер'": "header", "'Адрес: улица ' || p_size": "requisites", "'5х20 оплата'": "item",
+}
+
+
+@query(f"""SELECT p_partkey, {case(*(f"'{c}'" for c in _LINES.values()))} AS line_class FROM part""")
+def quote_line_classes(spark, d):
+    """Lines of quotes of every class; signs of an item outweigh all others."""
+    return shapes(spark, d, *_LINES).select("p_partkey", X.classify_line("t").alias("line_class"))
