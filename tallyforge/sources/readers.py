@@ -34,11 +34,11 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("n"))
     w = Window.partitionBy("file").orderBy("n")
     first = lines.withColumn("r", F.row_number().over(w)).where("r <= 20").groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("sample"))
-    broken = lines.groupBy("file").agg(F.max(F.col("line").contains("\ufffd")).alias("broken"))
+    broken = lines.groupBy("file").agg(F.max(~F.is_valid_utf8("line")).alias("broken"))
     kinds: dict[tuple[bool, str], list[str]] = {}
     for r in first.join(broken, "file").collect():
         kinds.setdefault((r["broken"], sniff_delimiter(r["sample"])), []).append(r["file"])
-    grids = [_separated(spark, sorted(files), sep, "windows-1251" if old else "UTF-8") for (old, sep), files in sorted(kinds.items())]
+    grids = [_separated(spark, sorted(files), sep, old) for (old, sep), files in sorted(kinds.items())]
     if not grids:
         return spark.createDataFrame([], "file string, row_index int, cells array<string>")
     out = grids[0]
@@ -47,11 +47,17 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def _separated(spark: SparkSession, files: list[str], sep: str, encoding: str) -> DataFrame:
+# What each byte from 0x80 on is in cp1251; Spark's own reader does not know that encoding, but keeps bytes as ISO 8859-1.
+_LATIN = "".join(map(chr, range(0x80, 0x100)))
+_CYRILLIC = "".join(bytes([b]).decode("cp1251", "replace") for b in range(0x80, 0x100))
+
+
+def _separated(spark: SparkSession, files: list[str], sep: str, cyrillic: bool) -> DataFrame:
     most = spark.read.text(files).agg(F.max(F.size(F.split("value", re.escape(sep))))).first()[0] or 1  # cells of a line at most
     schema = ", ".join(f"c{i} string" for i in range(most))
-    read = spark.read.schema(schema).options(sep=sep, encoding=encoding, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).csv(files)
-    rows = read.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), F.array(*[F.trim(F.coalesce(f"c{i}", F.lit(""))) for i in range(most)]).alias("cells"))
+    read = spark.read.schema(schema).options(sep=sep, encoding="ISO-8859-1" if cyrillic else "UTF-8", quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).csv(files)
+    said = lambda c: F.translate(c, _LATIN, _CYRILLIC) if cyrillic else c
+    rows = read.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), F.array(*[F.trim(said(F.coalesce(f"c{i}", F.lit("")))) for i in range(most)]).alias("cells"))
     # Cells after a row's last one that holds something are not kept.
     width = F.array_max(F.transform("cells", lambda c, i: F.when(c != "", i + 1).otherwise(0)))
     rows = rows.withColumn("cells", F.slice("cells", F.lit(1), width)).withColumn("row_index", F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1)

@@ -113,10 +113,21 @@ def test_snapshots_and_differences(spark):
     assert [tuple(r) for r in got] == [(0, "status", "review", "ok")]
 
 
-def test_explained_rows_compute_only_what_is_read(spark):
-    df = R.evaluate(rows(spark, {"item_type": "болт"}), READY)
-    t = R.explain_rows(df, {"extract": ["size", "diameter"], "status": ["status", "reason", "missing"]}).select("trace.status.status").first()
-    assert t["status"] == "manual"
+def test_traces_have_every_stage(spark):
+    df = spark.createDataFrame([(0, "Болт М8х20 8.8 цинк DIN 933", "Болт М8х20"), (1, "что-то", "")], "row_id long, raw_text string, name string")
+    readiness, inference, categories, exceptions = R.defaults()
+    decisions = spark.createDataFrame([(0, "AUTO_EXACT", 7, 100)], "row_id long, mode string, item_id long, score int")
+    t = {r["row_id"]: r["trace"] for r in R.traces(df, seeds.default_dictionary(), readiness, spark.createDataFrame(seeds.STANDARDS, "kind string, code string, item_type string"), inference, (), categories, exceptions, decisions).collect()}
+    assert list(t[0].asDict()) == ["raw", "extracted", "detection", "enrichment", "inference", "readiness", "validation", "final", "matching", "category"]
+    assert (t[0]["raw"]["name"], t[0]["extracted"]["size"], t[0]["detection"]["strength"], t[0]["enrichment"]["standard_type"], t[0]["matching"]["item_id"], t[0]["category"]["category"]) == ("Болт М8х20", "M8x20", "8.8", "болт", 7, "metric_fasteners")
+    assert t[0]["detection"]["strength_rule"].isdigit() and t[1]["final"]["status"] == "manual" and t[1]["matching"]["mode"] is None
+
+
+def test_rule_tables_are_loaded_by_priority(spark):
+    table = spark.createDataFrame([(1, "b", None, '["size", "qty"]', 5, True), (2, "a", "болт", "[]", 0, True), (3, "c", None, "[]", 0, False)], "id long, name string, item_type string, required string, priority int, active boolean")
+    assert R.load(table, R.Readiness) == [R.Readiness("a", "болт", (), 0), R.Readiness("b", None, ("size", "qty"), 5)]
+    with pytest.raises(ValueError):
+        R.load(spark.range(R.MOST_RULES + 1).selectExpr("id", "'x' as name", "null as item_type", "'[]' as required"), R.Readiness)
 
 
 def test_names_parsed_once(spark):
