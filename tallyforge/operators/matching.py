@@ -119,9 +119,10 @@ def similar_candidates(rows: DataFrame, items: DataFrame, settings: Settings = S
     asked = rows.select(query, "tokens", "type_norm").groupBy("__q").agg(F.first("tokens").alias("tokens"), F.first("type_norm").alias("type_norm"))
     # Both searches read one table of bands of each side.
     left, right = (saved(S.banded(df, key, ["type_norm"])) for df, key in ((asked, "__q"), (items.where("is_active"), "item_id")))
-    typed = S.lsh_join(left.where("type_norm <> ''"), right, "__q", "item_id", ["type_norm"])
-    wide = S.lsh_join(left, right, "__q", "item_id")
-    pairs = S.with_fallback(typed, wide, asked, "__q", settings.min_candidates).withColumn("jaccard", F.round("jaccard", 3))
+    typed = saved(S.lsh_join(left.where("type_norm <> ''"), right, "__q", "item_id", ["type_norm"]))
+    # Only rows with few candidates of their type are searched over all types.
+    wide = S.lsh_join(S.lacking(left, typed, "__q", settings.min_candidates), right, "__q", "item_id")
+    pairs = typed.unionByName(wide).distinct().withColumn("jaccard", F.round("jaccard", 3))
     best = S.top_k(pairs, "__q", [F.desc("jaccard"), F.col("item_id")], settings.top_k).drop("rank")
     return rows.select("row_id", query).join(best, "__q").select("row_id", "item_id", "jaccard")
 

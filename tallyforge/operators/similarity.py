@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
+from tallyforge.operators.graph import ship
 
 PRIME = 4294967311  # the smallest prime above 2**32
 PERMUTATIONS, BANDS, BAND_ROWS = 128, 37, 3
@@ -45,14 +48,63 @@ def token_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, t
     return pairs.select(left_id, right_id, "shared", (F.col("shared") / (F.col("__la") + F.col("__lb") - F.col("shared"))).alias("jaccard"))
 
 
+def _keys(permutations: int) -> list[tuple[int, int]]:
+    return [((7919 * (i + 1) * 104729) % 2097143 + 1, (15485863 * (i + 3)) % PRIME) for i in range(permutations)]
+
+
+def _hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def signature(tokens: Column, permutations: int = PERMUTATIONS) -> Column:
-    """MinHash signature: for each permutation the smallest of (a * h + b) mod a prime over the tokens; null for no tokens."""
-    h = F.transform(tokens, lambda t: F.xxhash64(t).bitwiseAND(F.lit(0xFFFFFFFF)))
-    ab = [((7919 * (i + 1) * 104729) % 2097143 + 1, (15485863 * (i + 3)) % PRIME) for i in range(permutations)]
-    keys = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in ab])
+    """MinHash signature: for each permutation the smallest of (a * h + b) mod a prime over the tokens; null for no tokens.
+
+    An expression, for a few rows; signatures() is many times faster on tables.
+    """
+    h = _hashes(tokens)
+    keys = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in _keys(permutations)])
     return F.when(F.size(tokens) > 0, T.let(h, lambda own: F.transform(keys, lambda k: F.array_min(F.transform(own, lambda x: (k["a"] * x.bitwiseAND(F.lit(0x3FFFFFF)) + k["b"] + x) % PRIME)))))
 
 
+def _minima(off: np.ndarray, h: np.ndarray, keys: list[tuple[int, int]]) -> np.ndarray:
+    """(rows, keys): the smallest value of each key over the hashes off[i] .. off[i + 1] of each row, which has some."""
+    out = np.empty((len(off) - 1, len(keys)), np.int64)
+    low = h & 0x3FFFFFF
+    for i, (a, b) in enumerate(keys):
+        out[:, i] = np.minimum.reduceat((low * a + (h + b)) % PRIME, off[:-1])
+    return out
+
+
+def signatures(df: DataFrame, columns: list[str], tokens: str = "tokens", bands: bool = False, permutations: int = PERMUTATIONS) -> DataFrame:
+    """The columns of df with `signature`, the same as signature() gives, or with `bands` the hashes of its BANDS bands; both null for no tokens.
+
+    Hashes are made by Spark; their minima are numpy's, over a record batch at once.
+    """
+    ship(df.sparkSession)
+    rows = df.select(*columns, _hashes(F.col(tokens)).alias("__h"))
+    name, keys, many, rows_of = ("bands" if bands else "signature"), _keys(permutations), BANDS if bands else permutations, BAND_ROWS
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(columns)]), f"{name} array<long>"])
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(len(columns))
+            size = lists.value_lengths().fill_null(0).to_numpy()
+            some = np.flatnonzero(size > 0)
+            got = _minima(np.concatenate([[0], np.cumsum(size[some])]), lists.flatten().to_numpy(), keys)
+            if bands:
+                x = got[:, : BANDS * rows_of].reshape(len(some), BANDS, rows_of).view(np.uint64)
+                h = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                for k in range(rows_of):
+                    h = (h ^ x[:, :, k]) * np.uint64(0xBF58476D1CE4E5B9)
+                    h = h ^ (h >> np.uint64(29))
+                got = h.view(np.int64)
+            off = np.concatenate([[0], np.cumsum(np.where(size > 0, many, 0))]).astype(np.int32)
+            value = pa.ListArray.from_arrays(pa.array(off, pa.int32(), mask=np.append(size == 0, False)), pa.array(got.reshape(-1))) if len(some) < len(size) else pa.ListArray.from_arrays(pa.array(off), pa.array(got.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], value], [*b.schema.names[: len(columns)], name])
+
+    return rows.mapInArrow(run, schema)
+
+
 def digest_signature(tokens: Column, permutations: int = 16) -> Column:
     """The smallest of the first 8 hex digits of sha1(`k:token`) for each k, joined; it needs no hash that only one engine has."""
     return T.let(tokens, lambda own: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda k: F.array_min(F.transform(own, lambda t: F.substring(F.sha1(F.concat(k.cast("string"), F.lit(":"), t).cast("binary")), 1, 8)))), ""))
@@ -63,21 +115,21 @@ def estimate(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.size(a)
 
 
-def band_keys(sig: Column, bands: int = BANDS, rows: int = BAND_ROWS) -> Column:
-    return T.let(sig, lambda own: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice(own, i * rows + 1, rows))))
-
-
 def banded(df: DataFrame, key: str, block: list[str] = (), tokens: str = "tokens") -> DataFrame:
-    """(key, tokens, block columns, bands): what lsh_join() reads; signatures are the costly part, so write it out where it is read twice."""
-    return df.select(key, F.col(tokens).alias("tokens"), *block, band_keys(signature(F.col(tokens))).alias("bands"))
+    """(key, hashes, block columns, bands): what lsh_join() reads; signatures are the costly part, so write it out where it is read twice.
+
+    `hashes` are 64-bit hashes of the tokens, which are compared much faster than texts.
+    """
+    own = df.select(key, F.transform(tokens, lambda t: F.xxhash64(t)).alias("hashes"), F.col(tokens).alias("tokens"), *block)
+    return signatures(own, [key, "hashes", *block], bands=True)
 
 
 def lsh_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, block: list[str] = (), minimum: float = 0.0) -> DataFrame:
     """(left_id, right_id, jaccard) of pairs of banded() tables that share a band, with the exact Jaccard of their tokens."""
     l, r = (df.select(key, *block, F.explode("bands").alias("__band")) for df, key in ((left, left_id), (right, right_id)))
     pairs = l.join(r, ["__band", *block]).select(left_id, right_id).distinct()
-    both = pairs.join(left.select(left_id, "tokens"), left_id).join(right.select(right_id, F.col("tokens").alias("__rt")), right_id)
-    return both.select(left_id, right_id, jaccard(F.col("tokens"), F.col("__rt")).alias("jaccard")).where(F.col("jaccard") >= minimum)
+    both = pairs.join(left.select(left_id, "hashes"), left_id).join(right.select(right_id, F.col("hashes").alias("__rt")), right_id)
+    return both.select(left_id, right_id, jaccard(F.col("hashes"), F.col("__rt")).alias("jaccard")).where(F.col("jaccard") >= minimum)
 
 
 def top_k(pairs: DataFrame, key: str, order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -85,10 +137,9 @@ def top_k(pairs: DataFrame, key: str, order: list[Column], k: int, rank: str = "
     return pairs.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def with_fallback(typed: DataFrame, untyped: DataFrame, rows: DataFrame, key: str, minimum: int) -> DataFrame:
-    """Pairs within the type, and for rows with fewer than `minimum` of them all pairs too; each pair once."""
-    few = rows.join(typed.groupBy(key).count().where(F.col("count") >= minimum).select(key), key, "left_anti").select(key)
-    return typed.unionByName(untyped.join(few, key, "left_semi")).distinct()
+def lacking(rows: DataFrame, pairs: DataFrame, key: str, minimum: int) -> DataFrame:
+    """The rows that have fewer than `minimum` pairs."""
+    return rows.join(pairs.groupBy(key).count().where(F.col("count") >= minimum).select(key), key, "left_anti")
 
 
 def augment(direct: DataFrame, via: DataFrame, row: str, item: str) -> DataFrame:

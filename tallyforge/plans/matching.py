@@ -122,7 +122,7 @@ def match_without_similarity(spark, d):
 def minhash_signatures(spark, d):
     """Signatures of 128 permutations of the catalogue's 4-grams."""
     i = items(spark, d).withColumn("tokens", T.char_ngrams(T.similarity_text(F.concat_ws(" ", "name", "size"))))
-    return i.select("item_id", S.signature(F.col("tokens")).alias("signature"))
+    return S.signatures(i, ["item_id"])
 
 
 @query(f"""WITH {ITEMS}, g AS (SELECT item_id, list_distinct(list_transform(generate_series(1, greatest(length(t) - 3, 1)), lambda i: substr(t, i, 4))) AS g FROM (SELECT item_id, replace(name, ' ', '_') AS t FROM items)),

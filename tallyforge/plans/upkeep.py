@@ -148,7 +148,7 @@ def index_upkeep(spark, d):
     p = table(spark, d, "part")
     before = saved(p.where("p_partkey % 7 <> 0").select(k.alias("item_id"), F.col("p_name").alias("name")))
     after = saved(p.where("p_partkey % 5 <> 0").select(k.alias("item_id"), F.expr(case("p_name", "p_name || ' new'")).alias("name")))
-    build = lambda rows, new: rows.select("item_id", S.signature(T.char_ngrams("name")).alias("signature"), F.lit(new).alias("built"))
+    build = lambda rows, new: S.signatures(rows.withColumn("tokens", T.char_ngrams("name")), ["item_id"]).withColumn("built", F.lit(new))
     index = catalog.refreshed(saved(build(before, False)), before, after, "item_id", lambda rows: build(rows, True))
     same = after.select("item_id", "name", S.signature(T.char_ngrams("name")).alias("own"))
     return index.join(same, "item_id").where("signature = own").select("item_id", "name", "built")

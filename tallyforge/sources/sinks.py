@@ -78,11 +78,11 @@ def preview(df: DataFrame, order: str = "row_id", limit: int = 200) -> DataFrame
 
 def signature_table(items: DataFrame, path: str, version: str, tokens: str = "tokens") -> DataFrame:
     """MinHash signatures of items, written once for a version of them and read again while it lasts."""
-    from tallyforge.operators.similarity import signature
+    from tallyforge.operators.similarity import signatures
 
     where = f"{path}/{version}"
     spark = items.sparkSession
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
     if not p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
-        items.select("item_id", signature(F.col(tokens)).alias("signature")).write.mode("overwrite").parquet(where)
+        signatures(items, ["item_id"], tokens).write.mode("overwrite").parquet(where)
     return spark.read.parquet(where)

@@ -123,10 +123,17 @@ def test_signatures_estimate_jaccard(spark):
     assert abs(r["e"] - r["j"]) < 0.15 and r["n"] is None
 
 
-def test_fallback_adds_pairs_of_other_types(spark):
-    pairs = lambda rows: spark.createDataFrame(rows, "row_id long, item_id long")
-    got = S.with_fallback(pairs([(1, 1), (2, 1), (2, 2)]), pairs([(1, 1), (1, 9), (2, 9)]), spark.range(1, 4).withColumnRenamed("id", "row_id"), "row_id", 2).collect()
-    assert sorted(map(tuple, got)) == [(1, 1), (1, 9), (2, 1), (2, 2)]
+def test_signatures_of_tables_are_those_of_the_expression(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None), (4, [f"t{i}" for i in range(500)]), (5, ["a", "b"])], "item_id long, tokens array<string>")
+    got = {r["item_id"]: r["signature"] for r in S.signatures(df, ["item_id"]).collect()}
+    assert got == {r["item_id"]: r["s"] for r in df.select("item_id", S.signature(F.col("tokens")).alias("s")).collect()}
+    bands = {r["item_id"]: r["bands"] for r in S.banded(df, "item_id").collect()}
+    assert bands[1] == bands[5] and bands[2] is None and len(bands[4]) == S.BANDS and not set(bands[1]) & set(bands[4])
+
+
+def test_rows_with_few_pairs(spark):
+    pairs = spark.createDataFrame([(1, 1), (2, 1), (2, 2)], "row_id long, item_id long")
+    assert sorted(r["row_id"] for r in S.lacking(spark.range(1, 4).withColumnRenamed("id", "row_id"), pairs, "row_id", 2).collect()) == [1, 3]
 
 
 def test_groups_parents_and_reasons(spark, equivalents):
