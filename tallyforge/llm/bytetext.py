@@ -134,14 +134,20 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            self._hash = self.range_hash(self.start, self.end)
+            self._hash = np.empty(len(self), U64)
+            at = 0
+            while at < len(self):  # stretches of BLOCK_BYTES, so that what is held for them is bounded
+                to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + BLOCK_BYTES, "right")))
+                self._hash[at:to] = self._hashed(self.start[at:to], self.end[at:to])
+                at = to
         return self._hash
 
-    def range_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        up, down = _power("bytes", len(self.buf) + 1)
-        total = np.zeros(len(self.buf) + 1, U64)
-        np.cumsum(_BYTE[self.buf] * up[:-1], out=total[1:])
-        return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64))
+    def _hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        low, high = start[0], end[-1]
+        up, down = _power("bytes", high - low + 1)
+        total = np.zeros(high - low + 1, U64)
+        np.cumsum(_BYTE[self.buf[low:high]] * up[:-1], out=total[1:])
+        return mix((total[end - low] - total[start - low]) * down[start - low] + (end - start).astype(U64))
 
     def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Word positions at which `size` words of one text begin, and the hash of those words."""

@@ -36,12 +36,12 @@ from tallyforge.llm.common import documents, give_back, map_blocks, saved, ship,
 
 SIZE = 35
 GRAM = 8
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 SHARD_WORDS = 250_000
 #: Units sent as one text.
 CHAIN = 16
 #: Bytes of passages whose words are numbered together; so many hold fewer distinct words than there are letters.
-ALPHABET_BYTES = 4 << 20
+ALPHABET_BYTES = 3 << 20
 
 
 class Units:
@@ -152,6 +152,7 @@ def unit_texts(packed: DataFrame, wanted: DataFrame, size: int, gram: int) -> Da
     """
 
     def cut(texts: pa.Table, units: pa.Table) -> pa.Table:
+        give_back()
         u, v, n = (units.column(c).to_numpy() for c in ("u", "v", "n"))
         counted = units.column("counted").to_numpy().astype(bool)
         key = mix(u.view(U64)) ^ v.view(U64)
@@ -319,6 +320,7 @@ def confirmed_passages(packed: DataFrame, size: int, gram: int) -> tuple[DataFra
     unsaved(units)
     whole = shared.groupBy("u", "v").agg(F.sum("n").alias("n"), F.min("p").alias("giver"))
     judged = saved(shared.drop("n").join(whole, ["u", "v"]))
+    unsaved(shared)
     # Units of which one occurrence is read: those that recur, and those that occur once.
     given = judged.where("p = giver")
     doubtful = judged.where("n = 1").select("a").distinct().withColumn("counted", F.lit(True))
@@ -333,7 +335,6 @@ def confirmed_passages(packed: DataFrame, size: int, gram: int) -> tuple[DataFra
     passages = chains.select("u", "v", "at", "words", "text").unionByName(distinct.select("u", "v", F.array(F.lit(0)).alias("at"), F.array("n").alias("words"), "text"))
     members = chains.select(F.col("u").alias("cu"), F.col("v").alias("cv"), F.explode(F.arrays_zip("us", "vs")).alias("x")).select("cu", "cv", F.col("x.us").alias("u"), F.col("x.vs").alias("v"))
     places = judged.where("n > 1").select("p", "u", "v").join(members, ["u", "v"]).select("p", F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
-    unsaved(shared)
     return passages, places.unionByName(runs.select("p", "u", "v").distinct())
 
 
@@ -357,6 +358,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sent = places.join(passages, ["u", "v"]).select("p", "at", "words", "text")
 
     def strip(texts: pa.Table, passages: pa.Table) -> pa.Table:
+        give_back()
         words = [w for _, _, w in _texts(texts)]
         none = np.zeros(0, np.int64)
         n_words, n_removed, kept = [none], [none], []
