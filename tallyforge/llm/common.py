@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.bytetext import BLOCK_BYTES, blocks
+from tallyforge.operators import graph
 from tallyforge.operators.graph import components, saved, shared_dir, unsaved  # noqa: F401
 
 #: Share of a document's rows that fit no model: the remainder of crc32(doc_id as text) modulo 5.
@@ -31,29 +29,19 @@ def piece(text, doc_id, longest: int) -> F.Column:
     return F.substr(text, (F.pmod(F.xxhash64(doc_id, F.lit("piece")), over) + 1).cast("int"), F.lit(longest))
 
 
-_shipped: set[str] = set()
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of a record batch sent to Python, where the session keeps Spark's default of 10,000: whole texts may be long.
 TEXT_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver found it; Spark itself distributes the file.
+    """Let Python workers import this package, and make the session's Arrow batches TEXT_ROWS long, unless another length than the default is set.
 
-    Also makes the session's Arrow batches TEXT_ROWS long, unless another length than the default is set.
+    The length is read when a plan runs, so it stays for the session.
     """
     if spark.conf.get(ARROW_ROWS) == "10000":
         spark.conf.set(ARROW_ROWS, TEXT_ROWS)
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(to))
-    _shipped.add(sc.applicationId)
+    graph.ship(spark)
 
 
 @contextmanager
