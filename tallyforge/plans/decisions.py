@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyforge.functions import extract as X
-from tallyforge.functions import text as T
 from tallyforge.operators import matching, quotes
 from tallyforge.operators import rules as R
 from tallyforge.operators import similarity as S

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text as T
 from tallyforge.operators import catalog, cluster, matching, metrics, quotes
 from tallyforge.operators import similarity as S
-from tallyforge.operators.graph import saved
 from tallyforge.plans.base import EQUIVALENTS, ITEMS, LINES, RECORDS, equivalents, items, lines, records, table
 from tallyforge.sources import profile
 
@@ -102,10 +101,6 @@ def weighted_score(spark, d):
     return matching.weighted_score(matching.score_features(r, "r").join(matching.score_features(i, "i"), "item_id")).select("row_id", F.col("score").cast("long").alias("score"))
 
 
-def _with_tokens(df, standard="std_key"):
-    return df.withColumn("tokens", S.item_tokens("name", "type_norm", "size_norm", standard))
-
-
 _DECIDE = _EXACT + ", m AS (SELECT row_id, item_id FROM records JOIN items ON part_id = item_id WHERE is_active AND part_id % 4 = 0)"
 
 
@@ -199,10 +194,6 @@ def quote_match(spark, d):
     return quotes.exact_pairs(ql, oi, equivalents(spark)).select("line_id", "item_id", F.col("score").cast("long").alias("score"))
 
 
-_ASSIGNED = _QUOTES + """, claim AS (SELECT *, score >= 90 AS sure, row_number() OVER (PARTITION BY quote_id, item_id, score >= 90 ORDER BY line_id) AS turn FROM best),
-done AS (SELECT *, CASE WHEN sure AND turn = 1 THEN 'auto' ELSE 'suggested' END AS match_mode FROM claim)"""
-
-
 @query(f"WITH {_BENCH}, j AS (SELECT a, round(c / (ln + rn - c), 6) AS jaccard, b FROM p) SELECT a, round(jaccard - coalesce(lead(jaccard) OVER w, 0), 6) AS delta FROM j WINDOW w AS (PARTITION BY a ORDER BY jaccard DESC, b) QUALIFY row_number() OVER w = 1")
 def best_vs_second_delta(spark, d):
     j = S.token_join(_bench(spark, d, "a"), _bench(spark, d, "b"), "a", "b").where("a <> b").withColumn("jaccard", F.round("jaccard", 6))

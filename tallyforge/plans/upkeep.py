@@ -11,7 +11,7 @@ from tallyforge.operators import catalog, cluster, matching, metrics, snapshot
 from tallyforge.operators import rules as R
 from tallyforge.operators import similarity as S
 from tallyforge.operators.graph import saved
-from tallyforge.plans.base import EQUIVALENTS, ITEMS, RECORDS, equivalents, items, records, register, table
+from tallyforge.plans.base import EQUIVALENTS, ITEMS, equivalents, items, records, register, table
 from tallyforge.plans.matching import _EXACT, _KEYED, _expected, _EXPECTED, _runs, _RUNS
 from tallyforge.plans.scalars import case
 
