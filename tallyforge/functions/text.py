@@ -313,9 +313,8 @@ def similarity_text(c) -> Column:
 
 def char_ngrams(c, n: int = 4) -> Column:
     """Distinct character n-grams, spaces as _; a shorter text is its own n-gram and '' has none."""
-    t = F.translate(_c(c), " ", "_")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: t.substr(i, F.lit(n)))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+    grams = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: t.substr(i, F.lit(n)))
+    return let(F.translate(_c(c), " ", "_"), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.array_distinct(grams(t))))
 
 
 def word_tokens(name, item_type=None, size=None, standard=None) -> Column:

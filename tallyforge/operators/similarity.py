@@ -17,10 +17,9 @@ PERMUTATIONS, BANDS, BAND_ROWS = 128, 37, 3
 def item_tokens(name, item_type=None, size=None, standard=None, n: int = 4) -> Column:
     """Character n-grams of an item's text, with its type and standard if the name lacks them, and SIZE:, TYPE: and STD: marks."""
     kind, key = T.clean(item_type) if item_type is not None else F.lit(""), T.text(standard) if standard is not None else F.lit("")
-    norm = T.similarity_text(name)
-    own = T.similarity_text(kind)
-    std = T.similarity_text(T.display_standard(key))
-    whole = F.concat_ws(" ", norm, F.when((own != "") & ~norm.contains(own), own), F.when((std != "") & ~norm.contains(std), std))
+    parts = F.struct(T.similarity_text(name).alias("norm"), T.similarity_text(kind).alias("own"), T.similarity_text(T.display_standard(key)).alias("std"))
+    absent = lambda x, p: F.when((p != "") & ~x["norm"].contains(p), p)
+    whole = T.let(parts, lambda x: F.concat_ws(" ", x["norm"], absent(x, x["own"]), absent(x, x["std"])))
     return F.array_union(T.char_ngrams(whole, n), marks(size if size is not None else F.lit(""), kind, key))
 
 
@@ -42,8 +41,10 @@ def token_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, t
     An inverted index: both sides are exploded and joined on the token; the pair's size is counted
     with partial aggregation. Tokens that very many rows have make many pairs: use lsh_join there.
     """
-    lt = left.select(F.col(left_id), F.size(tokens).alias("__la"), *block, F.explode(F.array_distinct(tokens)).alias("__t"))
-    rt = right.select(F.col(right_id), F.size(tokens).alias("__lb"), *block, F.explode(F.array_distinct(tokens)).alias("__t"))
+    def exploded(df, key, size):  # tokens meet by their 64-bit hashes
+        return df.select(F.col(key), F.size(tokens).alias(size), *block, F.explode(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))).alias("__t"))
+
+    lt, rt = exploded(left, left_id, "__la"), exploded(right, right_id, "__lb")
     pairs = lt.join(rt, ["__t", *block]).groupBy(left_id, right_id, "__la", "__lb").agg(F.count("*").alias("shared"))
     return pairs.select(left_id, right_id, "shared", (F.col("shared") / (F.col("__la") + F.col("__lb") - F.col("shared"))).alias("jaccard"))
 

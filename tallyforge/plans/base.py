@@ -32,9 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: dealt out anew if it has fewer partitions than that, as one small file has; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """row_id, order_id, supplier_id, part_id, price and raw_text of each order line; the id is made of the columns that tell lines apart, so nothing is shuffled for it."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    """row_id, order_id, supplier_id, part_id, price and raw_text of each order line; the id is made of the columns that tell lines apart, so nothing is grouped for it."""
+    l = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size")
     s = lambda c: c.cast("string")
     strength = F.when(F.col("l_partkey") % 3 == 0, " 8.8").when(F.col("l_partkey") % 3 == 1, " 10.9").otherwise("")
