@@ -152,22 +152,22 @@ def top_candidates(spark, d):
     return matching.top_items(got, g).select("row_id", F.col("rank").cast("long").alias("rank"), "uid_1c", "name", F.col("score").cast("long").alias("score"))
 
 
-@query(f"""WITH {ITEMS}, {_REQUESTS}, open AS (SELECT * FROM req WHERE row_id % 8 IN (2, 3, 4)), {_similar(False)}
-SELECT count(*)::BIGINT AS rows, true AS most_found FROM judged""")
+@query(f"""WITH {ITEMS}, {_REQUESTS}, open AS (SELECT * FROM req), {_similar(False)}
+SELECT count(*)::BIGINT AS rows, true AS most_found FROM judged WHERE j >= 0.5""")
 def lsh_recall(spark, d):
     """Whether LSH finds at least 95 % of the pairs of half their tokens or more that an exact join over the inverted index finds."""
-    r, g = _requests(spark, d).where("row_id % 8 IN (2, 3, 4)"), _goods(spark, d).where("is_active")
+    r, g = _requests(spark, d), _goods(spark, d).where("is_active")
     exact = S.token_join(r, g, "row_id", "item_id").where("jaccard >= 0.5").select("row_id", "item_id")
     found = S.lsh_join(saved(S.banded(r, "row_id")), saved(S.banded(g, "item_id")), "row_id", "item_id").select("row_id", "item_id", F.lit(1).alias("hit"))
     both = exact.join(found, ["row_id", "item_id"], "left")
     return both.agg(F.count_distinct("row_id").alias("rows"), (F.count("hit") >= 0.95 * F.count("*")).alias("most_found"))
 
 
-@query(f"""WITH {ITEMS}, {_REQUESTS}, open AS (SELECT * FROM req WHERE row_id % 8 IN (2, 4, 5, 7)), {_similar(False)}
+@query(f"""WITH {ITEMS}, {_REQUESTS}, open AS (SELECT * FROM req), {_similar(False)}
 SELECT row_id, item_id, CASE WHEN passes THEN 0 END::BIGINT AS level FROM judged WHERE passes AND j >= 0.6""")
 def filtered_candidates(spark, d):
     """The ladder over real similarity candidates, one of each canonical key: the most similar pairs that pass every filter."""
-    r, g = _requests(spark, d).where("row_id % 8 IN (2, 4, 5, 7)"), _goods(spark, d)
+    r, g = _requests(spark, d), _goods(spark, d)
     listed = matching.candidate_list(saved(matching.similar_candidates(r, g)), r, g)
     kept = matching.filter_ladder(matching.badges(matching.with_sides(listed, r, g)))
     return kept.where("filter_level = 0 AND NOT best_filtered_out AND rank = 1 AND jaccard >= 0.6").select("row_id", "item_id", F.col("filter_level").cast("long").alias("level"))
@@ -234,15 +234,15 @@ _BEST = """f AS (SELECT *, CASE WHEN r_s = i_s THEN 1.0 WHEN abs(r_s[1] - i_s[1]
   CASE WHEN std_key = istd THEN 1.0 WHEN istd <> '' THEN 0.30 ELSE 0.0 END AS fd, (type_norm = it) AS ft, len(list_intersect(list_filter(rw, lambda x: x <> type_norm AND x <> it), list_filter(iw, lambda x: x <> type_norm AND x <> it))) * 0.15 AS fx FROM p)"""
 
 
-@query(f"""WITH {ITEMS}, {_REQUESTS}, r AS (SELECT row_id, p_partkey, 'M' || d || 'X' || l AS size_norm, type_norm, std_key, d, l, list_sort([d, l]) AS r_s, list_distinct(regexp_extract_all(lower(raw_text), '[a-z]{{3,}}')) AS rw FROM (SELECT *, regexp_extract(size_norm, 'M([0-9]+)', 1)::INT AS d, regexp_extract(size_norm, 'X([0-9]+)', 1)::INT AS l FROM req WHERE row_id % 8 IN (0, 1, 6))),
+@query(f"""WITH {ITEMS}, {_REQUESTS}, r AS (SELECT row_id, p_partkey, 'M' || d || 'X' || l AS size_norm, type_norm, std_key, d, l, list_sort([d, l]) AS r_s, list_distinct(regexp_extract_all(lower(raw_text), '[a-z]{{3,}}')) AS rw FROM (SELECT *, try_cast(regexp_extract(size_norm, 'M([0-9]+)', 1) AS INT) AS d, try_cast(regexp_extract(size_norm, 'X([0-9]+)', 1) AS INT) AS l FROM req)),
 g AS (SELECT item_id, item_type AS it, std_key AS istd, canonical_key, folder_priority, regexp_extract(size_norm, 'M([0-9]+)', 1)::INT AS e, regexp_extract(size_norm, 'X([0-9]+)', 1)::INT AS m, list_distinct(regexp_extract_all(lower(name), '[a-z]{{3,}}')) AS iw, size_key FROM goods WHERE is_active),
-p AS (SELECT r.*, g.*, list_sort([e, m]) AS i_s FROM r JOIN g ON type_norm = it OR std_key = istd OR array_to_string(r_s, 'x') = size_key), {_BEST},
-s AS (SELECT row_id, item_id, canonical_key, least(100, greatest(0, least(100, round_even((40 * ft::INT + 35 * fs + 20 * fd + CASE WHEN fx > 0 THEN 5 * least(0.5, fx) ELSE 0 END) / (95 + CASE WHEN fx > 0 THEN 5 ELSE 0 END) * 100, 0) - CASE WHEN ft THEN 0 ELSE 60 END - CASE WHEN abs(d - e) / greatest(e, 0.01) >= 0.01 THEN 100 ELSE 0 END)) + CASE folder_priority WHEN 1 THEN 8 WHEN 2 THEN 4 WHEN 3 THEN 2 WHEN 4 THEN 1 ELSE 0 END) AS score FROM f),
+p AS (SELECT r.*, g.*, list_sort([e, m]) AS i_s FROM r JOIN g ON type_norm = it OR std_key <> '' AND std_key = istd OR array_to_string(r_s, 'x') = size_key), {_BEST},
+s AS (SELECT row_id, item_id, canonical_key, least(100, greatest(0, least(100, round_even((40 * CASE WHEN type_norm = '' THEN 0.5 ELSE ft::INT END + 35 * fs + 20 * fd + CASE WHEN fx > 0 THEN 5 * least(0.5, fx) ELSE 0 END) / (95 + CASE WHEN fx > 0 THEN 5 ELSE 0 END) * 100, 0) - CASE WHEN ft OR type_norm = '' THEN 0 ELSE 60 END - CASE WHEN abs(d - e) / greatest(e, 0.01) >= 0.01 THEN 100 ELSE 0 END)) + CASE folder_priority WHEN 1 THEN 8 WHEN 2 THEN 4 WHEN 3 THEN 2 WHEN 4 THEN 1 ELSE 0 END) AS score FROM f),
 k AS (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY row_id, canonical_key ORDER BY score DESC, item_id) = 1)
 SELECT row_id, item_id, score::BIGINT AS score, score >= 80 AS chosen FROM k QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, item_id) = 1""")
 def scored_matches(spark, d):
     """The best item of each request by weighted score over all items that share its type, size or standard."""
-    r = _requests(spark, d).where("row_id % 8 IN (0, 1, 6)").select("row_id", F.col("type_norm").alias("type"), F.col("size_norm").alias("size"), F.col("std_key").alias("key"), F.lit("").alias("strength"), F.lit("").alias("coating"), F.col("raw_text").alias("text"))
+    r = _requests(spark, d).select("row_id", F.col("type_norm").alias("type"), F.col("size_norm").alias("size"), F.col("std_key").alias("key"), F.lit("").alias("strength"), F.lit("").alias("coating"), F.col("raw_text").alias("text"))
     g = _goods(spark, d).select("item_id", "is_active", "canonical_key", "folder_priority", F.col("type_norm").alias("type"), F.col("size_norm").alias("size"), F.col("std_key").alias("key"), F.lit("").alias("strength"), F.lit("").alias("coating"), F.col("name").alias("text"))
     return matching.scored_matches(r, g).where("rank = 1").select("row_id", "item_id", F.col("score").cast("long").alias("score"), "chosen")
 
