@@ -8,7 +8,7 @@ from tallyforge.llm import decontaminate as decon
 from tallyforge.llm import embedding_dedup as vectors
 from tallyforge.llm import language_id as language
 from tallyforge.llm import licenses
-from tallyforge.llm import minhash, pieces, quality, substring_dedup
+from tallyforge.llm import minhash, pieces, quality, sharding, substring_dedup
 
 QUERIES = {
     "op1_decontaminate": decon.op1_decontaminate,
@@ -21,10 +21,12 @@ QUERIES = {
     "op8_class_lm": class_lm.op8_class_lm,
     "op9_chat_format": chat.op9_chat_format,
     "op10_near_duplicates": minhash.op10_near_duplicates,
+    "op11_shard": sharding.op11_shard,
 }
 ORACLES = {
     "op1_decontaminate": decon.OP1_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op9_chat_format": chat.OP9_SQL,
     "op10_near_duplicates": minhash.OP10_SQL,
+    "op11_shard": sharding.OP11_SQL,
 }
