@@ -6,6 +6,7 @@ from tallyforge.llm import chat_format as chat
 from tallyforge.llm import class_lm
 from tallyforge.llm import decontaminate as decon
 from tallyforge.llm import embedding_dedup as vectors
+from tallyforge.llm import hard_negatives
 from tallyforge.llm import language_id as language
 from tallyforge.llm import licenses
 from tallyforge.llm import minhash, pieces, quality, sharding, substring_dedup
@@ -22,6 +23,7 @@ QUERIES = {
     "op9_chat_format": chat.op9_chat_format,
     "op10_near_duplicates": minhash.op10_near_duplicates,
     "op11_shard": sharding.op11_shard,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
 }
 ORACLES = {
     "op1_decontaminate": decon.OP1_SQL,
@@ -29,4 +31,5 @@ ORACLES = {
     "op9_chat_format": chat.OP9_SQL,
     "op10_near_duplicates": minhash.OP10_SQL,
     "op11_shard": sharding.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
