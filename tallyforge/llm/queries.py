@@ -9,7 +9,7 @@ from tallyforge.llm import embedding_dedup as vectors
 from tallyforge.llm import hard_negatives
 from tallyforge.llm import language_id as language
 from tallyforge.llm import licenses
-from tallyforge.llm import minhash, pieces, quality, sharding, substring_dedup
+from tallyforge.llm import manifest, minhash, pieces, quality, sharding, substring_dedup
 
 QUERIES = {
     "op1_decontaminate": decon.op1_decontaminate,
@@ -24,6 +24,7 @@ QUERIES = {
     "op10_near_duplicates": minhash.op10_near_duplicates,
     "op11_shard": sharding.op11_shard,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_manifest": manifest.op13_manifest,
 }
 ORACLES = {
     "op1_decontaminate": decon.OP1_SQL,
@@ -32,4 +33,5 @@ ORACLES = {
     "op10_near_duplicates": minhash.OP10_SQL,
     "op11_shard": sharding.OP11_SQL,
     "op12_hard_negatives": hard_negatives.OP12_SQL,
+    "op13_manifest": manifest.OP13_SQL,
 }
