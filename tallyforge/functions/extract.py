@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
@@ -67,18 +69,63 @@ def rules_of(table: DataFrame) -> tuple[Rule, ...]:
     return tuple(Rule(**{k: r[k] for k in names if k in r and r[k] is not None}) for r in (row.asDict() for row in rows))
 
 
+_GROUP = re.compile(r"\(\?P<(\w+)>")
+_TOKEN = re.compile(r"""
+    (?P<escape>\\.) | (?P<cls>\[\^?\]?(?:\\.|[^\]\\])*\]) | \(\?P<(?P<name>\w+)> | \(\?P=(?P<back>\w+)\) | (?P<comment>\(\?\#[^)]*\)) | \(\?(?P<flags>[aiLmsux]+)(?=[):-])
+    | \{(?P<least>\d*)(?P<comma>,?)(?P<most>\d*)\} | (?P<brace>\{) | (?P<other>.)
+""", re.X | re.S)
+
+
 def java(pattern: str) -> str:
-    """A pattern in Java's syntax."""
-    return re.sub(r"\(\?P<", "(?<", pattern)
+    """A pattern of Python's syntax in Java's: groups are named g1, g2, ... in their order, comments go, brackets within classes are escaped."""
+    named = {n: f"g{i}" for i, n in enumerate(_GROUP.findall(pattern), 1)}
+
+    def put(m: re.Match) -> str:
+        if m["name"]:
+            return f"(?<{named[m['name']]}>"
+        if m["back"]:
+            return f"\\k<{named.get(m['back'], m['back'])}>"
+        if m["comment"]:
+            return ""
+        if m["flags"]:
+            kept = m["flags"].translate(str.maketrans("", "", "aLu"))
+            return f"(?{kept}" if kept or m.string[m.end()] != ")" else "(?:"
+        if m["cls"]:
+            head = 2 if m["cls"].startswith("[^") else 1
+            body = re.sub(r"\\.|\[|\]|&&", lambda x: x[0] if x[0][0] == "\\" else "&\\&" if x[0] == "&&" else "\\" + x[0], m["cls"][head:-1], flags=re.S)
+            return m["cls"][:head] + body + "]"
+        if m["escape"]:
+            return "\\z" if m["escape"] == "\\Z" else m["escape"]
+        if m["comma"] is not None:
+            least, most = m["least"], m["most"]
+            return "{0," + most + "}" if not least and m["comma"] and most else m[0] if least else "\\" + m[0]
+        return "\\{" if m["brace"] else m[0]
+
+    return _TOKEN.sub(put, pattern)
 
 
 def _valid(rule: Rule) -> bool:
+    """Whether both Python and, where a session runs, Java read a rule's pattern; one that is none never matches."""
     if rule.match != "regex":
         return True
     try:
         re.compile(rule.pattern)
     except re.error:
         return False
+    spark = SparkSession.getActiveSession()
+    if spark is None or not hasattr(spark, "_jvm"):
+        return True
+    own = rule.pattern if rule.kind == "size" else rule.pattern.lower()
+    return java_reads("(?U)" + java(own))
+
+
+@lru_cache(maxsize=20_000)
+def java_reads(pattern: str) -> bool:
+    """Whether Java takes a pattern."""
+    try:
+        SparkSession.getActiveSession()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
     return True
 
 

@@ -166,7 +166,7 @@ def strip_tail_phrase(c, phrases: list[str]) -> Column:
     return out
 
 
-def preprocess_row(name, qty_cell=None, uom_cell=None, header_unit=None, phrases: list[str] | None = None, combined: bool = False) -> Column:
+def preprocess_row(name, qty_cell=None, uom_cell=None, header_unit=None, phrases: list[str] | None = None, combined: bool | Column = False) -> Column:
     """struct<cleaned_name, qty, uom, source, fail_reason, tail_qty_expr, tail_phrase_cut, qty_multiplier>.
 
     Quantity: its column, else the name's tail. Unit: with the quantity, else its column, else the
@@ -176,7 +176,7 @@ def preprocess_row(name, qty_cell=None, uom_cell=None, header_unit=None, phrases
     qty_cell = text(qty_cell) if qty_cell is not None else F.lit("")
     uom_cell = text(uom_cell) if uom_cell is not None else F.lit("")
     header_unit = F.nullif(text(header_unit), F.lit("")) if header_unit is not None else none
-    plain = number(F.regexp_replace(qty_cell, "[ \u00a0]", "")) if not combined else F.lit(None).cast("double")
+    plain = F.when(~(combined if isinstance(combined, Column) else F.lit(combined)), number(F.regexp_replace(qty_cell, "[ \u00a0]", "")))
 
     def columns(both):
         together = plain.isNull() & both["qty"].isNotNull() & both["uom"].isNotNull()

@@ -39,7 +39,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """row_id, order_id, supplier_id, part_id, price and raw_text of each order line; the id is made of the columns that tell lines apart, so nothing is grouped for it."""
+    """row_id, place, order_id, supplier_id, part_id, price and raw_text of each order line; the id is made of the columns that tell lines apart, so nothing is grouped for it, and is a text, as their numbers have no bound. place is a number that rises with orders and lines."""
     l = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size")
     s = lambda c: c.cast("string")
@@ -47,13 +47,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     zinc = F.when(F.col("l_linenumber") % 2 == 0, " zinc").otherwise("")
     raw = F.concat("p_name", F.lit(" M"), s(F.col("p_size")), F.lit("x"), s(F.col("l_quantity").cast("int")), F.lit(" DIN "), s(F.lit(931) + F.col("l_partkey") % 4), strength, zinc, F.lit(" "), s(F.col("l_linenumber")), F.lit(" pcs"))
     return l.join(p, "l_partkey").select(
-        ((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 1_000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("int")).alias("row_id"), F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("supplier_id"), F.col("l_partkey").alias("part_id"),
+        F.concat_ws("-", *[s(F.col(c)) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], s(F.col("l_quantity").cast("int"))).alias("row_id"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000 + F.col("l_partkey") % 1_000).alias("place"), F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("supplier_id"), F.col("l_partkey").alias("part_id"),
         F.col("l_extendedprice").alias("price"), raw.alias("raw_text"),
     )
 
 
 LINES = """lines AS (
-  SELECT (((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 1000 + l_suppkey) * 100 + l_quantity::INT AS row_id, l_orderkey AS order_id, l_suppkey AS supplier_id, l_partkey AS part_id, l_extendedprice AS price,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT) AS row_id, (l_orderkey * 10 + l_linenumber) * 1000 + l_partkey % 1000 AS place, l_orderkey AS order_id, l_suppkey AS supplier_id, l_partkey AS part_id, l_extendedprice AS price,
     p_name || ' M' || p_size || 'x' || l_quantity::INT || ' DIN ' || (931 + l_partkey % 4)
       || CASE l_partkey % 3 WHEN 0 THEN ' 8.8' WHEN 1 THEN ' 10.9' ELSE '' END || CASE l_linenumber % 2 WHEN 0 THEN ' zinc' ELSE '' END
       || ' ' || l_linenumber || ' pcs' AS raw_text

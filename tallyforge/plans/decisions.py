@@ -253,21 +253,21 @@ _LINE = {"type_norm": "CASE WHEN part_id % 5 = 0 THEN '' ELSE item_type END", "s
 
 
 def _order(spark, d):
-    r = records(spark, d).select("row_id", "order_id", "supplier_id", "part_id", "price", "raw_text", "item_type", "diameter", "std_key")
+    r = records(spark, d).select("row_id", "place", "order_id", "supplier_id", "part_id", "price", "raw_text", "item_type", "diameter", "std_key")
     r = r.select("*", *[F.expr(v).alias(c) for c, v in _LINE.items()])
-    oi = r.where("row_id % 3 = 0").select("order_id", F.col("row_id").alias("item_id"), F.col("item_type").alias("type_norm"), F.upper("diameter").alias("size_norm"), F.col("item_std").alias("std_norm"), F.col("raw_text").alias("name"))
+    oi = r.where("place % 3 = 0").select("order_id", F.col("row_id").alias("item_id"), F.col("item_type").alias("type_norm"), F.upper("diameter").alias("size_norm"), F.col("item_std").alias("std_norm"), F.col("raw_text").alias("name"))
     supplier = F.col("supplier_id") % 2
-    ql = r.where("row_id % 3 <> 0").select(
+    ql = r.where("place % 3 <> 0").select(
         "order_id", F.concat_ws("-", F.col("order_id").cast("string"), supplier.cast("string")).alias("quote_id"), F.col("row_id").alias("line_id"), "type_norm", "size_norm", F.col("std_key").alias("std_norm"), "price", F.lit(1.0).alias("qty"),
-        F.lit("шт").alias("unit"), F.when(F.col("row_id") % 11 == 0, "total").otherwise("item").alias("line_class"), supplier.alias("supplier_id"), F.col("raw_text").alias("name"),
+        F.lit("шт").alias("unit"), F.when(F.col("place") % 11 == 0, "total").otherwise("item").alias("line_class"), supplier.alias("supplier_id"), F.when(F.col("place") % 2 == 0, F.col("part_id")).alias("chosen_item_id"), F.col("raw_text").alias("name"),
     )
     # Features are made once and written out; all stages read them.
     tokens = lambda df: saved(df.withColumn("tokens", S.item_tokens("name", "type_norm", "size_norm", "std_norm")).drop("name"))
     return tokens(oi), tokens(ql)
 
 
-_MATCHED = f"""{RECORDS}, o AS (SELECT order_id, row_id AS item_id, item_type AS ot, upper(diameter) AS oz, {_LINE['item_std']} AS os, {_tokens('raw_text', 'item_type', 'upper(diameter)', _LINE['item_std'])} AS t FROM records WHERE row_id % 3 = 0),
-l AS (SELECT *, {_tokens('raw_text', 'lt', 'lz', 'ls')} AS t FROM (SELECT order_id, order_id || '-' || (supplier_id % 2) AS quote_id, row_id AS line_id, {_LINE['type_norm']} AS lt, {_LINE['size_norm']} AS lz, std_key AS ls, price, CASE WHEN row_id % 11 = 0 THEN 'total' ELSE 'item' END AS line_class, supplier_id % 2 AS supplier_id, raw_text FROM records WHERE row_id % 3 <> 0)),
+_MATCHED = f"""{RECORDS}, o AS (SELECT order_id, row_id AS item_id, item_type AS ot, upper(diameter) AS oz, {_LINE['item_std']} AS os, {_tokens('raw_text', 'item_type', 'upper(diameter)', _LINE['item_std'])} AS t FROM records WHERE place % 3 = 0),
+l AS (SELECT *, {_tokens('raw_text', 'lt', 'lz', 'ls')} AS t FROM (SELECT order_id, order_id || '-' || (supplier_id % 2) AS quote_id, row_id AS line_id, {_LINE['type_norm']} AS lt, {_LINE['size_norm']} AS lz, std_key AS ls, price, CASE WHEN place % 11 = 0 THEN 'total' ELSE 'item' END AS line_class, supplier_id % 2 AS supplier_id, CASE WHEN place % 2 = 0 THEN part_id END AS chosen, raw_text FROM records WHERE place % 3 <> 0)),
 ex AS (SELECT l.quote_id, line_id, item_id, 100 - CASE WHEN os = '' THEN 3 WHEN ls = os THEN 0 WHEN (ls, os) IN (('DIN-931', 'DIN-933'), ('DIN-933', 'DIN-931')) THEN 5 ELSE 20 END AS score FROM l JOIN o ON l.order_id = o.order_id AND lt = ot AND lz = oz WHERE line_class = 'item' AND lt <> '' AND lz <> ''),
 e1 AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY score DESC, item_id) = 1),
 lw AS (SELECT line_id, order_id, len(t) AS n, unnest(t) AS w FROM l WHERE line_class = 'item' AND line_id NOT IN (SELECT line_id FROM e1)), ow AS (SELECT item_id, order_id, len(t) AS n, unnest(t) AS w FROM o),
@@ -320,11 +320,11 @@ def unmatched_lines(spark, d):
 
 
 @query(f"""WITH {_MATCHED} SELECT l.line_id, l.order_id, l.supplier_id, 'S' || l.supplier_id AS supplier, p_name AS catalog_item, count(*) OVER (PARTITION BY l.quote_id)::BIGINT AS lines_count
-FROM l LEFT JOIN part ON p_partkey = CASE WHEN line_id % 2 = 0 THEN (line_id // 100000) % 1000000 END""")
+FROM l LEFT JOIN part ON p_partkey = chosen""")
 def lines_and_choices(spark, d):
     """Lines with the catalogue item that was chosen for them, and their quotes with suppliers and counts."""
     _, ql = _order(spark, d)
-    chosen = ql.select("line_id", "order_id", "quote_id", F.when(F.col("line_id") % 2 == 0, F.expr("line_id div 100000 % 1000000")).alias("chosen_item_id"))
+    chosen = ql.select("line_id", "order_id", "quote_id", "chosen_item_id")
     named = quotes.with_choices(chosen, table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name")))
     heads = quotes.quote_heads(ql.select("quote_id", "supplier_id").distinct(), _suppliers(spark), ql)
     return named.join(heads, "quote_id").select("line_id", "order_id", "supplier_id", "supplier", F.col("chosen_name").alias("catalog_item"), "lines_count")

@@ -47,13 +47,13 @@ def exact_match_top10(spark, d):
 _PRINT = "substr(sha1('item_type=' || item_type || '|size=' || lower(size) || '|diameter=' || lower(diameter) || '|length=' || length || '|din=' || lower(din) || CASE WHEN strength <> '' THEN '|strength=' || strength ELSE '' END || CASE WHEN coating <> '' THEN '|coating=' || coating ELSE '' END), 1, 16)"
 
 
-@query(f"""WITH {RECORDS}, {ITEMS}, f AS (SELECT row_id, order_id, part_id, {_PRINT} AS fingerprint FROM records), m AS (SELECT fingerprint, arg_max(part_id, (order_id, part_id)) AS item_id FROM f WHERE row_id % 5 = 0 GROUP BY 1)
+@query(f"""WITH {RECORDS}, {ITEMS}, f AS (SELECT row_id, place, order_id, part_id, {_PRINT} AS fingerprint FROM records), m AS (SELECT fingerprint, arg_max(part_id, (order_id, part_id)) AS item_id FROM f WHERE place % 5 = 0 GROUP BY 1)
 SELECT row_id, item_id FROM f JOIN m USING (fingerprint) JOIN items USING (item_id) WHERE is_active""")
 def memory_match(spark, d):
     """Lines whose fingerprint a fifth of the lines confirmed: the latest order's item, if it is active."""
     fields = ("item_type", "size", "diameter", "length", "gost", "iso", "din", "strength", "coating")
     own = records(spark, d).withColumn("fingerprint", T.fingerprint({f: F.col(f) for f in fields}))
-    memory = matching.remember(own.where("false").select("fingerprint", F.col("part_id").alias("item_id"), F.col("order_id").alias("confirmed_at")), own.where("row_id % 5 = 0").select("fingerprint", F.col("part_id").alias("item_id"), F.col("order_id").alias("confirmed_at")))
+    memory = matching.remember(own.where("false").select("fingerprint", F.col("part_id").alias("item_id"), F.col("order_id").alias("confirmed_at")), own.where("place % 5 = 0").select("fingerprint", F.col("part_id").alias("item_id"), F.col("order_id").alias("confirmed_at")))
     return matching.memory_match(own, memory, items(spark, d))
 
 
@@ -176,13 +176,13 @@ def group_export(spark, d):
 
 def _order(spark, d):
     r = records(spark, d)
-    order_items = r.where("row_id % 3 = 0").select("order_id", F.col("row_id").alias("item_id"), "type_norm", "size_norm", F.col("std_key").alias("std_norm"), F.col("raw_text").alias("name"))
-    ql = r.where("row_id % 3 <> 0").select("order_id", F.concat_ws("-", F.col("order_id").cast("string"), (F.col("supplier_id") % 2).cast("string")).alias("quote_id"), F.col("row_id").alias("line_id"), "type_norm", F.regexp_replace("size_norm", "X.*", "").alias("z"), F.col("std_key").alias("std_norm"), "price", F.lit(1.0).alias("qty"), F.lit("шт").alias("unit"), F.when(F.col("row_id") % 11 == 0, "total").otherwise("item").alias("line_class"), (F.col("supplier_id") % 2).alias("supplier_id"), F.col("raw_text").alias("name"))
+    order_items = r.where("place % 3 = 0").select("order_id", F.col("row_id").alias("item_id"), "type_norm", "size_norm", F.col("std_key").alias("std_norm"), F.col("raw_text").alias("name"))
+    ql = r.where("place % 3 <> 0").select("order_id", F.concat_ws("-", F.col("order_id").cast("string"), (F.col("supplier_id") % 2).cast("string")).alias("quote_id"), F.col("row_id").alias("line_id"), "type_norm", F.regexp_replace("size_norm", "X.*", "").alias("z"), F.col("std_key").alias("std_norm"), "price", F.lit(1.0).alias("qty"), F.lit("шт").alias("unit"), F.when(F.col("place") % 11 == 0, "total").otherwise("item").alias("line_class"), (F.col("supplier_id") % 2).alias("supplier_id"), F.col("raw_text").alias("name"))
     return order_items.withColumn("size_norm", F.regexp_replace("size_norm", "X.*", "")), ql.withColumnRenamed("z", "size_norm")
 
 
-_QUOTES = f"""{RECORDS}, oi AS (SELECT order_id, row_id AS item_id, item_type, diameter AS z, std_key FROM records WHERE row_id % 3 = 0),
-ql AS (SELECT order_id, order_id || '-' || (supplier_id % 2) AS quote_id, row_id AS line_id, item_type, diameter AS z, std_key, price, CASE WHEN row_id % 11 = 0 THEN 'total' ELSE 'item' END AS line_class, supplier_id % 2 AS supplier_id FROM records WHERE row_id % 3 <> 0),
+_QUOTES = f"""{RECORDS}, oi AS (SELECT order_id, row_id AS item_id, item_type, diameter AS z, std_key FROM records WHERE place % 3 = 0),
+ql AS (SELECT order_id, order_id || '-' || (supplier_id % 2) AS quote_id, row_id AS line_id, item_type, diameter AS z, std_key, price, CASE WHEN place % 11 = 0 THEN 'total' ELSE 'item' END AS line_class, supplier_id % 2 AS supplier_id FROM records WHERE place % 3 <> 0),
 ex AS (SELECT ql.order_id, ql.quote_id, line_id, item_id, 100 - CASE WHEN ql.std_key = oi.std_key THEN 0 WHEN (ql.std_key, oi.std_key) IN (('DIN-931', 'DIN-933'), ('DIN-933', 'DIN-931')) THEN 5 ELSE 20 END AS score
   FROM ql JOIN oi ON ql.order_id = oi.order_id AND ql.item_type = oi.item_type AND ql.z = oi.z WHERE line_class = 'item'),
 best AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY score DESC, item_id) = 1)"""
@@ -209,10 +209,10 @@ def status_counts(spark, d):
     return c.select("ok", "review", "manual", "total", F.col("ok_pct").cast("long").alias("ok_pct"))
 
 
-@query(f"WITH {RECORDS}, s AS (SELECT item_type, ['AUTO_MEMORY', 'AUTO_EXACT', 'SUGGESTED', 'NONE'][(row_id % 4 + 1)::INT] AS mode FROM records) SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE mode = 'AUTO_MEMORY')::BIGINT AS auto, count(*) FILTER (WHERE mode = 'SUGGESTED')::BIGINT AS suggested, count(*) FILTER (WHERE mode IN ('AUTO_EXACT', 'NONE'))::BIGINT AS not_matched, count(*) FILTER (WHERE item_type <> '')::BIGINT AS recognised FROM s")
+@query(f"WITH {RECORDS}, s AS (SELECT item_type, ['AUTO_MEMORY', 'AUTO_EXACT', 'SUGGESTED', 'NONE'][(place % 4 + 1)::INT] AS mode FROM records) SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE mode = 'AUTO_MEMORY')::BIGINT AS auto, count(*) FILTER (WHERE mode = 'SUGGESTED')::BIGINT AS suggested, count(*) FILTER (WHERE mode IN ('AUTO_EXACT', 'NONE'))::BIGINT AS not_matched, count(*) FILTER (WHERE item_type <> '')::BIGINT AS recognised FROM s")
 def match_summary(spark, d):
     modes = F.array(*[F.lit(m) for m in ("AUTO_MEMORY", "AUTO_EXACT", "SUGGESTED", "NONE")])
-    return metrics.match_summary(records(spark, d).select("item_type", F.get(modes, (F.col("row_id") % 4).cast("int")).alias("mode")))
+    return metrics.match_summary(records(spark, d).select("item_type", F.get(modes, (F.col("place") % 4).cast("int")).alias("mode")))
 
 
 @query(r"SELECT regexp_extract(trim(lower(coalesce(text, ''))), '^\S+') AS word, count(*)::BIGINT AS n FROM documents WHERE regexp_extract(trim(lower(coalesce(text, ''))), '^\S+') <> '' GROUP BY 1 ORDER BY n DESC, word LIMIT 15")
@@ -252,12 +252,12 @@ def field_recognition(spark, d):
 def _expected(spark, d):
     k = F.col("part_id")
     return records(spark, d).select(
-        "row_id", F.when(F.col("row_id") % 2 == 0, "client").otherwise("supplier").alias("source_type"), F.col("item_type").alias("got_type"), F.when(k % 5 > 0, F.when(k % 3 == 0, F.upper("item_type")).otherwise("bolt")).alias("expected_type"),
+        "row_id", F.when(F.col("place") % 2 == 0, "client").otherwise("supplier").alias("source_type"), F.col("item_type").alias("got_type"), F.when(k % 5 > 0, F.when(k % 3 == 0, F.upper("item_type")).otherwise("bolt")).alias("expected_type"),
         F.col("strength").alias("got_strength"), F.when(k % 2 == 0, "8.8").otherwise("").alias("expected_strength"),
     )
 
 
-_EXPECTED = RECORDS + """, x AS (SELECT CASE WHEN row_id % 2 = 0 THEN 'client' ELSE 'supplier' END AS source_type, CASE WHEN part_id % 5 > 0 THEN CASE WHEN part_id % 3 = 0 THEN true ELSE item_type = 'bolt' END END AS t, CASE WHEN part_id % 2 = 0 THEN strength = '8.8' END AS s FROM records)"""
+_EXPECTED = RECORDS + """, x AS (SELECT CASE WHEN place % 2 = 0 THEN 'client' ELSE 'supplier' END AS source_type, CASE WHEN part_id % 5 > 0 THEN CASE WHEN part_id % 3 = 0 THEN true ELSE item_type = 'bolt' END END AS t, CASE WHEN part_id % 2 = 0 THEN strength = '8.8' END AS s FROM records)"""
 
 
 @query(f"WITH {_EXPECTED} SELECT source_type, (count(t) + count(s))::BIGINT AS checks, (count(*) FILTER (WHERE t) + count(*) FILTER (WHERE s))::BIGINT AS correct, round_even((count(*) FILTER (WHERE t) + count(*) FILTER (WHERE s)) / (count(t) + count(s))::DOUBLE, 4) AS accuracy FROM x GROUP BY 1")
@@ -272,10 +272,10 @@ def eval_field_stats(spark, d):
 
 def _grid(spark, d):
     """Every line as a row of a grid: a rising number, the text, a digit and a code."""
-    return lines(spark, d).select(F.col("row_id").alias("row_index"), F.array(F.col("row_id").cast("string"), "raw_text", (F.col("part_id") % 9).cast("string"), F.concat(F.lit("A-"), F.col("part_id").cast("string"))).alias("cells"))
+    return lines(spark, d).select(F.col("place").alias("row_index"), F.array(F.col("place").cast("string"), "raw_text", (F.col("part_id") % 9).cast("string"), F.concat(F.lit("A-"), F.col("part_id").cast("string"))).alias("cells"))
 
 
-_GRID = LINES + ", g AS (SELECT row_id AS i, raw_text, (part_id % 9)::VARCHAR AS q, 'A-' || part_id AS c FROM lines)"
+_GRID = LINES + ", g AS (SELECT place AS i, raw_text, (part_id % 9)::VARCHAR AS q, 'A-' || part_id AS c FROM lines)"
 
 
 @query(f"""WITH {_GRID}, v AS (SELECT 0 AS col, i::VARCHAR AS v FROM g UNION ALL SELECT 1, raw_text FROM g UNION ALL SELECT 2, q FROM g UNION ALL SELECT 3, c FROM g)

@@ -114,9 +114,9 @@ def confidence_status(spark, d):
     return t.select("row_id", F.col("confidence").cast("long").alias("confidence"), "status")
 
 
-@query(f"WITH {RECORDS} SELECT row_id, CASE WHEN strength <> '' THEN strength WHEN row_id % 2 = 0 THEN '8.8' ELSE '' END AS strength FROM records")
+@query(f"WITH {RECORDS} SELECT row_id, CASE WHEN strength <> '' THEN strength WHEN place % 2 = 0 THEN '8.8' ELSE '' END AS strength FROM records")
 def signal_merge(spark, d):
-    l = lines(spark, d).select("row_id", "raw_text", F.when(F.col("row_id") % 2 == 0, "8").otherwise("").alias("strength_raw"))
+    l = lines(spark, d).select("row_id", "raw_text", F.when(F.col("place") % 2 == 0, "8").otherwise("").alias("strength_raw"))
     return X.transform(l, ["strength"], DICTIONARY).select("row_id", "strength")
 
 
