@@ -79,7 +79,8 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
 def read_back(formatted: Column) -> Column:
     """array<struct<role, text>> of the original rows of a formatted conversation; null for null, and no rows for an empty text."""
     parts = F.filter(F.split(formatted, r"<\|end\|>\n"), lambda p: p != "")
-    head = r"(?s)^<\|turn\|>((?:\\.|[^\\\n])*)\n(.*)$"
+    # Possessive: a role of any length is read in a loop, where a plain group would go one call deeper for each character.
+    head = r"(?s)^<\|turn\|>([^\\\n]*+(?:\\.[^\\\n]*+)*+)\n(.*)$"
     return F.flatten(
         F.transform(parts, lambda p: F.transform(
             F.split(F.regexp_extract(p, head, 2), r"<\|next\|>"),

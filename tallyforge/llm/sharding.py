@@ -103,18 +103,19 @@ def _folded(x: Column) -> Column:
 def permutation(spark: SparkSession, rows: int, seed: str = "0") -> Permutation:
     """The permutation of so many rows, with as many walks as its rows need.
 
-    The numbers outside of 0 .. rows - 1 (about the square root of rows) are walked until all are back,
-    which bounds the walk of every row: one that leaves the range enters it where one of these does.
+    A row that leaves the range does so to a number outside of it that the permutation reaches from inside;
+    these numbers (fewer than the square root of rows) are walked until all are back. They do come back, as
+    each is on a cycle with a row; cycles that lie outside as a whole are met by no row.
     """
     p = Permutation(rows, seed)
     a, b = p.halves
+    if a * b == rows:
+        return p
+    left = spark.range(rows, a * b).where(p._back(F.col("id")) < rows)
     walks = 1
-    while a * b > rows:
-        outside = spark.range(rows, a * b).select(Permutation(rows, seed, walks)._walked(F.col("id"), p._forth).alias("at"))
-        if not outside.where(F.col("at") >= rows).limit(1).count():
-            return Permutation(rows, seed, walks + 1)
+    while left.where(Permutation(rows, seed, walks)._walked(F.col("id"), p._forth) >= rows).limit(1).count():
         walks *= 2
-    return p
+    return Permutation(rows, seed, walks + 1)
 
 
 def assign(df: DataFrame, order: list[Column], shards: int = SHARDS, seed: str = "0", names: tuple[str, str, str] = ("row_number", "shard", "slot")) -> DataFrame:
