@@ -13,8 +13,9 @@ lists had no room for are searched exactly: saturated vectors are gathered in ba
 their neighbours, and two balls of different components whose centres and radii allow a link are
 compared vector by vector. After each descent an audit compares the links of AUDIT vectors with a
 search of all rows and logs the recall, and the descent goes on with lists twice as long while it, of
-links or per vector, is below RECALL. Where none of these vectors has a link, lists grow to UNMEASURED
-times their first length. At LONGEST_LIST the balls take all vectors, which finds every link.
+links or per vector, is below RECALL. Where none of these vectors has a link, it asks those with the most similar
+neighbours, and where they have none either, nothing can be measured and the search is exact. At
+LONGEST_LIST the balls take all vectors, which finds every link.
 """
 
 from __future__ import annotations
@@ -38,8 +39,6 @@ SETTLED = 0.002
 BLOCK = 1000
 AUDIT = 2000
 RECALL = 0.98
-#: Lists are lengthened by this factor where the audit finds no link at all and so measures nothing.
-UNMEASURED = 4
 LONGEST_LIST = 160
 log = logging.getLogger(__name__)
 
@@ -251,15 +250,19 @@ def cross_links(vectors: DataFrame, graph: DataFrame, label: DataFrame, kind: st
     return links
 
 
-def audit(vectors: DataFrame, counted: DataFrame, kind: str, threshold: float, n: int, queries: int = AUDIT) -> float:
-    """Share of the links of about `queries` vectors, found by a search of all rows, that the graph has; or the mean share per vector, if that is less.
+def sampled(vectors: DataFrame, n: int, queries: int = AUDIT) -> DataFrame:
+    """About `queries` of the n vectors, by a hash."""
+    scale = 1 << 30
+    return vectors.where(F.pmod(F.xxhash64("rep", F.lit("audit")), F.lit(scale)) < min(scale, scale * queries // max(1, n)))
+
+
+def audit(chosen: DataFrame, vectors: DataFrame, counted: DataFrame, kind: str, threshold: float) -> float:
+    """Share of the links of the chosen vectors, found by a search of all rows, that the graph has; or the mean share per vector, if that is less.
 
     NaN if none of them has a link: then nothing was measured.
     """
-    scale = 1 << 30
-    chosen = vectors.where(F.pmod(F.xxhash64("rep", F.lit("audit")), F.lit(scale)) < min(scale, scale * queries // max(1, n))).select("rep", "dim", "vec").toLocalIterator()
     asked: dict[int, list] = {}
-    for r in chosen:
+    for r in chosen.select("rep", "dim", "vec").toLocalIterator():
         asked.setdefault(r["dim"], []).append((r["rep"], bytes(r["vec"])))
     if not asked:
         return float("nan")
@@ -307,20 +310,31 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     vectors = saved(classes.withColumn("rep", F.monotonically_increasing_id()))
     n = vectors.count()
     graph = saved(shortened(first_lists(vectors, kind, length, n, seed).withColumn("fresh", F.lit(1)), length))
+    every = False
     while True:
-        graph = descend(vectors, graph, kind, length, n, ROUNDS)
+        if not every:
+            graph = descend(vectors, graph, kind, length, n, ROUNDS)
+            every = length >= LONGEST_LIST
         edges = graph.where(F.col("s") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
         found = components(edges)
-        every = length >= LONGEST_LIST
         links = cross_links(vectors, graph, labels(found), kind, threshold, length, every)
         label = labels(components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(links)))
         counted = saved(count_links(vectors.join(label, "rep"), kind, threshold, n))
-        recall = audit(vectors, counted, kind, threshold, n)
-        log.info("lists of %d: recall %.4f%s", length, recall, ", exact search" if every else "")
-        if every or recall >= RECALL or np.isnan(recall) and length >= UNMEASURED * LIST:
+        if every:
+            log.info("lists of %d: exact search", length)
+            break
+        recall = audit(sampled(vectors, n), vectors, counted, kind, threshold)
+        if np.isnan(recall):
+            closest = graph.groupBy(F.col("u").alias("rep")).agg(F.max("s").alias("s")).orderBy(F.desc("s"), "rep").limit(AUDIT)
+            recall = audit(vectors.join(closest.select("rep"), "rep", "left_semi"), vectors, counted, kind, threshold)
+        log.info("lists of %d: recall %.4f", length, recall)
+        if recall >= RECALL:
             break
-        length *= 2
-        graph = saved(graph.withColumn("fresh", F.lit(1)))
+        if np.isnan(recall):
+            every = True
+        else:
+            length *= 2
+            graph = saved(graph.withColumn("fresh", F.lit(1)))
     unsaved(graph)
     known = vectors.select("vec", "rep", "low", "size").join(label, "rep", "left").join(counted, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     smallest = known.groupBy("component").agg(F.min("low").alias("component_id"))

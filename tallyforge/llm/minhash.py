@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.bytetext import NON_SPACE, U64, Words, mix, signed, text_buffer
 from tallyforge.llm.common import arrow_rows, components, documents, map_blocks, saved, ship, unsaved
+from tallyforge.llm.numbering import free
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -285,11 +286,12 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Rows are told apart by a number that is written out with them, so rows of one id are compared with
     each other and rows with a null id like others; a null id counts as larger than any other.
     """
-    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()))
-    groups = near_duplicates(rows.select("__row", F.col(text).alias("text")), "__row", "text").select(F.col("doc_id").alias("__row"), "component_id")
-    first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "__row"))
-    chosen = rows.select("__row", doc_id).join(groups, "__row").groupBy("component_id").agg(first.alias("x")).select(F.col("x.__row").alias("__row"))
-    return rows.join(chosen, "__row", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    row = free("row")
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = near_duplicates(rows.select(row, F.col(text).alias("text")), row, "text").select(F.col("doc_id").alias(row), "component_id")
+    first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), row))
+    chosen = rows.select(row, doc_id).join(groups, row).groupBy("component_id").agg(first.alias("x")).select(F.col(f"x.{row}").alias(row))
+    return rows.join(chosen, row, "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,3 +271,27 @@ def test_long_roles_and_texts_read_back(spark):
     got = {r["conv_id"]: r["turns"] for r in chat_format.format_conversations(df).select("conv_id", chat_format.read_back(F.col("formatted")).alias("turns")).collect()}
     assert [(t["role"], t["text"]) for t in got[1]] == [(r, t) for _, _, r, t in turns[:4]]
     assert [(t["role"], t["text"]) for t in got[2]] == [("", "")]
+
+
+# Vectors without links, and names that are taken
+
+
+def test_vectors_without_links_are_searched_exactly(spark, caplog):
+    import logging
+
+    from tallyforge.llm import embedding_dedup
+
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 12)))]
+    with caplog.at_level(logging.INFO, logger=embedding_dedup.log.name):
+        got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert all(r["n_links"] == 0 and r["kept"] for r in got) and len(got) == 60
+    assert "exact search" in caplog.text
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    from tallyforge.llm import minhash
+
+    text = "one two three four five six seven"
+    df = spark.createDataFrame([(1, text, 77), (2, text, 88), (3, "other words altogether in this text", 99)], "doc_id long, text string, __row long")
+    assert sorted(tuple(r) for r in minhash.one_of_each(df).collect()) == [(1, text, 77), (3, "other words altogether in this text", 99)]

@@ -487,7 +487,7 @@ def test_audit_measures_what_is_missing(spark):
     rows = [(i, [1.0, i / 1e4]) for i in range(20)] + [(20, [-1.0, 1.0])]
     vectors = spark.createDataFrame([(i, 2, np.array(v).tobytes(), 1) for i, v in rows], "rep long, dim int, vec binary, size long")
     found = lambda n: spark.createDataFrame([(i, n) for i in range(20)], "rep long, links long")
-    of = lambda v, n: embedding_dedup.audit(v, found(n), "<f8", 0.95, 21)
+    of = lambda v, n: embedding_dedup.audit(embedding_dedup.sampled(v, 21), v, found(n), "<f8", 0.95)
     assert of(vectors, 19) == 1 and abs(of(vectors, 10) - 10 / 19) < 1e-9 and math.isnan(of(vectors.where("rep > 18"), 0))
 
 
