@@ -35,12 +35,30 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(both.cast("double"), F.size(a) + F.size(b) - both), F.lit(0.0))
 
 
+#: Pairs of rows of a block up to which all of them are compared; larger blocks go through the inverted index.
+BLOCK_PAIRS = 10_000
+
+
 def token_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str = "tokens", block: list[str] = ()) -> DataFrame:
     """(left_id, right_id, shared, jaccard) of all pairs that share a token, within equal block columns.
 
-    An inverted index: both sides are exploded and joined on the token; the pair's size is counted
-    with partial aggregation. Tokens that very many rows have make many pairs: use lsh_join there.
+    Rows of a small block meet directly. Larger blocks, and rows without a block, use an inverted index:
+    both sides are exploded and joined on the token; the pair's size is counted with partial aggregation.
+    Tokens that very many rows have make many pairs: where a threshold is known, use setjoin.similar_sets().
     """
+    block = list(block)
+    if not block:
+        return _by_index(left, right, left_id, right_id, tokens, block)
+    many = left.groupBy(*block).agg(F.count("*").alias("__l")).join(right.groupBy(*block).agg(F.count("*").alias("__r")), block)
+    large = many.where(F.col("__l") * F.col("__r") > BLOCK_PAIRS).select(*block)
+    whole = lambda df, key, name: df.select(key, *block, F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))).alias(name))
+    small = whole(left, left_id, "__lt").join(large, block, "left_anti").join(whole(right, right_id, "__rt"), block)
+    both = small.select(left_id, right_id, F.size(F.array_intersect("__lt", "__rt")).cast("long").alias("shared"), (F.size("__lt") + F.size("__rt")).alias("__s")).where("shared > 0")
+    direct = both.select(left_id, right_id, "shared", (F.col("shared") / (F.col("__s") - F.col("shared"))).alias("jaccard"))
+    return direct.unionByName(_by_index(left.join(large, block, "left_semi"), right.join(large, block, "left_semi"), left_id, right_id, tokens, block))
+
+
+def _by_index(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str, block: list[str]) -> DataFrame:
     def exploded(df, key, size):  # tokens meet by their 64-bit hashes
         return df.select(F.col(key), F.size(tokens).alias(size), *block, F.explode(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))).alias("__t"))
 

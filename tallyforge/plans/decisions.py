@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import matching, quotes
 from tallyforge.operators import rules as R
+from tallyforge.operators import setjoin
 from tallyforge.operators import similarity as S
 from tallyforge.operators.graph import saved
 from tallyforge.plans.base import DICTIONARY, ITEMS, RECORDS, equivalents, items, records, register, table
@@ -152,12 +153,29 @@ def top_candidates(spark, d):
     return matching.top_items(got, g).select("row_id", F.col("rank").cast("long").alias("rank"), "uid_1c", "name", F.col("score").cast("long").alias("score"))
 
 
+@query(f"""WITH {ITEMS}, {_REQUESTS}, gt AS (SELECT item_id, {_tokens('name', 'item_type', 'size_norm', 'std_key')} AS t FROM goods WHERE is_active), u AS (SELECT item_id, len(t) AS n, unnest(t) AS w FROM gt),
+p AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m FROM u a JOIN u b USING (w) GROUP BY 1, 2),
+l AS (SELECT a, b, c = n AND c = m AS same FROM p WHERE c / (n + m - c) >= 0.7)
+SELECT a AS item_id, min(b) FILTER (WHERE same) AS class_id, count(*)::BIGINT - 1 AS links FROM l GROUP BY 1""")
+def similar_goods(spark, d):
+    """How many active goods share seven tenths of their tokens with each, by prefixes of rare tokens of different sets."""
+    return setjoin.similarity_classes(_goods(spark, d).where("is_active").select("item_id", "tokens"), "item_id", 0.7)
+
+
+@query(f"""WITH {ITEMS}, {_REQUESTS}, open AS (SELECT * FROM req), {_similar(False)}, nn AS (SELECT row_id, item_id, round(c / (a + b - c), 6) AS jaccard FROM sp WHERE c / (a + b - c) >= 0.3)
+SELECT row_id, item_id, jaccard, row_number() OVER (PARTITION BY row_id ORDER BY jaccard DESC, item_id)::BIGINT AS rank FROM nn QUALIFY rank <= 5""")
+def nearest_goods(spark, d):
+    """Each request's five most similar active goods from a similarity of 0.3 on, exactly: the threshold falls while rows lack some."""
+    got = setjoin.nearest_sets(_requests(spark, d), _goods(spark, d).where("is_active"), "row_id", "item_id", 5, 0.3, places=6)
+    return got.select("row_id", "item_id", "jaccard", F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"""WITH {ITEMS}, {_REQUESTS}, open AS (SELECT * FROM req), {_similar(False)}
 SELECT count(*)::BIGINT AS rows, true AS most_found FROM judged WHERE j >= 0.5""")
 def lsh_recall(spark, d):
-    """Whether LSH finds at least 95 % of the pairs of half their tokens or more that an exact join over the inverted index finds."""
+    """Whether LSH finds at least 95 % of the pairs of half their tokens or more that the exact join finds."""
     r, g = _requests(spark, d), _goods(spark, d).where("is_active")
-    exact = S.token_join(r, g, "row_id", "item_id").where("jaccard >= 0.5").select("row_id", "item_id")
+    exact = setjoin.similar_sets(r, g, "row_id", "item_id", 0.5).select("row_id", "item_id")
     found = S.lsh_join(saved(S.banded(r, "row_id")), saved(S.banded(g, "item_id")), "row_id", "item_id").select("row_id", "item_id", F.lit(1).alias("hit"))
     both = exact.join(found, ["row_id", "item_id"], "left")
     return both.agg(F.count_distinct("row_id").alias("rows"), (F.count("hit") >= 0.95 * F.count("*")).alias("most_found"))
@@ -262,7 +280,7 @@ def _order(spark, d):
         F.lit("шт").alias("unit"), F.when(F.col("place") % 11 == 0, "total").otherwise("item").alias("line_class"), supplier.alias("supplier_id"), F.when(F.col("place") % 2 == 0, F.col("part_id")).alias("chosen_item_id"), F.col("raw_text").alias("name"),
     )
     # Features are made once and written out; all stages read them.
-    tokens = lambda df: saved(df.withColumn("tokens", S.item_tokens("name", "type_norm", "size_norm", "std_norm")).drop("name"))
+    tokens = lambda df: saved(df.withColumn("tokens", F.transform(S.item_tokens("name", "type_norm", "size_norm", "std_norm"), lambda t: F.xxhash64(t))).drop("name"))
     return tokens(oi), tokens(ql)
 
 

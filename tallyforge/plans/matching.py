@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
-from tallyforge.operators import catalog, cluster, matching, metrics, quotes
+from tallyforge.operators import catalog, cluster, matching, metrics, quotes, setjoin
 from tallyforge.operators import similarity as S
 from tallyforge.plans.base import EQUIVALENTS, ITEMS, LINES, RECORDS, equivalents, items, lines, records, table
 from tallyforge.sources import profile
@@ -69,8 +69,8 @@ def _bench(spark, d, name):
 
 @query(f"WITH {_BENCH}, j AS (SELECT a, b, round(c / (ln + rn - c), 6) AS jaccard FROM p) SELECT a, b, jaccard, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY jaccard DESC, b) AS rank FROM j) WHERE rank <= 3")
 def jaccard_topk(spark, d):
-    j = S.token_join(_bench(spark, d, "a"), _bench(spark, d, "b"), "a", "b").where("a <> b").withColumn("jaccard", F.round("jaccard", 6))
-    return S.top_k(j, "a", [F.desc("jaccard"), F.col("b")], 3).select("a", "b", "jaccard", F.col("rank").cast("long").alias("rank"))
+    j = setjoin.nearest_sets(_bench(spark, d, "a"), _bench(spark, d, "b"), "a", "b", 3, 1e-4, places=6, other=True)
+    return j.select("a", "b", "jaccard", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_BENCH} SELECT a, b, c::BIGINT AS shared FROM p WHERE c / (ln + rn - c) >= 0.12")
