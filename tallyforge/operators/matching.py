@@ -382,31 +382,103 @@ def effective_fields(items: DataFrame, dictionary) -> DataFrame:
     return out.withColumns(fields).drop("__text")
 
 
+def _bound(settings: Settings) -> int:
+    """The highest score of an item whose type differs from a row's, or whose diameter does: penalties leave nothing but the folder's bonus, as shipped."""
+    every = settings.w_type + settings.w_size + settings.w_standard + settings.w_text
+    untyped = 100 * (every - settings.w_type) / every if every else 0
+    return int(max(0, -(-untyped // 1) - settings.p_type, 100 - settings.p_diameter)) + MOST_BONUS
+
+
+def _bound_of_key(settings: Settings) -> int:
+    """The highest score for a row without a size of an item whose standard is another one."""
+    best = lambda *on: 100 * sum(w * f for w, f in on) / max(sum(w for w, _ in on), 1)
+    t, k, x = (settings.w_type, 1.0), (settings.w_standard, 0.3), (settings.w_text, 1.0)
+    return int(-(-max(best(t, k), best(t, k, x)) // 1)) + MOST_BONUS
+
+
+MOST_BONUS = 8
+#: Diameters that differ by less than one in a hundred are in the same or in neighbouring bins of their logarithm.
+_BIN = 0.011
+
+
+def compatible_types(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(r, i): types of rows with the types of items that are equal, hold them or are held by them; each side's different types meet by their parts."""
+    def parts(df, c):
+        n = F.length(c)
+        cut = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.substr(F.col(c), i, j - i + 1))))
+        return df.select(c, F.explode(F.array_distinct(cut)).alias("__p"))
+
+    r = rows.select(T.clean("r_type").alias("r")).where("r <> ''").distinct()
+    i = items.select(T.clean("i_type").alias("i")).where("i <> ''").distinct()
+    held = parts(r, "r").join(i, F.col("__p") == F.col("i")).select("r", "i")
+    return held.unionByName(parts(i, "i").join(r, F.col("__p") == F.col("r")).select("r", "i")).distinct()
+
+
+def close_items(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(row_id, item_id, by_key): items that can score above _bound() for a row with a type or size, from postings of (type, diameter).
+
+    A row meets items of compatible types, or of none, whose diameter is within one in a hundred or
+    unknown. A row without a size meets those of its standard instead (by_key; _bound_of_key() holds
+    for others), or of its types alone; one without both meets none.
+    """
+    first = lambda c: F.get(F.col(c), F.lit(0))
+    number = lambda x: F.floor(F.log(x) / _BIN)
+    unknown, star = F.lit("d:"), F.lit("*")
+    rt, it, d, e = T.clean("r_type"), T.clean("i_type"), first("r_tokens"), first("i_tokens")
+    label = lambda b: F.concat(F.lit("d:"), b.cast("string"))
+    by_key = (F.size("r_tokens") == 0) & (F.col("r_key") != "")
+    places = (
+        F.when((F.size("r_tokens") > 0) & (d > 0), F.array(*[label(number(d) + i) for i in (-1, 0, 1)], unknown)).when(F.size("r_tokens") > 0, F.array(unknown))
+        .when(by_key, F.array(F.concat(F.lit("k:"), F.col("r_key")))).otherwise(F.array(star))
+    )
+    asked = left.where((rt != "") | (F.size("r_tokens") > 0)).select("row_id", rt.alias("r"), by_key.alias("by_key"), F.explode(places).alias("place"))
+    typed = asked.where("r <> ''").join(compatible_types(left, right), "r").select("row_id", "by_key", "place", F.col("i").alias("type"))
+    asked = typed.unionByName(asked.select("row_id", "by_key", "place", F.when(F.col("r") == "", "*").otherwise("").alias("type")))
+    own = F.array_compact(F.array(star, F.when(e >= 0.01, label(number(e))).otherwise(unknown), F.when(F.col("i_key") != "", F.concat(F.lit("k:"), F.col("i_key")))))
+    posted = right.select("item_id", F.explode(F.array(it, star)).alias("type"), own.alias("places")).select("item_id", "type", F.explode("places").alias("place"))
+    return asked.join(posted, ["type", "place"]).select("row_id", "item_id", "by_key").distinct()
+
+
 def scored_matches(rows: DataFrame, items: DataFrame, settings: Settings = Settings(), threshold: int = 80) -> DataFrame:
     """(row_id, rank, item_id, score, chosen): a row's best items by weighted score, the first of each canonical key, `candidates` at most; chosen from `threshold` on.
 
-    Only items that share a row's type, size or standard are scored, or a keyword if the row has none
+    Only items that share a row's type, size or standard count, or a keyword if the row has none
     of these: any other stays below the threshold (60.75 of 100 at most, and 8 for its folder). Rows
     and items carry the columns of weighted_score() without prefix: type, size, key, strength,
     coating, text.
+
+    First a row's close items are scored, which alone can come above a bound. Rows that have as many
+    as they may show above it are done; only the others are scored against all items that share a field.
     """
     own = ["type", "size", "key", "strength", "coating", "text"]
-    left = rows.select("row_id", *[T.text(c).alias(f"r_{c}") for c in own])
-    right = items.where("is_active").select("item_id", "canonical_key", "folder_priority", *[T.text(c).alias(f"i_{c}") for c in own])
+    left = saved(score_features(rows.select("row_id", *[T.text(c).alias(f"r_{c}") for c in own]), "r"))
+    right = saved(score_features(items.where("is_active").select("item_id", "canonical_key", "folder_priority", *[T.text(c).alias(f"i_{c}") for c in own]), "i"))
     size = lambda c: T.size_key(T.normalize_size(c))
+    fields = lambda p: {"type": T.clean(f"{p}_type"), "size": size(f"{p}_size"), "key": T.clean(f"{p}_key")}
 
     def blocks(df, key, p):
-        marks = [(f"{m}:", v) for m, v in (("type", T.clean(f"{p}_type")), ("size", size(f"{p}_size")), ("key", T.clean(f"{p}_key")))]
-        fields = F.array_compact(F.array(*[F.when(v != "", F.concat(F.lit(m), v)) for m, v in marks]))
+        marks = F.array_compact(F.array(*[F.when(v != "", F.concat(F.lit(f"{m}:"), v)) for m, v in fields(p).items()]))
         words = F.transform(T.keywords(f"{p}_text"), lambda w: F.concat(F.lit("word:"), w))
-        none = F.size(fields) == 0 if p == "r" else F.lit(True)
-        return df.select(key, F.explode(F.concat(fields, F.when(none, words).otherwise(F.array().cast("array<string>")))).alias("__b"))
-
-    pairs = blocks(left, "row_id", "r").join(blocks(right, "item_id", "i"), "__b").select("row_id", "item_id").distinct()
-    scored = weighted_score(pairs.join(score_features(left, "r"), "row_id").join(score_features(right, "i"), "item_id"), settings).where("score > 0")
-    key = F.when(T.text("canonical_key") != "", F.col("canonical_key")).otherwise(F.concat(F.lit("#"), F.col("item_id").cast("string")))
-    once = scored.withColumn("__n", F.row_number().over(Window.partitionBy("row_id", key).orderBy(F.desc("score"), "item_id"))).where("__n = 1")
-    return S.top_k(once, "row_id", [F.desc("score"), F.col("item_id")], settings.candidates).select("row_id", "rank", "item_id", "score", ((F.col("rank") == 1) & (F.col("score") >= threshold)).alias("chosen"))
+        none = F.size(marks) == 0 if p == "r" else F.lit(True)
+        return df.select(key, F.explode(F.concat(marks, F.when(none, words).otherwise(F.array().cast("array<string>")))).alias("__b"))
+
+    def best(pairs):
+        scored = weighted_score(pairs.join(left, "row_id").join(right, "item_id"), settings).where("score > 0")
+        shared = [(v != "") & (v == fields("i")[m]) for m, v in fields("r").items()]
+        alone = [v == "" for v in fields("r").values()]
+        scored = scored.where(shared[0] | shared[1] | shared[2] | alone[0] & alone[1] & alone[2])
+        key = F.when(T.text("canonical_key") != "", F.col("canonical_key")).otherwise(F.concat(F.lit("#"), F.col("item_id").cast("string")))
+        once = scored.withColumn("__n", F.row_number().over(Window.partitionBy("row_id", key).orderBy(F.desc("score"), "item_id"))).where("__n = 1")
+        kept = [c for c in ("by_key",) if c in pairs.columns]
+        return S.top_k(once, "row_id", [F.desc("score"), F.col("item_id")], settings.candidates).select("row_id", "rank", "item_id", "score", *kept)
+
+    near = saved(best(close_items(left, right)))
+    bound = F.when(F.col("by_key"), _bound_of_key(settings)).otherwise(_bound(settings))
+    done = near.where(F.col("score") > bound).groupBy("row_id").count().where(F.col("count") >= settings.candidates).select("row_id")
+    rest = left.join(done, "row_id", "left_anti")
+    more = best(blocks(rest, "row_id", "r").join(blocks(right, "item_id", "i"), "__b").select("row_id", "item_id").distinct())
+    out = near.join(done, "row_id", "left_semi").drop("by_key").unionByName(more)
+    return out.select("row_id", "rank", "item_id", "score", ((F.col("rank") == 1) & (F.col("score") >= threshold)).alias("chosen"))
 
 
 def analog_info(rows: DataFrame, equivalents: DataFrame, enabled: bool = False, text: str = "raw_text") -> DataFrame:
