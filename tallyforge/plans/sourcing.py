@@ -273,14 +273,17 @@ def chosen_columns(spark, d):
     return profile.canonical_frame(grid, c, 3)
 
 
-_OFFERS = {"0": ["Название", "Цена без НДС", "Ед. изм"], "1": ["Артикул", "Price", "Unit"], "2": ["x", "y", "z"], "3": ["Стоимость", "Товар", "Количество"]}
+_OFFERS = ["'Название', 'Цена без НДС', 'Ед. изм'", "'Артикул', 'Price ' || p_size, 'Unit'", "p_name, 'y', 'z'", "'Стоимость', 'Товар ' || p_name, 'Количество'"]
 
 
-@query(f"""WITH h(offer, col, t) AS (VALUES {', '.join(f"('{k}', {i}, '{c.lower()}')" for k, cs in _OFFERS.items() for i, c in enumerate(cs))})
-SELECT offer, min(col) FILTER (WHERE regexp_matches(t, 'цена|price|стоимость|прайс'))::BIGINT AS price, coalesce(min(col) FILTER (WHERE regexp_matches(t, 'наименование|название|позиция|товар|name')), 0)::BIGINT AS name, min(col) FILTER (WHERE regexp_matches(t, 'ед|единиц|unit|изм'))::BIGINT AS unit FROM h GROUP BY 1""")
+@query(f"""SELECT p_partkey AS offer, {case("1", "1", "NULL", "0")}::BIGINT AS price, {case("0", "0", "0", "1")}::BIGINT AS name, {case("2", "2", "NULL", "NULL")}::BIGINT AS unit,
+  {case("p_name", "p_name", "p_name", "p_size || ''")} AS first_name FROM part""")
 def offer_columns(spark, d):
-    """Columns of price, name and unit by an offer's headers."""
-    return spark.createDataFrame([(k, *profile.offer_columns(cs)) for k, cs in _OFFERS.items()], "offer string, price long, name long, unit long")
+    """Columns of price, name and unit by each part's offer's headers, and the name in its first row."""
+    made = case(*[f"array({h})" for h in _OFFERS])
+    row = F.array("p_name", F.col("p_size").cast("string"), F.lit("шт"))
+    got = table(spark, d, "part").select("p_partkey", row.alias("row"), profile.offer_columns(F.expr(made)).alias("x"))
+    return got.select(F.col("p_partkey").alias("offer"), *[F.col(f"x.{c}").cast("long").alias(c) for c in ("price", "name", "unit")], F.get("row", F.col("x.name")).alias("first_name"))
 
 
 @query("""SELECT p_partkey + 1 AS row_index, p_name AS raw_text, p_size::DOUBLE AS qty, CASE WHEN p_partkey % 2 = 0 THEN 12.5 END::DOUBLE AS price, (p_partkey % 5)::DOUBLE AS total, 'шт' AS unit FROM part""")

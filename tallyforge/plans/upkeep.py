@@ -11,7 +11,7 @@ from tallyforge.operators import catalog, cluster, matching, metrics, snapshot
 from tallyforge.operators import rules as R
 from tallyforge.operators import similarity as S
 from tallyforge.operators.graph import saved
-from tallyforge.plans.base import EQUIVALENTS, ITEMS, equivalents, items, records, register, table
+from tallyforge.plans.base import EQUIVALENTS, ITEMS, RECORDS, equivalents, items, records, register, table
 from tallyforge.plans.matching import _EXACT, _KEYED, _expected, _EXPECTED, _runs, _RUNS
 from tallyforge.plans.scalars import case
 
@@ -110,11 +110,15 @@ def step_timing(spark, d):
     return spark.createDataFrame([(step["step_name"], step["input_rows"], step["output_rows"], step["success_rate"])], "step_name string, input_rows long, output_rows long, success_rate double")
 
 
-@query("SELECT * FROM (VALUES ('readiness', 6), ('standards', 10), ('inference', 5), ('types', 16), ('categories', 29), ('exceptions', 6), ('coatings', 19), ('strengths', 22), ('sizes', 8), ('unified', 49), ('equivalents', 11)) AS t(kind, n)".replace("(kind, n)", "(kind, m)").replace("SELECT *", "SELECT kind, m::BIGINT AS n"))
+_TYPES_OF = ", ".join(f"('{k}-{c}', '{t}')" for k, c, t in seeds.STANDARDS)
+
+
+@query(f"""WITH {RECORDS}, s(std_key, kind) AS (VALUES {_TYPES_OF}) SELECT std_key, any_value(kind) AS kind, count(*)::BIGINT AS lines, count(DISTINCT item_type)::BIGINT AS types FROM records LEFT JOIN s USING (std_key) GROUP BY 1""")
 def seed_tables(spark, d):
-    """How many rules each default table has."""
-    tables = {"readiness": seeds.READINESS, "standards": seeds.STANDARDS, "inference": seeds.INFERENCE, "types": seeds.TYPES, "categories": seeds.CATEGORIES, "exceptions": seeds.EXCEPTIONS, "coatings": seeds.COATINGS, "strengths": seeds.STRENGTHS, "sizes": seeds.SIZES, "unified": seeds.default_dictionary().rules, "equivalents": seeds.EQUIVALENTS}
-    return spark.createDataFrame([(k, len(v)) for k, v in tables.items()], "kind string, n long")
+    """The shipped directory of standards over all lines: what each standard is for, and how many lines of how many types say it."""
+    shipped = spark.createDataFrame([(f"{k}-{c}", t) for k, c, t in seeds.STANDARDS], "std_key string, kind string")
+    r = records(spark, d).groupBy("std_key").agg(F.count("*").alias("lines"), F.count_distinct("item_type").alias("types"))
+    return r.join(shipped, "std_key", "left").select("std_key", "kind", "lines", "types")
 
 
 @query("""SELECT 'readiness' AS kind, count(*)::BIGINT + 1 AS n, count(*) FILTER (WHERE n_nationkey % 2 = 0)::BIGINT + 1 AS active, string_agg(n_name, ',' ORDER BY n_nationkey // 5, n_nationkey) FILTER (WHERE n_nationkey % 2 = 0) AS names FROM nation
@@ -134,11 +138,15 @@ def rule_snapshots(spark, d):
     return spark.createDataFrame([(kind, counts[kind], active[kind], ",".join(r.name for r in own) if kind == "readiness" else None) for kind in counts], "kind string, n long, active long, names string")
 
 
-@query("SELECT * FROM (VALUES ('auto_jaccard', 0.4), ('auto_threshold', 90), ('candidates', 10), ('delta_jaccard', 0.05), ('lsh_threshold', 0.3), ('min_candidates', 5), ('min_display_score', 40), ('p_diameter', 100), ('p_kit', 60), ('p_standard', 30), ('p_type', 60), ('suggest_jaccard', 0.25), ('top_k', 20), ('w_size', 35), ('w_standard', 20), ('w_text', 5), ('w_type', 40)) AS t(name, v)".replace("SELECT *", "SELECT name, v::DOUBLE AS value"))
+@query("""WITH j AS (SELECT p_partkey, p_size / 50.0 AS jaccard, (p_partkey * 7 % 101) AS score FROM part)
+SELECT CASE WHEN jaccard >= 0.4 THEN 'auto' WHEN jaccard >= 0.25 THEN 'suggest' ELSE 'none' END AS similar, CASE WHEN score >= 90 THEN 'auto' WHEN score >= 40 THEN 'shown' ELSE 'hidden' END AS scored, count(*)::BIGINT AS n FROM j GROUP BY 1, 2""")
 def match_settings(spark, d):
-    """The shipped settings of matching."""
+    """What the shipped thresholds make of a similarity and a score of each part."""
     own = matching.Settings()
-    return spark.createDataFrame([(k, float(v)) for k, v in vars(own).items() if isinstance(v, (int, float)) and not isinstance(v, bool)], "name string, value double")
+    j = table(spark, d, "part").select((F.col("p_size") / 50.0).alias("jaccard"), (F.col("p_partkey") * 7 % 101).alias("score"))
+    similar = F.when(F.col("jaccard") >= own.auto_jaccard, "auto").when(F.col("jaccard") >= own.suggest_jaccard, "suggest").otherwise("none")
+    scored = F.when(F.col("score") >= own.auto_threshold, "auto").when(F.col("score") >= own.min_display_score, "shown").otherwise("hidden")
+    return j.groupBy(similar.alias("similar"), scored.alias("scored")).agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT p_partkey AS item_id, {case("p_name", "p_name || ' new'")} AS name, p_partkey % 2 = 1 OR p_partkey % 7 = 0 AS built FROM part WHERE p_partkey % 5 <> 0""")
