@@ -30,12 +30,32 @@ def sync(old: DataFrame, new: DataFrame, keys: list[str] = ("uid", "char"), valu
 def folder_paths(folders: DataFrame) -> DataFrame:
     """folder_uid, path (root to leaf, ' / '), priority (own, else of the nearest ancestor that has one), level.
 
-    Walks up one level at a time, all folders at once; the walk ends when no folder has a parent
-    left, or at a cycle, however deep the folders are.
+    Pointer jumping: each folder knows the stretch up to some ancestor, and takes that ancestor's stretch
+    on top of its own, so stretches double and d levels take about log2(d) rounds. A parent that is not
+    there ends a path. Folders that are still not done when a stretch would be longer than there are folders
+    lead to a cycle: their paths go up one level at a time until a folder repeats.
     """
     base = folders.select("folder_uid", F.coalesce("folder_name", F.lit("")).alias("name"), F.nullif(T.text("parent_uid"), F.lit("")).alias("parent"), F.col("priority").cast("int").alias("own"))
+    base = saved(base)
+    state = base.select("folder_uid", F.nullif("name", F.lit("")).alias("path"), F.col("own").alias("priority"), F.col("parent").alias("up"), F.lit(1).alias("level"))
+    before, open_ = None, F.col("up").isNotNull()
+    for _ in range(base.count().bit_length() + 1):
+        over = state.select(F.col("folder_uid").alias("up"), F.col("path").alias("__path"), F.col("priority").alias("__priority"), F.col("up").alias("__up"), F.col("level").alias("__level"))
+        path = F.nullif(F.concat_ws(" / ", "__path", "path"), F.lit(""))
+        state = saved(state.join(over, "up", "left").select("folder_uid", path.alias("path"), F.coalesce("priority", "__priority").alias("priority"), F.col("__up").alias("up"), (F.col("level") + F.coalesce("__level", F.lit(0))).alias("level")))
+        unsaved(before)
+        before = state
+        if state.where(open_).isEmpty():
+            break
+    done = state.where(~open_).select("folder_uid", F.coalesce("path", F.lit("")).alias("path"), "priority", "level")
+    rest = state.where(open_).select("folder_uid").distinct()
+    return done if rest.isEmpty() else done.unionByName(_walked(base, base.join(rest, "folder_uid", "left_semi")))
+
+
+def _walked(base: DataFrame, asked: DataFrame) -> DataFrame:
+    """folder_paths() of the asked folders, a level at a time, up to a parent that is not there or was passed before."""
     up = base.select(F.col("folder_uid").alias("next"), F.col("name").alias("up_name"), F.col("parent").alias("up_parent"), F.col("own").alias("up_own"))
-    walk = base.select("folder_uid", F.col("name").alias("path"), F.col("own").alias("priority"), F.col("parent").alias("next"), F.array("folder_uid").alias("seen"))
+    walk = asked.select("folder_uid", F.col("name").alias("path"), F.col("own").alias("priority"), F.col("parent").alias("next"), F.array("folder_uid").alias("seen"))
     walk_table = None
     while True:
         more = walk.join(up, "next", "left")

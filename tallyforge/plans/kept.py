@@ -1,4 +1,4 @@
-"""Queries over what is kept and brought up to date: a similarity index after several changes."""
+"""Queries over what is kept and brought up to date: a similarity index after several changes, postings of a catalogue."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import similarity as S
 from tallyforge.operators.band_index import BandIndex
+from tallyforge.operators.search_index import SearchIndex
 from tallyforge.plans.base import register, table
 from tallyforge.plans.decisions import _GRAM_LIST, _NAME
 
@@ -37,3 +38,18 @@ def index_probe(spark, d):
     index.apply(tokens(p.where("item_id % 5 <> 0 AND item_id % 3 = 1"), "renamed"), none)
     found = index.probe(tokens(p, "name").withColumnRenamed("item_id", "row_id"), _ALIKE)
     return found.groupBy("row_id").agg(F.count("*").alias("n"), F.min("item_id").alias("first_item"))
+
+
+_ASKED = """CASE s_suppkey % 4 WHEN 0 THEN 'BRAND#' || (s_suppkey % 25) WHEN 1 THEN substr('widget gizmo anvil bolt ring', 1 + s_suppkey % 20, 3 + s_suppkey % 4)
+  WHEN 2 THEN 'zzq' || s_suppkey ELSE substr('red small cold', 1 + s_suppkey % 12, 2) END"""
+
+
+@query(f"""WITH q AS (SELECT s_suppkey AS query_id, lower({_ASKED}) AS query FROM supplier)
+SELECT query_id, p_partkey, p_name, rank::BIGINT AS rank FROM (SELECT query_id, p.p_partkey, p_name, row_number() OVER (PARTITION BY query_id ORDER BY p_name, p.p_partkey) AS rank FROM q JOIN part p ON contains(lower(p_name), query) OR contains(lower(p_brand), query)) WHERE rank <= 20""")
+def catalog_search_indexed(spark, d):
+    """A search of the catalogue for every supplier at once, through n-gram postings; its first twenty items."""
+    p = table(spark, d, "part")
+    asked = table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"), F.expr(_ASKED).alias("query"))
+    index = SearchIndex(spark, f"search_{uuid.uuid4().hex}", ("p_name", "p_brand")).build(p, "p_partkey")
+    got = index.search(asked, p.select("p_partkey", "p_name", "p_brand"), [F.col("p_name"), F.col("p_partkey")], 20, "p_partkey")
+    return got.select("query_id", "p_partkey", "p_name", F.col("rank").cast("long").alias("rank"))
