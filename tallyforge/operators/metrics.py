@@ -128,3 +128,30 @@ def timed(name: str, step: Callable[[DataFrame], DataFrame], df: DataFrame) -> t
     out = saved(step(df.observe(seen, F.count(F.lit(1)).alias("n"))).observe(made, F.count(F.lit(1)).alias("n")))
     n, m = seen.get["n"], made.get["n"]
     return out, {"step_name": name, "input_rows": n, "output_rows": m, "success_rate": round(m / n, 4) if n else 0.0, "seconds": time.time() - began}
+
+
+# Parts that merge
+
+
+def parts(df: DataFrame, by: list[str], value: str, entity: str) -> DataFrame:
+    """One row for each `by`: n, total, least and most of value, with sketches of its different entities (HyperLogLog) and of its values (KLL). Null values count in n alone."""
+    v = F.col(value).cast("double")
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(v).alias("total"), F.min(v).alias("least"), F.max(v).alias("most"), F.hll_sketch_agg(F.col(entity).cast("string")).alias("entities"), F.kll_sketch_agg_double(v).alias("values"))
+
+
+def keep_parts(made: DataFrame, path: str, run: str) -> None:
+    """Put parts(.., [run, ..]) under path, a folder for each run. Parts of a run that is there already are replaced, so a batch that is run again changes nothing."""
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(path)
+
+
+def merged(kept: DataFrame, by: list[str]) -> DataFrame:
+    """parts() of all runs together, by fewer columns: what parts() of all rows would say, sketches within their errors."""
+    return kept.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"), F.hll_union_agg("entities").alias("entities"), F.kll_merge_agg_double("values").alias("values"),
+    )
+
+
+def shown(kept: DataFrame) -> DataFrame:
+    """Parts with estimates in place of sketches: entities, and the median of the values; mean and median are null without values."""
+    some = F.kll_sketch_get_n_double("values")
+    return kept.withColumns({"mean": F.try_divide("total", some), "entities": F.hll_sketch_estimate("entities"), "median": F.when(some > 0, F.kll_sketch_get_quantile_double("values", F.lit(0.5)))}).drop("values")

@@ -1,4 +1,4 @@
-"""Queries over what is kept and brought up to date: a similarity index after several changes, postings of a catalogue."""
+"""Queries over what is kept and brought up to date: a similarity index after several changes, postings of a catalogue, and metrics of runs."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tallyforge.operators import metrics
 from tallyforge.operators import similarity as S
 from tallyforge.operators.band_index import BandIndex
+from tallyforge.operators.graph import shared_dir
 from tallyforge.operators.search_index import SearchIndex
 from tallyforge.plans.base import register, table
 from tallyforge.plans.decisions import _GRAM_LIST, _NAME
@@ -53,3 +55,18 @@ def catalog_search_indexed(spark, d):
     index = SearchIndex(spark, f"search_{uuid.uuid4().hex}", ("p_name", "p_brand")).build(p, "p_partkey")
     got = index.search(asked, p.select("p_partkey", "p_name", "p_brand"), [F.col("p_name"), F.col("p_partkey")], 20, "p_partkey")
     return got.select("query_id", "p_partkey", "p_name", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n, round(sum(value), 2) AS total, min(value) AS least, max(value) AS most, true AS users_close, true AS median_close FROM events GROUP BY 1")
+def metrics_merged(spark, d):
+    """Metrics of events by type, merged from the parts of each day, of which the last day's came twice; estimates are held against exact figures."""
+    events = table(spark, d, "events").select("event_type", "user_id", "value", F.to_date("ts").alias("day"))
+    path = f"{shared_dir(spark).rstrip('/')}/tallyforge-{uuid.uuid4().hex}"
+    metrics.keep_parts(metrics.parts(events, ["day", "event_type"], "value", "user_id"), path, "day")
+    again = events.join(events.agg(F.max("day").alias("day")), "day")
+    metrics.keep_parts(metrics.parts(again, ["day", "event_type"], "value", "user_id"), path, "day")
+    got = metrics.shown(metrics.merged(spark.read.parquet(path), ["event_type"]))
+    below = F.count_if(F.col("value") < F.col("median")) / F.count("*")
+    exact = events.join(got.select("event_type", "median"), "event_type").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.abs(below - 0.5).alias("off"))
+    near = F.abs(F.col("entities") / F.col("users") - 1) < 0.08
+    return got.join(exact, "event_type").select("event_type", "n", F.round("total", 2).alias("total"), "least", "most", near.alias("users_close"), (F.col("off") < 0.05).alias("median_close"))

@@ -58,3 +58,25 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     chain = spark.range(n).select(F.col("id").cast("string").alias("folder_uid"), F.when(F.col("id") % 5000 == 0, F.concat(F.lit("n"), "id")).alias("folder_name"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent_uid"), F.when(F.col("id") == 7, 3).alias("priority"))
     last = catalog.folder_paths(chain).where(F.col("folder_uid") == str(n - 1)).first()
     assert (last["path"], last["priority"], last["level"]) == ("n0 / n5000 / n10000 / n15000", 3, n) and len(rounds) <= 17
+
+
+def test_parts_of_runs_merge_to_the_whole(spark, tmp_path):
+    from tallyforge.operators import metrics
+
+    rng = random.Random(9)
+    rows = [(f"d{i % 4}", rng.choice(["a", "b", None]), f"u{rng.randint(0, 300)}", rng.choice([None, float(i % 101)])) for i in range(4000)] + [("d9", "lone", None, None)]
+    df = spark.createDataFrame(rows, "day string, kind string, who string, x double")
+    path = str(tmp_path / "parts")
+    for day in ("d0", "d1", "d2", "d3", "d9", "d2", "d2"):  # one run comes three times
+        metrics.keep_parts(metrics.parts(df.where(F.col("day") == day), ["day", "kind"], "x", "who"), path, "day")
+    got = {r["kind"]: r for r in metrics.shown(metrics.merged(spark.read.parquet(path), ["kind"])).collect()}
+    assert set(got) == {"a", "b", None, "lone"}
+    for kind, r in got.items():
+        own = [x for x in rows if x[1] == kind]
+        values = sorted(x[3] for x in own if x[3] is not None)
+        assert r["n"] == len(own) and r["least"] == min(values, default=None) and r["most"] == max(values, default=None)
+        if values:
+            assert abs(r["total"] - sum(values)) < 1e-6 and abs(r["mean"] - sum(values) / len(values)) < 1e-9 and abs(r["median"] - values[len(values) // 2]) <= 3
+            assert abs(r["entities"] - len({x[2] for x in own})) <= 10
+    assert got["lone"]["mean"] is None and got["lone"]["entities"] == 0
+    assert metrics.parts(df.where("false"), ["day", "kind"], "x", "who").count() == 0
