@@ -1,4 +1,4 @@
-"""Queries over what is kept and brought up to date: a similarity index after several changes, postings of a catalogue, and metrics of runs."""
+"""Queries over what is kept and brought up to date: a similarity index after several changes, postings of a catalogue, metrics of runs, and a store of items."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from tallyforge.operators import metrics
 from tallyforge.operators import similarity as S
 from tallyforge.operators.band_index import BandIndex
 from tallyforge.operators.graph import shared_dir
+from tallyforge.operators.item_store import ItemStore
 from tallyforge.operators.search_index import SearchIndex
 from tallyforge.plans.base import register, table
 from tallyforge.plans.decisions import _GRAM_LIST, _NAME
@@ -70,3 +71,16 @@ def metrics_merged(spark, d):
     exact = events.join(got.select("event_type", "median"), "event_type").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.abs(below - 0.5).alias("off"))
     near = F.abs(F.col("entities") / F.col("users") - 1) < 0.08
     return got.join(exact, "event_type").select("event_type", "n", F.round("total", 2).alias("total"), "least", "most", near.alias("users_close"), (F.col("off") < 0.05).alias("median_close"))
+
+
+@query("""SELECT p_partkey::VARCHAR AS uid, CASE WHEN p_partkey % 50 = 3 THEN p_name || ' new' ELSE p_name END AS name, p_partkey % 50 <> 7 AS is_active, CASE p_partkey % 50 WHEN 3 THEN 'updated' WHEN 7 THEN 'deactivated' WHEN 9 THEN 'created' END AS action FROM part""")
+def sync_partial(spark, d):
+    """The catalogue after a feed that changes some items, and what it changed; buckets without a change are not written, and the same feed again writes nothing."""
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("uid"), F.lit(None).cast("string").alias("char"), F.col("p_name").alias("name"), (F.col("p_partkey") % 50).alias("k"))
+    store = ItemStore(spark, f"{shared_dir(spark).rstrip('/')}/tallyforge-{uuid.uuid4().hex}")
+    store.sync(p.where("k <> 9"))
+    feed = p.where("k <> 7").withColumn("name", F.when(F.col("k") == 3, F.concat("name", F.lit(" new"))).otherwise(F.col("name")))
+    version, changed = store.sync(feed)
+    again, none = store.sync(feed)
+    changed = changed.unionByName(none)
+    return store.read(again).join(changed.select("uid", "char", "action"), ["uid", "char"], "left").select("uid", "name", "is_active", "action")
