@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
+from tallyforge.operators.catalog import delta
 from tallyforge.operators.graph import components, saved
 from tallyforge.operators.matching import symmetric
 
@@ -70,6 +71,31 @@ def groups(items: DataFrame, edges: DataFrame, edge_columns=("a", "b")) -> DataF
     return members.join(sizes, "component").select(F.col("id").alias("item_id"), F.col("component").alias("group_id"), "group_size")
 
 
+def all_links(items: DataFrame, equivalents: DataFrame) -> DataFrame:
+    """duplicate_links() and analog_links()."""
+    return duplicate_links(items).unionByName(analog_links(items, equivalents))
+
+
+def groups_after(before: DataFrame, items_before: DataFrame, items_after: DataFrame, equivalents: DataFrame) -> DataFrame:
+    """groups() of items_after by all_links(), from before = groups() of items_before: (item_id, group_id, group_size, again).
+
+    Items that came, went or changed touch the items of their new types and sizes and all of their old groups;
+    only these are grouped again. Between them and all others there is no link: others share no type and
+    size with an item that is new, and old items were linked within their groups. The equivalents are the
+    same for both. again: whether the group was made anew.
+    """
+    put, gone = delta(items_before, items_after, "item_id")
+    put, gone = saved(put), saved(gone)
+    fresh = keyed(put).select("type_norm", "size_key").distinct()
+    near = keyed(items_after).join(fresh, ["type_norm", "size_key"], "left_semi").select("item_id")
+    touched = saved(put.select("item_id").unionByName(gone).unionByName(near).distinct())
+    old = saved(before.join(touched, "item_id", "left_semi").select("group_id").distinct())
+    members = touched.unionByName(before.join(old, "group_id", "left_semi").select("item_id")).distinct()
+    some = saved(items_after.join(members, "item_id", "left_semi"))
+    made = groups(some, all_links(some, equivalents)).withColumn("again", F.lit(True))
+    return before.join(old, "group_id", "left_anti").select("item_id", "group_id", "group_size").withColumn("again", F.lit(False)).unionByName(made)
+
+
 def elect_parent(members: DataFrame, items: DataFrame) -> DataFrame:
     """members with role: the parent has the smallest priority (none last), a primary folder, the shortest name, the first uid, the smallest id."""
     m = members.join(items.select("item_id", "name", "uid_1c", "folder_priority", "folder_path"), "item_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text as T
 from tallyforge.operators import catalog, cluster, matching, metrics, quotes, setjoin
 from tallyforge.operators import similarity as S
+from tallyforge.operators.graph import saved
 from tallyforge.plans.base import EQUIVALENTS, ITEMS, LINES, RECORDS, equivalents, items, lines, records, table
 from tallyforge.sources import profile
 
@@ -156,6 +157,17 @@ def dup_groups(spark, d):
     return _groups(spark, d)[1].select("item_id", "group_id", F.col("group_size").cast("long").alias("group_size"))
 
 
+@query(f"WITH RECURSIVE {EQUIVALENTS}, {_KEYED}{_COMPONENTS} SELECT item_id, group_id, group_size::BIGINT AS group_size FROM g WHERE group_size > 1")
+def groups_after_sync(spark, d):
+    """The same groups, from those of an earlier catalogue: of its items some went, some came, some had another name or standard."""
+    after, eq = saved(items(spark, d)), equivalents(spark)
+    k = F.col("item_id") % 50
+    before = after.where(k != 9).withColumns({"name": F.when(k == 3, "small ring").otherwise(F.col("name")), "standard_key": F.when(k == 21, "DIN-931").otherwise(F.col("standard_key"))})
+    before = saved(before.unionByName(after.where(k == 9).withColumns({"item_id": -F.col("item_id") - 1})))
+    old = saved(cluster.groups(before, cluster.all_links(before, eq)))
+    return cluster.groups_after(old, before, after, eq).select("item_id", "group_id", F.col("group_size").cast("long").alias("group_size"))
+
+
 @query(f"""WITH RECURSIVE {EQUIVALENTS}, {_KEYED}{_COMPONENTS}, m AS (SELECT g.*, k.name, k.uid_1c, k.folder_priority, k.folder_path FROM g JOIN k USING (item_id) WHERE group_size > 1)
 SELECT group_id, item_id, CASE WHEN row_number() OVER (PARTITION BY group_id ORDER BY coalesce(folder_priority, 999999), folder_path LIKE '\\_%' ESCAPE '\\', length(name), uid_1c, item_id) = 1 THEN 'parent' ELSE 'child' END AS role FROM m""")
 def parent_election(spark, d):
