@@ -2,7 +2,7 @@
 
 Postings (gram, item) of all stretches of up to three characters are a table bucketed by gram. A query looks
 up the RAREST rarest of its own n-grams, items that have all of these are looked at, and what the real columns say
-decides. Queries are moved to the postings' buckets; the postings stay where they lie.
+decides. Equal queries are searched once. Queries are moved to the postings' buckets; the postings stay where they lie.
 """
 
 from __future__ import annotations
@@ -64,24 +64,27 @@ class SearchIndex:
 
         An empty or null query is held by every item, and so finds the first `limit` of them.
         """
-        asked = saved(queries.select("query_id", F.lower(T.text("query")).alias("query")))
-        own = _postings(asked.where("query <> ''"), "query_id", "query", True)
+        every = saved(queries.select("query_id", F.lower(T.text("query")).alias("__q")))
+        # Equal queries are searched once: their text stands for them until their results are handed out.
+        asked = every.select("__q").distinct()
+        own = _postings(asked.where("__q <> ''").withColumn("query", F.col("__q")), "__q", "query", True)
         # A gram that no item has counts as the rarest: its query finds nothing.
         counted = own.join(self.spark.table(f"{self.name}_counts"), "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        chosen = saved(S.top_k(counted, "query_id", [F.col("n"), F.col("gram")], RAREST, "r").select("query_id", "gram"))
-        wanted = chosen.groupBy("query_id").agg(F.count("*").alias("wanted"))
-        met = chosen.join(self.spark.table(f"{self.name}_postings"), "gram").groupBy("query_id", "item_id").agg(F.count("*").alias("n"))
-        met = met.join(wanted, "query_id").where("n = wanted").select("query_id", F.col("item_id").alias(key))
+        chosen = saved(S.top_k(counted, "__q", [F.col("n"), F.col("gram")], RAREST, "r").select("__q", "gram"))
+        wanted = chosen.groupBy("__q").agg(F.count("*").alias("wanted"))
+        met = chosen.join(self.spark.table(f"{self.name}_postings"), "gram").groupBy("__q", "item_id").agg(F.count("*").alias("n"))
+        met = met.join(wanted, "__q").where("n = wanted").select("__q", F.col("item_id").alias(key))
         rows = items.select(key, *[c for c in items.columns if c != key])
         hit = F.lit(False)
         for c in self.columns:
-            hit = hit | F.lower(T.text(c)).contains(F.col("query"))
-        found = met.join(rows, key).join(asked, "query_id").where(hit)
+            hit = hit | F.lower(T.text(c)).contains(F.col("__q"))
+        found = met.join(rows, key).where(hit)
         # Every item holds the empty query, so its result is made once, whoever asks.
         first = items.orderBy(*order).limit(limit)
-        empty = asked.where("query = ''").join(F.broadcast(first), F.lit(True))  # `limit` rows
+        empty = asked.where("__q = ''").join(F.broadcast(first), F.lit(True))  # `limit` rows
         out = found.unionByName(empty)
-        return S.top_k(out, "query_id", order, limit).select("query_id", key, *[c for c in self.columns if c != key], "rank")
+        best = S.top_k(out, "__q", order, limit).select("__q", key, *[c for c in self.columns if c != key], "rank")
+        return every.join(best, "__q").drop("__q")
 
     def drop(self) -> None:
         for kind in ("postings", "counts"):

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import catalog
+from tallyforge.operators import catalog, search_index
 from tallyforge.operators.search_index import SearchIndex
 
 
@@ -80,3 +80,16 @@ def test_parts_of_runs_merge_to_the_whole(spark, tmp_path):
             assert abs(r["entities"] - len({x[2] for x in own})) <= 10
     assert got["lone"]["mean"] is None and got["lone"]["entities"] == 0
     assert metrics.parts(df.where("false"), ["day", "kind"], "x", "who").count() == 0
+
+
+def test_equal_queries_are_searched_once(spark, monkeypatch):
+    """Postings meet different queries only; every asker still gets the whole result."""
+    seen = []
+    make = search_index._postings
+    monkeypatch.setattr(search_index, "_postings", lambda df, key, text, longest: (seen.append(df.count()) if longest else None) or make(df, key, text, longest))
+    items = spark.createDataFrame([(i, f"bolt {i % 7}", "b") for i in range(40)], "item_id long, name string, brand string")
+    asked = spark.createDataFrame([(i, ("BOLT", "bolt", "olt 3", "none")[i % 4]) for i in range(80)], "query_id long, query string")
+    index = SearchIndex(spark, "search_once", ("name", "brand"), 4).build(items)
+    got = index.search(asked, items, [F.col("name"), F.col("item_id")], 5).groupBy("query_id").count().collect()
+    index.drop()
+    assert seen == [3] and {r["query_id"]: r["count"] for r in got} == {i: 5 for i in range(80) if i % 4 < 3}
