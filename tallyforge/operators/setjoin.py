@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators import setblocks
 from tallyforge.operators import similarity as S
-from tallyforge.operators.graph import saved, ship, unsaved
+from tallyforge.operators.graph import saved, ship
 
 BUCKETS = 1 << 18
-#: Thresholds at which the nearest sets are looked for, one after the other, while rows lack some.
-STEPS = (0.8, 0.6, 0.45, 0.3)
 _SLACK = 1e-9
 
 
@@ -102,52 +101,43 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str,
     return out.select(left_id, right_id, "shared", (F.col("shared") / (F.col("__s") - F.col("shared"))).alias("jaccard"))
 
 
-def nearest_sets(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int, least: float = STEPS[-1], tokens: str = "tokens", block: list[str] = (), places: int | None = None, other: bool = False) -> DataFrame:
+def nearest_sets(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int, least: float = 0.3, tokens: str = "tokens", block: list[str] = (), places: int | None = None, other: bool = False) -> DataFrame:
     """(left_id, right_id, shared, jaccard, rank): each left row's k most similar right rows from `least` on, ties by the smaller right id.
 
-    Rows that have k partners at a high threshold are done with it, as no other can come before these; only
-    the rest is joined at the next lower one, down to `least`. places: decimals to which similarities are
-    rounded before they are ranked. other: a row is no partner of the same id. Rows and blocks as for similar_sets().
+    Different sets meet in blocks (setblocks), and rows of equal sets share what theirs find. places: decimals to
+    which similarities are rounded before they are ranked. other: a row is no partner of the same id. Rows and
+    blocks as for similar_sets(); ids are whole numbers.
     """
     block = list(block)
-    l, r = saved(hashed(left, left_id, tokens, block)), saved(hashed(right, right_id, tokens, block))
-    counts = rarity(l, r)
-    out, rest, made = None, l, []
-    steps = [t for t in STEPS if t > least] + [least]
-    for t in steps:
-        found = verified(candidates(rest, r, left_id, right_id, t, block, counts), l, r, left_id, right_id).where(F.col("jaccard") >= t - _SLACK)
-        found = found.where(F.col(left_id) != F.col(right_id)) if other else found
-        exact = F.col("jaccard")
-        found = found.withColumn("jaccard", F.round(exact, places)) if places is not None else found
-        found = saved(found)
-        # Rounding may lift what is just below a step to what is just above it: such a row waits for the next step.
-        sure = F.col("jaccard") > t + (0.5 * 10.0**-places if places is not None else 0)
-        done = found.where(sure).groupBy(left_id).count().where(F.col("count") >= k).select(left_id) if t != least else None
-        own = found if done is None else found.join(done, left_id, "left_semi")
-        out = own if out is None else out.unionByName(own)
-        if done is not None:
-            rest = saved(rest.join(done, left_id, "left_anti"))
-            made.append(rest)
-            if not rest.limit(1).count():
-                break
-    unsaved(*made[:-1])
-    return S.top_k(out, left_id, [F.desc("jaccard"), F.col(right_id)], k)
+    (l, rows), (r, members) = setblocks.distinct_sets(left, left_id, block, tokens), setblocks.distinct_sets(right, right_id, block, tokens)
+    most = k + 1 if other else k
+    # Of equal right sets the first rows alone can be among the nearest.
+    few = S.top_k(members.select(F.col(right_id), F.col("set_id").alias("__r")), "__r", [F.col(right_id)], most, "__n").drop("__n")
+    sets = lambda df, name: saved(hashed(df, "set_id", "tokens", block).withColumnRenamed("set_id", name))
+    found = setblocks.nearest(sets(l, "__l"), sets(r, "__r"), "__l", "__r", most, least, block, places)
+    first = S.top_k(found, "__l", [F.desc("jaccard"), F.col("__r")], most).drop("rank")
+    first = S.top_k(first.join(few, "__r"), "__l", [F.desc("jaccard"), F.col(right_id)], most).drop("rank", "__r")
+    out = rows.select(F.col(left_id), F.col("set_id").alias("__l")).join(first, "__l")
+    out = out.where(F.col(left_id) != F.col(right_id)) if other else out
+    return S.top_k(out.select(left_id, right_id, "shared", "jaccard"), left_id, [F.desc("jaccard"), F.col(right_id)], k)
 
 
 def similarity_classes(df: DataFrame, key: str, threshold: float, tokens: str = "tokens") -> DataFrame:
     """(key, class_id, links) of every row: rows of equal token sets are one class, named after its smallest id; links counts the other rows that are as similar as the threshold, equal ones too.
 
-    Only classes are joined, so copies, however many, make no pairs. A row without tokens is a class of its own without links.
+    Only classes meet, in blocks (setblocks), and their links are counted there: neither copies nor similar classes make pairs. A row without tokens is a class of its own without links.
     """
-    sets = hashed(df, key, tokens).withColumn("hashes", F.array_sort("hashes"))
-    sets = saved(sets.withColumns({"__a": F.xxhash64("hashes"), "__b": F.xxhash64(F.lit(1), "hashes"), "__n": F.size("hashes")}))
-    same = ["__a", "__b", "__n"]
-    classes = saved(sets.groupBy(*same).agg(F.min(key).alias("class_id"), F.count("*").alias("size"), F.first("hashes").alias("hashes")))
-    whole = classes.select("class_id", "hashes")
-    pairs = verified(candidates(whole, whole.withColumnRenamed("class_id", "other"), "class_id", "other", threshold, [], rarity(whole)), whole, whole.withColumnRenamed("class_id", "other"), "class_id", "other")
-    near = pairs.where((F.col("jaccard") >= threshold - _SLACK) & (F.col("class_id") != F.col("other"))).join(classes.select(F.col("class_id").alias("other"), "size"), "other")
-    links = classes.select(*same, "class_id", "size").join(near.groupBy("class_id").agg(F.sum("size").alias("near")), "class_id", "left")
-    links = links.select(*same, "class_id", (F.coalesce("near", F.lit(0)) + F.col("size") - 1).alias("links"))
-    known = sets.join(links, same).select(key, "class_id", "links")
+    sets, rows = setblocks.distinct_sets(df, key, tokens=tokens)
+    own = saved(sets.select("set_id", "size", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes")))
+    near = setblocks.near_counts(own, own.withColumnRenamed("set_id", "other"), "set_id", "other", threshold)
+    known = rows.join(near.select("set_id", (F.col("near") - 1).alias("links")), "set_id").select(key, F.col("set_id").alias("class_id"), "links")
     alone = df.where(~F.exists(F.coalesce(tokens, F.array().cast(df.schema[tokens].dataType)), lambda t: t.isNotNull())).select(key, F.col(key).alias("class_id"), F.lit(0).cast("long").alias("links"))
     return known.unionByName(alone)
+
+
+def band_recall(left: DataFrame, right: DataFrame, left_id: str, right_id: str, threshold: float) -> DataFrame:
+    """(left_id, near, found) of left rows that have tokens: how many right rows are as similar as the threshold, and how many of these lsh_join() finds, as their bands meet. Pairs are counted in blocks of different sets."""
+    (l, rows), (r, _) = (setblocks.distinct_sets(df, key) for df, key in ((left, left_id), (right, right_id)))
+    l, r = saved(S.banded(l.withColumnRenamed("set_id", "__l"), "__l")), saved(S.banded(r.withColumnRenamed("set_id", "__r"), "__r", ["size"]))
+    got = setblocks.near_counts(l, r, "__l", "__r", threshold)
+    return rows.join(got.withColumnRenamed("__l", "set_id"), "set_id").select(left_id, "near", "found")
