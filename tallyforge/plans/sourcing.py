@@ -13,7 +13,7 @@ from tallyforge.functions import text as T
 from tallyforge.functions import vocab as V
 from tallyforge.operators import catalog
 from tallyforge.operators.graph import shared_dir, ship
-from tallyforge.plans.base import register, table
+from tallyforge.plans.base import dealt, register, table
 from tallyforge.plans.scalars import case
 from tallyforge.sources import profile, readers, sinks
 
@@ -342,9 +342,10 @@ def stored_signatures(spark, d):
     """Signatures written once for a version of the items, and read again while it lasts."""
     from tallyforge.operators import similarity as S
 
-    i = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), T.char_ngrams("p_name").alias("tokens"))
+    i = dealt(table(spark, d, "part")).select(F.col("p_partkey").alias("item_id"), T.char_ngrams("p_name").alias("tokens"))
     to, version = folder(spark), catalog.snapshot_version(i.select("item_id"))
     sinks.signature_table(i, to, version)
     again = sinks.signature_table(i.where("false"), to, version)
-    own = i.select("item_id", S.signature(F.col("tokens")).alias("own"))
-    return again.join(own, "item_id").select("item_id", F.size("signature").cast("long").alias("n"), (F.col("signature") == F.col("own")).alias("same"))
+    # The expression that they are held against is slow: it is made once for each different set, by all tasks.
+    own = dealt(i.select("tokens").distinct()).select("tokens", S.signature(F.col("tokens")).alias("own"))
+    return again.join(i, "item_id").join(own, "tokens").select("item_id", F.size("signature").cast("long").alias("n"), (F.col("signature") == F.col("own")).alias("same"))

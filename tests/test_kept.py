@@ -93,3 +93,15 @@ def test_equal_queries_are_searched_once(spark, monkeypatch):
     got = index.search(asked, items, [F.col("name"), F.col("item_id")], 5).groupBy("query_id").count().collect()
     index.drop()
     assert seen == [3] and {r["query_id"]: r["count"] for r in got} == {i: 5 for i in range(80) if i % 4 < 3}
+
+
+def test_signatures_are_held_against_one_expression_a_name(spark, monkeypatch):
+    """The slow expression is evaluated once for each different name, not for each part."""
+    from tallyforge.plans import sourcing, upkeep
+
+    d, seen = "/root/testdata/sf0.001", []
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    for plan, name in ((sourcing, "stored_signatures"), (upkeep, "index_upkeep")):
+        monkeypatch.setattr(plan, "dealt", lambda df: seen.append(df) or df)
+        assert plan.QUERIES[name](spark, d).count() > 0
+        assert seen[-1].count() <= 2 * parts.select("p_name").distinct().count() < parts.count()
