@@ -234,3 +234,14 @@ def test_metrics(spark):
     assert [(r["field"], r["got"], r["expected"]) for r in metrics.errors(rows, ["t", "s"], "k").collect()] == [("t", "болт", "гайка")]
     out, step = metrics.timed("filter", lambda d: d.where("status = 'ok'"), df)
     assert out.count() == 2 and step["success_rate"] == 0.5
+
+
+def test_tokens_of_quotes_are_made_of_lines_without_an_exact_pair(spark):
+    """Lines that exact fields decide, and items of orders without other lines, have no tokens made; the result is the same."""
+    fields = "type_norm string, size_norm string, std_norm string, name string"
+    lines = spark.createDataFrame([(1, "q1", 1, "item", "bolt", "M8", "", "bolt m8"), (1, "q1", 2, "item", "", "", "", "ring m9 zinc"), (2, "q2", 3, "item", "bolt", "M8", "", "bolt m8")], "order_id long, quote_id string, line_id long, line_class string, " + fields)
+    items = spark.createDataFrame([(1, 10, "bolt", "M8", "", "bolt m8"), (1, 11, "ring", "M9", "", "ring m9 zinc"), (2, 12, "bolt", "M8", "", "bolt m8")], "order_id long, item_id long, " + fields)
+    made = lambda df: df.withColumn("tokens", F.split("name", " "))
+    seen = []
+    got = quotes.match_quotes(lines, items, tokens=lambda df: seen.append(df.count()) or made(df))
+    assert seen == [1, 2] and sorted(map(tuple, got.collect())) == sorted(map(tuple, quotes.match_quotes(made(lines), made(items)).collect()))
