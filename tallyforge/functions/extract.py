@@ -217,25 +217,31 @@ def with_metric_prefix(c: Column) -> Column:
 def sizes(c, dictionary: Dictionary) -> Column:
     """struct<diameter, length, width, thickness, size>: by rules, else by fixed patterns."""
     def fixed(t):
-        metric = T.group(t, r"(?<![a-z.])m\s*(\d{1,2})(?!\d)", 1)
         bare = T.group(t, r"(?<!\d[.,])(?<!\d)(\d{1,2})x\d{1,4}(?!\.\d)", 1)
-        d = T.first(metric, bare)
-        d = F.when(d != "", F.concat(F.lit("M"), d)).otherwise("")
-        length = T.group(t, r"x(\d+)", 1)
-        screw = F.when(metric == "", T.group(t, r"(\d+\.\d+)x\d+", 1)).otherwise("")
         whole = F.regexp_replace(T.group(t, r"(?<!\d[.,])(?<!\d)(\d{1,3}x\d{1,4})(?!\.\d)", 1), "^(.)", "M$1")
-        size = F.when((d != "") & (length != ""), F.concat(d, F.lit("x"), length)).when((screw != "") & (length != ""), F.concat(screw, F.lit("x"), length)).otherwise(whole)
-        return F.struct(d.alias("diameter"), length.alias("length"), size.alias("size"))
+        screw = T.group(t, r"(\d+\.\d+)x\d+", 1)
 
-    def join(ruled, plain):
+        def made(metric, d, length):
+            size = F.when((d != "") & (length != ""), F.concat(d, F.lit("x"), length)).when((metric == "") & (length != "") & (screw != ""), F.concat(screw, F.lit("x"), length)).otherwise(whole)
+            return F.struct(d.alias("diameter"), length.alias("length"), size.alias("size"))
+
+        with_length = lambda m, d: T.let(T.group(t, r"x(\d+)", 1), lambda length: made(m, d, length))
+        with_diameter = lambda m: T.let(T.first(m, bare), lambda d: T.let(F.when(d != "", F.concat(F.lit("M"), d)).otherwise(""), lambda d: with_length(m, d)))
+        return T.let(T.group(t, r"(?<![a-z.])m\s*(\d{1,2})(?!\d)", 1), with_diameter)
+
+    def join(ruled, length, plain):
         return F.struct(
-            T.first(ruled["diameter"], plain["diameter"]).alias("diameter"),
-            T.first(strip_strength(ruled["length"]), plain["length"]).alias("length"),
+            T.first(ruled["diameter"], plain["diameter"]).alias("diameter"), T.first(length, plain["length"]).alias("length"),
             T.first(ruled["width"]).alias("width"), T.first(ruled["thickness"]).alias("thickness"),
             F.when(ruled.isNotNull(), strip_strength(with_metric_prefix(ruled["size_norm"]))).otherwise(plain["size"]).alias("size"),
         )
 
-    return T.let(detect_size(c, dictionary.of("size")), lambda ruled: T.let(T.let(T.extraction_text(c), fixed), lambda plain: join(ruled, plain)))
+    # The fixed patterns are searched only where rules leave something open.
+    def ruled_first(ruled, length):
+        known = (ruled["diameter"] != "") & (length != "")
+        return T.let(F.when(~F.coalesce(known, F.lit(False)), T.let(T.extraction_text(c), fixed)), lambda plain: join(ruled, length, plain))
+
+    return T.let(detect_size(c, dictionary.of("size")), lambda ruled: T.let(strip_strength(ruled["length"]), lambda length: ruled_first(ruled, length)))
 
 
 def screw_diameter(c) -> Column:
@@ -290,16 +296,14 @@ def gost(c) -> Column:
 
 def iso(c) -> Column:
     def pick(t):
-        n = T.group(t, r"(?:iso|исо)\s*(\d+)", 1)
-        within = F.regexp_like(t, F.concat(F.lit(r"(?:гост|gost)\s*(?:р\s*)?(?:исо|iso)\s*"), n))
-        return F.when((n == "") | within, "").otherwise(F.concat(F.lit("ISO "), n))
+        within = lambda n: F.regexp_like(t, F.concat(F.lit(r"(?:гост|gost)\s*(?:р\s*)?(?:исо|iso)\s*"), n))
+        return T.let(T.group(t, r"(?:iso|исо)\s*(\d+)", 1), lambda n: F.when((n == "") | within(n), "").otherwise(F.concat(F.lit("ISO "), n)))
 
     return T.let(T.extraction_text(c), pick)
 
 
 def din(c) -> Column:
-    n = T.group(T.extraction_text(c), r"din\s*(\d+)", 1)
-    return F.when(n != "", F.concat(F.lit("DIN "), n)).otherwise("")
+    return T.let(T.group(T.extraction_text(c), r"din\s*(\d+)", 1), lambda n: F.when(n != "", F.concat(F.lit("DIN "), n)).otherwise(""))
 
 
 def tail_code(c) -> Column:
