@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from tallyforge.functions import extract as X
+from tallyforge.functions import text as T
 from tallyforge.operators import matching
 from tallyforge.operators import rules as R
+from tallyforge.plans import base
 
 
 def _joins(df, *kinds):
@@ -60,3 +62,13 @@ def test_decisions_of_every_stage_without_similarity(spark):
     memory = spark.createDataFrame([("f", 1, 5), ("f", 3, 9), ("g", 1, 1)], "fingerprint string, item_id long, confirmed_at int").where("item_id <> 3")
     got = {r.row_id: (r.mode, r.item_id, r.score, [c.item_id for c in r.candidates]) for r in matching.decide(_rows(spark, 6), _items(spark), matching.Settings(similar=False), memory).collect()}
     assert got == {0: ("AUTO_MEMORY", 1, 100, [1]), 1: ("AUTO_EXACT", 2, 100, [2, 1]), 2: ("NONE", None, 0, []), 3: ("AUTO_EXACT", 1, 100, [1, 2]), 4: ("AUTO_EXACT", 2, 100, [2, 1]), 5: ("NONE", None, 0, [])}
+
+
+def test_options_are_computed_once(spark):
+    df = spark.createDataFrame([("az",), ("",)], "t string").select(T.let(F.col("t"), lambda t: T.first(T.group(t, "(z+)", 1), F.lit("none"))).alias("x"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("(z+)") == 1
+    assert [r.x for r in df.collect()] == ["z", "none"]
+
+
+def test_goods_are_made_in_all_tasks(spark):
+    assert base.items(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
