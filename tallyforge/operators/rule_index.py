@@ -171,6 +171,9 @@ def prepared(rules: DataFrame) -> DataFrame:
         col("id", "long").alias("id"), col("kind", "string", "").alias("kind"), F.lower(col("pattern", "string")).alias("pattern"), col("match", "string", "contains").alias("match"),
         col("priority", "long", 0).alias("priority"), col("name", "string").alias("name"), col("code", "string").alias("code"),
     ).where("pattern <> ''")
+    # Equal rules first, by sums that tasks keep in hash tables: a minimum of structs would have them sort all rules.
+    same = ["kind", "match", "pattern", "priority", "name", "code"]
+    own = own.groupBy(*same, F.isnull("id").alias("none")).agg(F.min("id").alias("id"))
     first = F.min(F.struct((-F.col("priority")).alias("p"), "id", "name", "code")).alias("x")
     once = own.groupBy("kind", "match", "pattern").agg(first).select("x.id", "kind", "pattern", "match", (-F.col("x.p")).alias("priority"), "x.name", "x.code")
 
@@ -182,7 +185,13 @@ def prepared(rules: DataFrame) -> DataFrame:
             yield whole.filter(pa.array([x is not None for x in found], pa.bool_()))
 
     ship(rules.sparkSession)
-    return once.mapInArrow(run, RULE + ", literals array<string>")
+    return _dealt(once).mapInArrow(run, RULE + ", literals array<string>")
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """df over all tasks: the rows of a shuffle are few bytes, which would be read in one or two."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _text_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -195,15 +204,14 @@ def indexed(rules: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame
     numbers = saved(prepared(rules).withColumn("rule", F.monotonically_increasing_id()))
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, place, sizes, hashes = [], [], [], []
+            by_length: dict[int, list[tuple[int, int, str]]] = {}
             for i, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for k, x in enumerate(own):
-                    h = grams([x], (_length(x),))[1]
-                    ids += [i] * len(h)
-                    place += [k] * len(h)
-                    sizes += [_length(x)] * len(h)
-                    hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(place, pa.int32()), pa.array(sizes, pa.int32()), pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))], ["rule", "place", "length", "gram"])
+                    by_length.setdefault(_length(x), []).append((i, k, x))
+            for n, found in by_length.items():
+                ids, places, cut_up = zip(*found)
+                row, h = grams(list(cut_up), (n,))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[row]), pa.array(np.array(places, np.int32)[row]), pa.array(np.full(len(row), n, np.int32)), pa.array(h)], ["rule", "place", "length", "gram"])
 
     pieces = saved(numbers.select("rule", "literals").mapInArrow(cut, "rule long, place int, length int, gram long"))
     lengths = _lengths(pieces)
@@ -269,19 +277,32 @@ def first_rules(texts: DataFrame, rules: DataFrame, key: str = "row_id", text: s
     match whole words come before those that match parts, which have part 1). Texts and patterns are compared in lower case.
     Texts that nothing matches, and null texts, give no row unless a regular expression matches the empty text;
     rows of one key share one result. No rules or no texts give no rows. Other columns are not read.
+    If the key is the text itself, each is tried once, and nothing is gathered afterwards.
     """
-    index = indexed(rules, texts, text) if index is None else index
     rows = _text_rows(texts, key, text)
+    if key == text:
+        rows = _dealt(rows.distinct())
+    index = indexed(rules, rows) if index is None else index
     kind = f"key {texts.schema[key].dataType.simpleString()}"
     size = index.agg(F.sum(F.octet_length("pattern") + F.coalesce(F.octet_length("name"), F.lit(0)) + F.coalesce(F.octet_length("code"), F.lit(0)) + 64).alias("n")).first()["n"] or 0
-    found = _tried_where_they_are(rows, index, kind) if size <= sent_bytes else _tried_by_join(rows, index, kind)
+    sent = size <= sent_bytes
+    found = _tried_where_they_are(rows, index, kind) if sent else _tried_by_join(rows, index, kind)
+    if sent and key == text:
+        return found.select(F.col("key").alias(key), "kind", "part", "priority", "id", "name", "code")
     order = F.struct("part", (-F.col("priority")).alias("p"), "id", "name", "code")
     best = found.groupBy("key", "kind").agg(F.min(order).alias("x"))
     return best.select(F.col("key").alias(key), "kind", "x.part", (-F.col("x.p")).alias("priority"), "x.id", "x.name", "x.code")
 
 
 def _tried_where_they_are(rows: DataFrame, index: DataFrame, kind: str) -> DataFrame:
-    own = index.orderBy("gram").toArrow()
+    """MATCH of the first rule of each kind, of each row by itself."""
+    own = index.toArrow()
+    said = own.select(["priority", "id", "name", "code"]).to_pylist()
+    known = lambda v, none: (v is not None, none if v is None else v)
+    first = sorted(range(len(said)), key=lambda i: (-said[i]["priority"], known(said[i]["id"], 0), known(said[i]["name"], ""), known(said[i]["code"], "")))
+    rank = np.empty(len(said), np.int64)
+    rank[first] = np.arange(len(said))
+    own = own.append_column("rank", pa.array(rank)).sort_by([("gram", "ascending"), ("rank", "ascending")])
     with_gram = own.filter(pc.is_valid(own.column("gram")))
     known = with_gram.column("gram").to_numpy()
     values, starts = np.unique(known, return_index=True)
@@ -296,20 +317,32 @@ def _tried_where_they_are(rows: DataFrame, index: DataFrame, kind: str) -> DataF
             place, h = grams([t.low for t in tried], lengths)
             ok = _held(h, values)
             place, at = place[ok], np.searchsorted(values, h[ok])
-            places, out = [], []
+            best: dict[tuple[int, str], tuple] = {}
             for p, k in zip(place.tolist(), at.tolist()):
                 for rule in listed[starts[k] : starts[k + 1]]:
-                    _try(tried[p], rule, compiled, p, places, out)
+                    _try_first(tried[p], rule, compiled, p, best)
             for p, t in enumerate(tried):
                 for rule in always:
-                    _try(t, rule, compiled, p, places, out)
-            yield _hits(b.column(0), places, out, ["key", "kind", "part", "priority", "id", "name", "code"])
+                    _try_first(t, rule, compiled, p, best)
+            out = [(kind, part, *rule[3:7]) for (_, kind), (part, _, rule) in best.items()]
+            yield _hits(b.column(0), [p for p, _ in best], out, ["key", "kind", "part", "priority", "id", "name", "code"])
 
     return rows.mapInArrow(run, f"{kind}, {MATCH}")
 
 
 def _tuples(table: pa.Table) -> list[tuple]:
-    return list(zip(*[table.column(c).to_pylist() for c in ("pattern", "match", "kind", "priority", "id", "name", "code")]))
+    return list(zip(*[table.column(c).to_pylist() for c in ("pattern", "match", "kind", "priority", "id", "name", "code", "rank")]))
+
+
+def _try_first(text: Tried, rule: tuple, compiled: dict, place: int, best: dict) -> None:
+    """Put the rule in best[place, kind] = (part, rank, rule) if it matches and comes before the one there; one that cannot come before is not tried."""
+    at, rank = (place, rule[2]), rule[7]
+    old = best.get(at)
+    if old is not None and old[0] == 0 and old[1] <= rank:
+        return
+    part = text.matches(rule[0], rule[1], compiled)
+    if part is not None and (old is None or (part, rank) < old[:2]):
+        best[at] = part, rank, rule
 
 
 def _try(text: Tried, rule: tuple, compiled: dict, place: int, places: list[int], out: list[tuple]) -> None:
@@ -374,11 +407,15 @@ def redecided(texts: DataFrame, decided: DataFrame, before: DataFrame, after: Da
     """first_rules(texts, after), from decided = first_rules(texts, before), with `again`: whether the text met all rules again.
 
     Only texts whose deciding rule went or changed do; all others meet the new and changed rules alone,
-    which win where they come before the deciding one.
+    which win where they come before the deciding one. What was decided is written out, as it is read
+    more than once. Rules are compared only if they decided a text or are the first of their pattern
+    now: no other one can decide one.
     """
-    gone, fresh = (saved(x) for x in changed_rules(before, after))
+    decided, now = saved(decided), saved(prepared(after))
+    near = saved(decided.select("id").unionByName(now.select("id")).distinct())
+    gone, fresh = (saved(x) for x in changed_rules(*(df.join(near, df["id"].eqNullSafe(near["id"]), "left_semi") for df in (before, after))))
     lost = saved(decided.join(gone, "id", "left_semi").select(key).distinct())
-    again = first_rules(texts.join(lost, key, "left_semi"), after, key, text).withColumn("again", F.lit(True))
+    again = first_rules(texts.join(lost, key, "left_semi"), now, key, text).withColumn("again", F.lit(True))
     new = first_rules(texts.join(lost, key, "left_anti"), fresh, key, text)
     both = decided.join(lost, key, "left_anti").unionByName(new)
     best = both.groupBy(key, "kind").agg(F.min(F.struct("part", (-F.col("priority")).alias("p"), "id", "name", "code")).alias("x"))

@@ -83,6 +83,20 @@ def test_a_change_of_rules_is_redecided(spark, made):
     assert {x["again"] for x in got} == {True, False}
 
 
+def test_equal_texts_are_tried_once_and_rules_in_all_tasks(spark, made):
+    rules, texts, r, t = made
+    tasks = spark.sparkContext.defaultParallelism
+    assert RI.prepared(r.coalesce(1)).rdd.getNumPartitions() >= tasks
+    twice = t.unionByName(t).where("text IS NOT NULL").coalesce(1)
+    got = RI.first_rules(twice, r, key="text", text="text")
+    assert got.rdd.getNumPartitions() >= tasks
+    names = {(x, x) for _, x in texts if x is not None}
+    assert sorted(tuple(x) for x in got.collect()) == every_rule_on_every_text(names, rules)
+    after = r.where("id % 10 <> 4")
+    again = RI.redecided(twice, got, r, after, key="text", text="text")
+    assert sorted(tuple(x)[:-1] for x in again.collect()) == every_rule_on_every_text(names, [x for x in rules if x[0] % 10 != 4])
+
+
 def test_no_rules_or_texts(spark, made):
     _, _, r, t = made
     assert RI.first_rules(t, r.where("false")).count() == 0 and RI.first_rules(t.where("false"), r).count() == 0
