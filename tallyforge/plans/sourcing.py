@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -45,21 +47,27 @@ def delimited_files(spark, d):
     return got.select(F.regexp_extract("name", r"^\d+", 0).cast("long").alias("p_partkey"), "name", "qty", "unit")
 
 
-def _sheet(rows: list[list[str]], merge: str = "") -> str:
+def _sheet(rows: Iterable[list[str]], merge: str = "") -> Iterator[str]:
+    """The parts of a sheet's XML; {} of merge is its last row."""
     cell = lambda r, c, v: f'<c r="{chr(65 + c)}{r}" t="inlineStr"><is><t>{v}</t></is></c>'
-    body = "".join(f'<row r="{r}">' + "".join(cell(r, c, v) for c, v in enumerate(row) if v) + "</row>" for r, row in enumerate(rows, 1))
-    merged = f'<mergeCells><mergeCell ref="{merge}"/></mergeCells>' if merge else ""
-    return f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData>{merged}</worksheet>'
+    yield '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
+    count = 0
+    for count, row in enumerate(rows, 1):
+        yield f'<row r="{count}">' + "".join(cell(count, c, v) for c, v in enumerate(row) if v) + "</row>"
+    merged = f'<mergeCells><mergeCell ref="{merge.format(count)}"/></mergeCells>' if merge else ""
+    yield f'</sheetData>{merged}</worksheet>'
 
 
-def _workbook(rows: list[list[str]]) -> bytes:
+def _workbook(rows: Iterable[list[str]]) -> bytes:
     """A workbook of two sheets, the second of them active, with its first two cells of the last row merged."""
     ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}"><bookViews><workbookView activeTab="1"/></bookViews><sheets><sheet name="notes" sheetId="1"/><sheet name="goods" sheetId="2"/></sheets></workbook>')
-        z.writestr("xl/worksheets/sheet1.xml", _sheet([["not", "these"]]))
-        z.writestr("xl/worksheets/sheet2.xml", _sheet([*rows, ["total", "", "end"]], f"A{len(rows) + 1}:B{len(rows) + 1}"))
+        for k, parts in ((1, _sheet([["not", "these"]])), (2, _sheet(chain(rows, [["total", "", "end"]]), "A{0}:B{0}"))):
+            with z.open(f"xl/worksheets/sheet{k}.xml", "w", force_zip64=True) as part:
+                for x in parts:
+                    part.write(x.encode())
     return out.getvalue()
 
 
@@ -69,7 +77,9 @@ def workbooks(spark, d):
     """The active sheets of workbooks, with merged cells."""
     def made(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_workbook([list(r.values()) for r in rows]) for rows in b.column(1).to_pylist()], pa.binary())], ["path", "content"])
+            for path, rows in zip(b.column(0), b.column(1)):
+                book = _workbook(list(r.as_py().values()) for r in rows.values)
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()], pa.string()), pa.array([book], pa.binary())], ["path", "content"])
 
     ship(spark)
     p = table(spark, d, "part").groupBy(F.concat(F.lit("book "), (F.col("p_partkey") % 7).cast("string")).alias("path")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))).alias("rows"))
