@@ -84,7 +84,7 @@ def workbooks(spark, d):
     ship(spark)
     p = table(spark, d, "part").groupBy(F.concat(F.lit("book "), (F.col("p_partkey") % 7).cast("string")).alias("path")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))).alias("rows"))
     p = p.select("path", F.transform("rows", lambda r: F.struct(r["p_partkey"].cast("string").alias("k"), r["p_name"].alias("n"), r["p_size"].cast("string").alias("z"))).alias("rows"))
-    got = readers.workbook_rows(p.mapInArrow(made, "path string, content binary"))
+    got = readers.workbook_rows(dealt(p).mapInArrow(made, "path string, content binary"))
     return got.where("sheet = 'goods'").select("file", F.col("row_index").cast("long").alias("row_index"), F.array_join("cells", "|").alias("cells"))
 
 
